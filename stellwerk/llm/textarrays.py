@@ -136,10 +136,12 @@ def shingles(text: Bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, key) with counts, sorted. Keys keep 44 bits or more, by the number of documents."""
+    """Distinct (document, key) with counts, sorted. Keys keep their upper 44 bits."""
     if not len(doc):
         return doc.astype(np.int64), key, np.zeros(0, np.int64)
-    bits = U(max(1, int(doc.max()).bit_length()))
+    bits = U(20)
+    if int(doc[-1]) >> 20:
+        raise ValueError("a slice holds more than 2**20 documents")
     both = (doc.astype(U) << (U(64) - bits)) | (key >> bits)
     both.sort()
     new = np.ones(len(both), bool)
