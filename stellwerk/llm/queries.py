@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stellwerk.llm import q_dedup
+from stellwerk.llm import q_dedup, q_language, q_mixing
 
-MODULES = (q_dedup,)
+MODULES = (q_dedup, q_language, q_mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
