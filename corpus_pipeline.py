@@ -4,27 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellwerk.llm import bag_minhash, exact_dedup
+from stellwerk.llm import bag_minhash, exact_dedup, language_id, mixing, packing
 from stellwerk.llm.common import stored, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not rejected."""
+    return language_id.accepted(docs, language_id.learned())
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
     return bag_minhash.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", distinct_texts), ("near_dedup", distinct_content)]
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mix(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their sequences and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", distinct_content),
+    ("source_mixing", mixed_sources),
+    ("packing", packed_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what the last one returns."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The learned and hashed stages cannot be told in SQL; tests hold them against brute force.
+#: Learned, hashed and tokenised stages cannot be told in SQL; tests hold them against brute force.
 ORACLE_SQL = None
