@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stellwerk.llm import q_dedup, q_language, q_mixing, q_packing
+from stellwerk.llm import q_classify, q_dedup, q_language, q_mixing, q_packing
 
-MODULES = (q_dedup, q_language, q_mixing, q_packing)
+MODULES = (q_classify, q_dedup, q_language, q_mixing, q_packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
