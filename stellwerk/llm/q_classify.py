@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import quality_gam
+from stellwerk.llm import quality_gam, toxicity
 from stellwerk.llm.common import table
 from stellwerk.llm.labelled import held_out
 
@@ -16,5 +16,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.scored(features, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op6_quality_classifier": op6_quality_classifier}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(found, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op6_quality_classifier": op6_quality_classifier, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {}
