@@ -23,23 +23,21 @@ from stellwerk.llm.common import SPACE_CHARS, one_space, small_or_shuffled, stor
 
 #: Characters counted as symbols, and as punctuation.
 SYMBOLS = "#*$%&|<>"
-PUNCTUATION = ".,;:!?'\"()-"
-DIGITS = "0123456789"
-CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
+PUNCTUATION = ".,;:!?'\"()\\-"
+CLASSES = ("upper", "digit", "punctuation", "symbol", "space", "beyond_ascii", "rest")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-WORDS_KEPT, TRACKED, MOST_LANGS = 24, 4096, 1000
+WORDS_KEPT, TRACKED, MOST_LANGS = 12, 2048, 1000
 #: Levels of the distances, and the least number of code points or words to be judged.
-CHAR_LEVEL, CHAR_LEAST, WORD_LEVEL, WORD_LEAST = 0.25, 200, 0.55, 50
+CHAR_LEVEL, CHAR_LEAST, WORD_LEVEL, WORD_LEAST = 0.3, 200, 0.36, 80
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _only(text: Column, kind: str) -> Column:
+    """How many code points of the text are of this kind (the inside of a character class)."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
 
 
 def _repeated(words: Column, n: Column) -> Column:
-    """Words that lie in a window of WINDOW words which occurs more than once in the text."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-
+    """Words (given as hashes) that lie in a window of WINDOW words which occurs more than once in the text."""
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
 
@@ -55,7 +53,7 @@ def _repeated(words: Column, n: Column) -> Column:
 
         return _bound(_bound(ranked, places), length)
 
-    return _bound(_bound(hashes, windows), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0))
+    return _bound(_bound(words, windows), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0))
 
 
 def _bound(value: Column, use) -> Column:
@@ -67,14 +65,14 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with the numbers of the base rules: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.col("__text")
     rows = docs.withColumn("__text", text_of(text_col)).withColumn("__norm", F.trim(one_space(text)))
-    rows = rows.withColumn("__words", F.when(F.col("__norm") == "", F.array().cast("array<string>")).otherwise(F.split("__norm", " ")))
-    rows = rows.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != ""))
+    words = F.when(F.col("__norm") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("__norm", " "), lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("__words", words).withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     n = F.size("__words")
     return rows.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": _without(text, SPACE_CHARS).cast("long"),
-            "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
+            "word_chars": F.greatest(F.length("__norm") - n + 1, F.lit(0)).cast("long"),
+            "n_symbols": _only(text, SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.when(n >= WINDOW, _repeated(F.col("__words"), n)).otherwise(0).cast("long"),
         }
@@ -85,25 +83,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def class_counts(text: Column) -> Column:
-    """Code points of the text by CLASSES."""
-    n = F.length(text)
-    found = [n - F.length(F.regexp_replace(text, r"\p{Ll}+", "")), n - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))]
-    found += [n - _without(text, chars) for chars in (DIGITS, SPACE_CHARS, PUNCTUATION, SYMBOLS)]
-    return F.array(*found, n - sum(found[1:], found[0])).cast("array<long>")
-
-
-def _spaced(norm: Column) -> Column:
-    """Lower-case words without punctuation, each between spaces of its own."""
-    return F.concat(F.lit(" "), F.replace(F.lower(F.translate(norm, '.,;:!?"()', "")), F.lit(" "), F.lit("  ")), F.lit(" "))
+def class_counts() -> Column:
+    """The text's code points by CLASSES, beside the base numbers; bytes beyond one for a code point count as a class."""
+    text = F.col("__text")
+    found = [_only(text, r"\p{Lu}"), _only(text, "0-9"), _only(text, PUNCTUATION), F.col("n_symbols"), F.length(text) - F.col("word_chars"), F.octet_length(text) - F.length(text)]
+    return F.array(*found, F.greatest(F.length(text) - sum(found[1:], found[0]), F.lit(0))).cast("array<long>")
 
 
 def common_words(docs: DataFrame, kept: int, text_col: str, lang_col: str) -> DataFrame:
-    """ref_lang, words: the commonest words of each language."""
-    words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.explode(F.split(F.lower(F.translate(one_space(text_of(text_col)), '.,;:!?"()', "")), " ")).alias("word"))
+    """ref_lang, words (hashes): the commonest words of each language, as they are written."""
+    words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.explode(F.split(one_space(text_of(text_col)), " ")).alias("word"))
     top = words.filter("word != ''").groupBy("lang").agg(F.expr(f"approx_top_k(word, {2 * kept}, {TRACKED})").alias("top"))
     ranked = F.slice(F.sort_array(F.transform("top", lambda t: F.struct((-t["count"]).alias("n"), t["item"].alias("w")))), 1, kept)
-    return top.select(F.col("lang").alias("ref_lang"), F.transform(ranked, lambda t: t["w"]).alias("words"))
+    return top.select(F.col("lang").alias("ref_lang"), F.transform(ranked, lambda t: F.xxhash64(t["w"])).alias("words"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -118,14 +110,14 @@ def histograms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, lang, the base numbers and both histograms of each row of docs, written to the shared folder."""
     refs = stored(common_words(docs, kept, text_col, lang_col), "common-words")
     rows = base_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")), "doc_id", "text")
-    rows = rows.join(small_or_shuffled(refs, MOST_LANGS), F.col("lang") == F.col("ref_lang"), "left").withColumn("__spaced", _spaced(F.col("__norm")))
-    count = lambda w: ((F.length("__spaced") - F.length(F.replace(F.col("__spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long")
-    rows = rows.withColumn("__common", F.transform(F.coalesce("words", F.array().cast("array<string>")), count))
+    rows = rows.join(small_or_shuffled(refs, MOST_LANGS), F.col("lang") == F.col("ref_lang"), "left")
+    count = lambda w: F.col("n_words") - F.size(F.array_remove("__words", w))
+    rows = rows.withColumn("__common", F.transform(F.coalesce("words", F.array().cast("array<long>")), count))
     others = F.col("n_words") - F.aggregate("__common", F.lit(0).cast("long"), lambda s, x: s + x)
     return stored(
         rows.select(
             "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            class_counts(F.col("__text")).alias("classes"), F.concat("__common", F.array(F.greatest(others, F.lit(0).cast("long")))).alias("common"),
+            class_counts().alias("classes"), F.concat("__common", F.array(F.greatest(others, F.lit(0).cast("long")))).alias("common"),
         ),
         "histograms",
     )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stellwerk.llm import q_classify, q_dedup, q_language, q_mixing, q_packing, q_rules
+from stellwerk.llm import q_classify, q_dedup, q_language, q_mixing, q_packing, q_rules, q_text
 
-MODULES = (q_classify, q_dedup, q_language, q_mixing, q_packing, q_rules)
+MODULES = (q_classify, q_dedup, q_language, q_mixing, q_packing, q_rules, q_text)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
