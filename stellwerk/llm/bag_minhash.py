@@ -185,7 +185,9 @@ def _all_links(members: DataFrame, texts: DataFrame, width: int, threshold: floa
     tested = stored(members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).filter("a != b").distinct(), "tested")
     links = _linked(tested, texts, width, threshold)
     for turn in range(1, HUB_ROUNDS + 1):
-        placed = _open_buckets(members, components(links))
+        found = components(links)
+        links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).filter("a != b")  # as good as the links, and fewer
+        placed = _open_buckets(members, found)
         size = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
         size = size.groupBy(F.col("bucket").alias("s_bucket")).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
         size = stored(size.select("s_bucket", F.col("top.component").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("open")), "open")

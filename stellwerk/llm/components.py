@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import stored
 
 
+#: Graphs of at most so many edges (a few megabytes) take their rounds in one task; larger ones are shuffled.
+SMALL = 1 << 17
+
+
+def _pair(*sides) -> Column:
+    """Column that explodes to one (u, v) for each of the sides."""
+    return F.explode(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in sides])).alias("e")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star over edges (u > v): every neighbour is hung under the least one."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-    large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-    down = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    hung = large.join(down, F.col("u") == F.col("k"))
-    return (
-        hung.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        .unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        .filter("u != v")
-        .distinct()
-    )
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    both = edges.select(_pair((u, v), (v, u))).select("e.u", "e.v")
+    least = both.groupBy(u.alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
+    large = both.filter("v > u").join(least, u == F.col("k")).select(v.alias("u"), m.alias("v")).filter("u != v").distinct()
+    down = large.groupBy(u.alias("k")).agg(F.min("v").alias("m"))
+    hung = large.join(down, u == F.col("k"))
+    return hung.select(_pair((F.greatest("v", "m"), F.least("v", "m")), (F.col("k"), m))).select("e.u", "e.v").filter("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while before != (state := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()):
         before = state
-        now = stored(_star(now), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+        now = stored(_star(now.coalesce(1) if state[0] <= SMALL else now), "edges")
+    return now.select(_pair((F.col("u"), F.col("v")), (F.col("v"), F.col("v")))).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct()
