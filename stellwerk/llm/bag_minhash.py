@@ -9,11 +9,13 @@ equal to the weighted Jaccard similarity. Points later than any that can still b
 never generated, so most shingles cost one hash.
 
 Documents whose words are the same form one class at once and only the row with the least id goes on.
-Classes whose signatures agree on all rows of a band are candidates: in each bucket, all are compared
-with one hub (an equi-join, no pairs within the bucket), the verified links are joined into components,
-and buckets that still hold more than one component get further hubs. When few pairs are left, all of
-those between components are compared. Every comparison is exact: the overlap of the shingle
-multisets of whole texts.
+Classes whose signatures agree on all rows of a band are candidates. All pairs of a small bucket are
+compared. In a large bucket no pairs are made: all members are compared with its hub, the member that
+shares most buckets with others (the text from which a family of copies was made, or the one next to
+it); then, in rounds, all members of other components are compared with the hub of those that the first
+hub did not reach. Links are joined into components. Every comparison is exact: the overlap of the
+shingle multisets of whole texts. Two near texts that share only large buckets, with their hubs near
+neither of them, can stay apart; near texts that share an edit also share small buckets.
 
 Defined results: null text counts as empty; texts without a word are one class and near nothing else;
 a text of one to four words is one shingle; rows with a null id are classed by their text but never
@@ -35,8 +37,8 @@ from stellwerk.llm.components import components
 from stellwerk.llm.textarrays import U, Bytes, mixed, shingles, slices
 
 BANDS, ROWS, WIDTH, THRESHOLD = 28, 5, 5, 0.8
-#: Rounds of hubs before the pairs that are left are compared one by one.
-HUB_ROUNDS = 6
+#: Buckets of at most so many classes are compared in pairs; larger ones with hubs, and so many rounds of further hubs.
+SMALL, HUB_ROUNDS = 24, 3
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -141,11 +143,6 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     return stored(found.mapInArrow(lambda it: _verify(it, width, threshold), "a long, b long"), "links")
 
 
-def _pairs(hubs: DataFrame, members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's hub."""
-    return members.join(hubs, F.col("bucket") == F.col("h_bucket")).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).filter("a != b").distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -164,8 +161,8 @@ def near_duplicates(
     reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"))
     reps = stored(reps, "classes")
     spread = reps.filter("rep_id is not null").select(F.col("rep_id").alias("id"), F.explode("bands").alias("bucket"))
-    full = spread.groupBy(F.col("bucket").alias("h_bucket")).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(spread.join(full, F.col("bucket") == F.col("h_bucket")).select("bucket", "id", "hub"), "buckets")
+    full = spread.groupBy(F.col("bucket").alias("f_bucket")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(spread.join(full, F.col("bucket") == F.col("f_bucket")).select("bucket", "id", "n"), "buckets")
     wanted = members.select("id").distinct()
     texts = stored(
         source.select(F.col("doc_id").alias("id"), "hash", "norm")
@@ -174,51 +171,43 @@ def near_duplicates(
         .groupBy("id").agg(F.first("norm").alias("norm")),
         "texts",
     )
-    links = _all_links(members, texts, width, threshold)
-    found = components(links)
+    found = _classes(members, texts, width, threshold)
     labels = reps.select(F.col("hash").alias("c_hash"), "rep_id").join(found, F.col("rep_id") == F.col("node"), "left").select("c_hash", "rep_id", F.coalesce("component", "rep_id").alias("cluster_id"))
     return signed.select("doc_id", "hash").join(labels, F.col("hash") == F.col("c_hash")).select("doc_id", "hash", "rep_id", "cluster_id")
 
 
-def _all_links(members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links that join all near classes of each bucket into components."""
-    tested = stored(members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).filter("a != b").distinct(), "tested")
-    links = _linked(tested, texts, width, threshold)
-    for turn in range(1, HUB_ROUNDS + 1):
-        found = components(links)
-        links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).filter("a != b")  # as good as the links, and fewer
-        placed = _open_buckets(members, found)
-        size = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        size = size.groupBy(F.col("bucket").alias("s_bucket")).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-        size = stored(size.select("s_bucket", F.col("top.component").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("open")), "open")
-        left, buckets = size.agg(F.coalesce(F.sum("open"), F.lit(0)), F.count(F.lit(1))).first()
-        if not left:
-            return links
-        if left <= 64 * buckets + 4 * placed.count() or turn == HUB_ROUNDS:
-            new = _open_pairs(placed, size)
-        else:
-            hubs = placed.groupBy(F.col("bucket").alias("h_bucket")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
-            new = _pairs(hubs, placed)
+def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """node, component of the classes that have links."""
+    small = members.filter(F.col("n") <= SMALL)
+    other = small.select(F.col("bucket").alias("o_bucket"), F.col("id").alias("o_id"))
+    within = small.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("id") < F.col("o_id"))).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    rank = members.groupBy(F.col("id").alias("r_id")).agg(F.sum("n").alias("rank"))
+    large = stored(members.filter(F.col("n") > SMALL).join(rank, F.col("id") == F.col("r_id")).select("bucket", "id", "rank"), "large-buckets")
+    tested = stored(within.unionByName(_hub_pairs(large.withColumn("component", F.col("id")))).distinct(), "tested")
+    found = components(_linked(tested, texts, width, threshold))
+    for _ in range(HUB_ROUNDS):
+        placed = large.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component"))
+        first = placed.groupBy(F.col("bucket").alias("f_bucket")).agg(F.max_by("component", F.struct("rank", "id")).alias("first"))
+        rest = placed.join(first, (F.col("bucket") == F.col("f_bucket")) & (F.col("component") != F.col("first"))).drop("f_bucket", "first")
+        # the hub of those that are not yet in the first hub's component, against all others
+        hubs = rest.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id", "component")).alias("h"))
+        pairs = placed.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("component") != F.col("h.component")))
+        new = pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
         new = stored(new.join(tested.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "untested")
-        links = links.unionByName(_linked(new, texts, width, threshold))
-        if left <= 64 * buckets + 4 * placed.count():
-            return links
+        if new.isEmpty():
+            break
+        links = _linked(new, texts, width, threshold)
         tested = tested.unionByName(new)
-    return links
-
-
-def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold more than one component."""
-    placed = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed_up = placed.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
-    return stored(placed.join(mixed_up, F.col("bucket") == F.col("o_bucket")).select("bucket", "id", "component"), "open-buckets")
+        if not links.isEmpty():
+            found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    return found
 
 
-def _open_pairs(placed: DataFrame, size: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket; one of the two is outside its largest component."""
-    few = placed.join(size, (F.col("bucket") == F.col("s_bucket")) & (F.col("component") != F.col("top"))).select(F.col("bucket").alias("f_bucket"), F.col("id").alias("f_id"), F.col("component").alias("f_component"))
-    pairs = placed.join(few, (F.col("bucket") == F.col("f_bucket")) & (F.col("component") != F.col("f_component")))
-    return pairs.select(F.least("id", "f_id").alias("a"), F.greatest("id", "f_id").alias("b")).distinct()
+def _hub_pairs(placed: DataFrame) -> DataFrame:
+    """Each member of a bucket with the one that shares most buckets with others."""
+    hubs = placed.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id")).alias("h"))
+    pairs = placed.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h.id")))
+    return pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
