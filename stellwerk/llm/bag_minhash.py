@@ -187,6 +187,7 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     found = components(_linked(tested, texts, width, threshold))
     for _ in range(HUB_ROUNDS):
         placed = large.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component"))
+        placed = stored(placed, "placed")
         first = placed.groupBy(F.col("bucket").alias("f_bucket")).agg(F.max_by("component", F.struct("rank", "id")).alias("first"))
         rest = placed.join(first, (F.col("bucket") == F.col("f_bucket")) & (F.col("component") != F.col("first"))).drop("f_bucket", "first")
         # the hub of those that are not yet in the first hub's component, against all others
