@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.operators import baselines, routing, visibility
+from stellwerk.operators import baselines, risk, routing, visibility
 from stellwerk.operators.requests import request_rows
 from stellwerk.schema import QCOLS
 from stellwerk.sources.stops import from_events
@@ -19,12 +19,13 @@ def at(time: str):
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark, sf_dir)
+    """The stops relation, kept for the queries of a session; what does not fit in memory goes to disk."""
+    return from_events(spark, sf_dir).persist()
 
 
 def legs(stops: DataFrame) -> DataFrame:
     """Legs of direct hops and next-departure transfers of the later days."""
-    return routing.two_leg_legs(visibility.connections(stops.filter(F.col("run_day") >= at(FROM_DAY))))
+    return routing.two_leg_legs(visibility.connections(stops.filter(F.col("run_day") >= at(FROM_DAY)))).persist()
 
 
 def requests(legs: DataFrame) -> DataFrame:
@@ -33,20 +34,18 @@ def requests(legs: DataFrame) -> DataFrame:
 
 def rows(stops: DataFrame) -> DataFrame:
     own = legs(stops)
-    return request_rows(stops, requests(own), own)
+    return request_rows(stops, requests(own), own).persist()
 
 
 def predicted(stops: DataFrame, own: DataFrame, method: str) -> DataFrame:
     """rows of one method, with the model each row belongs to."""
     found = [baselines.METHODS[method](stops, own.filter(F.col("model") == m), m) for m in ("arr", "dep")]
-    return found[0].unionByName(found[1]).withColumn("method", F.lit(method))
+    return found[0].unionByName(found[1]).withColumn("method", F.lit(method)).persist()
 
 
 def arrivals_by_leg(stops: DataFrame, own: DataFrame, rows: DataFrame, method: str) -> DataFrame:
     """legs with predicted arrival and departure delays."""
-    from stellwerk.operators import risk
-
     keep = ["request_id", "run_id", "stop_num", *QCOLS]
     arr = baselines.METHODS[method](stops, rows.filter("model = 'arr'"), "arr").select(*keep)
     dep = baselines.METHODS[method](stops, rows.filter("model = 'dep'"), "dep").select(*keep)
-    return risk.with_departure_delays(risk.with_arrival_delays(own, arr), dep)
+    return risk.with_departure_delays(risk.with_arrival_delays(own, arr), dep).persist()
