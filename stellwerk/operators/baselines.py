@@ -27,10 +27,12 @@ def history_counts(stops: DataFrame, model: str) -> DataFrame:
     )
 
 
-def per_day(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, history_days: int = HISTORY_DAYS, min_count: int = MIN_COUNT) -> DataFrame:
-    """query with q50, q80, q95 of the days before each row's run_day (null where the event does not exist).
+def level_quantiles(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, history_days: int = HISTORY_DAYS, min_count: int = MIN_COUNT) -> DataFrame:
+    """query with level0, level1, ...: quantiles of the days before each row's run_day at each level.
 
-    The range join of days is an equi-join: each count is dealt to the query days that it is past for.
+    Null where a level has fewer than min_count rows (the level without keys takes any number), or where
+    the event does not exist. The range join of days is an equi-join: each count is dealt to the query
+    days that it is past for.
     """
     rows = query.withColumns({"b_day": F.to_date("run_day"), "hour": F.col(f"{model}_hour").cast("byte")})
     days = rows.select(F.col("b_day").alias("day")).distinct()
@@ -47,9 +49,14 @@ def per_day(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, histo
         for c in keys:
             on = on & (F.col(c) == F.col(f"s_{c}"))
         out = out.join(stats, on, "left").drop("s_day", *[f"s_{c}" for c in keys])
+    return out.withColumns({f"level{k}": F.when(F.col("hour").isNotNull(), F.col(f"level{k}")) for k in range(len(levels))}).drop("b_day", "hour")
+
+
+def per_day(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, **options) -> DataFrame:
+    """query with q50, q80, q95 from the first level that has enough rows."""
     names = [f"level{k}" for k in range(len(levels))]
-    best = F.when(F.col("hour").isNotNull(), F.coalesce(*names))
-    return out.withColumns({c: best[i] for i, c in enumerate(QCOLS)}).drop("b_day", "hour", *names)
+    found = level_quantiles(stops, query, model, levels, **options)
+    return found.withColumns({c: F.coalesce(*names)[i] for i, c in enumerate(QCOLS)}).drop(*names)
 
 
 def global_quantiles(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
@@ -69,3 +76,13 @@ def carry_forward(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
 
 
 METHODS = {"global": global_quantiles, "train_station": train_station_quantiles, "carry_forward": carry_forward}
+
+
+def every_method(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
+    """query once for each of METHODS with method, q50, q80, q95; the history is aggregated once for all of them."""
+    found = level_quantiles(stops, query, model)
+    usual, overall, seen = F.coalesce("level0", "level1", "level2"), F.col("level2"), F.col("seen_delay").cast("double")
+    moved = F.when(seen.isNotNull(), F.transform(usual, lambda q: seen + (q - usual[0]))).otherwise(usual)
+    named = F.array(*[F.struct(F.lit(m).alias("method"), q.alias("q")) for m, q in (("global", overall), ("train_station", usual), ("carry_forward", moved))])
+    out = found.withColumn("m", F.explode(named)).withColumn("method", F.col("m.method"))
+    return out.withColumns({c: F.col("m.q")[i] for i, c in enumerate(QCOLS)}).drop("m", "level0", "level1", "level2")

@@ -34,11 +34,9 @@ def transfers(legs: DataFrame) -> DataFrame:
     A late departure widens the wait, an early one does not shorten it.
     """
     late = F.col("dep_q50") if "dep_q50" in legs.columns else F.lit(None).cast("double")
-    after = legs.select(
-        F.col("request_id").alias("n_request"), F.col("route").alias("n_route"), (F.col("leg") - 1).alias("n_leg"), F.col("run_id").alias("next_run_id"),
-        F.col("from_stop_num").alias("next_stop_num"), F.col("dep").alias("next_dep"), late.alias("next_dep_q50"),
-    )
-    pairs = legs.join(after, (F.col("request_id") == F.col("n_request")) & (F.col("route") == F.col("n_route")) & (F.col("leg") == F.col("n_leg")))
+    route = Window.partitionBy("request_id", "route").orderBy("leg")
+    ahead = {"next_leg": F.col("leg"), "next_run_id": F.col("run_id"), "next_stop_num": F.col("from_stop_num"), "next_dep": F.col("dep"), "next_dep_q50": late}
+    pairs = legs.withColumns({name: F.lead(c).over(route) for name, c in ahead.items()}).filter(F.col("next_leg") == F.col("leg") + 1)
     room = minutes_between(F.col("next_dep"), F.col("arr")) - CHANGE_MIN
     out = pairs.withColumn("room", room).withColumn("wait", F.col("room") + F.greatest(F.coalesce("next_dep_q50", F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("p", probability(F.col("wait"), *[F.col(f"arr_{q}") for q in QCOLS])).withColumn("level", level(F.col("p")))

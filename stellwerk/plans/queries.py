@@ -171,8 +171,7 @@ def replayed_transfers(stops):
 
 
 def _legs(stops, method="train_station"):
-    own = r.legs(stops)
-    return r.arrivals_by_leg(stops, own, r.rows(stops), method)
+    return r.legs_with_delays(stops, method)
 
 
 @query
@@ -213,9 +212,7 @@ def level_calibration(stops):
 
 
 def _scored(stops):
-    rows = r.rows(stops)
-    frames = [r.predicted(stops, rows, m) for m in ("global", "train_station", "carry_forward")]
-    return metrics.scored_rows(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+    return metrics.scored_rows(r.predicted(stops, r.rows(stops)))
 
 
 SCORES = ("pinball_q50", "pinball_q80", "pinball_q95", "pinball", "mae", "coverage_q50", "coverage_q80", "coverage_q95")

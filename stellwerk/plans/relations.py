@@ -14,18 +14,25 @@ FROM_DAY = "2024-01-15"
 NOW = "2024-01-20 14:00:00"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df in the session's cache, filled now: what reads it is planned with its true size."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def at(time: str):
     return F.lit(time).cast("timestamp_ntz")
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stops relation, kept for the queries of a session; what does not fit in memory goes to disk."""
-    return from_events(spark, sf_dir).persist()
+    return kept(from_events(spark, sf_dir))
 
 
 def legs(stops: DataFrame) -> DataFrame:
     """Legs of direct hops and next-departure transfers of the later days."""
-    return routing.two_leg_legs(visibility.connections(stops.filter(F.col("run_day") >= at(FROM_DAY)))).persist()
+    return kept(routing.two_leg_legs(visibility.connections(stops.filter(F.col("run_day") >= at(FROM_DAY)))))
 
 
 def requests(legs: DataFrame) -> DataFrame:
@@ -34,18 +41,18 @@ def requests(legs: DataFrame) -> DataFrame:
 
 def rows(stops: DataFrame) -> DataFrame:
     own = legs(stops)
-    return request_rows(stops, requests(own), own).persist()
+    return kept(request_rows(stops, requests(own), own))
 
 
-def predicted(stops: DataFrame, own: DataFrame, method: str) -> DataFrame:
-    """rows of one method, with the model each row belongs to."""
-    found = [baselines.METHODS[method](stops, own.filter(F.col("model") == m), m) for m in ("arr", "dep")]
-    return found[0].unionByName(found[1]).withColumn("method", F.lit(method)).persist()
+def predicted(stops: DataFrame, own: DataFrame) -> DataFrame:
+    """rows with the quantiles of every method."""
+    arr, dep = (baselines.every_method(stops, own.filter(F.col("model") == m), m) for m in ("arr", "dep"))
+    return kept(arr.unionByName(dep))
 
 
-def arrivals_by_leg(stops: DataFrame, own: DataFrame, rows: DataFrame, method: str) -> DataFrame:
+def legs_with_delays(stops: DataFrame, method: str) -> DataFrame:
     """legs with predicted arrival and departure delays."""
-    keep = ["request_id", "run_id", "stop_num", *QCOLS]
-    arr = baselines.METHODS[method](stops, rows.filter("model = 'arr'"), "arr").select(*keep)
-    dep = baselines.METHODS[method](stops, rows.filter("model = 'dep'"), "dep").select(*keep)
-    return risk.with_departure_delays(risk.with_arrival_delays(own, arr), dep).persist()
+    own = legs(stops)
+    pred = predicted(stops, rows(stops)).filter(F.col("method") == method).select("request_id", "run_id", "stop_num", "model", *QCOLS)
+    found = risk.with_arrival_delays(own, pred.filter("model = 'arr'"))
+    return kept(risk.with_departure_delays(found, pred.filter("model = 'dep'")))

@@ -83,9 +83,9 @@ PREDICTED = (
     + ","
     + _history("dep", "rw_dep", "pd")
     + r""",
-    both AS (SELECT * FROM pa UNION ALL SELECT * FROM pd),
-    pred AS (SELECT *, 'global' AS method, overall AS q FROM both UNION ALL SELECT *, 'train_station', usual FROM both
-             UNION ALL SELECT *, 'carry_forward', CASE WHEN seen_delay IS NOT NULL AND usual IS NOT NULL THEN [seen_delay + (usual[1] - usual[1]), seen_delay + (usual[2] - usual[1]), seen_delay + (usual[3] - usual[1])] ELSE usual END FROM both)"""
+    events_pred AS (SELECT * FROM pa UNION ALL SELECT * FROM pd),
+    pred AS (SELECT *, 'global' AS method, overall AS q FROM events_pred UNION ALL SELECT *, 'train_station', usual FROM events_pred
+             UNION ALL SELECT *, 'carry_forward', CASE WHEN seen_delay IS NOT NULL AND usual IS NOT NULL THEN [seen_delay + (usual[1] - usual[1]), seen_delay + (usual[2] - usual[1]), seen_delay + (usual[3] - usual[1])] ELSE usual END FROM events_pred)"""
 )
 SCORED = r"""
     scored AS (SELECT *, greatest(0.5 * (delay - q[1]), -0.5 * (delay - q[1])) AS l50, greatest(0.8 * (delay - q[2]), (0.8 - 1) * (delay - q[2])) AS l80,
