@@ -94,6 +94,8 @@ def _plain(text: Bytes) -> tuple[Bytes, np.ndarray, np.ndarray]:
         a, b = where[np.minimum(first, max(len(where) - 1, 0))] if len(where) else starts, where[np.maximum(last - 1, 0)] + 1 if len(where) else ends
         inner = some & (total[b] - total[a] < b - a) & (total[ends] - total[starts] >= 1)
     own = Bytes.__new__(Bytes)
+    if len(starts):
+        starts, ends = np.where(some, a, starts), np.where(some, b, ends)
     spans = [(s, e) for s, e in zip(starts[inner], ends[inner], strict=True) if e - s <= 64]
     parts = [(q := _PLAIN[text.data[s:e]])[LETTERS[q]] for s, e in spans]
     own.offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
