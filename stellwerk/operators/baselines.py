@@ -78,11 +78,10 @@ def carry_forward(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
 METHODS = {"global": global_quantiles, "train_station": train_station_quantiles, "carry_forward": carry_forward}
 
 
-def every_method(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
-    """query once for each of METHODS with method, q50, q80, q95; the history is aggregated once for all of them."""
-    found = level_quantiles(stops, query, model)
+def every_method(found: DataFrame) -> DataFrame:
+    """The rows of level_quantiles once for each of METHODS with method, q50, q80, q95."""
     usual, overall, seen = F.coalesce("level0", "level1", "level2"), F.col("level2"), F.col("seen_delay").cast("double")
-    moved = F.when(seen.isNotNull(), F.transform(usual, lambda q: seen + (q - usual[0]))).otherwise(usual)
-    named = F.array(*[F.struct(F.lit(m).alias("method"), q.alias("q")) for m, q in (("global", overall), ("train_station", usual), ("carry_forward", moved))])
-    out = found.withColumn("m", F.explode(named)).withColumn("method", F.col("m.method"))
-    return out.withColumns({c: F.col("m.q")[i] for i, c in enumerate(QCOLS)}).drop("m", "level0", "level1", "level2")
+    moved = [F.when(seen.isNotNull(), seen + (usual[i] - usual[0])).otherwise(usual[i]) for i in range(len(QCOLS))]
+    by_method = (("global", [overall[i] for i in range(len(QCOLS))]), ("train_station", [usual[i] for i in range(len(QCOLS))]), ("carry_forward", moved))
+    named = F.array(*[F.struct(F.lit(m).alias("method"), *[c.alias(n) for n, c in zip(QCOLS, q, strict=True)]) for m, q in by_method])
+    return found.withColumn("m", F.explode(named)).select(*[c for c in found.columns if not c.startswith("level")], "m.method", *[f"m.{c}" for c in QCOLS])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,14 @@ NOW = "2024-01-20 14:00:00"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df in the session's cache, filled now: what reads it is planned with its true size."""
-    df = df.persist()
-    df.count()
-    return df
+    """df written to the checkpoint folder: lineage and plan end there, so that what reads it several times stays small.
+
+    The folder is the one that spark.checkpoint.dir names, or one of our own where it is unset (tests).
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def at(time: str):
@@ -26,7 +32,6 @@ def at(time: str):
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stops relation, kept for the queries of a session; what does not fit in memory goes to disk."""
     return kept(from_events(spark, sf_dir))
 
 
@@ -46,7 +51,7 @@ def rows(stops: DataFrame) -> DataFrame:
 
 def predicted(stops: DataFrame, own: DataFrame) -> DataFrame:
     """rows with the quantiles of every method."""
-    arr, dep = (baselines.every_method(stops, own.filter(F.col("model") == m), m) for m in ("arr", "dep"))
+    arr, dep = (baselines.every_method(kept(baselines.level_quantiles(stops, own.filter(F.col("model") == m), m))) for m in ("arr", "dep"))
     return kept(arr.unionByName(dep))
 
 
