@@ -24,8 +24,8 @@ def query(f: Callable[[DataFrame], DataFrame]) -> Callable:
     return f
 
 
-def rounded(*names: str) -> list[Column]:
-    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in names]
+def rounded(*names: str, digits: int = 6) -> list[Column]:
+    return [F.round(F.col(c).cast("double"), digits).alias(c) for c in names]
 
 
 @query
@@ -220,17 +220,17 @@ SCORES = ("pinball_q50", "pinball_q80", "pinball_q95", "pinball", "mae", "covera
 
 @query
 def pinball_scores(stops):
-    return metrics.scores(_scored(stops), "model", "method").select("model", "method", "n", *rounded(*SCORES))
+    return metrics.scores(_scored(stops), "model", "method").select("model", "method", "n", *rounded(*SCORES, digits=9))
 
 
 @query
 def scores_by_group(stops):
-    return metrics.scores(_scored(stops), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES))
+    return metrics.scores(_scored(stops), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES, digits=9))
 
 
 @query
 def score_grouping_sets(stops):
-    return metrics.score_report(_scored(stops)).select("model", "method", "case", "group", "n", *rounded(*SCORES))
+    return metrics.score_report(_scored(stops)).select("model", "method", "case", "group", "n", *rounded(*SCORES, digits=9))
 
 
 @query

@@ -90,8 +90,8 @@ PREDICTED = (
 SCORED = r"""
     scored AS (SELECT *, greatest(0.5 * (delay - q[1]), -0.5 * (delay - q[1])) AS l50, greatest(0.8 * (delay - q[2]), (0.8 - 1) * (delay - q[2])) AS l80,
                       greatest(0.95 * (delay - q[3]), (0.95 - 1) * (delay - q[3])) AS l95 FROM pred WHERE delay IS NOT NULL AND q IS NOT NULL)"""
-SCORES = r"""count(*) AS n, round(avg(l50), 6) AS pinball_q50, round(avg(l80), 6) AS pinball_q80, round(avg(l95), 6) AS pinball_q95, round(avg((l50 + l80 + l95) / 3), 6) AS pinball,
-    round(avg(abs(delay - q[1])), 6) AS mae, round(avg(CAST(delay <= q[1] AS INT)), 6) AS coverage_q50, round(avg(CAST(delay <= q[2] AS INT)), 6) AS coverage_q80, round(avg(CAST(delay <= q[3] AS INT)), 6) AS coverage_q95"""
+SCORES = r"""count(*) AS n, round(avg(l50), 9) AS pinball_q50, round(avg(l80), 9) AS pinball_q80, round(avg(l95), 9) AS pinball_q95, round(avg((l50 + l80 + l95) / 3), 9) AS pinball,
+    round(avg(abs(delay - q[1])), 9) AS mae, round(avg(CAST(delay <= q[1] AS INT)), 9) AS coverage_q50, round(avg(CAST(delay <= q[2] AS INT)), 9) AS coverage_q80, round(avg(CAST(delay <= q[3] AS INT)), 9) AS coverage_q95"""
 
 TRANSFERS = r"""
     chg AS (SELECT m.method, a.request_id, a.route, a.leg, a.run_id, a.to_stop_num, b.run_id AS next_run, b.from_stop_num AS next_stop, date_sub('minute', a.arr, b.dep) - 2 AS room, pa1.q AS q, pb.q AS dq
