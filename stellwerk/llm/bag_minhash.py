@@ -12,10 +12,12 @@ Documents whose words are the same form one class at once and only the row with
 Classes whose signatures agree on all rows of a band are candidates. All pairs of a small bucket are
 compared. In a large bucket no pairs are made: all members are compared with its hub, the member that
 shares most buckets with others (the text from which a family of copies was made, or the one next to
-it); then, in rounds, all members of other components are compared with the hub of those that the first
-hub did not reach. Links are joined into components. Every comparison is exact: the overlap of the
-shingle multisets of whole texts. Two near texts that share only large buckets, with their hubs near
-neither of them, can stay apart; near texts that share an edit also share small buckets.
+it). Links are joined into components, and rounds follow: in each bucket that still holds several
+components, members outside the largest one become hubs (one, then 8, then 64, and so on) and are
+compared with all members, in blocks of bounded size of which each text is shingled once. A hub has then
+met the whole bucket and leaves it; the rounds end when no bucket holds two components, so no link within
+a bucket is lost. Of the near pairs of a block only those that join components are written. Every
+comparison is exact: the overlap of the shingle multisets of whole texts.
 
 Defined results: null text counts as empty; texts without a word are one class and near nothing else;
 a text of one to four words is one shingle; rows with a null id are classed by their text but never
@@ -37,8 +39,10 @@ from stellwerk.llm.components import components
 from stellwerk.llm.textarrays import U, Bytes, mixed, shingles, slices
 
 BANDS, ROWS, WIDTH, THRESHOLD = 28, 5, 5, 0.8
-#: Buckets of at most so many classes are compared in pairs; larger ones with hubs, and so many rounds of further hubs.
-SMALL, HUB_ROUNDS = 24, 3
+#: Buckets of at most so many classes are compared in pairs; larger ones with hubs, each round with so many times more.
+SMALL, HUBS_GROW = 24, 8
+#: Mean sizes of the blocks in which hubs and members are compared.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 1 << 21
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -182,33 +186,80 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     other = small.select(F.col("bucket").alias("o_bucket"), F.col("id").alias("o_id"))
     within = small.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("id") < F.col("o_id"))).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
     rank = members.groupBy(F.col("id").alias("r_id")).agg(F.sum("n").alias("rank"))
-    large = stored(members.filter(F.col("n") > SMALL).join(rank, F.col("id") == F.col("r_id")).select("bucket", "id", "rank"), "large-buckets")
-    tested = stored(within.unionByName(_hub_pairs(large.withColumn("component", F.col("id")))).distinct(), "tested")
-    found = components(_linked(tested, texts, width, threshold))
-    for _ in range(HUB_ROUNDS):
-        placed = large.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component"))
-        placed = stored(placed, "placed")
-        first = placed.groupBy(F.col("bucket").alias("f_bucket")).agg(F.max_by("component", F.struct("rank", "id")).alias("first"))
-        rest = placed.join(first, (F.col("bucket") == F.col("f_bucket")) & (F.col("component") != F.col("first"))).drop("f_bucket", "first")
-        # the hub of those that are not yet in the first hub's component, against all others
-        hubs = rest.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id", "component")).alias("h"))
-        pairs = placed.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("component") != F.col("h.component")))
-        new = pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-        new = stored(new.join(tested.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "untested")
-        if new.isEmpty():
-            break
-        links = _linked(new, texts, width, threshold)
-        tested = tested.unionByName(new)
+    left = stored(members.filter(F.col("n") > SMALL).join(rank, F.col("id") == F.col("r_id")).select("bucket", "id", "rank"), "large-buckets")
+    first = left.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id"))["id"].alias("h_id"))
+    with_first = left.join(first, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h_id"))).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
+    found = components(_linked(stored(within.unionByName(with_first).distinct(), "tested"), texts, width, threshold))
+    left, hubs_each = _without(left, first), 1
+    while True:
+        left = stored(_open(left, found), "open")
+        if left.isEmpty():
+            return found
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
+        hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component"), "hubs")
+        links = _hub_links(hubs, left.select("bucket", "id", "component"), texts, width, threshold)
         if not links.isEmpty():
             found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    return found
-
-
-def _hub_pairs(placed: DataFrame) -> DataFrame:
-    """Each member of a bucket with the one that shares most buckets with others."""
-    hubs = placed.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id")).alias("h"))
-    pairs = placed.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h.id")))
-    return pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
+        left, hubs_each = _without(left.select("bucket", "id", "rank"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id"))), HUBS_GROW * hubs_each
+
+
+def _hub_links(hubs: DataFrame, members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of the hubs and of the members of their buckets, compared block by block."""
+    sides = []
+    for name, rows in (("h", hubs), ("m", members)):
+        rows = rows.join(texts.select(F.col("id").alias("t_id"), "norm"), F.col("id") == F.col("t_id")).drop("t_id")
+        sizes = rows.groupBy(F.col("bucket").alias(f"{name}_bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("size"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias(f"{name}_blocks")
+        sides.append((rows, stored(sizes.select(f"{name}_bucket", blocks), "blocks")))
+    (h_rows, h_blocks), (m_rows, m_blocks) = sides
+    blocks = h_blocks.join(m_blocks, F.col("h_bucket") == F.col("m_bucket")).drop("m_bucket")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    both = h_rows.join(blocks, F.col("bucket") == F.col("h_bucket")).select("bucket", own("h_blocks").alias("h"), numbers("m_blocks").alias("m"), "id", "component", "norm", F.lit(True).alias("hub"))
+    both = both.unionByName(m_rows.join(blocks, F.col("bucket") == F.col("h_bucket")).select("bucket", numbers("h_blocks").alias("h"), own("m_blocks").alias("m"), "id", "component", "norm", F.lit(False).alias("hub")))
+    return stored(both.groupBy("bucket", "h", "m").applyInArrow(lambda t: _block_links(t, width, threshold), "a long, b long").distinct(), "links")
+
+
+def _block_links(block: pa.Table, width: int, threshold: float) -> pa.Table:
+    """Of the near pairs of a hub and a member of one block, as many as join their components (a spanning forest)."""
+    hub = block["hub"].to_numpy()
+    ids = block["id"].to_numpy()
+    _, group = np.unique(block["component"].to_numpy(), return_inverse=True)
+    out: list[tuple[int, int]] = []
+    if hub.any() and not hub.all():
+        text = Bytes(block["norm"].combine_chunks())
+        doc, key, count = shingles(text, width)
+        _, code = np.unique(key, return_inverse=True)
+        total = np.bincount(doc, weights=count, minlength=text.docs)
+        start = np.searchsorted(doc, np.arange(text.docs + 1))
+        of_member = ~hub[doc]
+        m_doc, m_code, m_count = doc[of_member], code[of_member], count[of_member]
+        weight = np.zeros(int(code.max()) + 1 if len(code) else 0, dtype=count.dtype)
+        for h in np.flatnonzero(hub):
+            span = slice(start[h], start[h + 1])
+            weight[code[span]] = count[span]
+            shared = np.bincount(m_doc, weights=np.minimum(m_count, weight[m_code]), minlength=text.docs)
+            weight[code[span]] = 0
+            near = ~hub & (shared >= (threshold - 1e-12) * (total + total[h] - shared)) & (shared > 0)
+            for m in np.flatnonzero(near & (group != group[h])):
+                if group[m] != group[h]:
+                    out.append((min(ids[h], ids[m]), max(ids[h], ids[m])))
+                    group[group == group[m]] = group[h]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _without(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The members that are not yet compared with all others of their bucket."""
+    return members.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") == F.col("h_id")), "left_anti")
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their component, of the buckets in which two components or more are left, and main, the bucket's largest."""
+    placed = stored(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component")), "placed")
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy(F.col("bucket").alias("m_bucket")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    return placed.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "component", "main")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -84,6 +84,42 @@ def test_near_duplicates_match_brute_force(docs):
     assert found == {i: root(i) for i in ids}
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """A family whose members are often near each other but not near its hub: whole buckets must be compared."""
+    rng = np.random.default_rng(7)
+    base = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(texts[rng.integers(len(texts))]) if i % 3 == 2 else list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(words)
+    own = [shingles(" ".join(w)) for w in texts]
+    parent = list(range(len(own)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(own)):
+        for b in range(a + 1, len(own)):
+            if root(a) != root(b) and jaccard(own[a], own[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.cluster_id for r in bag_minhash.near_duplicates(rows).collect()}
+    assert len(set(found.values())) > 10 and found == {i: root(i) for i in range(len(own))}
+
+
+def test_block_links_span_all_components():
+    words = [" ".join(BASE), " ".join(NEAR), " ".join(f"other{i}" for i in range(60)), " ".join([*BASE[:50], *"abcdefghij"]), None]
+    block = pa.table({"id": pa.array([4, 2, 9, 7, 11]), "component": pa.array([4, 2, 9, 7, 11]), "hub": [True, False, False, False, False], "norm": words})
+    assert bag_minhash._block_links(block, 5, 0.8).to_pylist() == [{"a": 2, "b": 4}]
+    assert bag_minhash._block_links(block, 5, 0.5).to_pylist() == [{"a": 2, "b": 4}, {"a": 4, "b": 7}]
+    assert bag_minhash._block_links(block.slice(1), 5, 0.5).num_rows == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = {r.doc_id: r.cluster_id for r in bag_minhash.near_duplicates(odd).collect()}
     assert jaccard(shingles(ODD[5][1]), shingles(ODD[6][1])) >= 0.8
