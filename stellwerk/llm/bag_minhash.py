@@ -172,7 +172,7 @@ def near_duplicates(
         source.select(F.col("doc_id").alias("id"), "hash", "norm")
         .join(reps.select(F.col("rep_id").alias("w_id"), F.col("hash").alias("w_hash")).join(wanted, F.col("w_id") == F.col("id"), "left_semi"),
               (F.col("id") == F.col("w_id")) & (F.col("hash") == F.col("w_hash")))
-        .groupBy("id").agg(F.first("norm").alias("norm")),
+        .groupBy("id").agg(F.first("norm").alias("norm")).withColumn("size", F.octet_length("norm").cast("long")),
         "texts",
     )
     found = _classes(members, texts, width, threshold)
@@ -185,8 +185,8 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     small = members.filter(F.col("n") <= SMALL)
     other = small.select(F.col("bucket").alias("o_bucket"), F.col("id").alias("o_id"))
     within = small.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("id") < F.col("o_id"))).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-    rank = members.groupBy(F.col("id").alias("r_id")).agg(F.sum("n").alias("rank"))
-    left = stored(members.filter(F.col("n") > SMALL).join(rank, F.col("id") == F.col("r_id")).select("bucket", "id", "rank"), "large-buckets")
+    rank = members.groupBy(F.col("id").alias("r_id")).agg(F.sum("n").alias("rank")).join(texts.select(F.col("id").alias("s_id"), "size"), F.col("r_id") == F.col("s_id"))
+    left = stored(members.filter(F.col("n") > SMALL).join(rank, F.col("id") == F.col("r_id")).select("bucket", "id", "rank", "size"), "large-buckets")
     first = left.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id"))["id"].alias("h_id"))
     with_first = left.join(first, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h_id"))).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
     found = components(_linked(stored(within.unionByName(with_first).distinct(), "tested"), texts, width, threshold))
@@ -196,20 +196,20 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
         if left.isEmpty():
             return found
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
-        hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component"), "hubs")
-        links = _hub_links(hubs, left.select("bucket", "id", "component"), texts, width, threshold)
+        hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component", "size"), "hubs")
+        links = _hub_links(hubs, left.select("bucket", "id", "component", "size"), texts, width, threshold)
         if not links.isEmpty():
             found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        left, hubs_each = _without(left.select("bucket", "id", "rank"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id"))), HUBS_GROW * hubs_each
+        left, hubs_each = _without(left.select("bucket", "id", "rank", "size"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id"))), HUBS_GROW * hubs_each
 
 
 def _hub_links(hubs: DataFrame, members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (a, b) that join the components of the hubs and of the members of their buckets, compared block by block."""
     sides = []
     for name, rows in (("h", hubs), ("m", members)):
-        rows = rows.join(texts.select(F.col("id").alias("t_id"), "norm"), F.col("id") == F.col("t_id")).drop("t_id")
-        sizes = rows.groupBy(F.col("bucket").alias(f"{name}_bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("size"))
+        sizes = rows.groupBy(F.col("bucket").alias(f"{name}_bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias(f"{name}_blocks")
+        rows = rows.drop("size").join(texts.select(F.col("id").alias("t_id"), "norm"), F.col("id") == F.col("t_id"))
         sides.append((rows, stored(sizes.select(f"{name}_bucket", blocks), "blocks")))
     (h_rows, h_blocks), (m_rows, m_blocks) = sides
     blocks = h_blocks.join(m_blocks, F.col("h_bucket") == F.col("m_bucket")).drop("m_bucket")
@@ -256,10 +256,10 @@ def _without(members: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members, with their component, of the buckets in which two components or more are left, and main, the bucket's largest."""
-    placed = stored(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component")), "placed")
+    placed = stored(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", F.coalesce("component", "id").alias("component")), "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy(F.col("bucket").alias("m_bucket")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    return placed.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "component", "main")
+    return placed.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "size", "component", "main")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
