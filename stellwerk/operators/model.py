@@ -38,7 +38,8 @@ def predict(context: DataFrame, query: DataFrame, model: str, quantiles=QUANTILE
     names = [f"q{round(100 * q)}" for q in quantiles]
     base = F.coalesce(F.col("last_known_delay"), F.lit(0)).cast("double")
     usable = context.filter(F.col(f"{model}_delay").isNotNull() & ~F.coalesce(F.col(f"{model}_canceled"), F.lit(False)))
-    rows = usable.select("request_id", "train_type", (F.col(f"{model}_delay") - base).alias("change"))
+    #: New names of the columns, as both sides may come from the same rows.
+    rows = usable.select(F.col("request_id").alias("request_id"), F.col("train_type").alias("train_type"), (F.col(f"{model}_delay") - base).alias("change"))
     asked = query.select(*KEY, "train_type", base.alias("base"), F.col(f"planned_{model}").isNotNull().alias("exists"))
 
     def fit(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

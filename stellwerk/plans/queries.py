@@ -301,22 +301,23 @@ def journeys(stops):
 
 
 def _query_rows(stops):
-    """Rows of one day as requests, one for each train type and four-hour slot."""
-    day = r.at("2024-01-20")
+    """Rows of every day as requests, one for each run day, train type and four-hour slot."""
+    day = F.col("run_day")
     slot = F.floor(F.col("arr_hour") / 4).cast("int")
-    rows = stops.filter((F.col("run_day") == day) & F.col("planned_arr").isNotNull())
-    return rows.withColumns({"request_id": F.concat_ws("-", "train_type", slot.cast("string")), "now": F.timestamp_add("HOUR", slot * 4, day)})
+    rows = stops.filter(F.col("planned_arr").isNotNull())
+    name = F.concat_ws("-", F.date_format(day, "yyyy-MM-dd"), "train_type", slot.cast("string"))
+    return rows.withColumns({"request_id": name, "now": F.timestamp_add("HOUR", slot * 4, day)})
 
 
 @query
 def context_rows(stops):
-    found = context.build_context(stops, _query_rows(stops), size=200)
+    found = context.build_context(stops, _query_rows(stops))
     return found.select("request_id", "run_id", "stop_num", "grp", "prio")
 
 
 @query
 def predict_arrivals(stops):
-    return model.predict_arrivals(stops, _query_rows(stops), size=200).select("request_id", "run_id", "stop_num", *QCOLS)
+    return model.predict_arrivals(stops, _query_rows(stops)).select("request_id", "run_id", "stop_num", *QCOLS)
 
 
 @query
@@ -326,7 +327,7 @@ def stratified_runs(stops):
 
 @query
 def capped_training_rows(stops):
-    found = sampling.capped_training_rows(stops, "arr", cap=2_000)
+    found = sampling.capped_training_rows(stops, "arr")
     return found.select("run_id", "stop_num", "train_type", "arr_delay", "last_known_delay", "minutes_since_known", "stops_since_known")
 
 
