@@ -20,8 +20,10 @@ a bucket is lost. Of the near pairs of a block only those that join components a
 comparison is exact: the overlap of the shingle multisets of whole texts.
 
 Defined results: null text counts as empty; texts without a word are one class and near nothing else;
-a text of one to four words is one shingle; rows with a null id are classed by their text but never
-stand for a class unless it has no other id; rows that repeat id and text are the same document;
+a text of one to four words is one shingle; texts are told apart by their hash, never by their id:
+rows with a null id are compared like all others but stand for a class only if it has no other id, and
+of equal ids on texts of one class the one with the least hash stays; rows that repeat id and text are
+the same document;
 empty tables give empty results; extra columns are never read.
 """
 
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import one_space, stored, text_of
@@ -147,6 +149,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     return stored(found.mapInArrow(lambda it: _verify(it, width, threshold), "a long, b long"), "links")
 
 
+def node_of(text_hash: Column) -> Column:
+    """A text as a node of the graph: 64 bits made from its 128-bit hash; two of n texts share one with a chance of about n**2 / 2**65."""
+    return F.xxhash64(text_hash)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -156,28 +163,38 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """doc_id, hash (of the words), rep_id (least id with the same words), cluster_id (least id of the class) for each row."""
+    """doc_id, hash (of the words), rep_id (least id with the same words), cluster_id (least id of the class), kept for each row.
+
+    kept: whether the row has the words and the id by which its class stays.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.trim(one_space(text_of(text_col))).alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
     signed = stored(
         source.select("doc_id", "hash", "norm").mapInArrow(lambda it: _band_keys(it, width, bands, rows), "doc_id long, hash binary, bands array<long>"),
         "signatures",
     )
-    reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands")).withColumn("id", node_of(F.col("hash")))
     reps = stored(reps, "classes")
-    spread = reps.filter("rep_id is not null").select(F.col("rep_id").alias("id"), F.explode("bands").alias("bucket"))
+    spread = reps.select("id", F.explode("bands").alias("bucket"))
     full = spread.groupBy(F.col("bucket").alias("f_bucket")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(spread.join(full, F.col("bucket") == F.col("f_bucket")).select("bucket", "id", "n"), "buckets")
-    wanted = members.select("id").distinct()
+    wanted = members.select(F.col("id").alias("m_id")).distinct()
+    #: One row of each wanted text: those with its least id, of which one is taken.
     texts = stored(
-        source.select(F.col("doc_id").alias("id"), "hash", "norm")
-        .join(reps.select(F.col("rep_id").alias("w_id"), F.col("hash").alias("w_hash")).join(wanted, F.col("w_id") == F.col("id"), "left_semi"),
-              (F.col("id") == F.col("w_id")) & (F.col("hash") == F.col("w_hash")))
+        source.select("doc_id", "hash", "norm")
+        .join(reps.join(wanted, F.col("id") == F.col("m_id"), "left_semi").select("id", F.col("rep_id").alias("w_id"), F.col("hash").alias("w_hash")),
+              (F.col("hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
         .groupBy("id").agg(F.first("norm").alias("norm")).withColumn("size", F.octet_length("norm").cast("long")),
         "texts",
     )
     found = _classes(members, texts, width, threshold)
-    labels = reps.select(F.col("hash").alias("c_hash"), "rep_id").join(found, F.col("rep_id") == F.col("node"), "left").select("c_hash", "rep_id", F.coalesce("component", "rep_id").alias("cluster_id"))
-    return signed.select("doc_id", "hash").join(labels, F.col("hash") == F.col("c_hash")).select("doc_id", "hash", "rep_id", "cluster_id")
+    placed = stored(reps.select("hash", "rep_id", "id").join(found, F.col("id") == F.col("node")).select("hash", "rep_id", "component"), "placed")
+    first = placed.groupBy(F.col("component").alias("f_component")).agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "hash")).alias("f"))
+    placed = placed.join(first, F.col("component") == F.col("f_component")).select(F.col("hash").alias("p_hash"), F.col("f.rep_id").alias("least"), F.col("f.hash").alias("stays"))
+    labels = reps.select(F.col("hash").alias("c_hash"), "rep_id").join(placed, F.col("c_hash") == F.col("p_hash"), "left")
+    linked = F.col("p_hash").isNotNull()
+    labels = labels.select("c_hash", "rep_id", F.when(linked, F.col("least")).otherwise(F.col("rep_id")).alias("cluster_id"), (~linked | (F.col("stays") == F.col("c_hash"))).alias("first"))
+    kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    return signed.select("doc_id", "hash").join(labels, F.col("hash") == F.col("c_hash")).select("doc_id", "hash", "rep_id", "cluster_id", kept.alias("kept"))
 
 
 def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -264,7 +281,7 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with the least id of each class, with all their columns; of repeated rows, one."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("cluster_id"))).select(F.col("doc_id").alias("__keep"), F.col("hash").alias("__keep_hash")).distinct()
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("hash").alias("__keep_hash")).distinct()
     rows = docs.withColumn("__hash", F.unhex(F.md5(F.trim(one_space(text_of(text_col))))))
     rows = rows.join(kept, (F.col("__hash") == F.col("__keep_hash")) & F.col(id_col).eqNullSafe(F.col("__keep")))
     nth = F.row_number().over(Window.partitionBy("__hash", "__keep").orderBy(F.lit(1)))

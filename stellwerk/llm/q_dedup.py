@@ -16,7 +16,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the least id with the same words, the least id of its class, whether it stays."""
     found = bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "rep_id", "cluster_id", F.col("doc_id").eqNullSafe(F.col("cluster_id")).alias("kept"))
+    return found.select("doc_id", "rep_id", "cluster_id", "kept")
 
 
 QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_minhash_near_dedup": op3_minhash_near_dedup}
