@@ -273,6 +273,13 @@ def group_weights(stops):
     return sampling.group_weights(runs, drawn).select("group", "n_all", "n_drawn", *rounded("share"), F.round(F.col("weight"), 9).alias("weight"))
 
 
+@query
+def sample_weights(stops):
+    """Weights of the library's own sample of runs."""
+    runs = sampling.week_runs(stops)
+    return sampling.group_weights(runs, sampling.stratified_runs(runs)).select("group", "n_all", "n_drawn", "share", "weight")
+
+
 @query
 def display_labels(stops):
     p = (F.col("stop_num") * 7 % 101) / 100.0

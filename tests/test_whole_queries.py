@@ -33,3 +33,14 @@ def test_contexts_are_not_cut(spark):
     sizes = {r.request_id: r["count"] for r in queries.context_rows(stops).groupBy("request_id").count().collect()}
     assert {k[:10] for k in sizes} == {f"2024-01-{d:02d}" for d in range(1, 9)}
     assert max(sizes.values()) > 200
+
+
+def test_weights_of_the_sample(spark):
+    stops = stops_of(spark, "sf0.001")
+    runs = {r.run_id: r for r in queries.sampling.week_runs(stops).withColumn("h", queries.sampling.hash_order(0, "run_id")).collect()}
+    total, found = sum(r.n_rows for r in runs.values()), {r.group: r for r in queries.sample_weights(stops).collect()}
+    assert set(found) == {r.group for r in runs.values()}
+    for group, r in found.items():
+        own = sorted((x for x in runs.values() if x.group == group), key=lambda x: (x.h, x.run_id))
+        n_all, n_drawn = sum(x.n_rows for x in own), sum(x.n_rows for x in own[:60])
+        assert (r.n_all, r.n_drawn) == (n_all, n_drawn) and abs(r.weight - n_all / total / n_drawn) < 1e-12
