@@ -12,7 +12,8 @@ of that last range are sorted. What comes out is one cut-off key for each source
 it in a join with one row per source.
 
 Defined results: null text counts as empty and null source is a source of its own, the last one;
-rows that share an id share its key and are taken alike (rows without an id, too); texts without
+rows that share an id share its draw (rows without an id, too), and those of equal keys are taken in
+the order of a hash of the text, equal texts by count, so that the sample can end between them; texts without
 words are in every sample and add nothing; a source without words has target 0; empty tables give
 empty results; extra columns are carried through `mix` and never read.
 """
@@ -69,9 +70,9 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def cutoffs(rows: DataFrame, goals: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """For each source: size, target, epochs, and the greatest (key, id) of the sample (null if it is empty).
+    """For each source: size, target, epochs, the greatest (key, id, tie, size) of the sample (null if it is empty), and how many of its `tied` rows are taken.
 
-    rows: source, id, size, key.
+    rows: source, id, size, key, tie.
     """
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -89,29 +90,64 @@ def cutoffs(rows: DataFrame, goals: DataFrame, ranges: int = RANGES) -> DataFram
         cut = stored(cut.drop("cut", "before").join(found, F.col("source").eqNullSafe(F.col("f_source"))).drop("f_source").withColumnRenamed("start", "before"), f"cut-{level}")
         left = left.drop("c_source", "c_before", "c_budget", "c_cut")
     last = left.join(small_or_shuffled(cut.select(F.col("source").alias("c_source"), "before", "budget", F.col("cut").alias("c_cut")), MOST_SOURCES), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("subrange") == F.col("c_cut")))
-    up = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(up), F.lit(0)))
-    taken = last.groupBy(F.col("source").alias("t_source")).agg(
-        F.max(F.when(F.col("start") + F.col("size") / 2 <= F.col("budget"), F.struct("key", "id"))).alias("cut"), F.min(F.struct("key", "id")).alias("first")
-    )
+    step, whole = F.struct("key", "id"), F.struct("key", "id", "tie", "size")
+    last = stored(last.select("source", "before", "budget", "key", "id", "tie", "size"), "last-range")
+    cut = _reached(last, "step", step)
+    left = _at(last, cut, "step", step)
+    for level, place in (("tie_range", F.shiftright("tie", 53)), ("tie_subrange", F.shiftright("tie", 43))):
+        cut = _reached(left, level, place)
+        left = _at(left, cut, level, place)
+    tied = left.groupBy("source", "before", "budget", whole.alias("at")).agg(F.count(F.lit(1)).alias("tied"))
+    size, budget = F.col("at.size"), F.col("budget")
+    up = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumn("start", F.col("before") + F.coalesce(F.sum(size * F.col("tied")).over(up), F.lit(0)))
+    guess = F.floor((budget - F.col("start")) / size + 0.5)
+    fits = lambda n: F.col("start") + n * size + size / 2 <= budget
+    exact = F.when(fits(guess), guess + 1).when(fits(guess - 1), guess).otherwise(guess - 1)
+    room = F.when(size == 0, F.when(F.col("start") <= budget, F.col("tied")).otherwise(0)).otherwise(exact)
+    tied = tied.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("tied"), room)).cast("long"))
+    ends = tied.groupBy(F.col("source").alias("t_source")).agg(F.max(F.when(F.col("taken") > 0, F.struct("at", "taken", "tied"))).alias("last"), F.min("at").alias("first"))
     #: Where none of the last range is taken, the sample ends before the first of it.
-    return goals.select("source", "source_size", "target", "epochs").join(taken, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
-        "source", "source_size", "target", "epochs", F.coalesce("cut", "first").alias("cut"), F.col("cut").isNotNull().alias("within")
+    return goals.select("source", "source_size", "target", "epochs").join(ends, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
+        "source", "source_size", "target", "epochs", F.coalesce("last.at", "first").alias("cut"), F.col("last").isNotNull().alias("within"), "last.taken", "last.tied"
     )
 
 
+def _reached(rows: DataFrame, name: str, place: Column) -> DataFrame:
+    """c_source, c_place, c_before: the last place of each source that begins within the budget, and the words before it."""
+    sums = rows.groupBy("source", "before", "budget", place.alias(name)).agg(F.sum("size").alias("n"))
+    up = Window.partitionBy("source").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(up), F.lit(0))).filter("start <= budget")
+    found = sums.groupBy(F.col("source").alias("c_source")).agg(F.max(name).alias("c_place"), F.max_by("start", name).alias("c_before"))
+    return stored(found, f"cut-{name}")
+
+
+def _at(rows: DataFrame, cut: DataFrame, name: str, place: Column) -> DataFrame:
+    """The rows of that place."""
+    here = rows.withColumn("place", place).join(small_or_shuffled(cut, MOST_SOURCES), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("place") == F.col("c_place")))
+    return here.withColumn("before", F.col("c_before")).drop("place", "c_source", "c_place", "c_before")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, weight=quality) -> DataFrame:
     """docs with __size, __source_size, __target and __copies: how often the mix takes each row."""
     text = text_of(text_col)
-    whole = docs.withColumns({"__size": words(text), "__key": sampling_key(F.col(id_col), weight(text), seed), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
-    rows = stored(whole.select(F.col(source_col).cast("string").alias("source"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__key").alias("key")), "sizes")
+    whole = docs.withColumns({"__size": words(text), "__key": sampling_key(F.col(id_col), weight(text), seed), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__tie": F.shiftrightunsigned(F.xxhash64(text), 1)})
+    rows = stored(whole.select(F.col(source_col).cast("string").alias("source"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie")), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     ends = stored(cutoffs(rows, goals), "cutoffs")
     ends = ends.select(*[F.col(c).alias(f"__{c}") for c in ends.columns])
     joined = whole.join(small_or_shuffled(ends, MOST_SOURCES), F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    own = F.struct(F.col("__key").alias("key"), F.col("__id").alias("id"))
+    own = F.struct(*[F.col(f"__{c}").alias(c) for c in ("key", "id", "tie", "size")])
     chosen = F.coalesce(F.when(F.col("__within"), own <= F.col("__cut")).otherwise(own < F.col("__cut")), F.lit(False))
-    return joined.withColumn("__copies", F.col("__epochs") + chosen.cast("long"))
+    if not ends.filter("__taken < __tied").isEmpty():
+        #: Only rows of one id and text that the cut-off splits are counted; the sample takes the first of them.
+        split = F.coalesce((own == F.col("__cut")) & (F.col("__taken") < F.col("__tied")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("__source").orderBy(F.lit(1)))
+        counted = joined.filter(split).withColumn("__chosen", nth <= F.col("__taken"))
+        joined = joined.filter(~split).withColumn("__chosen", chosen).unionByName(counted)
+    else:
+        joined = joined.withColumn("__chosen", chosen)
+    return joined.withColumn("__copies", F.col("__epochs") + F.col("__chosen").cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
