@@ -24,6 +24,13 @@ def query(f: Callable[[DataFrame], DataFrame]) -> Callable:
     return f
 
 
+def dated(f: Callable) -> Callable:
+    """Registers a query over legs of the later days, as its SQL has it, and over those of every day (NAME_every_day, without SQL)."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), r.FROM_DAY)
+    QUERIES[f"{f.__name__}_every_day"] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), None)
+    return f
+
+
 def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [F.round(F.col(c).cast("double"), digits).alias(c) for c in names]
 
@@ -95,9 +102,9 @@ def last_known_now(stops):
     return _last_known(stops, "arr", False)
 
 
-@query
-def last_seen(stops):
-    return r.rows(stops).select("request_id", "run_id", "stop_num", "model", F.col("seen_delay").cast("long").alias("seen_delay"), "minutes_ahead", "case", "group")
+@dated
+def last_seen(stops, since):
+    return r.rows(stops, since).select("request_id", "run_id", "stop_num", "model", F.col("seen_delay").cast("long").alias("seen_delay"), "minutes_ahead", "case", "group")
 
 
 @query
@@ -154,103 +161,103 @@ def baseline_carry_forward(stops):
     return _baseline(stops, "carry_forward")
 
 
-@query
-def two_leg_journeys(stops):
-    return r.legs(stops).select("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
+@dated
+def two_leg_journeys(stops, since):
+    return r.legs(stops, since).select("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
 
 
-@query
-def route_stops_array(stops):
-    found = routing.route_stops(r.legs(stops), stops)
+@dated
+def route_stops_array(stops, since):
+    found = routing.route_stops(r.legs(stops, since), stops)
     return found.select("request_id", "route", "leg", F.array_join("stops", " ").alias("stops"), F.size("stops").cast("long").alias("n"))
 
 
-@query
-def replayed_transfers(stops):
-    return routing.replayed(r.legs(stops), visibility.connections(stops))
+@dated
+def replayed_transfers(stops, since):
+    return routing.replayed(r.legs(stops, since), visibility.connections(stops))
 
 
-def _legs(stops, method="train_station"):
-    return r.legs_with_delays(stops, method)
+def _legs(stops, since, method="train_station"):
+    return r.legs_with_delays(stops, method, since)
 
 
-@query
-def transfer_probability(stops):
-    return risk.transfers(_legs(stops)).select("request_id", "route", "leg", "room", *rounded("wait", "p"), F.col("level").cast("int").alias("level"))
+@dated
+def transfer_probability(stops, since):
+    return risk.transfers(_legs(stops, since)).select("request_id", "route", "leg", "room", *rounded("wait", "p"), F.col("level").cast("int").alias("level"))
 
 
-@query
-def transfer_levels(stops):
-    return risk.transfers(_legs(stops)).groupBy(F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+@dated
+def transfer_levels(stops, since):
+    return risk.transfers(_legs(stops, since)).groupBy(F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-@query
-def routes_ranked(stops):
-    found = risk.routes(_legs(stops))
+@dated
+def routes_ranked(stops, since):
+    found = risk.routes(_legs(stops, since))
     return found.select("request_id", "route", "dep", "planned_arrival", *[f"arrival_{q}" for q in QCOLS], F.col("transfers").cast("long").alias("transfers"), "weakest", "rank")
 
 
-def _outcomes(stops):
-    frames = [risk.transfers(_legs(stops, m)).withColumn("method", F.lit(m)) for m in ("global", "train_station")]
+def _outcomes(stops, since):
+    frames = [risk.transfers(_legs(stops, since, m)).withColumn("method", F.lit(m)) for m in ("global", "train_station")]
     return risk.with_outcome(frames[0].unionByName(frames[1]), stops)
 
 
-@query
-def held_outcome(stops):
-    return risk.with_outcome(risk.transfers(_legs(stops, "global")), stops).select("request_id", "route", "leg", "canceled", "held")
+@dated
+def held_outcome(stops, since):
+    return risk.with_outcome(risk.transfers(_legs(stops, since, "global")), stops).select("request_id", "route", "leg", "canceled", "held")
 
 
-@query
-def brier_by_method(stops):
-    return metrics.brier(_outcomes(stops).filter("held is not null and not canceled and p is not null")).select("method", "n", *rounded("brier"))
+@dated
+def brier_by_method(stops, since):
+    return metrics.brier(_outcomes(stops, since).filter("held is not null and not canceled and p is not null")).select("method", "n", *rounded("brier"))
 
 
-@query
-def level_calibration(stops):
-    found = metrics.calibration(_outcomes(stops).filter("held is not null and not canceled and p is not null"))
+@dated
+def level_calibration(stops, since):
+    found = metrics.calibration(_outcomes(stops, since).filter("held is not null and not canceled and p is not null"))
     return found.select("method", F.col("level").cast("int").alias("level"), "n", *rounded("mean_p", "mean_held", "share"))
 
 
-def _scored(stops):
-    return metrics.scored_rows(r.predicted(stops, r.rows(stops)))
+def _scored(stops, since):
+    return metrics.scored_rows(r.predicted(stops, r.rows(stops, since)))
 
 
 SCORES = ("pinball_q50", "pinball_q80", "pinball_q95", "pinball", "mae", "coverage_q50", "coverage_q80", "coverage_q95")
 
 
-@query
-def pinball_scores(stops):
-    return metrics.scores(_scored(stops), "model", "method").select("model", "method", "n", *rounded(*SCORES, digits=9))
+@dated
+def pinball_scores(stops, since):
+    return metrics.scores(_scored(stops, since), "model", "method").select("model", "method", "n", *rounded(*SCORES, digits=9))
 
 
-@query
-def scores_by_group(stops):
-    return metrics.scores(_scored(stops), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES, digits=9))
+@dated
+def scores_by_group(stops, since):
+    return metrics.scores(_scored(stops, since), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES, digits=9))
 
 
-@query
-def score_grouping_sets(stops):
-    return metrics.score_report(_scored(stops)).select("model", "method", "case", "group", "n", *rounded(*SCORES, digits=9))
+@dated
+def score_grouping_sets(stops, since):
+    return metrics.score_report(_scored(stops, since)).select("model", "method", "case", "group", "n", *rounded(*SCORES, digits=9))
 
 
-@query
-def loss_pivot(stops):
+@dated
+def loss_pivot(stops, since):
     methods = ["global", "train_station", "carry_forward"]
-    found = metrics.loss_pivot(_scored(stops), methods, "request_id", "run_id", "stop_num", "model")
+    found = metrics.loss_pivot(_scored(stops, since), methods, "request_id", "run_id", "stop_num", "model")
     return found.select("request_id", "run_id", "stop_num", "model", *[F.round(F.col(m), 6).alias(f"loss_{m}") for m in methods])
 
 
-@query
-def shared_requests(stops):
+@dated
+def shared_requests(stops, since):
     """Requests that every method has scored, where one method skips every third station pair."""
-    scored = _scored(stops)
+    scored = _scored(stops, since)
     scored = scored.filter((F.col("method") != "global") | (F.length("request_id") + F.col("stop_num") != 20))
     return metrics.shared_keys(scored.select("request_id", "method")).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def case_buckets(stops):
-    rows = r.rows(stops)
+@dated
+def case_buckets(stops, since):
+    rows = r.rows(stops, since)
     return rows.groupBy("model", "case").agg(F.count(F.lit(1)).alias("n"), F.count("delay").alias("with_delay"))
 
 
@@ -292,6 +299,14 @@ def earliest_arrivals(stops):
     return _reach(stops, 2)
 
 
+@query
+def earliest_arrivals_every_day(stops):
+    """From every station on every day with the default boardings; too many for SQL."""
+    sources = stops.filter("planned_dep is not null").groupBy("run_day", F.col("station").alias("src")).agg(F.min("planned_dep").alias("depart"))
+    sources = sources.withColumn("request_id", F.concat_ws("-", F.date_format("run_day", "yyyy-MM-dd"), "src"))
+    return routing.earliest_arrivals(visibility.connections(stops), sources)
+
+
 def _reach(stops, boardings):
     conns = visibility.connections(stops)
     sources = stops.filter(F.col("run_day") >= r.at("2024-01-29")).groupBy("run_day").agg(F.min("planned_dep").alias("depart"))
@@ -340,5 +355,5 @@ def capped_training_rows(stops):
 
 @query
 def bootstrap_diff(stops):
-    losses = metrics.loss_pivot(_scored(stops), ["global", "train_station"], "request_id", "run_id", "stop_num", "model")
+    losses = metrics.loss_pivot(_scored(stops, None), ["global", "train_station"], "request_id", "run_id", "stop_num", "model")
     return metrics.bootstrap_difference(losses.filter("`global` is not null and train_station is not null"), "train_station", "global")

@@ -35,17 +35,18 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(from_events(spark, sf_dir))
 
 
-def legs(stops: DataFrame) -> DataFrame:
-    """Legs of direct hops and next-departure transfers of the later days."""
-    return kept(routing.two_leg_legs(visibility.connections(stops.filter(F.col("run_day") >= at(FROM_DAY)))))
+def legs(stops: DataFrame, since: str | None = FROM_DAY) -> DataFrame:
+    """Legs of direct hops and next-departure transfers of the days from `since`, or of every day."""
+    asked = stops.filter(F.col("run_day") >= at(since)) if since else stops
+    return kept(routing.two_leg_legs(visibility.connections(asked)))
 
 
 def requests(legs: DataFrame) -> DataFrame:
     return legs.groupBy("request_id").agg(F.min("dep").alias("depart"))
 
 
-def rows(stops: DataFrame) -> DataFrame:
-    own = legs(stops)
+def rows(stops: DataFrame, since: str | None = FROM_DAY) -> DataFrame:
+    own = legs(stops, since)
     return kept(request_rows(stops, requests(own), own))
 
 
@@ -55,9 +56,9 @@ def predicted(stops: DataFrame, own: DataFrame) -> DataFrame:
     return kept(arr.unionByName(dep))
 
 
-def legs_with_delays(stops: DataFrame, method: str) -> DataFrame:
+def legs_with_delays(stops: DataFrame, method: str, since: str | None = FROM_DAY) -> DataFrame:
     """legs with predicted arrival and departure delays."""
-    own = legs(stops)
-    pred = predicted(stops, rows(stops)).filter(F.col("method") == method).select("request_id", "run_id", "stop_num", "model", *QCOLS)
+    own = legs(stops, since)
+    pred = predicted(stops, rows(stops, since)).filter(F.col("method") == method).select("request_id", "run_id", "stop_num", "model", *QCOLS)
     found = risk.with_arrival_delays(own, pred.filter("model = 'arr'"))
     return kept(risk.with_departure_delays(found, pred.filter("model = 'dep'")))

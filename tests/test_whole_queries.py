@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stellwerk.operators import visibility
 from stellwerk.plans import queries, relations
 
 
@@ -44,3 +45,17 @@ def test_weights_of_the_sample(spark):
         own = sorted((x for x in runs.values() if x.group == group), key=lambda x: (x.h, x.run_id))
         n_all, n_drawn = sum(x.n_rows for x in own), sum(x.n_rows for x in own[:60])
         assert (r.n_all, r.n_drawn) == (n_all, n_drawn) and abs(r.weight - n_all / total / n_drawn) < 1e-12
+
+
+def test_legs_of_every_day(spark):
+    stops = stops_of(spark, "sf0.001")
+    days = {f"{r.run_day:%Y-%m-%d}" for r in visibility.connections(stops).collect()}
+    found = queries.two_leg_journeys(stops, None)
+    assert {r.request_id[-10:] for r in found.select("request_id").collect()} == days and len(days) == 30
+    later = found.filter(F.substring("request_id", -10, 10) >= relations.FROM_DAY)
+    assert sorted(later.collect()) == sorted(queries.two_leg_journeys(stops, relations.FROM_DAY).collect())
+
+
+def test_earliest_arrivals_of_every_day(spark):
+    found = {r.request_id for r in queries.earliest_arrivals_every_day(stops_of(spark, "sf0.001")).collect()}
+    assert len({x[:10] for x in found}) == 30 and len({x[11:] for x in found}) > 5
