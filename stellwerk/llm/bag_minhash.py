@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import one_space, stored, text_of
+from stellwerk.llm.common import TEXT_ROWS, first_of, hash_128, one_space, stored, text_of, unused
 from stellwerk.llm.components import components
 from stellwerk.llm.textarrays import U, Bytes, mixed, shingles, slices
 
@@ -44,7 +44,7 @@ BANDS, ROWS, WIDTH, THRESHOLD = 28, 5, 5, 0.8
 #: Buckets of at most so many classes are compared in pairs; larger ones with hubs, each round with so many times more.
 SMALL, HUBS_GROW = 24, 8
 #: Mean sizes of the blocks in which hubs and members are compared.
-BLOCK_TEXTS, BLOCK_BYTES = 512, 1 << 21
+BLOCK_TEXTS, BLOCK_BYTES = 512, 1 << 20
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def signatures(docs: int, doc: np.ndarray, key: np.ndarray, count: np.ndarray, p
 
 def _race(docs, owner, seed, width, has, limit, places):
     """The earliest point at each place, of all points up to each document's limit."""
-    best, points = np.full(docs * places, np.inf), []
+    best, name = np.full(docs * places, np.inf), np.zeros(docs * places, dtype=U)
     time, step = np.zeros(len(owner)), 0
     while len(owner):
         step += 1
@@ -95,18 +95,15 @@ def _race(docs, owner, seed, width, has, limit, places):
         hit = unit < has
         at = owner[hit] * places + (where[hit] & U(0xFFFFFFFF)).astype(np.int64) % places
         np.minimum.at(best, at, time[hit])
-        points.append((at, time[hit], h[hit]))
-    name = np.zeros(docs * places, dtype=U)
-    for at, t, h in points:
-        first = t == best[at]
-        name[at[first]] = h[first]
+        first = time[hit] == best[at]
+        name[at[first]] = h[hit][first]
     return best.reshape(docs, places), name.reshape(docs, places)
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("norm"))
-        for a, b in slices(column, 1 << 21):
+        for a, b in slices(column, BLOCK_BYTES):
             text = Bytes(column.slice(a, b - a))
             sig = signatures(text.docs, *shingles(text, width), bands * rows)
             keys = np.zeros((text.docs, bands), dtype=U)
@@ -136,7 +133,7 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, width: int = WIDTH) -> np.
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, left, right = batch.columns
-        for i, j in slices(right, 1 << 19):
+        for i, j in slices(right, BLOCK_BYTES, left):
             near = weighted_jaccard(left.slice(i, j - i), right.slice(i, j - i), width) >= threshold - 1e-12
             keep = pa.array(near)
             yield pa.RecordBatch.from_arrays([a.slice(i, j - i).filter(keep), b.slice(i, j - i).filter(keep)], names=["a", "b"])
@@ -146,7 +143,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     """Those of pairs (a, b) whose texts are near."""
     left, right = (texts.select(F.col("id").alias(f"{x}_id"), F.col("norm").alias(f"{x}_norm")) for x in "lr")
     found = pairs.join(right, F.col("b") == F.col("r_id")).join(left, F.col("a") == F.col("l_id")).select("a", "b", "l_norm", "r_norm")
-    return stored(found.mapInArrow(lambda it: _verify(it, width, threshold), "a long, b long"), "links")
+    return stored(found.mapInArrow(lambda it: _verify(it, width, threshold), "a long, b long"), "links", TEXT_ROWS)
 
 
 def node_of(text_hash: Column) -> Column:
@@ -167,10 +164,11 @@ def near_duplicates(
 
     kept: whether the row has the words and the id by which its class stays.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.trim(one_space(text_of(text_col))).alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.trim(one_space(text_of(text_col))).alias("norm")).withColumn("hash", hash_128(F.col("norm")))
     signed = stored(
         source.select("doc_id", "hash", "norm").mapInArrow(lambda it: _band_keys(it, width, bands, rows), "doc_id long, hash binary, bands array<long>"),
         "signatures",
+        TEXT_ROWS,
     )
     reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands")).withColumn("id", node_of(F.col("hash")))
     reps = stored(reps, "classes")
@@ -207,21 +205,32 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     first = left.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id"))["id"].alias("h_id"))
     with_first = left.join(first, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h_id"))).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
     found = components(_linked(stored(within.unionByName(with_first).distinct(), "tested"), texts, width, threshold))
-    left, hubs_each = _without(left, first), 1
-    while True:
-        left = stored(_open(left, found), "open")
-        if left.isEmpty():
-            return found
+    left = _without(left, first).join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", F.coalesce("component", "id").alias("component"))
+    joined, hubs_each = None, 1
+    while not (left := stored(_open(left), "open")).isEmpty():
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
         hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component", "size"), "hubs")
         links = _hub_links(hubs, left.select("bucket", "id", "component", "size"), texts, width, threshold)
-        if not links.isEmpty():
-            found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        left, hubs_each = _without(left.select("bucket", "id", "rank", "size"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id"))), HUBS_GROW * hubs_each
+        joined = links if joined is None else joined.unionByName(links)
+        left = _without(left.drop("main"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id")))
+        left = _relabelled(left, components(links))
+        hubs_each *= HUBS_GROW
+    if joined is None:
+        return found
+    #: The links of the rounds join components; the nodes are told once, at the end. A text without a link before is its own component.
+    merged = components(joined)
+    alone = merged.join(found.select(F.col("node").alias("f_node")), F.col("node") == F.col("f_node"), "left_anti")
+    return _relabelled(found, merged).unionByName(alone)
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with the components that theirs are now part of."""
+    by = merged.select(F.col("node").alias("g_node"), F.col("component").alias("g_component"))
+    return rows.join(by, F.col("component") == F.col("g_node"), "left").withColumn("component", F.coalesce("g_component", "component")).drop("g_node", "g_component")
 
 
 def _hub_links(hubs: DataFrame, members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (a, b) that join the components of the hubs and of the members of their buckets, compared block by block."""
+    """Pairs (a, b) of the components of the hubs and of the members of their buckets that near texts join, compared block by block."""
     sides = []
     for name, rows in (("h", hubs), ("m", members)):
         sizes = rows.groupBy(F.col("bucket").alias(f"{name}_bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
@@ -234,14 +243,14 @@ def _hub_links(hubs: DataFrame, members: DataFrame, texts: DataFrame, width: int
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     both = h_rows.join(blocks, F.col("bucket") == F.col("h_bucket")).select("bucket", own("h_blocks").alias("h"), numbers("m_blocks").alias("m"), "id", "component", "norm", F.lit(True).alias("hub"))
     both = both.unionByName(m_rows.join(blocks, F.col("bucket") == F.col("h_bucket")).select("bucket", numbers("h_blocks").alias("h"), own("m_blocks").alias("m"), "id", "component", "norm", F.lit(False).alias("hub")))
-    return stored(both.groupBy("bucket", "h", "m").applyInArrow(lambda t: _block_links(t, width, threshold), "a long, b long").distinct(), "links")
+    return stored(both.groupBy("bucket", "h", "m").applyInArrow(lambda t: _block_links(t, width, threshold), "a long, b long").distinct(), "links", TEXT_ROWS)
 
 
 def _block_links(block: pa.Table, width: int, threshold: float) -> pa.Table:
-    """Of the near pairs of a hub and a member of one block, as many as join their components (a spanning forest)."""
+    """The pairs of components that near pairs of a hub and a member of one block join, as many as it takes (a spanning forest)."""
     hub = block["hub"].to_numpy()
-    ids = block["id"].to_numpy()
-    _, group = np.unique(block["component"].to_numpy(), return_inverse=True)
+    names = block["component"].to_numpy()
+    _, group = np.unique(names, return_inverse=True)
     out: list[tuple[int, int]] = []
     if hub.any() and not hub.all():
         text = Bytes(block["norm"].combine_chunks())
@@ -260,7 +269,7 @@ def _block_links(block: pa.Table, width: int, threshold: float) -> pa.Table:
             near = ~hub & (shared >= (threshold - 1e-12) * (total + total[h] - shared)) & (shared > 0)
             for m in np.flatnonzero(near & (group != group[h])):
                 if group[m] != group[h]:
-                    out.append((min(ids[h], ids[m]), max(ids[h], ids[m])))
+                    out.append((min(names[h], names[m]), max(names[h], names[m])))
                     group[group == group[m]] = group[h]
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -271,19 +280,17 @@ def _without(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return members.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") == F.col("h_id")), "left_anti")
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members, with their component, of the buckets in which two components or more are left, and main, the bucket's largest."""
-    placed = stored(members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", F.coalesce("component", "id").alias("component")), "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+def _open(members: DataFrame) -> DataFrame:
+    """The members of the buckets in which two components or more are left, with main, the bucket's largest."""
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy(F.col("bucket").alias("m_bucket")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    return placed.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "size", "component", "main")
+    return members.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "size", "component", "main")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with the least id of each class, with all their columns; of repeated rows, one."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("hash").alias("__keep_hash")).distinct()
-    rows = docs.withColumn("__hash", F.unhex(F.md5(F.trim(one_space(text_of(text_col))))))
-    rows = rows.join(kept, (F.col("__hash") == F.col("__keep_hash")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    nth = F.row_number().over(Window.partitionBy("__hash", "__keep").orderBy(F.lit(1)))
-    return rows.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select("doc_id", "hash").distinct()
+    h, nth, k_id, k_hash = unused(docs, "h", "nth", "k_id", "k_hash")
+    rows = docs.withColumn(h, hash_128(F.trim(one_space(text_of(text_col)))))
+    rows = rows.join(kept.toDF(k_id, k_hash), (F.col(h) == F.col(k_hash)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(k_id)))
+    return first_of(rows, [h, k_id], docs.columns, nth)

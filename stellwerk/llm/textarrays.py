@@ -31,6 +31,7 @@ BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,19 +41,25 @@ LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=U)
+    """The first n powers modulo 2**64; those beyond KEPT_POWERS, for texts of that size, are not kept."""
+    kept = _powers.get(base)
+    if kept is None or len(kept) < n:
+        steps = np.full(max(n, KEPT_POWERS), base, dtype=U)
         steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
+        kept = np.multiply.accumulate(steps)
+        _powers[base] = kept[:KEPT_POWERS].copy() if len(kept) > KEPT_POWERS else kept
+    return kept[:n]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many bytes of text each; a longer text is a range of its own."""
-    sizes = np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+def slices(texts: pa.Array, most_bytes: int = 1 << 20, *others: pa.Array, most_docs: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each, and at most so many rows; a longer text is a range of its own.
+
+    others: more columns whose bytes count.
+    """
+    sizes = sum(np.nan_to_num(np.asarray(pc.binary_length(x).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64) for x in (texts, *others))
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and held + n > most_bytes:
+        if i > start and (held + n > most_bytes or i - start == most_docs):
             yield start, i
             start, held = i, 0
         held += int(n)
