@@ -9,39 +9,40 @@ Texts are equal when they are identical after every run of white space became on
 
 Defined results: null text counts as empty; a null id never stays before a real one, and stays
 only if its group has no other; rows that repeat both id and text are one document: their verdict
-is the same, and `deduplicate` returns one of them; an empty table gives an empty result; extra
+is the same, and `deduplicate` returns the first of them by all columns; an empty table gives an empty result; extra
 columns are carried through `deduplicate` and never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import one_space, stored, text_of
+from stellwerk.llm.common import first_of, hash_128, one_space, stored, text_of, unused
 
 
 def content_hash(text: Column) -> Column:
     """128 bits of the text."""
-    return F.unhex(F.md5(text))
+    return hash_128(text)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and hash for every row of docs."""
     norm = one_space(text_of(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("hash", hash_of(F.col("norm")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), norm.alias("norm")).withColumn("hash", hash_of(F.col("norm")))
     groups = rows.groupBy("hash").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    #: Both joins read the same columns dealt out by the hash alone, so whole texts are shuffled once; no id of a group is below its least.
+    #: The heads are dealt out again, few as they are, so that the join before may split a hot group.
+    head = (F.col("doc_id") <= F.col("g_id")) | F.col("g_id").isNull()
     stays = (
-        rows.join(groups.filter("n > 1").select(F.col("hash").alias("g_hash"), F.col("keep_id").alias("g_id")),
-                  (F.col("hash") == F.col("g_hash")) & F.col("doc_id").eqNullSafe(F.col("g_id")))
-        .groupBy(F.col("hash").alias("s_hash")).agg(F.min("norm").alias("stays"))
+        rows.join(groups.filter("n > 1").select(F.col("hash").alias("g_hash"), F.col("keep_id").alias("g_id")), (F.col("hash") == F.col("g_hash")) & head)
+        .select("hash", "norm").repartition("hash").groupBy(F.col("hash").alias("s_hash")).agg(F.min("norm").alias("stays"))
     )
     heads = groups.join(stays, groups["hash"] == stays["s_hash"], "left").select(F.col("hash").alias("h_hash"), "keep_id", "n", "stays")
     same = F.col("n").eqNullSafe(1) | (F.col("norm") == F.col("stays"))
     checked = stored(
-        rows.withColumn("text_sha256", F.sha2("norm", 256))
-        .join(heads, F.col("hash") == F.col("h_hash"))
-        .select("doc_id", "hash", "text_sha256", "keep_id", F.col("n").alias("group_size"), F.when(~same, F.col("norm")).alias("odd")),
+        rows.join(heads, F.col("hash") == F.col("h_hash"))
+        .select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", F.col("n").alias("group_size"), F.when(~same, F.col("norm")).alias("odd")),
         "exact-classes",
     )
     if not checked.filter(F.col("odd").isNotNull()).isEmpty():
@@ -65,9 +66,8 @@ def _split_collisions(checked: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = classes(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(one_space(text_of(text_col)), 256)
-    rows = docs.withColumn("__text", sha).join(kept, (F.col("__text") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    first = Window.partitionBy("__text", "__keep").orderBy(F.lit(1))
-    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text, the first by all columns."""
+    kept = classes(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256").distinct()
+    sha, nth, k_id, k_sha = unused(docs, "sha", "nth", "k_id", "k_sha")
+    rows = docs.withColumn(sha, F.sha2(one_space(text_of(text_col)), 256)).join(kept.toDF(k_id, k_sha), (F.col(sha) == F.col(k_sha)) & F.col(f"`{id_col}`").eqNullSafe(F.col(k_id)))
+    return first_of(rows, [sha, k_id], docs.columns, nth)
