@@ -6,8 +6,8 @@ hash of a proper prefix of a longer one is dropped (an anti-join against the pro
 conversations the one with the least id stays (an anti-join against the others' ids). What stays is
 maximal and is rendered as one text.
 
-The prefix hash after a turn is a sum of hashes of (place, role, text), so it needs a running sum in a
-conversation and nothing else. A conversation is one training text, so its turns meet in one row; groups
+The prefix hash after a turn is, twice with 64 bits, the exclusive or of the hashes of (place, role, text) of the turns so
+far: a running aggregate in a conversation. A conversation is one training text, so its turns meet in one row; groups
 of conversations that share a beginning never meet: they only count in aggregates and equi-joins.
 
 Defined results: turns are ordered by turn, then role and text; turns that repeat turn, role and text are
@@ -17,7 +17,7 @@ empty results; extra columns are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import stored
@@ -28,36 +28,31 @@ def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n"))), "")
 
 
-def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id and its turns in order, as an array of (turn, role, text)."""
-    rows = turns.filter(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(
-            F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-        ).alias("t"),
+def hashed_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, place (from 1), role, text, and a, b: the hash of the conversation up to this turn."""
+    role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
+    rows = turns.filter(F.col(f"`{conv_col}`").isNotNull()).select(
+        F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), role.alias("role"), text.alias("text")
     )
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
-
-
-def _prefix_hashes(turns: Column) -> Column:
-    """The hash of each prefix: h1 and h2 by turns, each a running hash of the one before and the turn."""
-    start = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b")))
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.concat(done, F.array(F.struct(F.xxhash64(last["a"], t["role"], t["text"]).alias("a"), F.xxhash64(last["b"], t["text"], t["role"], F.lit(7)).alias("b"))))
-
-    return F.slice(F.aggregate(turns, start, step), 2, F.greatest(F.size(turns), F.lit(1)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    again = F.lag(F.struct("turn", "role", "text")).over(order).eqNullSafe(F.struct("turn", "role", "text"))
+    rows = rows.withColumn("again", again).filter(~F.col("again")).withColumn("place", F.row_number().over(order))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(
+        "conv_id", "place", "role", "text",
+        F.bit_xor(F.xxhash64("place", "role", "text")).over(so_far).alias("a"), F.bit_xor(F.xxhash64("text", "role", "place", F.lit(7))).over(so_far).alias("b"),
+    )
 
 
 def collapsed(turns: DataFrame, **columns: str) -> DataFrame:
     """conv_id, turns, n_turns, prefix (whole hash), kept for each conversation."""
-    whole = conversations(turns, **columns).withColumn("n_turns", F.size("turns").cast("long")).withColumn("hashes", _prefix_hashes(F.col("turns")))
-    whole = stored(whole.select("conv_id", "turns", "n_turns", "hashes", F.element_at("hashes", -1).alias("prefix")), "conversations")
-    proper = whole.select(F.explode(F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0)))).alias("p")).distinct()
+    turn = F.struct("place", "role", "text", F.struct("a", "b").alias("p"))
+    whole = hashed_turns(turns, **columns).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).withColumn("n_turns", F.size("turns").cast("long"))
+    whole = stored(whole.withColumn("prefix", F.element_at("turns", -1)["p"]), "conversations")
+    proper = whole.select(F.explode(F.slice("turns.p", 1, F.greatest(F.size("turns") - 1, F.lit(0)))).alias("p")).distinct()
     longest = whole.select("conv_id", "prefix").join(proper, F.col("prefix") == F.col("p"), "left_anti")
     first = longest.groupBy("prefix").agg(F.min("conv_id").alias("k_id"))
-    return whole.drop("hashes").join(first.select("k_id"), F.col("conv_id") == F.col("k_id"), "left").withColumn("kept", F.col("k_id").isNotNull()).drop("k_id")
+    return whole.join(first.select("k_id"), F.col("conv_id") == F.col("k_id"), "left").withColumn("kept", F.col("k_id").isNotNull()).drop("k_id")
 
 
 def formatted(turns: DataFrame, **columns: str) -> DataFrame:

@@ -21,3 +21,9 @@ def sampled(labels: DataFrame, label: str, most: int, id_col: str = "doc_id", se
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+
+
+def one_each(features: DataFrame, chosen: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """label, doc_id and features of the chosen documents (id, label): one row of each id, the least, so no more rows than were chosen."""
+    found = features.join(F.broadcast(chosen.withColumnRenamed("id", "l_id")), F.col("doc_id") == F.col("l_id"))
+    return found.groupBy("doc_id").agg(F.min(F.struct("label", *names)).alias("x")).select("x.label", "doc_id", *[F.col(f"x.{c}") for c in names])

@@ -25,11 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from stellwerk.llm.common import fold_of
+from stellwerk.llm.common import fold_of, small_or_shuffled, stored, unused
 from stellwerk.llm.textarrays import LETTERS, U, Bytes, mixed, slices
 
 BUCKET_BITS, WIDTH, SAMPLE, EPOCHS = 14, 16, 2000, 6
+#: Languages up to this number are broadcast with their counts; beyond it, the join shuffles.
+MOST_LANGS = 10_000
 UND = "und"
 #: Share of rightly labelled held-back documents that may score below the rejection level, and its highest value.
 REJECTED, HIGHEST = 0.001, 0.5
@@ -92,23 +95,27 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 7) -> Model | None:
-    """A model from at most about `sample` of the rows for which learn holds."""
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id")
-    )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(n))])
+    """A model from at most about `sample` of the rows for which learn holds, of the languages in it."""
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.filter(learn & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"))
+    counts = stored(rows.groupBy(F.col("lang").alias("c_lang")).agg(F.count(F.lit(1)).alias("n")), "languages")
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**40)) + 1) / float(2**40)
-    keyed = rows.withColumn("key", u * F.element_at(share, F.col("lang"))).filter("key is not null")
+    keyed = rows.join(small_or_shuffled(counts, MOST_LANGS), F.col("lang") == F.col("c_lang")).withColumn("key", u * F.col("n"))
     last = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]
-    bags = keyed.filter(F.col("key") <= last).select("lang", "text").mapInArrow(_bags, "lang string, bucket array<int>, n array<int>").collect()
-    langs = sorted(counts)
-    bags = sorted(((langs.index(b["lang"]), np.array(b["bucket"], np.int64), np.array(b["n"], float)) for b in bags if b["bucket"]), key=lambda b: (b[0], b[2].sum(), b[1].sum()))
+    if last is None:
+        return None
+    found = keyed.filter(F.col("key") <= last).select("lang", "text").mapInArrow(_bags, "lang string, bucket array<int>, n array<int>").toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
+    bags = [(langs.index(b["lang"].as_py()), np.asarray(b["bucket"].values, np.int64), np.asarray(b["n"].values, float)) for t in found.to_batches() for b in _rows(t)]
+    bags = sorted((b for b in bags if len(b[1])), key=lambda b: (b[0], b[2].sum(), b[1].sum()))
     return _fit(langs, bags, seed) if bags else None
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for i in range(batch.num_rows):
+        yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def _fit(langs: list[str], bags: list, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
@@ -166,27 +173,29 @@ def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     return langs, np.concatenate(scores or [np.zeros(0)]), np.concatenate(rejected or [np.zeros(0, bool)])
 
 
+def added(docs: DataFrame) -> list[str]:
+    """Names of what `identified` adds: __lang_pred, __score and __rejected, with more underscores where docs has such columns."""
+    return unused(docs, "__lang_pred", "__score", "__rejected")
+
+
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected."""
-    names, schema = docs.columns, f"{_ddl(docs)}, __lang_pred string, __score double, __rejected boolean"
-    at = names.index(text_col)
+    """docs with the columns of `added`: language, score, and whether the text is rejected."""
+    names = added(docs)
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score, rejected = predict(pc.cast(batch.column(at), pa.string()), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "__lang_pred", "__score", "__rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def _ddl(docs: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-
-
 def accepted(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
     found = identified(docs, train(docs, learn, id_col, text_col, lang_col), text_col)
-    return found.filter(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(~F.col(added(docs)[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def learned(id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import SPACE_CHARS, stored, text_of
+from stellwerk.llm.common import SPACE_CHARS, stored, text_of, unused
 
 #: Least number of sites, sketch precision (2**LG registers), and the estimates around the threshold that are counted exactly.
 SITES, LG, LOW, HIGH = 5, 12, 0.8, 1.25
@@ -30,7 +30,7 @@ def line_hash(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"), F.explode(F.split(text_of(text_col), "\n")).alias("line"))
+    rows = docs.select(F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0")).alias("site"), F.explode(F.split(text_of(text_col), "\n")).alias("line"))
     return rows.select("site", line_hash(F.col("line")).alias("hash")).filter("hash is not null")
 
 
@@ -44,20 +44,27 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return spread.filter(F.col("estimate") > sites * HIGH).select("hash", F.col("estimate").alias("spread")).unionByName(exact.filter(F.col("spread") >= sites))
 
 
+def added(docs: DataFrame) -> list[str]:
+    """Names of what `cleaned` adds: __clean, __lines and __removed, with more underscores where docs has such columns."""
+    return unused(docs, "__clean", "__lines", "__removed")
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """docs with __clean (the text without its boilerplate lines), __lines and __removed (numbers of lines)."""
+    """docs with the columns of `added`: the text without its boilerplate lines, and the numbers of lines and of those removed."""
     bad = stored(boilerplate(docs, text_col, site_col, sites), "boilerplate")
-    key = F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)))
+    key = F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), text_of(text_col)))
     lines = docs.select(key.alias("h_key"), F.posexplode(F.split(text_of(text_col), "\n")).alias("place", "line"))
     lines = lines.select("h_key", "place", line_hash(F.col("line")).alias("hash"))
     hits = lines.join(bad.select(F.col("hash").alias("b_hash")), F.col("hash") == F.col("b_hash")).groupBy("h_key").agg(F.collect_set("place").alias("places"))
-    rows = docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("h_key"), "left").drop("__key", "h_key")
+    own, h_key, places = unused(docs, "key", "h_key", "places")
+    rows = docs.withColumn(own, key).join(hits.toDF(h_key, places), F.col(own) == F.col(h_key), "left")
     all_lines = F.split(text_of(text_col), "\n")
-    kept = F.filter(all_lines, lambda line, i: ~F.array_contains("places", i))
+    kept = F.filter(all_lines, lambda line, i: ~F.array_contains(places, i))
+    clean, n_lines, removed = added(docs)
     return rows.withColumns(
         {
-            "__clean": F.when(F.col("places").isNull(), text_of(text_col)).otherwise(F.array_join(kept, "\n")),
-            "__lines": F.size(all_lines).cast("long"),
-            "__removed": F.coalesce(F.size("places"), F.lit(0)).cast("long"),
+            clean: F.when(F.col(places).isNull(), text_of(text_col)).otherwise(F.array_join(kept, "\n")),
+            n_lines: F.size(all_lines).cast("long"),
+            removed: F.coalesce(F.size(places), F.lit(0)).cast("long"),
         }
-    ).drop("places")
+    ).drop(own, h_key, places)

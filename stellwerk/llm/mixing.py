@@ -15,7 +15,8 @@ Defined results: null text counts as empty and null source is a source of its ow
 rows that share an id share its draw (rows without an id, too), and those of equal keys are taken in
 the order of a hash of the text, equal texts by count, so that the sample can end between them; texts without
 words are in every sample and add nothing; a source without words has target 0; empty tables give
-empty results; extra columns are carried through `mix` and never read.
+empty results; extra columns are carried through `mix`, whatever their names, and read only to tell apart rows of one id
+and text between which the sample ends. Sources are few labels: their list, one row each, is ranked in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import WORD, few, small_or_shuffled, stored, text_of
+from stellwerk.llm.common import WORD, small_or_shuffled, stored, text_of, unused
 
 WEIGHTS, SHARE, MOST_EPOCHS, RANGES = (5, 2, 1), 1.5, 2, 1024
 #: Characters that menus and junk are full of.
@@ -76,7 +77,8 @@ def cutoffs(rows: DataFrame, goals: DataFrame, ranges: int = RANGES) -> DataFram
     """
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    place = (F.lit(1.0) - F.exp(-F.col("key"))) * ranges
+    #: Ranges are laid over key / (1 + key): fine for the small keys of heavy texts, and not used up by the large keys of light ones.
+    place = F.col("key") / (F.lit(1.0) + F.col("key")) * ranges
     cut = stored(goals, "targets").withColumn("before", F.lit(0).cast("long"))
     left = rows.withColumn("range", F.least(F.floor(place), F.lit(ranges - 1)))
     left = left.withColumn("subrange", F.least(F.floor((place - F.col("range")) * ranges), F.lit(ranges - 1)))
@@ -128,29 +130,47 @@ def _at(rows: DataFrame, cut: DataFrame, name: str, place: Column) -> DataFrame:
     return here.withColumn("before", F.col("c_before")).drop("place", "c_source", "c_place", "c_before")
 
 
+def added(docs: DataFrame) -> list[str]:
+    """Names of what `copies` adds: __size, __source_size, __target and __copies, with more underscores where docs has such columns."""
+    return unused(docs, "__size", "__source_size", "__target", "__copies")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, weight=quality) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: how often the mix takes each row."""
-    text = text_of(text_col)
-    whole = docs.withColumns({"__size": words(text), "__key": sampling_key(F.col(id_col), weight(text), seed), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__tie": F.shiftrightunsigned(F.xxhash64(text), 1)})
-    rows = stored(whole.select(F.col(source_col).cast("string").alias("source"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie")), "sizes")
+    """docs with the columns of `added`: words, words of the source, words the mix wants of it, and how often it takes the row."""
+    size, source_size, target, taken = added(docs)
+    text, source = text_of(text_col), F.col(f"`{source_col}`").cast("string")
+    own, end, chosen = unused(docs, "__own", "__end", "__chosen")
+    #: What decides about a row, and the end of its source's sample, as one column each.
+    values = F.struct(
+        sampling_key(F.col(f"`{id_col}`"), weight(text), seed).alias("key"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("id"),
+        F.shiftrightunsigned(F.xxhash64(text), 1).alias("tie"), words(text).alias("size"),
+    )
+    whole = docs.withColumn(own, values)
+    rows = stored(docs.select(source.alias("source"), values.alias("v")).select("source", "v.*"), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     ends = stored(cutoffs(rows, goals), "cutoffs")
-    ends = ends.select(*[F.col(c).alias(f"__{c}") for c in ends.columns])
-    joined = whole.join(small_or_shuffled(ends, MOST_SOURCES), F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    own = F.struct(*[F.col(f"__{c}").alias(c) for c in ("key", "id", "tie", "size")])
-    chosen = F.coalesce(F.when(F.col("__within"), own <= F.col("__cut")).otherwise(own < F.col("__cut")), F.lit(False))
-    if not ends.filter("__taken < __tied").isEmpty():
-        #: Only rows of one id and text that the cut-off splits are counted; the sample takes the first of them.
-        split = F.coalesce((own == F.col("__cut")) & (F.col("__taken") < F.col("__tied")), F.lit(False))
-        nth = F.row_number().over(Window.partitionBy("__source").orderBy(F.lit(1)))
-        counted = joined.filter(split).withColumn("__chosen", nth <= F.col("__taken"))
-        joined = joined.filter(~split).withColumn("__chosen", chosen).unionByName(counted)
+    joined = whole.join(small_or_shuffled(ends.select(F.struct(*ends.columns).alias(end)), MOST_SOURCES), source.eqNullSafe(F.col(end)["source"]))
+    of = lambda c: F.col(end)[c]
+    within = F.coalesce(F.when(of("within"), F.col(own) <= of("cut")).otherwise(F.col(own) < of("cut")), F.lit(False))
+    if not ends.filter("taken < tied").isEmpty():
+        #: Only rows of one id and text that the cut-off splits are counted; the sample takes the first of them by all their columns.
+        split = F.coalesce((F.col(own) == of("cut")) & (of("taken") < of("tied")), F.lit(False))
+        kinds = dict(docs.dtypes)
+        order = [F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c] and kinds[c] != "variant"]
+        nth = F.row_number().over(Window.partitionBy(of("source")).orderBy(*order))
+        counted = joined.filter(split).withColumn(chosen, nth <= of("taken"))
+        joined = joined.filter(~split).withColumn(chosen, within).unionByName(counted)
     else:
-        joined = joined.withColumn("__chosen", chosen)
-    return joined.withColumn("__copies", F.col("__epochs") + F.col("__chosen").cast("long"))
+        joined = joined.withColumn(chosen, within)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(own)["size"].alias(size), of("source_size").alias(source_size), of("target").alias(target),
+        (of("epochs") + F.col(chosen).cast("long")).alias(taken),
+    )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
-    taken = copies(docs, id_col, text_col, source_col, **options).filter("__copies > 0")
-    return taken.withColumn("__nth", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = added(docs)[3]
+    taken = copies(docs, id_col, text_col, source_col, **options).filter(F.col(times) > 0)
+    again = F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], again.alias(times)).drop(times)

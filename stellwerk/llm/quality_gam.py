@@ -8,7 +8,8 @@ way. A score is the logistic of the sum of the looked-up values, in one vectoris
 
 Defined results: null text counts as empty; an empty text has all measures 0 and is scored like any
 other; without labels of both kinds every score is the share of label 1 (0.5 without labels); a null id
-is carried and never learned from; repeated rows get the same score; empty tables give empty results;
+is carried and never learned from; of texts that share a labelled id the one with the least measures is
+learned from; repeated rows get the same score; empty tables give empty results;
 extra columns are never read.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import stored
-from stellwerk.llm.labelled import sampled
+from stellwerk.llm.labelled import one_each, sampled
 from stellwerk.llm.textarrays import LETTERS, SPACES, Bytes, counted, shingles, slices
 
 SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, LEAVES = 20_000, 32, 8, 6, 120, 0.1, 3
@@ -190,8 +191,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
 
 def train(features: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Additive:
     """A model from at most `sample` labelled documents."""
-    chosen = sampled(labels, label, sample).withColumnRenamed("id", "l_id")
-    rows = features.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", *MEASURES).toPandas()
+    rows = one_each(features, sampled(labels, label, sample), MEASURES).drop("doc_id").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable").to_numpy(dtype=float)
     return fit(rows[:, 1:], rows[:, 0])
 

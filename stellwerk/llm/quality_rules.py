@@ -3,11 +3,10 @@
 Each text gets two histograms: its code points by character class, and its words by the `words_kept`
 commonest words of its language (and all others). Both are compared with those of all documents of the
 language by Jensen-Shannon distance (the square root of the divergence in bits). A text is rejected where a
-distance exceeds its level; texts below a minimum length are not judged by that histogram. The commonest
-words come from a mergeable frequent-items sketch over all words; their frequencies are counted
-exactly over all documents.
+distance exceeds its level; texts below a minimum length are not judged by that histogram. All words of all
+documents are counted, before any shuffle, to find the commonest ones of each language.
 
-The text is read twice, by map stages with partial aggregates; only histograms are written and compared.
+The text is read twice, by map stages with partial aggregates; only counts and histograms are written and compared.
 
 Defined results: null text counts as empty (no words: fails the base rules); a null lang is a language of
 its own; a null id is carried; repeated rows get the same result; empty tables give empty results; extra
@@ -16,7 +15,7 @@ columns are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import SPACE_CHARS, one_space, small_or_shuffled, stored, text_of
@@ -26,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()\\-"
 CLASSES = ("upper", "digit", "punctuation", "symbol", "space", "beyond_ascii", "rest")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-WORDS_KEPT, TRACKED, MOST_LANGS = 12, 2048, 1000
+WORDS_KEPT, MOST_LANGS = 12, 1000
 #: Levels of the distances, and the least number of code points or words to be judged.
 CHAR_LEVEL, CHAR_LEAST, WORD_LEVEL, WORD_LEAST = 0.3, 200, 0.36, 80
 
@@ -91,11 +90,12 @@ def class_counts() -> Column:
 
 
 def common_words(docs: DataFrame, kept: int, text_col: str, lang_col: str) -> DataFrame:
-    """ref_lang, words (hashes): the commonest words of each language, as they are written."""
+    """ref_lang, words (hashes): the commonest words of each language, as they are written; ties by hash."""
     words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.explode(F.split(one_space(text_of(text_col)), " ")).alias("word"))
-    top = words.filter("word != ''").groupBy("lang").agg(F.expr(f"approx_top_k(word, {2 * kept}, {TRACKED})").alias("top"))
-    ranked = F.slice(F.sort_array(F.transform("top", lambda t: F.struct((-t["count"]).alias("n"), t["item"].alias("w")))), 1, kept)
-    return top.select(F.col("lang").alias("ref_lang"), F.transform(ranked, lambda t: F.xxhash64(t["w"])).alias("words"))
+    counts = words.filter("word != ''").groupBy("lang", F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= kept).groupBy(F.col("lang").alias("ref_lang"))
+    return top.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda t: t["word"]).alias("words"))
 
 
 def _distance(p: Column, q: Column) -> Column:

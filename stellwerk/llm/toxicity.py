@@ -3,8 +3,8 @@
 The lexicon has two parts: short fixed lists, and terms learned from the labelled documents: words, and
 word beginnings of 4 to 7 bytes, that occur in toxic documents far more often than chance allows (a
 binomial tail bound, corrected for the number of terms). Terms are 64-bit hashes, compared with hashes of
-all words of the whole text at once. Words written with digits or signs for letters, or with signs between
-letters, are looked up in their plain spelling as well.
+all words of the whole text at once; all terms are tested in Spark and those that pass form the lexicon. Words
+written with digits or signs for letters, or with signs between letters, are looked up in their plain spelling as well.
 
 Features of a text: densities, number and weights of lexicon hits, hits near a second-person word,
 capitals, punctuation, rate of obfuscated words, length. Depth-limited trees on binned features are
@@ -13,8 +13,8 @@ turns margins into probabilities.
 
 Defined results: null text counts as empty, and an empty text is scored like any other; without labels
 of both kinds every score is the share of label 1 (0.5 without labels); a null id is carried and never
-learned from; repeated rows get the same score; empty tables give empty results; extra columns are
-never read.
+learned from; of texts that share a labelled id the one with the least features is learned from; repeated rows
+get the same score; empty tables give empty results; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm.common import stored
-from stellwerk.llm.labelled import sampled
+from stellwerk.llm.labelled import one_each, sampled
 from stellwerk.llm.quality_gam import SYMBOLS, UPPER, binned, cuts_of, sigmoid
 from stellwerk.llm.textarrays import LETTERS, SPACES, U, Bytes, mixed, slices
 
-SAMPLE, CANDIDATES, PREFIXES, NEAR = 16_000, 1 << 16, (4, 5, 6, 7), 4
+SAMPLE, PREFIXES, NEAR, LIFT = 16_000, (4, 5, 6, 7), 4, 2.0
 TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 3
 #: Insults, and second-person words, of the four languages.
 INSULTS = (
@@ -96,13 +96,16 @@ def _plain(text: Bytes) -> tuple[Bytes, np.ndarray, np.ndarray]:
     own = Bytes.__new__(Bytes)
     if len(starts):
         starts, ends = np.where(some, a, starts), np.where(some, b, ends)
-    spans = [(s, e) for s, e in zip(starts[inner], ends[inner], strict=True) if e - s <= 64]
-    parts = [(q := _PLAIN[text.data[s:e]])[LETTERS[q]] for s, e in spans]
-    own.offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-    own.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-    own.docs, own._sums = len(parts), None
+    #: All bytes of these words at once, whatever their length; what is a letter, read plainly, stays.
     at = np.flatnonzero(inner)
-    at = at[(ends - starts)[at] <= 64]
+    size = (ends - starts)[at]
+    place = np.arange(int(size.sum())) + np.repeat(starts[at] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size)
+    plain = _PLAIN[text.data[place]]
+    stays = LETTERS[plain]
+    left = np.concatenate([[0], np.cumsum(stays)])
+    own.offsets = left[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+    own.data = plain[stays]
+    own.docs, own._sums = len(at), None
     return own, starts[at], doc[at]
 
 
@@ -121,12 +124,6 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
 
-def _known_counts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in _term_counts(batches):
-        keep = np.isin(np.asarray(batch.column(0)), known)
-        yield batch.filter(pa.array(keep))
-
-
 @dataclass
 class Lexicon:
     terms: np.ndarray
@@ -159,17 +156,19 @@ def learn_lexicon(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str
     if not pos or not neg:
         return Lexicon(np.zeros(0, U), np.zeros(0))
     least = max(3, pos // 200)
-    counts = rows.filter("label = 1").select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).toPandas()
-    known = np.sort(top["term"].to_numpy(np.int64))
-    other = rows.filter("label = 0").select("text").mapInArrow(lambda it: _known_counts(it, known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    both = top.merge(other, on="term", how="left", suffixes=("", "_0")).fillna(0)
-    a, b = both["n"].to_numpy(float), both["n_0"].to_numpy(float)
-    share, prior = a / (a + b), pos / (pos + neg)
-    tail = (a + b) * (share * np.log(share / prior) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - prior)))
-    lift = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
-    good = (share > prior) & (lift >= 2) & (tail >= np.log(max(len(both), 1)) + 2)
-    return Lexicon(both["term"].to_numpy(np.int64)[good].view(U), lift[good])
+    ones, zeros = (
+        rows.filter(F.col("label") == k).select("text").mapInArrow(_term_counts, "term long, n long").groupBy(F.col("term").alias(f"term_{k}")).agg(F.sum("n").alias(f"n_{k}")) for k in (1, 0)
+    )
+    terms_ = stored(ones.filter(F.col("n_1") >= least), "terms")
+    tested, prior = terms_.count(), pos / (pos + neg)
+    a, b = F.col("n_1"), F.coalesce("n_0", F.lit(0))
+    share = a / (a + b)
+    rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - prior))).otherwise(0.0)
+    tail = (a + b) * (share * F.ln(share / prior) + rest)
+    lift = F.ln((a + 0.5) / (pos + 1)) - F.ln((b + 0.5) / (neg + 1))
+    both = terms_.join(zeros, F.col("term_1") == F.col("term_0"), "left").select(F.col("term_1").alias("term"), lift.alias("lift"), tail.alias("tail"), share.alias("share"))
+    good = both.filter((F.col("share") > prior) & (F.col("lift") >= LIFT) & (F.col("tail") >= float(np.log(max(tested, 1)) + 2))).toPandas()
+    return Lexicon(good["term"].to_numpy(np.int64).view(U), good["lift"].to_numpy(float))
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -318,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = stored(sampled(labels, label, sample), "chosen")
     lexicon = learn_lexicon(docs, chosen, text_col, id_col)
     found = measured(docs, lexicon, id_col, text_col)
-    rows = found.join(F.broadcast(chosen.withColumnRenamed("id", "l_id")), F.col("doc_id") == F.col("l_id")).select("label", "doc_id", *FEATURES).toPandas()
+    rows = one_each(found, chosen, FEATURES).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES], kind="stable").to_numpy(dtype=float)
     rows = rows[np.random.default_rng(5).permutation(len(rows))]
     return found, fit(rows[:, 2:], rows[:, 0])
