@@ -15,7 +15,7 @@ numbers however many documents there are.
 
 The plan is a list of patterns (lengths and how many sequences look like that). Each piece gets its rank
 among the pieces of its length and with that its sequence and offset by a range lookup; ranks come from
-counts by partition and length of the written table of pieces.
+counts by partition and length of the written table of pieces, in a merge join, as they grow with the input.
 
 Defined results: null text is an empty document, which is its end token alone; repeated rows are
 packed as often as they occur; a null id is carried; empty tables give empty results; extra columns
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import stored
+from stellwerk.llm.common import TEXT_ROWS, stored
 
 LENGTH, END = 2048, 0
 #: Tried one after the other; the plan with the fewest sequences is taken.
@@ -123,7 +123,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, length: int, end:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the documents' pieces."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda it: _cut(it, tokenizer, length, end, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
@@ -288,7 +288,7 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces (see `pieces`) with sequence_id and offset."""
     cut = pieces(docs, id_col, text_col, tokenizer, length, end, with_ids)
-    rows = stored(cut.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = stored(cut.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pieces", TEXT_ROWS)
     found = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = stored(found.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
@@ -300,7 +300,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     places.append((length, 0, int(counts[length]), 1, sequences, 0))
     nth = F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1
     ranked = rows.withColumn("nth", nth).join(
-        ranks.select(F.col("part").alias("r_part"), F.col("length").alias("r_length"), "before"), (F.col("part") == F.col("r_part")) & (F.col("length") == F.col("r_length"))
+        ranks.select(F.col("part").alias("r_part"), F.col("length").alias("r_length"), "before").hint("merge"), (F.col("part") == F.col("r_part")) & (F.col("length") == F.col("r_length"))
     ).withColumn("rank", F.col("before") + F.col("nth"))
     return _placed(ranked, places, length).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 
