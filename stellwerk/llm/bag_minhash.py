@@ -206,14 +206,13 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     with_first = left.join(first, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h_id"))).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
     found = components(_linked(stored(within.unionByName(with_first).distinct(), "tested"), texts, width, threshold))
     left = _without(left, first).join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", F.coalesce("component", "id").alias("component"))
-    joined, hubs_each = None, 1
-    while not (left := stored(_open(left), "open")).isEmpty():
+    joined, links, hubs_each = None, None, 1
+    while not (left := stored(_open(left, links), "open")).isEmpty():
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
         hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component", "size"), "hubs")
         links = _hub_links(hubs, left.select("bucket", "id", "component", "size"), texts, width, threshold)
         joined = links if joined is None else joined.unionByName(links)
         left = _without(left.drop("main"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id")))
-        left = _relabelled(left, components(links))
         hubs_each *= HUBS_GROW
     if joined is None:
         return found
@@ -224,7 +223,7 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
 
 
 def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """rows with the components that theirs are now part of."""
+    """rows with the components that theirs are part of now."""
     by = merged.select(F.col("node").alias("g_node"), F.col("component").alias("g_component"))
     return rows.join(by, F.col("component") == F.col("g_node"), "left").withColumn("component", F.coalesce("g_component", "component")).drop("g_node", "g_component")
 
@@ -280,11 +279,18 @@ def _without(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return members.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") == F.col("h_id")), "left_anti")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of the buckets in which two components or more are left, with main, the bucket's largest."""
-    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy(F.col("bucket").alias("m_bucket")).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    return members.join(main.filter("parts > 1"), F.col("bucket") == F.col("m_bucket")).select("bucket", "id", "rank", "size", "component", "main")
+def _open(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The members of the buckets in which two components or more are left, with main, the bucket's largest.
+
+    links join components; they are told to the few (bucket, component), and only members of open buckets learn of it.
+    """
+    parts = members.groupBy("bucket", F.col("component").alias("was")).agg(F.count(F.lit(1)).alias("n")).withColumn("component", F.col("was"))
+    parts = stored(parts if links is None else _relabelled(parts, components(links)), "parts")
+    now = parts.groupBy(F.col("bucket").alias("m_bucket"), "component").agg(F.sum("n").alias("n"))
+    main = now.groupBy("m_bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    by = parts.join(main, F.col("bucket") == F.col("m_bucket")).select("m_bucket", "was", F.col("component").alias("is"), "main")
+    rows = members.join(by, (F.col("bucket") == F.col("m_bucket")) & (F.col("component") == F.col("was")))
+    return rows.select("bucket", "id", "rank", "size", F.col("is").alias("component"), "main")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
