@@ -31,16 +31,17 @@ def with_departure_delays(legs: DataFrame, pred: DataFrame) -> DataFrame:
 def transfers(legs: DataFrame) -> DataFrame:
     """One row per two consecutive legs: room and wait in minutes, the chance to get the train, its level.
 
-    A late departure widens the wait, an early one does not shorten it.
+    A late departure widens the wait, an early one does not shorten it. Legs with a method are taken apart by it.
     """
     late = F.col("dep_q50") if "dep_q50" in legs.columns else F.lit(None).cast("double")
-    route = Window.partitionBy("request_id", "route").orderBy("leg")
+    own = ["method"] * ("method" in legs.columns)
+    route = Window.partitionBy("request_id", "route", *own).orderBy("leg")
     ahead = {"next_leg": F.col("leg"), "next_run_id": F.col("run_id"), "next_stop_num": F.col("from_stop_num"), "next_dep": F.col("dep"), "next_dep_q50": late}
     pairs = legs.withColumns({name: F.lead(c).over(route) for name, c in ahead.items()}).filter(F.col("next_leg") == F.col("leg") + 1)
     room = minutes_between(F.col("next_dep"), F.col("arr")) - CHANGE_MIN
     out = pairs.withColumn("room", room).withColumn("wait", F.col("room") + F.greatest(F.coalesce("next_dep_q50", F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("p", probability(F.col("wait"), *[F.col(f"arr_{q}") for q in QCOLS])).withColumn("level", level(F.col("p")))
-    return out.select(*LEG, "run_id", "to_station", "to_stop_num", "arr", "next_run_id", "next_stop_num", "next_dep", "room", "wait", "p", "level")
+    return out.select(*own, *LEG, "run_id", "to_station", "to_stop_num", "arr", "next_run_id", "next_stop_num", "next_dep", "room", "wait", "p", "level")
 
 
 def routes(legs: DataFrame) -> DataFrame:

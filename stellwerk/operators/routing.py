@@ -20,12 +20,27 @@ from stellwerk.schema import MIN_TRANSFER_MIN
 
 
 def next_departures(conns: DataFrame, min_transfer: int = MIN_TRANSFER_MIN) -> DataFrame:
-    """Each connection with the next departure of another run at its end, on the same run day."""
-    later = conns.select(*[F.col(c).alias(f"t_{c}") for c in ("run_id", "run_day", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr")])
-    on = (F.col("next_station") == F.col("t_station")) & (F.col("run_day") == F.col("t_run_day")) & (F.col("run_id") != F.col("t_run_id"))
-    pairs = conns.join(later, on & (F.col("t_dep") >= plus_minutes(F.col("arr"), F.lit(min_transfer))))
-    second = F.min(F.struct("t_dep", "t_arr", "t_run_id", "t_stop_num", "t_station", "t_next_station", "t_next_stop_num")).alias("t")
-    return pairs.groupBy("run_id", "run_day", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr").agg(second)
+    """Each connection with the next departure of another run at its end, on the same run day.
+
+    Arrivals (made ready by the time to change) and departures of a station and day are laid in one order, from
+    the latest on, and each row looks at the last departure before it: no pairs are made.
+    """
+    ends = ("run_id", "run_day", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr")
+    kind = "t_dep timestamp_ntz, t_arr timestamp_ntz, t_run_id string, t_stop_num int, t_station string, t_next_station string, t_next_stop_num int"
+    t = F.struct(*[F.col(c).alias(f"t_{c}") for c in ("dep", "arr", "run_id", "stop_num", "station", "next_station", "next_stop_num")]).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+    ready = conns.select(F.col("next_station").alias("at"), F.col("run_day").alias("day"), plus_minutes(F.col("arr"), F.lit(min_transfer)).alias("time"), F.col("run_id").alias("own"), F.struct(*ends).alias("c"))
+    leaves = conns.select(F.col("station").alias("at"), F.col("run_day").alias("day"), F.col("dep").alias("time"), F.col("run_id").alias("own"), t.alias("t"))
+    both = ready.unionByName(leaves, allowMissingColumns=True)
+    latest_first = Window.partitionBy("at", "day").orderBy(F.desc("time"), F.desc_nulls_last("t"))
+    before = latest_first.rowsBetween(Window.unboundedPreceding, -1)
+    leaving = F.col("t").isNotNull()
+    both = both.withColumn("next", F.last(F.col("t"), ignorenulls=True).over(before))
+    #: The next departure of another run: the next one, or, while that is of the same run, what the next one has.
+    changes = leaving & (F.col("next.t_run_id") != F.col("own"))
+    both = both.withColumn("other", F.last(F.when(changes, F.col("next")), ignorenulls=True).over(latest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = both.withColumn("next_other", F.last(F.when(leaving, F.struct("other")), ignorenulls=True).over(before)["other"])
+    found = both.filter(~leaving).select("c.*", F.when(F.col("next.t_run_id") != F.col("own"), F.col("next")).otherwise(F.col("next_other")).alias("t"))
+    return found.filter("t is not null")
 
 
 def two_leg_legs(conns: DataFrame) -> DataFrame:

@@ -141,8 +141,8 @@ def recent_local(stops):
 def _baseline(stops, method):
     asked = stops.filter((F.col("run_day") >= r.at(r.FROM_DAY)) & F.col("planned_arr").isNotNull())
     if method == "carry_forward":
-        seen = visibility.with_last_known(asked, stops, r.at(r.NOW), "arr", True)
-        asked = seen.withColumn("seen_delay", F.col("last_known_delay"))
+        runs = asked.select(F.lit("now").alias("request_id"), "run_id", r.at(r.NOW).alias("now")).distinct()
+        asked = asked.join(visibility.last_seen(stops, runs).select("run_id", "seen_delay"), "run_id", "left")
     return baselines.METHODS[method](stops, asked, "arr").select("run_id", "stop_num", *rounded(*QCOLS))
 
 
@@ -178,7 +178,7 @@ def replayed_transfers(stops, since):
 
 
 def _legs(stops, since, method="train_station"):
-    return r.legs_with_delays(stops, method, since)
+    return r.legs_with_delays(stops, (method,), since).drop("method")
 
 
 @dated
@@ -198,8 +198,7 @@ def routes_ranked(stops, since):
 
 
 def _outcomes(stops, since):
-    frames = [risk.transfers(_legs(stops, since, m)).withColumn("method", F.lit(m)) for m in ("global", "train_station")]
-    return risk.with_outcome(frames[0].unionByName(frames[1]), stops)
+    return risk.with_outcome(risk.transfers(r.legs_with_delays(stops, ("global", "train_station"), since)), stops)
 
 
 @dated

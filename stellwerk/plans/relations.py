@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.operators import baselines, risk, routing, visibility
 from stellwerk.operators.requests import request_rows
-from stellwerk.schema import QCOLS
 from stellwerk.sources.stops import from_events
 
 FROM_DAY = "2024-01-15"
@@ -23,6 +23,8 @@ def kept(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
@@ -50,15 +52,17 @@ def rows(stops: DataFrame, since: str | None = FROM_DAY) -> DataFrame:
     return kept(request_rows(stops, requests(own), own))
 
 
-def predicted(stops: DataFrame, own: DataFrame) -> DataFrame:
-    """rows with the quantiles of every method."""
-    arr, dep = (baselines.every_method(kept(baselines.level_quantiles(stops, own.filter(F.col("model") == m), m))) for m in ("arr", "dep"))
-    return kept(arr.unionByName(dep))
+def predicted(stops: DataFrame, own: DataFrame, methods: tuple[str, ...] = tuple(baselines.METHODS), models: tuple[str, ...] = ("arr", "dep")) -> DataFrame:
+    """rows of these models with the quantiles of these methods."""
+    found = [baselines.every_method(baselines.level_quantiles(stops, own.filter(F.col("model") == m), m), methods) for m in models]
+    return kept(reduce(DataFrame.unionByName, found))
 
 
-def legs_with_delays(stops: DataFrame, method: str, since: str | None = FROM_DAY) -> DataFrame:
-    """legs with predicted arrival and departure delays."""
+def legs_with_delays(stops: DataFrame, methods: tuple[str, ...], since: str | None = FROM_DAY) -> DataFrame:
+    """legs once for each method, with the arrival delays it predicts; departure delays are those last seen, whatever the method."""
     own = legs(stops, since)
-    pred = predicted(stops, rows(stops, since)).filter(F.col("method") == method).select("request_id", "run_id", "stop_num", "model", *QCOLS)
-    found = risk.with_arrival_delays(own, pred.filter("model = 'arr'"))
-    return kept(risk.with_departure_delays(found, pred.filter("model = 'dep'")))
+    asked = kept(request_rows(stops, requests(own), own))
+    arr = predicted(stops, asked, methods, ("arr",))
+    dep = predicted(stops, asked, ("carry_forward",), ("dep",))
+    found = risk.with_departure_delays(own, dep)
+    return reduce(DataFrame.unionByName, [risk.with_arrival_delays(found, arr.filter(F.col("method") == m)).withColumn("method", F.lit(m)) for m in methods])

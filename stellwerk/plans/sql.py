@@ -16,7 +16,7 @@ STOPS = r"""
                     CASE WHEN stop_num < last AND NOT dep_canceled THEN CAST(floor(value / 10) - 1 AS INT) + k % 3 END AS dep_delay FROM can),
     lagged AS (SELECT *, lag(stop_num) OVER w AS p_num, lag(station) OVER w AS p_station, lag(planned_dep) OVER w AS p_dep, max(stop_num) OVER (PARTITION BY run_id) AS n_stops
                FROM base WINDOW w AS (PARTITION BY run_id ORDER BY stop_num)),
-    stops AS (SELECT run_id, run_day, train_type, train_key, station, stop_num, planned_arr, planned_dep, arr_canceled, dep_canceled, arr_delay, dep_delay, n_stops,
+    stops AS MATERIALIZED (SELECT run_id, run_day, train_type, train_key, station, stop_num, planned_arr, planned_dep, arr_canceled, dep_canceled, arr_delay, dep_delay, n_stops,
                      CASE WHEN run_day < '2024-01-17' THEN 'context' WHEN run_day < '2024-01-24' THEN 'validation' ELSE 'test' END AS split,
                      CASE WHEN stop_num - p_num = 1 THEN p_station END AS prev_station,
                      CASE WHEN stop_num - p_num = 1 AND abs(date_sub('minute', p_dep, planned_arr)) <= 1200 THEN date_sub('minute', p_dep, planned_arr) END AS run_planned_min,
@@ -28,7 +28,7 @@ STOPS = r"""
 CONNS = r"""
     ahead AS (SELECT *, lead(station) OVER w AS next_station, lead(stop_num) OVER w AS next_stop_num, lead(planned_arr) OVER w AS arr, lead(act_arr) OVER w AS arr_actual, lead(arr_canceled) OVER w AS next_canceled
               FROM stops WINDOW w AS (PARTITION BY run_id ORDER BY stop_num)),
-    conns AS (SELECT run_id, run_day, station, stop_num, next_station, next_stop_num, planned_dep AS dep, act_dep AS dep_actual, dep_canceled, arr, arr_actual, next_canceled AS arr_canceled
+    conns AS MATERIALIZED (SELECT run_id, run_day, station, stop_num, next_station, next_stop_num, planned_dep AS dep, act_dep AS dep_actual, dep_canceled, arr, arr_actual, next_canceled AS arr_canceled
               FROM ahead WHERE planned_dep IS NOT NULL AND arr IS NOT NULL AND arr >= planned_dep)"""
 
 LEGS = r"""
@@ -38,12 +38,12 @@ LEGS = r"""
     found AS (SELECT station || '>' || next_station || '>' || CAST(CAST(run_day AS DATE) AS VARCHAR) AS request_id, station AS src, next_station AS dst, dep, run_id, stop_num, 1 AS n, next_station, next_stop_num, arr, NULL AS t FROM late
               UNION ALL SELECT station || '>' || t[6] || '>' || CAST(CAST(run_day AS DATE) AS VARCHAR), station, t[6], dep, run_id, stop_num, 2, next_station, next_stop_num, arr, t FROM pairs),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dep, n, run_id, stop_num) - 1 AS route FROM found WHERE src <> dst),
-    legs AS (SELECT request_id, route, CAST(0 AS BIGINT) AS leg, run_id, src AS from_station, stop_num AS from_stop_num, dep, next_station AS to_station, next_stop_num AS to_stop_num, arr FROM numbered
+    legs AS MATERIALIZED (SELECT request_id, route, CAST(0 AS BIGINT) AS leg, run_id, src AS from_station, stop_num AS from_stop_num, dep, next_station AS to_station, next_stop_num AS to_stop_num, arr FROM numbered
              UNION ALL SELECT request_id, route, 1, t[3], t[5], t[4], t[1], t[6], t[7], t[2] FROM numbered WHERE n = 2)"""
 
 LOG = r"""
     idx AS (SELECT *, CASE WHEN coalesce(planned_arr, planned_dep) IS NOT NULL THEN row_number() OVER (PARTITION BY run_id ORDER BY coalesce(planned_arr, planned_dep) NULLS LAST, stop_num) END AS i FROM stops),
-    log AS (SELECT run_id, i, true AS is_arr, act_arr AS time, planned_arr AS planned, arr_delay AS delay FROM idx WHERE act_arr IS NOT NULL
+    log AS MATERIALIZED (SELECT run_id, i, true AS is_arr, act_arr AS time, planned_arr AS planned, arr_delay AS delay FROM idx WHERE act_arr IS NOT NULL
             UNION ALL SELECT run_id, i, false, act_dep, planned_dep, dep_delay FROM idx WHERE act_dep IS NOT NULL)"""
 
 _LONG = ", ".join(f"'{t}'" for t in LONG_DISTANCE)
@@ -54,11 +54,11 @@ ROWS = rf"""
     asked AS (SELECT request_id, min(dep) AS now FROM legs GROUP BY request_id),
     seen AS (SELECT k.request_id, k.run_id, arg_max(delay, (time, i, NOT is_arr)) AS seen_delay
              FROM (SELECT DISTINCT request_id, run_id FROM keys) k JOIN asked USING (request_id) JOIN log ON log.run_id = k.run_id AND log.time < asked.now GROUP BY ALL),
-    rws AS (SELECT k.request_id, k.model, asked.now, s.*, CASE k.model WHEN 'dep' THEN dep_delay ELSE arr_delay END AS delay,
+    rws AS MATERIALIZED (SELECT k.request_id, k.model, asked.now, s.*, CASE k.model WHEN 'dep' THEN dep_delay ELSE arr_delay END AS delay,
                    date_sub('minute', asked.now, CASE k.model WHEN 'dep' THEN planned_dep ELSE planned_arr END) AS minutes_ahead, seen.seen_delay, {GROUP} AS grp
             FROM keys k JOIN asked USING (request_id) JOIN stops s ON s.run_id = k.run_id AND s.stop_num = k.stop_num
             LEFT JOIN seen ON seen.request_id = k.request_id AND seen.run_id = k.run_id),
-    rw AS (SELECT *, CASE WHEN seen_delay IS NULL THEN 'not seen' WHEN minutes_ahead <= 15 THEN 'seen, up to 15 min' WHEN minutes_ahead <= 60 THEN 'seen, 15 to 60 min' ELSE 'seen, over 60 min' END AS cas FROM rws)"""
+    rw AS MATERIALIZED (SELECT *, CASE WHEN seen_delay IS NULL THEN 'not seen' WHEN minutes_ahead <= 15 THEN 'seen, up to 15 min' WHEN minutes_ahead <= 60 THEN 'seen, 15 to 60 min' ELSE 'seen, over 60 min' END AS cas FROM rws)"""
 
 
 def _history(e: str, rows: str, name: str) -> str:
@@ -66,12 +66,12 @@ def _history(e: str, rows: str, name: str) -> str:
     q = f"quantile_cont(CAST({e}_delay AS DOUBLE), [0.5, 0.8, 0.95])"
     return rf"""
     {name}_days AS (SELECT DISTINCT run_day AS day FROM {rows}),
-    {name}_hist AS (SELECT day, s.* FROM {name}_days JOIN stops s ON s.run_day < day AND s.run_day >= day - INTERVAL 14 DAY
+    {name}_hist AS MATERIALIZED (SELECT day, s.* FROM {name}_days JOIN stops s ON s.run_day < day AND s.run_day >= day - INTERVAL 14 DAY
                     WHERE {e}_delay IS NOT NULL AND NOT {e}_canceled AND greatest(planned_arr, planned_dep, act_arr, act_dep) < day),
     {name}_0 AS (SELECT day, train_key, station, {q} AS q FROM {name}_hist GROUP BY ALL HAVING count(*) >= 10),
     {name}_1 AS (SELECT day, station, {e}_hour AS h, {q} AS q FROM {name}_hist GROUP BY ALL HAVING count(*) >= 10),
     {name}_2 AS (SELECT day, {q} AS q FROM {name}_hist GROUP BY ALL),
-    {name} AS (SELECT r.*, CASE WHEN r.{e}_hour IS NOT NULL THEN coalesce(a.q, b.q, c.q) END AS usual, CASE WHEN r.{e}_hour IS NOT NULL THEN c.q END AS overall
+    {name} AS MATERIALIZED (SELECT r.*, CASE WHEN r.{e}_hour IS NOT NULL THEN coalesce(a.q, b.q, c.q) END AS usual, CASE WHEN r.{e}_hour IS NOT NULL THEN c.q END AS overall
                FROM {rows} r LEFT JOIN {name}_0 a ON a.day = r.run_day AND a.train_key = r.train_key AND a.station = r.station
                LEFT JOIN {name}_1 b ON b.day = r.run_day AND b.station = r.station AND b.h = r.{e}_hour LEFT JOIN {name}_2 c ON c.day = r.run_day)"""
 
@@ -84,7 +84,7 @@ PREDICTED = (
     + _history("dep", "rw_dep", "pd")
     + r""",
     events_pred AS (SELECT * FROM pa UNION ALL SELECT * FROM pd),
-    pred AS (SELECT *, 'global' AS method, overall AS q FROM events_pred UNION ALL SELECT *, 'train_station', usual FROM events_pred
+    pred AS MATERIALIZED (SELECT *, 'global' AS method, overall AS q FROM events_pred UNION ALL SELECT *, 'train_station', usual FROM events_pred
              UNION ALL SELECT *, 'carry_forward', CASE WHEN seen_delay IS NOT NULL AND usual IS NOT NULL THEN [seen_delay + (usual[1] - usual[1]), seen_delay + (usual[2] - usual[1]), seen_delay + (usual[3] - usual[1])] ELSE usual END FROM events_pred)"""
 )
 SCORED = r"""
@@ -97,11 +97,11 @@ TRANSFERS = r"""
     chg AS (SELECT m.method, a.request_id, a.route, a.leg, a.run_id, a.to_stop_num, b.run_id AS next_run, b.from_stop_num AS next_stop, date_sub('minute', a.arr, b.dep) - 2 AS room, pa1.q AS q, pb.q AS dq
             FROM (VALUES ('global'), ('train_station')) m(method), legs a JOIN legs b ON a.request_id = b.request_id AND a.route = b.route AND b.leg = a.leg + 1
             LEFT JOIN pred pa1 ON pa1.method = m.method AND pa1.model = 'arr' AND pa1.request_id = a.request_id AND pa1.run_id = a.run_id AND pa1.stop_num = a.to_stop_num
-            LEFT JOIN pred pb ON pb.method = m.method AND pb.model = 'dep' AND pb.request_id = b.request_id AND pb.run_id = b.run_id AND pb.stop_num = b.from_stop_num),
+            LEFT JOIN pred pb ON pb.method = 'carry_forward' AND pb.model = 'dep' AND pb.request_id = b.request_id AND pb.run_id = b.run_id AND pb.stop_num = b.from_stop_num),
     wt AS (SELECT *, room + greatest(coalesce(dq[1], 0), 0) AS wait, greatest(q[2], q[1] + 0.5) AS q80, greatest(q[3], greatest(q[2], q[1] + 0.5) + 0.5) AS q95 FROM chg),
     pr AS (SELECT *, CASE WHEN q IS NULL THEN NULL WHEN wait < q[1] THEN 0.5 * exp((wait - q[1]) * ln(2.5) / (q80 - q[1])) WHEN wait < q80 THEN 0.5 + 0.3 * (wait - q[1]) / (q80 - q[1])
                      WHEN wait < q95 THEN 0.8 + 0.15 * (wait - q80) / (q95 - q80) ELSE 1 - 0.05 * exp(-(wait - q95) * ln(4) / (q95 - q80)) END AS p FROM wt),
-    tr AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN p >= 0.97 THEN 1 WHEN p >= 0.8 THEN 2 WHEN p >= 0.5 THEN 3 ELSE 4 END AS level FROM pr)"""
+    tr AS MATERIALIZED (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN p >= 0.97 THEN 1 WHEN p >= 0.8 THEN 2 WHEN p >= 0.5 THEN 3 ELSE 4 END AS level FROM pr)"""
 
 OUTCOME = r"""
     oc AS (SELECT tr.*, coalesce(i.arr_canceled, false) OR coalesce(o.dep_canceled, false) AS canceled,
@@ -153,7 +153,7 @@ ORACLE_SQL = {
     + "SELECT run_id, stop_num, coalesce(translated, dest, station) AS final_destination FROM rawd LEFT JOIN names ON names.xml IS NOT DISTINCT FROM rawd.dest",
     "connections": _with(STOPS, CONNS) + "SELECT run_id, station, stop_num, next_station, next_stop_num, dep, dep_actual, dep_canceled, arr, arr_actual, arr_canceled FROM conns",
     "timetable_day": _with(
-        STOPS.replace("stops AS (", "all_stops AS (")
+        STOPS.replace("stops AS MATERIALIZED (", "all_stops AS MATERIALIZED (")
         + """, stops AS (SELECT * FROM all_stops WHERE run_day BETWEEN '2024-01-19' AND '2024-01-21' AND coalesce(planned_dep, planned_arr) BETWEEN '2024-01-19 12:00:00' AND '2024-01-21 12:00:00')""",
         CONNS,
     )
@@ -179,9 +179,16 @@ ORACLE_SQL = {
         WHERE greatest(planned_arr + to_minutes(arr_delay), planned_dep + to_minutes(dep_delay)) >= '2024-01-20 13:00:00'""",
     "baseline_global": _with(STOPS, QUERY, _history("arr", "qry", "h")) + f"SELECT run_id, stop_num, {Q6.format(q='overall')} FROM h",
     "baseline_train_station": _with(STOPS, QUERY, _history("arr", "qry", "h")) + f"SELECT run_id, stop_num, {Q6.format(q='usual')} FROM h",
-    "baseline_carry_forward": _with(STOPS, LOG, _last_known(*CUT["last_known_arr"], where="s.run_day >= '2024-01-15'"), _history("arr", "lk", "h"))
-    + f"""SELECT run_id, stop_num, {Q6.format(q="v")} FROM (SELECT *, CASE WHEN last_known_delay IS NOT NULL AND usual IS NOT NULL
-        THEN [last_known_delay + (usual[1] - usual[1]), last_known_delay + (usual[2] - usual[1]), last_known_delay + (usual[3] - usual[1])] ELSE usual END AS v FROM h)""",
+    "baseline_carry_forward": _with(
+        STOPS,
+        LOG,
+        QUERY,
+        """ at_now AS (SELECT run_id, arg_max(delay, (time, i, NOT is_arr)) AS seen_delay FROM log WHERE time < TIMESTAMP '2024-01-20 14:00' GROUP BY run_id),
+            sn AS (SELECT q.*, a.seen_delay FROM qry q LEFT JOIN at_now a ON a.run_id = q.run_id)""",
+        _history("arr", "sn", "h"),
+    )
+    + f"""SELECT run_id, stop_num, {Q6.format(q="v")} FROM (SELECT *, CASE WHEN seen_delay IS NOT NULL AND usual IS NOT NULL
+        THEN [seen_delay + (usual[1] - usual[1]), seen_delay + (usual[2] - usual[1]), seen_delay + (usual[3] - usual[1])] ELSE usual END AS v FROM h)""",
     "two_leg_journeys": _with(*ALL_LEGS) + "SELECT request_id, route, leg, run_id, from_station, from_stop_num, dep, to_station, to_stop_num, arr FROM legs",
     "route_stops_array": _with(*ALL_LEGS)
     + """SELECT request_id, route, leg, string_agg(s.station, ' ' ORDER BY s.stop_num) AS stops, count(*) AS n FROM legs JOIN stops s ON s.run_id = legs.run_id AND s.stop_num BETWEEN from_stop_num AND to_stop_num
