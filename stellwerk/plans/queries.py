@@ -25,7 +25,7 @@ def query(f: Callable[[DataFrame], DataFrame]) -> Callable:
 
 
 def dated(f: Callable) -> Callable:
-    """Registers a query over legs of the later days, as its SQL has it, and over those of every day (NAME_every_day, without SQL)."""
+    """Registers a query over legs of the later days, as its SQL has it, and over those of every day (NAME_every_day)."""
     QUERIES[f.__name__] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), r.FROM_DAY)
     QUERIES[f"{f.__name__}_every_day"] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), None)
     return f

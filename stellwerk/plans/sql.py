@@ -249,3 +249,8 @@ ORACLE_SQL = {
     )
     + """SELECT CAST(CAST(run_day AS DATE) AS VARCHAR) AS request_id, station, min(arr) AS arr FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE station <> 'ST9' GROUP BY ALL""",
 }
+
+#: The same over the legs of every day.
+DATED = ("last_seen", "two_leg_journeys", "route_stops_array", "replayed_transfers", "transfer_probability", "transfer_levels", "routes_ranked", "held_outcome", "brier_by_method",
+         "level_calibration", "pinball_scores", "scores_by_group", "score_grouping_sets", "loss_pivot", "shared_requests", "case_buckets")
+ORACLE_SQL |= {f"{name}_every_day": ORACLE_SQL[name].replace("late AS (SELECT * FROM conns WHERE run_day >= '2024-01-15')", "late AS (SELECT * FROM conns)") for name in DATED}
