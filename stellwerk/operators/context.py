@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellwerk.checkpoints import kept
 from stellwerk.functions.times import actual_time, day_of, minute_of_day, plus_minutes
 from stellwerk.operators.visibility import known_at, since
 from stellwerk.schema import CONTEXT_SIZE, DAYS_BACK, POOL_PER_TYPE, SAME_TRAIN_DAYS, WINDOW_MIN
@@ -55,53 +56,62 @@ def build_context(
         {"nth": F.row_number().over(Window.partitionBy("request_id").orderBy("train_type")), "n_types": F.count(F.lit(1)).over(Window.partitionBy("request_id"))}
     )
     now = F.col("now")
-    known = known_at(_windowed(stops, asked, max(days_back, same_train_days)), now).withColumn("minute", minute_of_day())
+    #: Requests meet stops by the query's runs, trains and stations, and only the general sample by the day alone.
+    asked, span = kept(asked), max(days_back, same_train_days)
     own_runs = query.select("request_id", "run_id").distinct()
-    own = known.join(own_runs, ["request_id", "run_id"], "left_semi").join(query.select(*ROW), list(ROW), "left_anti")
-    others = known.join(own_runs, ["request_id", "run_id"], "left_anti")
-    same = others.filter(since(now, same_train_days)).join(query.select("request_id", "train_key").distinct(), ["request_id", "train_key"], "left_semi")
+    keyed = lambda *keys: query.select("request_id", *keys).distinct().join(asked, "request_id")
+    strangers = lambda rows: rows.join(own_runs, ["request_id", "run_id"], "left_anti")
+    own = known_at(stops.join(keyed("run_id"), "run_id").filter(since(now, span)), now).join(query.select(*ROW), list(ROW), "left_anti")
+    same = strangers(known_at(_windowed(stops, keyed("train_key"), same_train_days, "train_key"), now).filter(since(now, same_train_days)))
     first = own.withColumn("grp", F.lit(0)).unionByName(same.withColumn("grp", F.lit(1)))
     by_day = F.when(F.col("grp") == 1, F.col("run_day"))
     by_stop = F.when(F.col("grp") == 0, -F.col("stop_num"))
     order = Window.partitionBy("request_id").orderBy("grp", F.desc_nulls_first(by_day), F.asc_nulls_first(by_stop), "run_id", "stop_num")
-    first = first.withColumn("nth_all", F.row_number().over(order)).filter(F.col("nth_all") <= size)
+    first = kept(first.withColumn("nth_all", F.row_number().over(order)).filter(F.col("nth_all") <= size).withColumn("minute", minute_of_day()))
 
-    local = others.filter(since(now, days_back)).join(query.select("request_id", "station").distinct(), ["request_id", "station"], "left_semi")
+    local = strangers(known_at(_windowed(stops, keyed("station"), days_back, "station"), now).filter(since(now, days_back))).withColumn("minute", minute_of_day())
     if skip_s_bahn:
         local = local.filter((F.col("train_type") != "S") | (F.col("has_s") == 1))
     latest = F.greatest(actual_time("arr"), actual_time("dep"))
-    recent = local.filter(latest >= plus_minutes(now, F.lit(-WINDOW_MIN)))
-    in_slot = local.join(query_slots(query), ["request_id", "station", "minute"], "left_semi").join(recent.select(*ROW), list(ROW), "left_anti")
+    latest_ok = F.coalesce(latest >= plus_minutes(now, F.lit(-WINDOW_MIN)), F.lit(False))
+    slots = query_slots(query).withColumn("slot", F.lit(True))
+    local = kept(local.join(slots, ["request_id", "station", "minute"], "left").withColumn("recent", latest_ok).filter(F.col("recent") | F.col("slot")))
+    recent = local.filter("recent").drop("recent", "slot")
+    in_slot = local.filter("slot and not recent").drop("recent", "slot")
     used = _counts(first, "used")
-    picked = _quota(recent.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(2))
+    picked = kept(_quota(recent.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(2)))
     used = _counts(first.select("request_id").unionByName(picked.select("request_id")), "used")
     slots = _quota(in_slot.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(3))
     near = first.unionByName(picked).unionByName(slots)
     keep = F.row_number().over(Window.partitionBy(*ROW).orderBy("grp", "nth_all"))
-    near = near.withColumn("keep", keep).filter("keep = 1").drop("keep")
+    near = kept(near.withColumn("keep", keep).filter("keep = 1").drop("keep"))
 
     used = _counts(near, "used")
-    pool = _thinned(others.filter(since(now, days_back)), stops, asked, types, size, days_back, seed)
+    pool = strangers(_thinned(stops, asked, types, size, days_back, seed)).withColumn("minute", minute_of_day())
     general = _quota(pool.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(4))
     general = general.join(near.select(*ROW), list(ROW), "left_anti")
     prio = F.row_number().over(Window.partitionBy("request_id").orderBy("grp", "nth_all"))
     return near.unionByName(general).withColumn("prio", prio).drop("nth_all", "has_s", "minute")
 
 
-def _windowed(stops: DataFrame, asked: DataFrame, days: int) -> DataFrame:
-    """Each request's stops of its day and so many days before: an equi-join on the day."""
-    per_day = asked.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("w_day", plus_minutes(day_of(F.col("now")), F.col("back") * -1440)).drop("back")
-    return stops.join(per_day, F.col("run_day") == F.col("w_day")).drop("w_day")
+def _windowed(stops: DataFrame, asked: DataFrame, days: int, *keys: str) -> DataFrame:
+    """Each request's stops (alike in keys) of its day and so many days before: an equi-join on the day."""
+    per_day = asked.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("run_day", plus_minutes(day_of(F.col("now")), F.col("back") * -1440)).drop("back")
+    return stops.join(per_day, ["run_day", *keys])
 
 
 def _counts(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("request_id").agg(F.count(F.lit(1)).alias(name))
 
 
-def _thinned(known: DataFrame, stops: DataFrame, asked: DataFrame, types: DataFrame, size: int, days_back: int, seed: int) -> DataFrame:
-    """Rows of the query's types from a per-mille share of runs, chosen so that each type gives about twice what it needs."""
-    n_rows = _windowed(stops, asked, days_back).groupBy("request_id", "train_type").agg(F.count(F.lit(1)).alias("n_rows"))
+def _thinned(stops: DataFrame, asked: DataFrame, types: DataFrame, size: int, days_back: int, seed: int) -> DataFrame:
+    """Known rows of the query's types from a per-mille share of runs, chosen so that each type gives about twice what it needs.
+
+    Rows are counted by day and type before requests meet them, and thinned in the join.
+    """
+    per_type = types.join(asked, "request_id")
+    n_rows = _windowed(stops.groupBy("run_day", "train_type").agg(F.count(F.lit(1)).alias("n")), per_type, days_back, "train_type").groupBy("request_id", "train_type").agg(F.sum("n").alias("n_rows"))
     target = F.greatest(F.lit(POOL_PER_TYPE), 2 * F.ceil(F.lit(size) / F.col("n_types")))
-    share = types.join(n_rows, ["request_id", "train_type"]).select("request_id", "train_type", F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(1000 * target / F.col("n_rows")))).alias("per_mille"))
-    kept = F.pmod(F.xxhash64("run_id", F.lit(seed)), F.lit(1000)) < F.col("per_mille")
-    return known.join(share, ["request_id", "train_type"]).filter(kept).drop("per_mille")
+    share = per_type.join(n_rows, ["request_id", "train_type"]).withColumn("per_mille", F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(1000 * target / F.col("n_rows")))))
+    rows = _windowed(stops.withColumn("mille", F.pmod(F.xxhash64("run_id", F.lit(seed)), F.lit(1000))), share.drop("nth", "n_types", "n_rows"), days_back, "train_type")
+    return known_at(rows.filter(F.col("mille") < F.col("per_mille")).drop("mille", "per_mille"), F.col("now"))

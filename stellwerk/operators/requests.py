@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.functions.risk import seen_case, train_group
-from stellwerk.functions.times import minutes_between
+from stellwerk.functions.times import minutes_between, plus_minutes
+from stellwerk.operators.sampling import busy_stations
 from stellwerk.operators.visibility import last_seen
+from stellwerk.schema import BUSY_STATIONS, FIRST_HOUR, LAST_HOUR, REQUESTS_PER_DAY
+
+
+def draw(key: Column, of: str) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of the key and a name."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{of}"))), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+def drawn_requests(stops: DataFrame, per_day: int = REQUESTS_PER_DAY, stations: int = BUSY_STATIONS, seed: int = 0) -> DataFrame:
+    """request_id, day, src, dst, depart: so many requests for each run day.
+
+    Both ends are drawn by their departures from the busiest stations, the end never being the start; the hours take
+    turns. Draws are hashes of day, number and seed. The weights of the stations, few by parameter, travel as one row.
+    """
+    busy = busy_stations(stops, stations)
+    below = F.coalesce(F.sum("departures").over(Window.orderBy(F.desc("departures"), "station").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = busy.withColumn("below", below).agg(F.sort_array(F.collect_list(F.struct("below", "departures", "station"))).alias("ends"), F.sum("departures").alias("total"))
+    days = stops.select(F.col("run_day").alias("day")).distinct()
+    asked = days.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1)))).withColumn("request_id", F.concat_ws("-", F.date_format("day", "yyyy-MM-dd"), F.col("nth").cast("string")))
+    key = F.concat_ws(":", "request_id", F.lit(str(seed)))
+    at = lambda t: F.element_at(F.filter("ends", lambda e: e["below"] <= t), -1)
+    asked = asked.crossJoin(F.broadcast(ends)).withColumn("s", at(F.floor(draw(key, "src") * F.col("total"))))
+    rest = F.floor(draw(key, "dst") * (F.col("total") - F.col("s.departures")))
+    asked = asked.withColumn("d", at(F.when(rest >= F.col("s.below"), rest + F.col("s.departures")).otherwise(rest)))
+    minute = (FIRST_HOUR + F.col("nth") % (LAST_HOUR - FIRST_HOUR + 1)) * 60 + F.floor(draw(key, "minute") * 60)
+    return asked.filter(F.col("total") > F.col("s.departures")).select("request_id", "day", F.col("s.station").alias("src"), F.col("d.station").alias("dst"), plus_minutes(F.col("day"), minute).alias("depart"))
 
 
 def request_rows(stops: DataFrame, requests: DataFrame, legs: DataFrame) -> DataFrame:

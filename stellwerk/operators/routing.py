@@ -2,8 +2,8 @@
 
 `earliest_arrivals` is relational: each round boards the runs that can be reached and rides them on,
 so a round is two joins on station and run, and rounds are as many as boardings. `journeys` needs the
-sequential connection scan (its ties depend on the order of departures); each request gets the
-connections of its day from Spark and is searched in a grouped kernel.
+sequential connection scan (its ties depend on the order of departures): the requests of a day and that
+day's timetable, with the nights before and after, meet in a grouped kernel.
 """
 
 from __future__ import annotations
@@ -106,6 +106,8 @@ def earliest_arrivals(conns: DataFrame, sources: DataFrame, boardings: int = 3)
     return best.filter(~F.col("source")).select("request_id", F.col("at").alias("station"), F.col("ready").alias("arr"))
 
 
+#: Requests of a day that are searched in one task.
+REQUESTS_TOGETHER = 500
 JOURNEY = (
     "request_id string, route long, leg long, run_id string, from_station string, from_stop_num int, dep timestamp_ntz, "
     "to_station string, to_stop_num int, arr timestamp_ntz"
@@ -136,24 +138,31 @@ def _scan(c: pd.DataFrame, deps: list, src: str, dst: str, depart) -> list[tuple
     return legs
 
 
-def journeys(conns: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
-    """Legs of up to n routes for each request (request_id, run_day, src, dst, depart): each search starts a minute after the last one's departure.
+def journeys(timetables: DataFrame, requests: DataFrame, n: int = 3, together: int = REQUESTS_TOGETHER) -> DataFrame:
+    """Legs of up to n routes for each request (request_id, day, src, dst, depart): each search starts a minute after the last one's departure.
 
-    Requests meet the connections of their day; a group is one request and one day's timetable.
+    timetables: connections with the day that they can be travelled from, see `visibility.timetables`. A group is the
+    timetable of one day, sorted once, and up to about `together` of that day's requests; a day with more has several groups.
     """
-    pairs = requests.join(conns.select("run_day", "run_id", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr"), "run_day")
+    parts = requests.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts"))
+    asked = requests.join(parts, "day").withColumn("part", F.pmod(F.xxhash64("request_id"), F.col("parts")).cast("int")).drop("parts")
+    conns = timetables.select("day", "run_id", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr").join(parts, "day")
+    conns = conns.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
+    def search(asked: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["dep", "arr", "run_id", "stop_num"], kind="stable").reset_index(drop=True)
         c = list(zip(g.run_id, g.station, g.next_station, g.dep, g.arr, strict=True))
-        deps, start, out = list(g.dep), g.depart[0], []
-        for route in range(n):
-            legs = _scan(c, deps, g.src[0], g.dst[0], start)
-            if not legs:
-                break
-            for k, (a, b) in enumerate(legs):
-                out.append((g.request_id[0], route, k, g.run_id[a], g.station[a], g.stop_num[a], g.dep[a], g.next_station[b], g.next_stop_num[b], g.arr[b]))
-            start = g.dep[legs[0][0]] + timedelta(minutes=1)
+        deps, out = list(g.dep), []
+        for request in asked.itertuples():
+            start = request.depart
+            for route in range(n):
+                legs = _scan(c, deps, request.src, request.dst, start)
+                if not legs:
+                    break
+                for k, (a, b) in enumerate(legs):
+                    out.append((request.request_id, route, k, g.run_id[a], g.station[a], g.stop_num[a], g.dep[a], g.next_station[b], g.next_stop_num[b], g.arr[b]))
+                start = g.dep[legs[0][0]] + timedelta(minutes=1)
         return pd.DataFrame(out, columns=[f.split()[0] for f in JOURNEY.split(", ")])
 
-    return pairs.groupBy("request_id").applyInPandas(search, JOURNEY)
+    keys = ("day", "part")
+    return asked.groupBy(*keys).cogroup(conns.select(*[F.col(c).alias(c) for c in conns.columns]).groupBy(*keys)).applyInPandas(search, JOURNEY)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stellwerk.functions.risk import train_group
 from stellwerk.operators.visibility import at_cutoff
-from stellwerk.functions.times import plus_minutes
-from stellwerk.schema import ROWS_PER_TYPE, RUNS_PER_GROUP
+from stellwerk.functions.times import last_event_time, plus_minutes
+from stellwerk.schema import HISTORY_DAYS, ROWS_PER_TYPE, RUNS_PER_GROUP
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -40,10 +40,42 @@ def busy_stations(stops: DataFrame, n: int) -> DataFrame:
     return stops.filter("planned_dep is not null").groupBy("station").agg(F.count(F.lit(1)).alias("departures")).orderBy(F.desc("departures"), "station").limit(n)
 
 
+def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str) -> DataFrame:
+    """At most cap rows alike in keys: those with the least order (a 64-bit hash), then by ties.
+
+    Rows are counted by the hash's upper 12 bits; whole ranges are taken or left, and only the range in which the cap lies is sorted.
+    """
+    marked = rows.withColumns({"order_": order, "range_": F.shiftright(order, 52)})
+    counts = marked.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n_"))
+    counts = counts.withColumn("below_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_")) - F.col("n_")).filter(F.col("below_") < cap)
+    marked = marked.join(counts, [*keys, "range_"])
+    whole = F.col("below_") + F.col("n_") <= cap
+    nth = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy("order_", *ties))
+    last = marked.filter(~whole).withColumn("nth_", nth).filter(F.col("nth_") <= cap - F.col("below_")).drop("nth_")
+    return marked.filter(whole).unionByName(last).drop("order_", "range_", "n_", "below_")
+
+
+def _with_cutoff(rows: DataFrame, stops: DataFrame, model: str, horizon: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
+    ahead = F.pmod(hash_order(seed + 1, *keys), F.lit(horizon))
+    return at_cutoff(rows, stops, plus_minutes(F.col(f"planned_{model}"), -ahead), model, keys)
+
+
 def capped_training_rows(stops: DataFrame, model: str, cap: int = ROWS_PER_TYPE, horizon: int = 360, seed: int = 0) -> DataFrame:
     """Usable rows, at most cap of each train type, with a cutoff up to horizon minutes ahead and what was known then."""
     usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
-    rank = F.row_number().over(Window.partitionBy("train_type").orderBy(hash_order(seed, "run_id", "stop_num"), "run_id", "stop_num"))
-    rows = usable.withColumn("nth", rank).filter(F.col("nth") <= cap).drop("nth")
-    ahead = F.pmod(hash_order(seed + 1, "run_id", "stop_num"), F.lit(horizon))
-    return at_cutoff(rows, stops, plus_minutes(F.col(f"planned_{model}"), -ahead), model)
+    rows = capped(usable, ["train_type"], cap, hash_order(seed, "run_id", "stop_num"), "run_id", "stop_num")
+    return _with_cutoff(rows, stops, model, horizon, seed, ("run_id", "stop_num"))
+
+
+def training_rows(stops: DataFrame, days: DataFrame, model: str, cap: int = ROWS_PER_TYPE, horizon: int = 360, seed: int = 0, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """For each of days (day), the usable rows of the days before it whose last event lies before it, capped and cut off as above.
+
+    Nothing of the day itself, or that ended on it, is learned from.
+    """
+    usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
+    first = F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1))
+    last = F.date_add("run_day", history_days)
+    dealt = usable.withColumns({"first_": first, "last_": last}).filter("first_ <= last_").withColumn("day", F.explode(F.sequence("first_", "last_")))
+    dealt = dealt.withColumn("day", F.col("day").cast("timestamp_ntz")).drop("first_", "last_").join(days.select("day").distinct(), "day", "left_semi")
+    rows = capped(dealt, ["day", "train_type"], cap, hash_order(seed, "run_id", "stop_num"), "run_id", "stop_num")
+    return _with_cutoff(rows, stops, model, horizon, seed, ("day", "run_id", "stop_num"))

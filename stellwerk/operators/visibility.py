@@ -23,13 +23,13 @@ def since(now: Column, days: int) -> Column:
     return F.col("run_day") >= plus_minutes(day_of(now), F.lit(-1440 * days))
 
 
-def connections(stops: DataFrame) -> DataFrame:
-    """Hops between consecutive stops of a run that do not arrive before they depart."""
-    run = Window.partitionBy("run_id").orderBy("stop_num")
+def connections(stops: DataFrame, *by: str) -> DataFrame:
+    """Hops between consecutive stops of a run that do not arrive before they depart; `by`: columns whose values are kept apart, and carried."""
+    run = Window.partitionBy(*by, "run_id").orderBy("stop_num")
     ahead = {f"next_{c}": F.lead(c).over(run) for c in ("station", "stop_num", "planned_arr", "arr_delay", "arr_canceled")}
     hops = stops.withColumns(ahead).filter("planned_dep is not null and next_planned_arr is not null and next_planned_arr >= planned_dep")
     return hops.select(
-        "run_id", "run_day", "train_key", "line_number", "station", "stop_num", "next_station", "next_stop_num", F.col("planned_dep").alias("dep"),
+        *by, "run_id", "run_day", "train_key", "line_number", "station", "stop_num", "next_station", "next_stop_num", F.col("planned_dep").alias("dep"),
         actual_time("dep").alias("dep_actual"), "dep_canceled", F.col("next_planned_arr").alias("arr"),
         plus_minutes(F.col("next_planned_arr"), F.col("next_arr_delay")).alias("arr_actual"), F.col("next_arr_canceled").alias("arr_canceled"),
     )
@@ -44,6 +44,15 @@ def timetable(stops: DataFrame, day: str) -> DataFrame:
     return connections(near).filter(F.col("dep") >= start)
 
 
+def timetables(stops: DataFrame, days: DataFrame) -> DataFrame:
+    """The timetable of each of days (day), with the day: every stop is dealt to its run's day and the two next to it."""
+    around = F.explode(F.array(*[plus_minutes(F.col("run_day"), F.lit(1440 * k)) for k in (-1, 0, 1)]))
+    near = stops.withColumn("day", around).join(days.select("day").distinct(), "day", "left_semi")
+    planned = F.coalesce("planned_dep", "planned_arr")
+    near = near.filter(planned.between(plus_minutes(F.col("day"), F.lit(-720)), plus_minutes(F.col("day"), F.lit(2160))))
+    return connections(near, "day").filter(F.col("dep") >= F.col("day"))
+
+
 def stop_index(stops: DataFrame) -> DataFrame:
     """run_id, stop_num, stop_index: stops numbered by planned time within the run; null without a time."""
     time = F.coalesce("planned_arr", "planned_dep")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stellwerk.functions import risk as risk_f
 from stellwerk.functions.times import minute_of_day
-from stellwerk.operators import baselines, context, metrics, model, risk, routing, sampling, visibility
+from stellwerk.operators import baselines, context, metrics, model, requests, risk, routing, sampling, visibility
 from stellwerk.plans import relations as r
 from stellwerk.schema import QCOLS
 from stellwerk.sources import stops as source
@@ -315,10 +315,27 @@ def _reach(stops, boardings):
 
 @query
 def journeys(stops):
-    conns = visibility.connections(stops)
-    days = stops.groupBy("run_day").agg(F.min("planned_dep").alias("depart"))
-    asked = days.select(F.date_format("run_day", "yyyy-MM-dd").alias("request_id"), "run_day", F.lit("ST9").alias("src"), F.lit("ST2").alias("dst"), "depart")
-    return routing.journeys(conns, asked)
+    days = stops.groupBy(F.col("run_day").alias("day")).agg(F.min("planned_dep").alias("depart"))
+    asked = days.select(F.date_format("day", "yyyy-MM-dd").alias("request_id"), "day", F.lit("ST9").alias("src"), F.lit("ST2").alias("dst"), "depart")
+    return routing.journeys(visibility.timetables(stops, asked), asked)
+
+
+@query
+def drawn_requests(stops):
+    return requests.drawn_requests(stops)
+
+
+@query
+def drawn_journeys(stops):
+    """Routes of the drawn requests of every day."""
+    asked = r.kept(requests.drawn_requests(stops))
+    return routing.journeys(visibility.timetables(stops, asked), asked)
+
+
+@query
+def day_timetables(stops):
+    """The timetable of every run day, with the nights before and after."""
+    return visibility.timetables(stops, stops.select(F.col("run_day").alias("day"))).select("day", "run_id", "station", "stop_num", "next_station", "dep", "arr")
 
 
 def _query_rows(stops):
@@ -352,6 +369,20 @@ def capped_training_rows(stops):
     return found.select("run_id", "stop_num", "train_type", "arr_delay", "last_known_delay", "minutes_since_known", "stops_since_known")
 
 
+@query
+def training_rows(stops):
+    """What may be learned from on each run day."""
+    found = sampling.training_rows(stops, stops.select(F.col("run_day").alias("day")), "arr")
+    return found.select("day", "run_id", "stop_num", "train_type", "arr_delay", "last_known_delay", "minutes_since_known", "stops_since_known")
+
+
+@query
+def training_history(stops):
+    """How many rows of each train type may be learned from on each run day."""
+    found = sampling.training_rows(stops, stops.select(F.col("run_day").alias("day")), "arr")
+    return found.groupBy("day", "train_type").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("runs"), F.sum(F.col("arr_delay").cast("long")).alias("delays"))
+
+
 @query
 def bootstrap_diff(stops):
     losses = metrics.loss_pivot(_scored(stops, None), ["global", "train_station"], "request_id", "run_id", "stop_num", "model")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stellwerk.checkpoints import kept
 from stellwerk.operators import baselines, risk, routing, visibility
 from stellwerk.operators.requests import request_rows
 from stellwerk.sources.stops import from_events
@@ -16,19 +16,6 @@ FROM_DAY = "2024-01-15"
 NOW = "2024-01-20 14:00:00"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: lineage and plan end there, so that what reads it several times stays small.
-
-    The folder is the one that spark.checkpoint.dir names, or one of our own where it is unset (tests).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def at(time: str):
     return F.lit(time).cast("timestamp_ntz")
 

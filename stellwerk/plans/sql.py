@@ -254,3 +254,29 @@ ORACLE_SQL = {
 DATED = ("last_seen", "two_leg_journeys", "route_stops_array", "replayed_transfers", "transfer_probability", "transfer_levels", "routes_ranked", "held_outcome", "brier_by_method",
          "level_calibration", "pinball_scores", "scores_by_group", "score_grouping_sets", "loss_pivot", "shared_requests", "case_buckets")
 ORACLE_SQL |= {f"{name}_every_day": ORACLE_SQL[name].replace("late AS (SELECT * FROM conns WHERE run_day >= '2024-01-15')", "late AS (SELECT * FROM conns)") for name in DATED}
+_DRAW = "(CAST('0x' || substr(md5(request_id || ':0:{of}'), 1, 13) AS BIGINT) / 4503599627370496.0)"
+ORACLE_SQL |= {
+    "drawn_requests": _with(
+        STOPS,
+        f""" busy AS (SELECT station, count(*) AS n FROM stops WHERE planned_dep IS NOT NULL GROUP BY station ORDER BY 2 DESC, 1 LIMIT 300),
+            ends AS (SELECT station, n, CAST(coalesce(sum(n) OVER (ORDER BY n DESC, station ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below FROM busy),
+            whole AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM ends),
+            ask AS (SELECT run_day AS day, k, CAST(CAST(run_day AS DATE) AS VARCHAR) || '-' || k AS request_id FROM (SELECT DISTINCT run_day FROM stops), range(30) r(k)),
+            drew AS (SELECT *, CAST(floor({_DRAW.format(of="src")} * total) AS BIGINT) AS u FROM ask, whole),
+            src AS (SELECT drew.*, station AS src, n, below FROM drew JOIN ends ON u >= below AND u < below + n),
+            more AS (SELECT *, CAST(floor({_DRAW.format(of="dst")} * (total - n)) AS BIGINT) AS v0 FROM src WHERE total > n),
+            v AS (SELECT *, CASE WHEN v0 >= below THEN v0 + n ELSE v0 END AS v FROM more)""",
+    )
+    + f"""SELECT request_id, day, src, e.station AS dst, day + to_minutes(CAST((6 + k % 17) * 60 + floor({_DRAW.format(of="minute")} * 60) AS BIGINT)) AS depart
+        FROM v JOIN ends e ON v >= e.below AND v < e.below + e.n""",
+    "day_timetables": _with(
+        STOPS,
+        """ near AS (SELECT s.*, d.day FROM stops s JOIN (SELECT DISTINCT run_day AS day FROM stops) d ON s.run_day BETWEEN d.day - INTERVAL 1 DAY AND d.day + INTERVAL 1 DAY
+                     AND coalesce(planned_dep, planned_arr) BETWEEN d.day - INTERVAL 12 HOUR AND d.day + INTERVAL 36 HOUR),
+            hops AS (SELECT *, lead(station) OVER w AS next_station, lead(planned_arr) OVER w AS arr FROM near WINDOW w AS (PARTITION BY day, run_id ORDER BY stop_num))""",
+    )
+    + "SELECT day, run_id, station, stop_num, next_station, planned_dep AS dep, arr FROM hops WHERE arr >= planned_dep AND planned_dep >= day",
+}
+ORACLE_SQL["training_history"] = _with(STOPS) + """SELECT d.day, train_type, count(*) AS n_rows, count(DISTINCT run_id) AS runs, CAST(sum(arr_delay) AS BIGINT) AS delays
+    FROM (SELECT DISTINCT run_day AS day FROM stops) d JOIN stops s ON s.run_day < d.day AND s.run_day >= d.day - INTERVAL 14 DAY
+    WHERE arr_delay IS NOT NULL AND NOT arr_canceled AND greatest(planned_arr, planned_dep, act_arr, act_dep) < d.day GROUP BY d.day, train_type"""

@@ -9,6 +9,7 @@ LEVEL_CUTS = (0.97, 0.8, 0.5)
 PLAUSIBLE_MIN = 1200
 HISTORY_DAYS, MIN_COUNT = 14, 10
 WINDOW_MIN, DAYS_BACK, SAME_TRAIN_DAYS, CONTEXT_SIZE, POOL_PER_TYPE = 60, 7, 7, 10_000, 5_000
+BUSY_STATIONS, FIRST_HOUR, LAST_HOUR, REQUESTS_PER_DAY = 300, 6, 22, 30
 RUNS_PER_GROUP, ROWS_PER_TYPE, DRAWS = 60, 200_000, 2_000
 
 #: One row per stop of a run; a run is one ride of one day.
