@@ -52,7 +52,7 @@ def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str
     whole = F.col("below_") + F.col("n_") <= cap
     nth = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy("order_", *ties))
     last = marked.filter(~whole).withColumn("nth_", nth).filter(F.col("nth_") <= cap - F.col("below_")).drop("nth_")
-    return marked.filter(whole).unionByName(last).drop("order_", "range_", "n_", "below_")
+    return marked.filter(whole).unionByName(last).select(*rows.columns)
 
 
 def _with_cutoff(rows: DataFrame, stops: DataFrame, model: str, horizon: int, seed: int, keys: tuple[str, ...]) -> DataFrame:

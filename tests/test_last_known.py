@@ -1,45 +1,79 @@
-"""As-of rules on hand-made runs."""
+"""What is known of a run at a moment, against a plain reading of its events."""
 
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellwerk.operators.visibility import known_at, with_last_known
+from stellwerk.operators.visibility import known_at, last_seen, with_last_known
+from stellwerk.streaming.last_known import last_known_stream
 
-NOW = datetime(2026, 9, 20, 14)
 SCHEMA = "run_id string, run_day timestamp_ntz, stop_num int, planned_arr timestamp_ntz, planned_dep timestamp_ntz, arr_delay int, dep_delay int"
-PLAN = [(None, "13:00"), ("13:40", "13:50"), ("14:30", "14:32"), ("15:00", None)]
+DAY = datetime(2031, 3, 4)
+#: Planned minutes after six, and delays, of each stop; the third stop of the ferry was left out by its skipper.
+RUNS = {
+    ("ferry", 0): [(None, 0, None, 1), (25, 27, 3, 3), (40, 41, None, None), (70, 75, 20, 16), (90, None, 9, None)],
+    ("ferry", -1): [(None, 0, None, 0), (25, 27, 8, 7), (40, 41, 6, 6), (70, 75, 2, 2), (90, None, 1, None)],
+    ("tram", 0): [(None, 30, None, 0), (30, 30, 0, 0), (61, None, 2, None)],
+}
 
 
-def run(name, day, delays, plan=PLAN):
-    at = lambda c: c and datetime.combine(day, datetime.strptime(c, "%H:%M").time())
-    midnight = datetime.combine(day, datetime.min.time())
-    return [(name, midnight, k, at(a), at(d), x, y) for k, ((a, d), (x, y)) in enumerate(zip(plan, delays, strict=True), 1)]
+def moment(day, minutes):
+    return None if minutes is None else DAY + timedelta(days=day, hours=6, minutes=minutes)
+
+
+def rows():
+    return [(f"{n}{d}", DAY + timedelta(days=d), k, moment(d, a), moment(d, p), x, y) for (n, d), plan in RUNS.items() for k, (a, p, x, y) in enumerate(plan, 1)]
 
 
 @pytest.fixture(scope="module")
 def stops(spark):
-    today = NOW.date()
-    rows = run("today", today, [(None, 4), (6, 12), (13, 13), (15, None)])
-    rows += run("week ago", today - timedelta(days=7), [(None, 2), (5, 5), (3, 3), (2, None)])
-    rows += run("later", today, [(None, 0), (1, None)], [(None, "15:00"), ("16:00", None)])
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-@pytest.mark.parametrize(
-    ("name", "stop", "model", "replay", "want"),
-    [
-        ("today", 3, "arr", False, (6, 50, 1)), ("today", 2, "dep", False, (6, 10, 0)), ("later", 2, "arr", False, (None, None, None)),
-        ("week ago", 3, "arr", True, (5, 40, 1)), ("week ago", 2, "arr", True, (2, 40, 1)),
-    ],
-)
-def test_last_known(stops, name, stop, model, replay, want):
-    rows = stops.filter((F.col("run_id") == name) & (F.col("stop_num") == stop))
-    (found,) = with_last_known(rows, stops, F.lit(NOW).cast("timestamp_ntz"), model, replay).collect()
-    assert (found.last_known_delay, found.minutes_since_known, found.stops_since_known) == want
-
-
-def test_known_at_is_strict(spark, stops):
-    found = known_at(stops.filter("run_id = 'today'"), F.lit("2026-09-20 14:02:00").cast("timestamp_ntz")).orderBy("stop_num").collect()
-    assert [(r.stop_num, r.arr_delay, r.dep_delay) for r in found] == [(1, None, 4), (2, 6, None)]
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+def expected(run, stop, model, now, replay):
+    """The last event before the cutoff at an earlier stop, or the arrival at the same one for a departure."""
+    own = next(r for r in rows() if (r[0], r[2]) == (run, stop))
+    planned, delay = (own[3], own[5]) if model == "arr" else (own[4], own[6])
+    cut = now
+    if replay:
+        cut = min(x for x in (now, planned.replace(hour=now.hour, minute=now.minute), delay is not None and planned + timedelta(minutes=delay)) if x)
+    events = [(t + timedelta(minutes=d), k, e, t, d) for r, _, k, a, p, x, y in rows() if r == run for e, t, d in ((0, a, x), (1, p, y)) if t and d is not None]
+    seen = [v for v in events if v[0] < cut and (v[1] < stop or (model == "dep" and v[1] == stop and v[2] == 0))]
+    if not seen:
+        return (None, None, None)
+    _, k, _, t, d = max(seen)
+    return d, int((planned - t).total_seconds() // 60), stop - k
+
+
+@pytest.mark.parametrize("model", ["arr", "dep"])
+@pytest.mark.parametrize("replay", [False, True])
+@pytest.mark.parametrize("minutes", [0, 1, 28, 30, 60, 91, 300])
+def test_last_known(stops, model, replay, minutes):
+    now = moment(0, minutes)
+    found = with_last_known(stops.filter(f"planned_{model} is not null"), stops, F.lit(now).cast("timestamp_ntz"), model, replay).collect()
+    assert len(found) == 10
+    for r in found:
+        assert (r.last_known_delay, r.minutes_since_known, r.stops_since_known) == expected(r.run_id, r.stop_num, model, now, replay), r
+
+
+def test_an_event_at_the_moment_itself_is_not_known(stops):
+    at = lambda m: {(r.run_id, r.stop_num): (r.arr_delay, r.dep_delay) for r in known_at(stops.filter("run_day >= '2031-03-04'"), F.lit(moment(0, m)).cast("timestamp_ntz")).collect()}
+    assert at(28) == {("ferry0", 1): (None, 1)}
+    assert at(29) == {("ferry0", 1): (None, 1), ("ferry0", 2): (3, None)}
+
+
+def test_last_seen_takes_any_stop(spark, stops):
+    asked = spark.createDataFrame([("a", "ferry0", moment(0, 91)), ("b", "ferry0", moment(0, 1)), ("c", "tram0", moment(0, 31))], "request_id string, run_id string, now timestamp_ntz")
+    assert {r.request_id: r.seen_delay for r in last_seen(stops, asked).collect()} == {"a": 20, "b": None, "c": 0}
+
+
+def test_stream_and_table_agree(spark, tmp_path):
+    schema = "run_id string, time timestamp, index int, is_arr boolean, delay int"
+    rows = [(r, datetime(2031, 3, 4, 6, m), m, m % 2 == 0, d) for r, m, d in (("a", 5, 1), ("a", 50, 4), ("b", 10, 2), ("a", 50, 9))]
+    spark.createDataFrame(rows, schema).repartition(1).write.parquet(f"{tmp_path}/in")
+    query = last_known_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    found = sorted((r.run_id, r.delay) for r in spark.table("seen").collect())
+    assert found == sorted((r.run_id, r.delay) for r in last_known_stream(spark.createDataFrame(rows, schema)).collect())
+    assert [k for k, _ in found] == ["a", "b"] and dict(found)["b"] == 2
