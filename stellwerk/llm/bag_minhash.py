@@ -205,14 +205,15 @@ def _classes(members: DataFrame, texts: DataFrame, width: int, threshold: float)
     first = left.groupBy(F.col("bucket").alias("h_bucket")).agg(F.max(F.struct("rank", "id"))["id"].alias("h_id"))
     with_first = left.join(first, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") != F.col("h_id"))).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
     found = components(_linked(stored(within.unionByName(with_first).distinct(), "tested"), texts, width, threshold))
-    left = _without(left, first).join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", F.coalesce("component", "id").alias("component"))
+    now = F.coalesce("component", "id").alias("component")
+    left = stored(left.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "rank", "size", now), "placed")
+    hubs = first.select(F.col("h_bucket").alias("bucket"), F.col("h_id").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", now)
     joined, links, hubs_each = None, None, 1
-    while not (left := stored(_open(left, links), "open")).isEmpty():
+    while not (left := stored(_open(left, hubs, links), "open")).isEmpty():
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
         hubs = stored(left.filter("component != main").withColumn("nth", nth).filter(F.col("nth") <= hubs_each).select("bucket", "id", "component", "size"), "hubs")
         links = _hub_links(hubs, left.select("bucket", "id", "component", "size"), texts, width, threshold)
         joined = links if joined is None else joined.unionByName(links)
-        left = _without(left.drop("main"), hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id")))
         hubs_each *= HUBS_GROW
     if joined is None:
         return found
@@ -274,23 +275,23 @@ def _block_links(block: pa.Table, width: int, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _without(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The members that are not yet compared with all others of their bucket."""
-    return members.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") == F.col("h_id")), "left_anti")
+def _open(members: DataFrame, hubs: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The members, but for the hubs that have met all others, of the buckets in which two components or more are left, with main, the bucket's largest.
 
-
-def _open(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The members of the buckets in which two components or more are left, with main, the bucket's largest.
-
-    links join components; they are told to the few (bucket, component), and only members of open buckets learn of it.
+    links join components. They are told, and hubs taken off, in the few (bucket, component); only members of open buckets are read on.
     """
-    parts = members.groupBy("bucket", F.col("component").alias("was")).agg(F.count(F.lit(1)).alias("n")).withColumn("component", F.col("was"))
+    met = hubs.groupBy(F.col("bucket").alias("g_bucket"), F.col("component").alias("g_was")).agg(F.count(F.lit(1)).alias("met"))
+    parts = members.groupBy("bucket", F.col("component").alias("was")).agg(F.count(F.lit(1)).alias("all"))
+    parts = parts.join(met, (F.col("bucket") == F.col("g_bucket")) & (F.col("was") == F.col("g_was")), "left").withColumn("n", F.col("all") - F.coalesce("met", F.lit(0))).filter("n > 0")
+    parts = parts.select("bucket", "was", "n", F.col("was").alias("component"))
     parts = stored(parts if links is None else _relabelled(parts, components(links)), "parts")
     now = parts.groupBy(F.col("bucket").alias("m_bucket"), "component").agg(F.sum("n").alias("n"))
     main = now.groupBy("m_bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     by = parts.join(main, F.col("bucket") == F.col("m_bucket")).select("m_bucket", "was", F.col("component").alias("is"), "main")
-    rows = members.join(by, (F.col("bucket") == F.col("m_bucket")) & (F.col("component") == F.col("was")))
-    return rows.select("bucket", "id", "rank", "size", F.col("is").alias("component"), "main")
+    rows = members.drop("main").join(by, (F.col("bucket") == F.col("m_bucket")) & (F.col("component") == F.col("was")))
+    rows = rows.select("bucket", "id", "rank", "size", F.col("is").alias("component"), "main")
+    gone = hubs.select(F.col("bucket").alias("h_bucket"), F.col("id").alias("h_id"))
+    return rows.join(gone, (F.col("bucket") == F.col("h_bucket")) & (F.col("id") == F.col("h_id")), "left_anti")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
