@@ -82,6 +82,13 @@ def _poisson_steps(most: int = 8) -> list[float]:
     return out
 
 
+def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Count, mean, standard deviation (of a sample), least, quartiles and most of the values that are not null."""
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), quartiles.alias("q"), F.max(value).alias("most"))
+    return out.select(*by, "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "least", *[F.col("q")[k].alias(f"p{25 * k + 25}") for k in range(3)], "most")
+
+
 def brier(changes: DataFrame) -> DataFrame:
     """By method: number and mean squared difference of the chance and what happened."""
     return changes.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p") - F.col("held").cast("double"), 2)).alias("brier"))

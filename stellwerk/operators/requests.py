@@ -57,3 +57,16 @@ def request_rows(stops: DataFrame, requests: DataFrame, legs: DataFrame) -> Data
     asked = keys.select("request_id", "run_id", "now").distinct()
     seen = last_seen(stops.join(asked.select("run_id").distinct(), "run_id", "left_semi"), asked).drop("now")
     return rows.join(seen, ["request_id", "run_id"], "left").withColumn("case", seen_case(F.col("seen_delay"), F.col("minutes_ahead")))
+
+
+def subset(rows: DataFrame, first: int | None = None, day: str | None = None, train_type: str | None = None, models: tuple[str, ...] | None = None) -> DataFrame:
+    """The request rows asked for: of the first requests by id, of a day of now, of a train type, of some models."""
+    if models is not None:
+        rows = rows.filter(F.col("model").isin(*models))
+    if day is not None:
+        rows = rows.filter(F.to_date("now") == F.lit(day).cast("date"))
+    if train_type is not None:
+        rows = rows.filter(F.col("train_type") == train_type)
+    if first is not None:
+        rows = rows.join(rows.select("request_id").distinct().orderBy("request_id").limit(first), "request_id", "left_semi")
+    return rows

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from stellwerk.functions import risk as risk_f
 from stellwerk.functions.times import minute_of_day
-from stellwerk.operators import baselines, context, metrics, model, requests, risk, routing, sampling, visibility
+from stellwerk.operators import baselines, context, features, metrics, model, requests, risk, routing, sampling, visibility
 from stellwerk.plans import relations as r
-from stellwerk.schema import QCOLS
+from stellwerk.schema import DAYS_BACK, QCOLS, SAME_TRAIN_DAYS
 from stellwerk.sources import stops as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,35 @@ def same_train_history(stops):
     return past.withColumn("nth", F.row_number().over(order)).filter("nth <= 20").select("train_key", "nth", "run_id", "stop_num")
 
 
+@query
+def slots_join_every_day(stops):
+    """slots_join for the requests of every day, with the rows of the days before it: an equi-join on day, station and minute."""
+    asked = stops.withColumn("request_id", _named("train_type"))
+    slots = context.query_slots(asked).withColumn("day", F.to_timestamp_ntz(F.substring("request_id", 1, 10), F.lit("yyyy-MM-dd")))
+    rows = _later_days(stops, DAYS_BACK).withColumn("minute", minute_of_day())
+    return rows.join(slots, ["day", "station", "minute"]).groupBy("request_id", "station").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("runs"))
+
+
+@query
+def same_train_history_every_day(stops):
+    """same_train_history for the trains of every day, over the days before it."""
+    from pyspark.sql import Window
+
+    trains = stops.select(F.col("run_day").alias("day"), "train_key").distinct()
+    past = visibility.known_at(_later_days(stops, SAME_TRAIN_DAYS), F.col("day")).join(trains, ["day", "train_key"], "left_semi")
+    order = Window.partitionBy("day", "train_key").orderBy(F.desc("run_day"), "run_id", "stop_num")
+    return past.withColumn("nth", F.row_number().over(order)).filter("nth <= 20").select("day", "train_key", "nth", "run_id", "stop_num")
+
+
+def _named(*more: str) -> Column:
+    return F.concat_ws("-", F.date_format("run_day", "yyyy-MM-dd"), *more)
+
+
+def _later_days(stops, days):
+    """Every row with each of the `days` days after its run day."""
+    return stops.withColumn("day", F.explode(F.sequence(F.date_add("run_day", 1), F.date_add("run_day", days)))).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 @query
 def recent_local(stops):
     """Rows whose latest known event lies in the hour before now, by station."""
@@ -197,6 +226,23 @@ def routes_ranked(stops, since):
     return found.select("request_id", "route", "dep", "planned_arrival", *[f"arrival_{q}" for q in QCOLS], F.col("transfers").cast("long").alias("transfers"), "weakest", "rank")
 
 
+@query
+def drawn_routes_ranked(stops):
+    """The whole search for the drawn requests of every day: routes, predicted delays, chances of their transfers, rank."""
+    asked = r.kept(requests.drawn_requests(stops))
+    legs = r.kept(routing.journeys(visibility.timetables(stops, asked), asked))
+    found = risk.routes(r.delayed(stops, legs, asked, ("train_station",)).drop("method"))
+    return found.select("request_id", "route", "dep", "planned_arrival", *[f"arrival_{q}" for q in QCOLS], F.col("transfers").cast("long").alias("transfers"), "weakest", "rank")
+
+
+@dated
+def legs_per_route(stops, since):
+    """How many legs the routes of a start have."""
+    own = r.legs(stops, since)
+    routes = own.groupBy("request_id", "route").agg(F.count(F.lit(1)).alias("legs"), F.min_by("from_station", "leg").alias("src"))
+    return metrics.summary(routes, "legs", "src")
+
+
 def _outcomes(stops, since):
     return risk.with_outcome(risk.transfers(r.legs_with_delays(stops, ("global", "train_station"), since)), stops)
 
@@ -286,6 +332,27 @@ def sample_weights(stops):
     return sampling.group_weights(runs, sampling.stratified_runs(runs)).select("group", "n_all", "n_drawn", "share", "weight")
 
 
+@query
+def all_stations(stops):
+    """Every station and in how many days' timetables it is."""
+    hops = visibility.connections(stops).select("run_day", F.explode(F.array("station", "next_station")).alias("station"))
+    served = hops.groupBy("station").agg(F.countDistinct("run_day").alias("days"))
+    return stops.select("station").distinct().join(served, "station", "left")
+
+
+@query
+def coded_features(stops):
+    """Each request's rows and the usable ones of the same type and slot a day before, as a model reads them."""
+    rows = stops.filter("planned_arr is not null").withColumn("slot", F.floor(F.col("arr_hour") / 4).cast("string"))
+    asked = rows.withColumn("day", F.col("run_day"))
+    past = features.usable_rows(rows, "arr").withColumn("day", F.timestamp_add("DAY", F.lit(1), F.col("run_day")))
+    name = F.concat_ws("-", F.date_format("day", "yyyy-MM-dd"), "train_type", "slot")
+    asked, past = (features.with_days_ago(x.withColumn("request_id", name), F.col("day")) for x in (asked, past))
+    found = features.coded(past, asked, "arr", "days_ago")
+    whole = ("target", "train_type", "station", "train_key", "weekday", "run_planned_min", "n_stops", "arr_hour", "arr_minute", "days_ago")
+    return found.select("request_id", "run_id", "stop_num", "asked", *[F.col(c).cast("int").alias(c) for c in whole], *rounded("stop_frac"))
+
+
 @query
 def display_labels(stops):
     p = (F.col("stop_num") * 7 % 101) / 100.0

@@ -48,7 +48,12 @@ def predicted(stops: DataFrame, own: DataFrame, methods: tuple[str, ...] = tuple
 def legs_with_delays(stops: DataFrame, methods: tuple[str, ...], since: str | None = FROM_DAY) -> DataFrame:
     """legs once for each method, with the arrival delays it predicts; departure delays are those last seen, whatever the method."""
     own = legs(stops, since)
-    asked = kept(request_rows(stops, requests(own), own))
+    return delayed(stops, own, requests(own), methods)
+
+
+def delayed(stops: DataFrame, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """The same for given legs of requests (request_id, depart)."""
+    asked = kept(request_rows(stops, requests, own))
     arr = predicted(stops, asked, methods, ("arr",))
     dep = predicted(stops, asked, ("carry_forward",), ("dep",))
     found = risk.with_departure_delays(own, dep)

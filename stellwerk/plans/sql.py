@@ -250,8 +250,13 @@ ORACLE_SQL = {
     + """SELECT CAST(CAST(run_day AS DATE) AS VARCHAR) AS request_id, station, min(arr) AS arr FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE station <> 'ST9' GROUP BY ALL""",
 }
 
+ORACLE_SQL["legs_per_route"] = (
+    _with(*ALL_LEGS, " per AS (SELECT request_id, route, count(*) AS legs, min_by(from_station, leg) AS src FROM legs GROUP BY ALL)")
+    + """SELECT src, count(*) AS n, round(avg(legs), 9) AS mean, round(stddev_samp(legs), 9) AS std, min(legs) AS least,
+        quantile_cont(CAST(legs AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(legs AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(legs AS DOUBLE), 0.75) AS p75, max(legs) AS most FROM per GROUP BY src"""
+)
 #: The same over the legs of every day.
-DATED = ("last_seen", "two_leg_journeys", "route_stops_array", "replayed_transfers", "transfer_probability", "transfer_levels", "routes_ranked", "held_outcome", "brier_by_method",
+DATED = ("legs_per_route", "last_seen", "two_leg_journeys", "route_stops_array", "replayed_transfers", "transfer_probability", "transfer_levels", "routes_ranked", "held_outcome", "brier_by_method",
          "level_calibration", "pinball_scores", "scores_by_group", "score_grouping_sets", "loss_pivot", "shared_requests", "case_buckets")
 ORACLE_SQL |= {f"{name}_every_day": ORACLE_SQL[name].replace("late AS (SELECT * FROM conns WHERE run_day >= '2024-01-15')", "late AS (SELECT * FROM conns)") for name in DATED}
 _DRAW = "(CAST('0x' || substr(md5(request_id || ':0:{of}'), 1, 13) AS BIGINT) / 4503599627370496.0)"
@@ -280,3 +285,31 @@ ORACLE_SQL |= {
 ORACLE_SQL["training_history"] = _with(STOPS) + """SELECT d.day, train_type, count(*) AS n_rows, count(DISTINCT run_id) AS runs, CAST(sum(arr_delay) AS BIGINT) AS delays
     FROM (SELECT DISTINCT run_day AS day FROM stops) d JOIN stops s ON s.run_day < d.day AND s.run_day >= d.day - INTERVAL 14 DAY
     WHERE arr_delay IS NOT NULL AND NOT arr_canceled AND greatest(planned_arr, planned_dep, act_arr, act_dep) < d.day GROUP BY d.day, train_type"""
+
+_DAYS = "(SELECT DISTINCT run_day AS day FROM stops)"
+_NAME = "strftime({day}, '%Y-%m-%d') || '-' || train_type"
+_CODE = "CASE WHEN {c} IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY request_id ORDER BY {c} NULLS LAST) - 1 AS INT) END AS {c}"
+ORACLE_SQL |= {
+    "slots_join_every_day": _with(
+        STOPS,
+        f""" q AS (SELECT DISTINCT run_day AS day, {_NAME.format(day="run_day")} AS request_id, station, ((coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) - b + 1440) % 1440) AS minute
+                   FROM stops, range(1, 61) r(b) WHERE coalesce(planned_dep, planned_arr) IS NOT NULL)""",
+    )
+    + """SELECT request_id, q.station, count(*) AS n_rows, count(DISTINCT run_id) AS runs FROM q JOIN stops s ON s.station = q.station AND coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) = q.minute
+        WHERE run_day < day AND run_day >= day - INTERVAL 7 DAY GROUP BY ALL""",
+    "same_train_history_every_day": _with(STOPS)
+    + f"""SELECT * FROM (SELECT day, train_key, CAST(row_number() OVER (PARTITION BY day, train_key ORDER BY run_day DESC, run_id, stop_num) AS INT) AS nth, run_id, stop_num
+        FROM {_DAYS} d JOIN stops s ON run_day < day AND run_day >= day - INTERVAL 7 DAY AND (act_arr < day OR act_dep < day)
+        WHERE EXISTS (SELECT 1 FROM stops t WHERE t.run_day = d.day AND t.train_key = s.train_key)) WHERE nth <= 20""",
+    "all_stations": _with(STOPS, CONNS, " ends AS (SELECT station, run_day FROM conns UNION SELECT next_station, run_day FROM conns)")
+    + "SELECT station, (SELECT nullif(count(*), 0) FROM ends e WHERE e.station = s.station) AS days FROM (SELECT DISTINCT station FROM stops) s",
+    "coded_features": _with(
+        STOPS,
+        """ both_ AS (SELECT run_day AS day, true AS asked, * FROM stops WHERE planned_arr IS NOT NULL
+                      UNION ALL SELECT run_day + INTERVAL 1 DAY, false, * FROM stops WHERE arr_delay IS NOT NULL AND NOT arr_canceled AND planned_arr IS NOT NULL)""",
+        f""" named AS (SELECT *, {_NAME.format(day="day")} || '-' || CAST(CAST(floor(arr_hour / 4) AS INT) AS VARCHAR) AS request_id FROM both_)""",
+    )
+    + f"""SELECT request_id, run_id, stop_num, asked, CAST(arr_delay AS INT) AS target, {", ".join(_CODE.format(c=c) for c in ("train_type", "station", "train_key"))},
+        CAST(weekday AS INT) AS weekday, CAST(run_planned_min AS INT) AS run_planned_min, CAST(n_stops AS INT) AS n_stops, CAST(arr_hour AS INT) AS arr_hour, CAST(arr_minute AS INT) AS arr_minute,
+        CAST(date_diff('day', run_day, day) AS INT) AS days_ago, round(stop_frac, 6) AS stop_frac FROM named""",
+}

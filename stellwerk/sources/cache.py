@@ -32,3 +32,9 @@ def all_methods(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def with_results(rows: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """Every row with its stored results, null where there are none; results hold at most one row for equal keys."""
+    news = [c for c in results.columns if c not in rows.columns]
+    return rows.join(results.select(*keys, *news), list(keys), "left")

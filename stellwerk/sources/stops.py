@@ -27,6 +27,11 @@ def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths).select(*RAW)
 
 
+def raw_rows(spark: SparkSession, *paths: str) -> int:
+    """How many rows the raw files have; no column is read."""
+    return spark.read.parquet(*paths).count()
+
+
 def trains(raw: DataFrame) -> DataFrame:
     """Raw rows of regular trains with run_id, run_day and station; the id is <ride>-<yyMMddHHmm>-<stop>."""
     part = lambda pattern: F.nullif(F.regexp_extract("id", pattern, 1), F.lit(""))
