@@ -71,8 +71,8 @@ def bootstrap_difference(losses: DataFrame, method: str, reference: str, key: st
     return point.crossJoin(interval).select("difference", "keys", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"))
 
 
-def _poisson_steps(most: int = 8) -> list[float]:
-    """Cumulative probabilities of 0, 1, 2, ... under Poisson(1)."""
+def _poisson_steps(most: int = 15) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... under Poisson(1); more of them would lie above any number of 40 bits below 1."""
     import math
 
     out, total = [], 0.0

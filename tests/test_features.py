@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import numpy as np
+
 from stellwerk.operators import features, metrics, requests
 from stellwerk.plans import queries, relations
 from stellwerk.sources import cache, stops
@@ -65,3 +67,18 @@ def test_ranked_routes_of_drawn_requests(spark):
     assert len(found) == len(ends) and {(r.request_id, r.route): r.planned_arrival for r in found} == ends
     by_rank = sorted(found, key=lambda r: (r.request_id, r["rank"]))
     assert all(a.planned_arrival <= b.planned_arrival for a, b in zip(by_rank, by_rank[1:], strict=False) if a.request_id == b.request_id)
+
+
+def test_bootstrap_interval(spark):
+    """Counts without a bound; the interval of many keys is that of draws with replacement."""
+    steps = metrics._poisson_steps()
+    assert 1 - 0.5 / 2**40 <= steps[-1] <= 1 and len(steps) == 15
+    rng = np.random.default_rng(5)
+    rows = [(f"k{k}", float(x), 0.0) for k, x in enumerate(rng.gamma(2.0, 3.0, 300)) for _ in range(1 + k % 3)]
+    (found,) = metrics.bootstrap_difference(spark.createDataFrame(rows, "request_id string, new double, old double"), "new", "old").collect()
+    n = np.array([1 + k % 3 for k in range(300)])
+    d = np.array([next(r[1] for r in rows if r[0] == f"k{k}") for k in range(300)]) * n
+    drawn = rng.integers(0, 300, (4000, 300))
+    low, high = np.percentile(d[drawn].sum(1) / n[drawn].sum(1), [2.5, 97.5])
+    assert found.keys == 300 and abs(found.difference - d.sum() / n.sum()) < 1e-9
+    assert abs(found.low - low) < 0.1 and abs(found.high - high) < 0.1 and found.low < found.difference < found.high
