@@ -1,7 +1,10 @@
 """Training contexts as known at a moment: same train, same station and slot, and a general sample.
 
-Many requests are one plan: every window is partitioned by request_id. `query` holds stops rows with
-request_id and now; the result has the rows of stops with request_id, grp and prio (1 is the best).
+Many requests are one plan: every window is partitioned by request_id. `query` holds stops rows with request_id and now;
+the result has the rows of stops with request_id, grp and prio (1 is the best). All decisions are made on keys and times;
+the rows themselves are fetched once, at the end. Requests meet stops by equi-joins that are as fine as their rules: by
+run, by train and day, by station and the hour of the last event, by station, day and clock hour. The general sample
+meets no stops at all before its runs are chosen, see `run_lists`.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stellwerk.checkpoints import kept
 from stellwerk.functions.times import actual_time, day_of, minute_of_day, plus_minutes
+from stellwerk.operators.sampling import capped
 from stellwerk.operators.visibility import known_at, since
 from stellwerk.schema import CONTEXT_SIZE, DAYS_BACK, POOL_PER_TYPE, SAME_TRAIN_DAYS, WINDOW_MIN
 
@@ -24,18 +28,78 @@ def query_slots(query: DataFrame, window: int = WINDOW_MIN) -> DataFrame:
     return rows.select("request_id", "station", "minute", back.alias("back")).select("request_id", "station", F.pmod(F.col("minute") - F.col("back"), F.lit(1440)).alias("minute")).distinct()
 
 
-def _quota(pool: DataFrame, types: DataFrame, room: Column, seed: int) -> DataFrame:
-    """Of each request's pool, `room` rows: as many of each query type, then any others. types: request_id, train_type, nth, n_types."""
+def slot_hours(query: DataFrame) -> DataFrame:
+    """request_id, station, clock_hour, minutes: the minutes of `query_slots` (of an hour's window) as bits of each clock hour.
+
+    The hour before minute m of an hour is the rest of the hour before, from m on, and this hour's minutes below m.
+    """
+    rows = query.withColumn("minute", minute_of_day()).filter("station is not null and minute is not null")
+    hour, whole = F.floor(F.col("minute") / 60).cast("int"), F.lit(2**60 - 1)
+    below = F.expr("shiftleft(1L, minute % 60)") - 1
+    sides = F.array(F.struct(hour.alias("clock_hour"), below.alias("bits")), F.struct(F.pmod(hour - 1, F.lit(24)).alias("clock_hour"), (whole - below).alias("bits")))
+    found = rows.select("request_id", "station", F.explode(sides).alias("s")).groupBy("request_id", "station", "s.clock_hour").agg(F.bit_or("s.bits").alias("minutes"))
+    return found.filter("minutes <> 0")
+
+
+def _times(stops: DataFrame) -> DataFrame:
+    """What is decided on: keys, and the actual times of both events as arr_at and dep_at."""
+    own = stops.select("run_id", "stop_num", "run_day", "train_type", "train_key", "station", minute_of_day().alias("minute"), actual_time("arr").alias("arr_at"), actual_time("dep").alias("dep_at"))
+    return own.filter("arr_at is not null or dep_at is not null")
+
+
+def _seen(days: int) -> Column:
+    """Rows of _times with now that `known_at` keeps, of runs since so many days before."""
+    now = F.col("now")
+    return (F.col("run_day") < now) & since(now, days) & (F.coalesce(F.col("arr_at") < now, F.lit(False)) | F.coalesce(F.col("dep_at") < now, F.lit(False)))
+
+
+def _just_now(event: str) -> Column:
+    """Whether the event happened in the hour before now."""
+    at, now = F.col(f"{event}_at"), F.col("now")
+    return F.coalesce((at < now) & (at >= plus_minutes(now, F.lit(-WINDOW_MIN))), F.lit(False))
+
+
+def split_by_type(pool: DataFrame, types: DataFrame, seed: int) -> DataFrame:
+    """Of each request's pool (with room), `room` rows: as many of each query type, then any others, with nth_all, their order.
+
+    types: request_id, train_type, nth, n_types. When room does not divide, the first types get one row more.
+    """
     key = F.xxhash64("run_id", "stop_num", F.lit(seed))
-    marked = pool.join(types.select("request_id", "train_type", "nth", "n_types"), ["request_id", "train_type"], "left")
+    marked = pool.filter("room > 0").join(types, ["request_id", "train_type"], "left")
     in_type = F.row_number().over(Window.partitionBy("request_id", "train_type").orderBy(key, "run_id", "stop_num"))
     own = F.col("nth").isNotNull() & (F.col("in_type") <= F.floor(F.col("room") / F.col("n_types")) + (F.col("nth") <= F.col("room") % F.col("n_types")).cast("int"))
-    ranked = marked.withColumn("room", room).filter("room > 0").withColumn("in_type", in_type).withColumn("first", F.when(own, 0).otherwise(1))
+    ranked = marked.repartition("request_id").withColumn("in_type", in_type).withColumn("first", F.when(own, 0).otherwise(1))
     overall = F.row_number().over(Window.partitionBy("request_id").orderBy("first", key, "run_id", "stop_num"))
-    return ranked.withColumn("nth_all", overall).filter(F.col("nth_all") <= F.col("room")).drop("room", "in_type", "first", "nth", "n_types")
+    return ranked.withColumn("nth_all", overall).filter(F.col("nth_all") <= F.col("room")).select(*ROW, "nth_all")
+
+
+def run_lists(stops: DataFrame, rows: int, seed: int) -> DataFrame:
+    """run_day, train_type, run_id, n_rows, place: for each day and type its runs with the least hashes, enough for so many rows.
+
+    The sketch of a day's type: a run has a row at least, so the `rows` least hashes hold as many rows, or the list is whole.
+    Lists of several days merge by their places (hashes) and are the least hashes of these days together.
+    """
+    runs = stops.groupBy("run_id", "run_day", "train_type").agg(F.count(F.lit(1)).alias("n_rows")).filter("train_type is not null")
+    return capped(runs, ["run_day", "train_type"], rows, F.xxhash64("run_id", F.lit(seed)), "run_id").withColumn("place", F.xxhash64("run_id", F.lit(seed)))
+
 
+def _general_runs(stops: DataFrame, wanted: DataFrame, size: int, days_back: int, seed: int) -> DataFrame:
+    """request_id, now, room, run_id: for each type of a request, the runs with the least hashes that hold its target of rows.
 
-def build_context(
+    wanted: request_id, now, room, train_type, n_types. The target is twice what the room asks of a type, POOL_PER_TYPE at least.
+    """
+    most = max(POOL_PER_TYPE, 2 * size)
+    lists = run_lists(stops, most, seed)
+    days = wanted.select(day_of(F.col("now")).alias("day")).distinct().withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days_back))))
+    days = days.select("day", plus_minutes(F.col("day"), F.col("back") * -1440).alias("run_day"))
+    order = Window.partitionBy("day", "train_type").orderBy("place", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    merged = kept(lists.join(days, "run_day").withColumn("below", F.coalesce(F.sum("n_rows").over(order), F.lit(0))).filter(F.col("below") < most).select("day", "train_type", "run_id", "below"))
+    target = F.greatest(F.lit(POOL_PER_TYPE), 2 * F.ceil(F.col("room") / F.col("n_types")))
+    asked = wanted.select("request_id", "now", "room", "train_type", day_of(F.col("now")).alias("day"), target.alias("target"))
+    return merged.join(asked, ["day", "train_type"]).filter(F.col("below") < F.col("target")).select("request_id", "now", "room", "run_id")
+
+
+def context_keys(
     stops: DataFrame,
     query: DataFrame,
     size: int = CONTEXT_SIZE,
@@ -44,74 +108,70 @@ def build_context(
     seed: int = 0,
     skip_s_bahn: bool = True,
 ) -> DataFrame:
-    """At most `size` rows for each request, by priority; fewer where rows are taken twice.
-
-    1. the own runs' passed stops, latest first, then earlier rides of the same train, latest day first;
-    2. rows of the query's stations within the last hour, then in the hour's slot of earlier days;
-    3. rows of all stations. Groups 2 and 3 are split evenly over the query's train types.
-    """
-    asked = query.groupBy("request_id").agg(F.max("now").alias("now"), F.max((F.col("train_type") == "S").cast("int")).alias("has_s"))
+    """request_id, run_id, stop_num, grp, prio of the rows of `build_context`."""
+    asked = kept(query.groupBy("request_id").agg(F.max("now").alias("now"), F.max(F.coalesce((F.col("train_type") == "S").cast("int"), F.lit(0))).alias("has_s")))
     types = query.select("request_id", "train_type").filter("train_type is not null").distinct()
-    types = types.withColumns(
-        {"nth": F.row_number().over(Window.partitionBy("request_id").orderBy("train_type")), "n_types": F.count(F.lit(1)).over(Window.partitionBy("request_id"))}
-    )
-    now = F.col("now")
-    #: Requests meet stops by the query's runs, trains and stations, and only the general sample by the day alone.
-    asked, span = kept(asked), max(days_back, same_train_days)
+    by_request = Window.partitionBy("request_id")
+    types = kept(types.withColumns({"nth": F.row_number().over(by_request.orderBy("train_type")), "n_types": F.count(F.lit(1)).over(by_request)}))
+    times = _times(stops)
     own_runs = query.select("request_id", "run_id").distinct()
     keyed = lambda *keys: query.select("request_id", *keys).distinct().join(asked, "request_id")
     strangers = lambda rows: rows.join(own_runs, ["request_id", "run_id"], "left_anti")
-    own = known_at(stops.join(keyed("run_id"), "run_id").filter(since(now, span)), now).join(query.select(*ROW), list(ROW), "left_anti")
-    same = strangers(known_at(_windowed(stops, keyed("train_key"), same_train_days, "train_key"), now).filter(since(now, same_train_days)))
-    first = own.withColumn("grp", F.lit(0)).unionByName(same.withColumn("grp", F.lit(1)))
-    by_day = F.when(F.col("grp") == 1, F.col("run_day"))
-    by_stop = F.when(F.col("grp") == 0, -F.col("stop_num"))
-    order = Window.partitionBy("request_id").orderBy("grp", F.desc_nulls_first(by_day), F.asc_nulls_first(by_stop), "run_id", "stop_num")
-    first = kept(first.withColumn("nth_all", F.row_number().over(order)).filter(F.col("nth_all") <= size).withColumn("minute", minute_of_day()))
-
-    local = strangers(known_at(_windowed(stops, keyed("station"), days_back, "station"), now).filter(since(now, days_back))).withColumn("minute", minute_of_day())
+
+    own = times.join(keyed("run_id"), "run_id").filter(_seen(max(days_back, same_train_days))).join(query.select(*ROW), list(ROW), "left_anti")
+    same = strangers(times.join(_per_day(keyed("train_key"), same_train_days), ["run_day", "train_key"]).filter(_seen(same_train_days)))
+    first = own.select(*ROW, "run_day", F.lit(0).alias("grp")).unionByName(same.select(*ROW, "run_day", F.lit(1).alias("grp")))
+    by_day, by_stop = F.when(F.col("grp") == 1, F.col("run_day")), F.when(F.col("grp") == 0, -F.col("stop_num"))
+    nth = F.row_number().over(by_request.orderBy("grp", F.desc_nulls_first(by_day), F.asc_nulls_first(by_stop), "run_id", "stop_num"))
+    first = kept(first.withColumn("nth_all", nth).filter(F.col("nth_all") <= size).select(*ROW, "grp", "nth_all"))
+
+    places = keyed("station").filter("station is not null")
+    event = F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(f"{e}_at").alias("at")) for e in ("arr", "dep")]))
+    events = times.withColumn("e", event).withColumn("hour", F.date_trunc("hour", "e.at"))
+    hours = F.explode(F.array(F.date_trunc("hour", "now"), F.date_trunc("hour", plus_minutes(F.col("now"), F.lit(-WINDOW_MIN)))))
+    #: A row of which both events happened just now is taken by its arrival.
+    once = F.when(F.col("e.event") == "arr", _just_now("arr")).otherwise(_just_now("dep") & ~_just_now("arr"))
+    recent = events.join(places.withColumn("hour", hours), ["station", "hour"]).filter(once & _seen(days_back))
+    slots = _per_day(slot_hours(query).join(asked, "request_id"), days_back)
+    in_slot = times.withColumn("clock_hour", F.floor(F.col("minute") / 60).cast("int")).join(slots, ["run_day", "station", "clock_hour"])
+    in_slot = in_slot.filter((F.expr("shiftright(minutes, minute % 60)").bitwiseAND(1) == 1) & _seen(days_back) & ~_just_now("arr") & ~_just_now("dep"))
+    local = recent.select(*ROW, "train_type", "has_s", F.lit(2).alias("grp")).unionByName(in_slot.select(*ROW, "train_type", "has_s", F.lit(3).alias("grp")))
     if skip_s_bahn:
         local = local.filter((F.col("train_type") != "S") | (F.col("has_s") == 1))
-    latest = F.greatest(actual_time("arr"), actual_time("dep"))
-    latest_ok = F.coalesce(latest >= plus_minutes(now, F.lit(-WINDOW_MIN)), F.lit(False))
-    slots = query_slots(query).withColumn("slot", F.lit(True))
-    local = kept(local.join(slots, ["request_id", "station", "minute"], "left").withColumn("recent", latest_ok).filter(F.col("recent") | F.col("slot")))
-    recent = local.filter("recent").drop("recent", "slot")
-    in_slot = local.filter("slot and not recent").drop("recent", "slot")
-    used = _counts(first, "used")
-    picked = kept(_quota(recent.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(2)))
-    used = _counts(first.select("request_id").unionByName(picked.select("request_id")), "used")
-    slots = _quota(in_slot.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(3))
-    near = first.unionByName(picked).unionByName(slots)
-    keep = F.row_number().over(Window.partitionBy(*ROW).orderBy("grp", "nth_all"))
-    near = kept(near.withColumn("keep", keep).filter("keep = 1").drop("keep"))
-
-    used = _counts(near, "used")
-    pool = strangers(_thinned(stops, asked, types, size, days_back, seed)).withColumn("minute", minute_of_day())
-    general = _quota(pool.join(used, "request_id", "left"), types, size - F.coalesce("used", F.lit(0)), seed).drop("used").withColumn("grp", F.lit(4))
-    general = general.join(near.select(*ROW), list(ROW), "left_anti")
-    prio = F.row_number().over(Window.partitionBy("request_id").orderBy("grp", "nth_all"))
-    return near.unionByName(general).withColumn("prio", prio).drop("nth_all", "has_s", "minute")
-
-
-def _windowed(stops: DataFrame, asked: DataFrame, days: int, *keys: str) -> DataFrame:
-    """Each request's stops (alike in keys) of its day and so many days before: an equi-join on the day."""
-    per_day = asked.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("run_day", plus_minutes(day_of(F.col("now")), F.col("back") * -1440)).drop("back")
-    return stops.join(per_day, ["run_day", *keys])
-
-
-def _counts(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("request_id").agg(F.count(F.lit(1)).alias(name))
-
-
-def _thinned(stops: DataFrame, asked: DataFrame, types: DataFrame, size: int, days_back: int, seed: int) -> DataFrame:
-    """Known rows of the query's types from a per-mille share of runs, chosen so that each type gives about twice what it needs.
-
-    Rows are counted by day and type before requests meet them, and thinned in the join.
+    local = kept(strangers(local.drop("has_s")))
+    now_rows = kept(split_by_type(_with_room(local.filter("grp = 2"), size, first), types, seed).withColumn("grp", F.lit(2)))
+    slot_rows = split_by_type(_with_room(local.filter("grp = 3"), size, first, now_rows), types, seed).withColumn("grp", F.lit(3))
+    near = first.unionByName(now_rows).unionByName(slot_rows).groupBy(*ROW).agg(F.min(F.struct("grp", "nth_all")).alias("m")).select(*ROW, "m.grp", "m.nth_all")
+    near = kept(near)
+
+    wanted = kept(_with_room(asked, size, near).filter("room > 0").join(types, "request_id"))
+    runs = _general_runs(stops, wanted, size, days_back, seed)
+    pool = strangers(times.join(runs, "run_id").filter(_seen(days_back))).select(*ROW, "train_type", "room")
+    general = split_by_type(pool, types, seed).withColumn("grp", F.lit(4)).join(near.select(*ROW), list(ROW), "left_anti")
+    prio = F.row_number().over(by_request.orderBy("grp", "nth_all"))
+    return near.unionByName(general).withColumn("prio", prio).select(*ROW, "grp", "prio")
+
+
+def build_context(stops: DataFrame, query: DataFrame, size: int = CONTEXT_SIZE, **options) -> DataFrame:
+    """At most `size` rows for each request, by priority; fewer where rows are taken twice.
+
+    1. the own runs' passed stops, latest first, then earlier rides of the same train, latest day first;
+    2. rows of the query's stations within the last hour, then in the hour's slot of earlier days;
+    3. rows of all stations, of the query's types. Groups 2 and 3 are split evenly over the query's train types.
     """
-    per_type = types.join(asked, "request_id")
-    n_rows = _windowed(stops.groupBy("run_day", "train_type").agg(F.count(F.lit(1)).alias("n")), per_type, days_back, "train_type").groupBy("request_id", "train_type").agg(F.sum("n").alias("n_rows"))
-    target = F.greatest(F.lit(POOL_PER_TYPE), 2 * F.ceil(F.lit(size) / F.col("n_types")))
-    share = per_type.join(n_rows, ["request_id", "train_type"]).withColumn("per_mille", F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(1000 * target / F.col("n_rows")))))
-    rows = _windowed(stops.withColumn("mille", F.pmod(F.xxhash64("run_id", F.lit(seed)), F.lit(1000))), share.drop("nth", "n_types", "n_rows"), days_back, "train_type")
-    return known_at(rows.filter(F.col("mille") < F.col("per_mille")).drop("mille", "per_mille"), F.col("now"))
+    keys = context_keys(stops, query, size, **options).join(query.groupBy("request_id").agg(F.max("now").alias("now")), "request_id")
+    return known_at(stops.join(keys, ["run_id", "stop_num"]), F.col("now"))
+
+
+def _per_day(asked: DataFrame, days: int) -> DataFrame:
+    """asked (with now) for its day and so many days before, as run_day."""
+    return asked.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("run_day", plus_minutes(day_of(F.col("now")), F.col("back") * -1440)).drop("back")
+
+
+def _with_room(rows: DataFrame, size: int, *taken: DataFrame) -> DataFrame:
+    """rows with room: size less the request's rows in the taken relations."""
+    used = taken[0].select("request_id")
+    for more in taken[1:]:
+        used = used.unionByName(more.select("request_id"))
+    used = used.groupBy("request_id").agg(F.count(F.lit(1)).alias("used"))
+    return rows.join(used, "request_id", "left").withColumn("room", size - F.coalesce("used", F.lit(0))).drop("used")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stellwerk.functions import risk as risk_f
@@ -119,8 +119,6 @@ def slots_join(stops):
 @query
 def same_train_history(stops):
     """The latest earlier rides of each train of a day, at most 20 rows."""
-    from pyspark.sql import Window
-
     trains = stops.filter(F.col("run_day") == r.at("2024-01-20")).select("train_key").distinct()
     past = visibility.known_at(stops, r.at("2024-01-20")).filter(visibility.since(r.at("2024-01-20"), 14)).join(trains, "train_key", "left_semi")
     order = Window.partitionBy("train_key").orderBy(F.desc("run_day"), "run_id", "stop_num")
@@ -139,8 +137,6 @@ def slots_join_every_day(stops):
 @query
 def same_train_history_every_day(stops):
     """same_train_history for the trains of every day, over the days before it."""
-    from pyspark.sql import Window
-
     trains = stops.select(F.col("run_day").alias("day"), "train_key").distinct()
     past = visibility.known_at(_later_days(stops, SAME_TRAIN_DAYS), F.col("day")).join(trains, ["day", "train_key"], "left_semi")
     order = Window.partitionBy("day", "train_key").orderBy(F.desc("run_day"), "run_id", "stop_num")
@@ -416,8 +412,7 @@ def _query_rows(stops):
 
 @query
 def context_rows(stops):
-    found = context.build_context(stops, _query_rows(stops))
-    return found.select("request_id", "run_id", "stop_num", "grp", "prio")
+    return context.context_keys(stops, _query_rows(stops))
 
 
 @query
