@@ -34,6 +34,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all shuffle partitions, however few bytes it has: for small sides of joins that make many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes every table that `kept` wrote in this session; results that still read them are lost."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellwerk.checkpoints import kept
+from stellwerk.checkpoints import dealt, kept
 from stellwerk.functions.times import actual_time, day_of, minute_of_day, plus_minutes
 from stellwerk.operators.sampling import capped
 from stellwerk.operators.visibility import known_at, since
@@ -28,8 +28,8 @@ def query_slots(query: DataFrame, window: int = WINDOW_MIN) -> DataFrame:
     return rows.select("request_id", "station", "minute", back.alias("back")).select("request_id", "station", F.pmod(F.col("minute") - F.col("back"), F.lit(1440)).alias("minute")).distinct()
 
 
-def slot_hours(query: DataFrame) -> DataFrame:
-    """request_id, station, clock_hour, minutes: the minutes of `query_slots` (of an hour's window) as bits of each clock hour.
+def slot_hours(query: DataFrame, *by: str) -> DataFrame:
+    """by (request_id by default), station, clock_hour, minutes: the minutes of `query_slots` (of an hour's window) as bits of each clock hour.
 
     The hour before minute m of an hour is the rest of the hour before, from m on, and this hour's minutes below m.
     """
@@ -37,14 +37,22 @@ def slot_hours(query: DataFrame) -> DataFrame:
     hour, whole = F.floor(F.col("minute") / 60).cast("int"), F.lit(2**60 - 1)
     below = F.expr("shiftleft(1L, minute % 60)") - 1
     sides = F.array(F.struct(hour.alias("clock_hour"), below.alias("bits")), F.struct(F.pmod(hour - 1, F.lit(24)).alias("clock_hour"), (whole - below).alias("bits")))
-    found = rows.select("request_id", "station", F.explode(sides).alias("s")).groupBy("request_id", "station", "s.clock_hour").agg(F.bit_or("s.bits").alias("minutes"))
+    by = by or ("request_id",)
+    found = rows.select(*by, "station", F.explode(sides).alias("s")).groupBy(*by, "station", "s.clock_hour").agg(F.bit_or("s.bits").alias("minutes"))
     return found.filter("minutes <> 0")
 
 
-def _times(stops: DataFrame) -> DataFrame:
-    """What is decided on: keys, and the actual times of both events as arr_at and dep_at."""
-    own = stops.select("run_id", "stop_num", "run_day", "train_type", "train_key", "station", minute_of_day().alias("minute"), actual_time("arr").alias("arr_at"), actual_time("dep").alias("dep_at"))
-    return own.filter("arr_at is not null or dep_at is not null")
+def _times(stops: DataFrame, seed: int) -> DataFrame:
+    """What is decided on, once for each stop with a known event: numbers of the row and its run, the order of draws, keys and actual times.
+
+    Requests, runs and rows travel as numbers, which sort and shuffle in a fraction of what their names take.
+    """
+    own = stops.select(
+        "run_id", "stop_num", "run_day", "train_type", "train_key", "station", minute_of_day().alias("minute"), F.xxhash64("run_id", "stop_num", F.lit(seed)).alias("draw"),
+        actual_time("arr").alias("arr_at"), actual_time("dep").alias("dep_at"),
+    )
+    own = kept(own.filter("arr_at is not null or dep_at is not null").withColumn("row", F.monotonically_increasing_id()))
+    return kept(own.withColumn("run", F.min("row").over(Window.partitionBy("run_id"))))
 
 
 def _seen(days: int) -> Column:
@@ -59,18 +67,21 @@ def _just_now(event: str) -> Column:
     return F.coalesce((at < now) & (at >= plus_minutes(now, F.lit(-WINDOW_MIN))), F.lit(False))
 
 
-def split_by_type(pool: DataFrame, types: DataFrame, seed: int) -> DataFrame:
-    """Of each request's pool (with room), `room` rows: as many of each query type, then any others, with nth_all, their order.
+#: Places of rows within a group, and above them the group: one number that orders all of a request's rows.
+GROUP = 2**40
+
+
+def split_by_type(pool: DataFrame, types: DataFrame, group: int) -> DataFrame:
+    """ask, row, place of `room` rows of each request's pool (ask, row, train_type, draw, room): as many of each query type, then any others.
 
-    types: request_id, train_type, nth, n_types. When room does not divide, the first types get one row more.
+    types: ask, train_type, nth, n_types. When room does not divide, the first types get one row more.
     """
-    key = F.xxhash64("run_id", "stop_num", F.lit(seed))
-    marked = pool.filter("room > 0").join(types, ["request_id", "train_type"], "left")
-    in_type = F.row_number().over(Window.partitionBy("request_id", "train_type").orderBy(key, "run_id", "stop_num"))
+    marked = pool.filter("room > 0").join(types.select("ask", "train_type", "nth", "n_types"), ["ask", "train_type"], "left")
+    in_type = F.row_number().over(Window.partitionBy("ask", "train_type").orderBy("draw", "row"))
     own = F.col("nth").isNotNull() & (F.col("in_type") <= F.floor(F.col("room") / F.col("n_types")) + (F.col("nth") <= F.col("room") % F.col("n_types")).cast("int"))
-    ranked = marked.repartition("request_id").withColumn("in_type", in_type).withColumn("first", F.when(own, 0).otherwise(1))
-    overall = F.row_number().over(Window.partitionBy("request_id").orderBy("first", key, "run_id", "stop_num"))
-    return ranked.withColumn("nth_all", overall).filter(F.col("nth_all") <= F.col("room")).select(*ROW, "nth_all")
+    ranked = dealt(marked, "ask").withColumn("in_type", in_type).withColumn("first", F.when(own, 0).otherwise(1))
+    overall = F.row_number().over(Window.partitionBy("ask").orderBy("first", "draw", "row"))
+    return ranked.withColumn("n", overall).filter(F.col("n") <= F.col("room")).select("ask", "row", (F.col("n") + group * GROUP).alias("place"))
 
 
 def run_lists(stops: DataFrame, rows: int, seed: int) -> DataFrame:
@@ -84,19 +95,19 @@ def run_lists(stops: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 def _general_runs(stops: DataFrame, wanted: DataFrame, size: int, days_back: int, seed: int) -> DataFrame:
-    """request_id, now, room, run_id: for each type of a request, the runs with the least hashes that hold its target of rows.
+    """ask, now, room, run_id: for each type of a request, the runs with the least hashes that hold its target of rows.
 
-    wanted: request_id, now, room, train_type, n_types. The target is twice what the room asks of a type, POOL_PER_TYPE at least.
+    wanted: ask, now, room, train_type, n_types. The target is twice what the room asks of a type, POOL_PER_TYPE at least.
     """
     most = max(POOL_PER_TYPE, 2 * size)
     lists = run_lists(stops, most, seed)
     days = wanted.select(day_of(F.col("now")).alias("day")).distinct().withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days_back))))
     days = days.select("day", plus_minutes(F.col("day"), F.col("back") * -1440).alias("run_day"))
     order = Window.partitionBy("day", "train_type").orderBy("place", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    merged = kept(lists.join(days, "run_day").withColumn("below", F.coalesce(F.sum("n_rows").over(order), F.lit(0))).filter(F.col("below") < most).select("day", "train_type", "run_id", "below"))
+    merged = lists.join(days, "run_day").withColumn("below", F.coalesce(F.sum("n_rows").over(order), F.lit(0))).filter(F.col("below") < most).select("day", "train_type", "run_id", "below")
     target = F.greatest(F.lit(POOL_PER_TYPE), 2 * F.ceil(F.col("room") / F.col("n_types")))
-    asked = wanted.select("request_id", "now", "room", "train_type", day_of(F.col("now")).alias("day"), target.alias("target"))
-    return merged.join(asked, ["day", "train_type"]).filter(F.col("below") < F.col("target")).select("request_id", "now", "room", "run_id")
+    asked = wanted.select("ask", "now", "room", "train_type", day_of(F.col("now")).alias("day"), target.alias("target"))
+    return merged.join(asked, ["day", "train_type"]).filter(F.col("below") < F.col("target")).select("ask", "now", "room", "run_id")
 
 
 def context_keys(
@@ -109,21 +120,26 @@ def context_keys(
     skip_s_bahn: bool = True,
 ) -> DataFrame:
     """request_id, run_id, stop_num, grp, prio of the rows of `build_context`."""
-    asked = kept(query.groupBy("request_id").agg(F.max("now").alias("now"), F.max(F.coalesce((F.col("train_type") == "S").cast("int"), F.lit(0))).alias("has_s")))
-    types = query.select("request_id", "train_type").filter("train_type is not null").distinct()
-    by_request = Window.partitionBy("request_id")
+    asked = query.groupBy("request_id").agg(F.max("now").alias("now"), F.max(F.coalesce((F.col("train_type") == "S").cast("int"), F.lit(0))).alias("has_s"))
+    asked = kept(asked.withColumn("ask", F.monotonically_increasing_id()))
+    times = _times(stops, seed)
+    query = kept(query.drop("now").join(asked, "request_id"))
+    by_request = Window.partitionBy("ask")
+    types = query.select("ask", "train_type").filter("train_type is not null").distinct()
     types = kept(types.withColumns({"nth": F.row_number().over(by_request.orderBy("train_type")), "n_types": F.count(F.lit(1)).over(by_request)}))
-    times = _times(stops)
-    own_runs = query.select("request_id", "run_id").distinct()
-    keyed = lambda *keys: query.select("request_id", *keys).distinct().join(asked, "request_id")
-    strangers = lambda rows: rows.join(own_runs, ["request_id", "run_id"], "left_anti")
-
-    own = times.join(keyed("run_id"), "run_id").filter(_seen(max(days_back, same_train_days))).join(query.select(*ROW), list(ROW), "left_anti")
-    same = strangers(times.join(_per_day(keyed("train_key"), same_train_days), ["run_day", "train_key"]).filter(_seen(same_train_days)))
-    first = own.select(*ROW, "run_day", F.lit(0).alias("grp")).unionByName(same.select(*ROW, "run_day", F.lit(1).alias("grp")))
+    #: A row that is asked for, or a run that is, has no number where it has no known event, and cannot be met then.
+    own_runs = kept(query.select("ask", "now", "run_id").distinct().join(times.select("run_id", "run").distinct(), "run_id").select("ask", "now", "run"))
+    own_rows = query.select("ask", "run_id", "stop_num").join(times.select("run_id", "stop_num", "row"), ["run_id", "stop_num"]).select("ask", "row")
+    keyed = lambda key: query.select("ask", "now", "has_s", key).distinct()
+    strangers = lambda rows: rows.join(own_runs.select("ask", "run"), ["ask", "run"], "left_anti")
+
+    own = times.join(own_runs, "run").filter(_seen(max(days_back, same_train_days))).join(own_rows, ["ask", "row"], "left_anti")
+    same = strangers(dealt(times, "run_day", "train_key").join(_per_day(keyed("train_key"), same_train_days), ["run_day", "train_key"]).filter(_seen(same_train_days)))
+    order = ("ask", "row", "run_day", "stop_num", "run_id")
+    first = own.select(*order, F.lit(0).alias("grp")).unionByName(same.select(*order, F.lit(1).alias("grp")))
     by_day, by_stop = F.when(F.col("grp") == 1, F.col("run_day")), F.when(F.col("grp") == 0, -F.col("stop_num"))
     nth = F.row_number().over(by_request.orderBy("grp", F.desc_nulls_first(by_day), F.asc_nulls_first(by_stop), "run_id", "stop_num"))
-    first = kept(first.withColumn("nth_all", nth).filter(F.col("nth_all") <= size).select(*ROW, "grp", "nth_all"))
+    first = kept(first.withColumn("n", nth).filter(F.col("n") <= size).select("ask", "row", (F.col("n") + F.col("grp") * GROUP).alias("place")))
 
     places = keyed("station").filter("station is not null")
     event = F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(f"{e}_at").alias("at")) for e in ("arr", "dep")]))
@@ -131,25 +147,27 @@ def context_keys(
     hours = F.explode(F.array(F.date_trunc("hour", "now"), F.date_trunc("hour", plus_minutes(F.col("now"), F.lit(-WINDOW_MIN)))))
     #: A row of which both events happened just now is taken by its arrival.
     once = F.when(F.col("e.event") == "arr", _just_now("arr")).otherwise(_just_now("dep") & ~_just_now("arr"))
-    recent = events.join(places.withColumn("hour", hours), ["station", "hour"]).filter(once & _seen(days_back))
-    slots = _per_day(slot_hours(query).join(asked, "request_id"), days_back)
-    in_slot = times.withColumn("clock_hour", F.floor(F.col("minute") / 60).cast("int")).join(slots, ["run_day", "station", "clock_hour"])
+    recent = dealt(events, "station", "hour").join(places.withColumn("hour", hours), ["station", "hour"]).filter(once & _seen(days_back))
+    slots = _per_day(slot_hours(query, "ask", "now", "has_s"), days_back)
+    in_slot = dealt(times.withColumn("clock_hour", F.floor(F.col("minute") / 60).cast("int")), "run_day", "station", "clock_hour").join(slots, ["run_day", "station", "clock_hour"])
     in_slot = in_slot.filter((F.expr("shiftright(minutes, minute % 60)").bitwiseAND(1) == 1) & _seen(days_back) & ~_just_now("arr") & ~_just_now("dep"))
-    local = recent.select(*ROW, "train_type", "has_s", F.lit(2).alias("grp")).unionByName(in_slot.select(*ROW, "train_type", "has_s", F.lit(3).alias("grp")))
+    cols = ("ask", "row", "run", "train_type", "draw", "has_s")
+    local = recent.select(*cols, F.lit(2).alias("grp")).unionByName(in_slot.select(*cols, F.lit(3).alias("grp")))
     if skip_s_bahn:
         local = local.filter((F.col("train_type") != "S") | (F.col("has_s") == 1))
-    local = kept(strangers(local.drop("has_s")))
-    now_rows = kept(split_by_type(_with_room(local.filter("grp = 2"), size, first), types, seed).withColumn("grp", F.lit(2)))
-    slot_rows = split_by_type(_with_room(local.filter("grp = 3"), size, first, now_rows), types, seed).withColumn("grp", F.lit(3))
-    near = first.unionByName(now_rows).unionByName(slot_rows).groupBy(*ROW).agg(F.min(F.struct("grp", "nth_all")).alias("m")).select(*ROW, "m.grp", "m.nth_all")
-    near = kept(near)
+    local = kept(strangers(local).drop("has_s", "run"))
+    now_rows = kept(split_by_type(_with_room(local.filter("grp = 2"), size, first), types, 2))
+    slot_rows = split_by_type(_with_room(local.filter("grp = 3"), size, first, now_rows), types, 3)
+    near = kept(first.unionByName(now_rows).unionByName(slot_rows).groupBy("ask", "row").agg(F.min("place").alias("place")))
 
-    wanted = kept(_with_room(asked, size, near).filter("room > 0").join(types, "request_id"))
+    wanted = kept(_with_room(asked.select("ask", "now"), size, near).filter("room > 0").join(types, "ask"))
     runs = _general_runs(stops, wanted, size, days_back, seed)
-    pool = strangers(times.join(runs, "run_id").filter(_seen(days_back))).select(*ROW, "train_type", "room")
-    general = split_by_type(pool, types, seed).withColumn("grp", F.lit(4)).join(near.select(*ROW), list(ROW), "left_anti")
-    prio = F.row_number().over(by_request.orderBy("grp", "nth_all"))
-    return near.unionByName(general).withColumn("prio", prio).select(*ROW, "grp", "prio")
+    runs = kept(runs.join(times.select("run_id", "run").distinct(), "run_id").select("ask", "now", "room", "run"))
+    pool = strangers(dealt(times, "run").join(runs, "run").filter(_seen(days_back))).select("ask", "row", "train_type", "draw", "room")
+    general = split_by_type(pool, types, 4).join(near.select("ask", "row"), ["ask", "row"], "left_anti")
+    prio = F.row_number().over(by_request.orderBy("place"))
+    found = near.unionByName(general).withColumns({"prio": prio, "grp": F.floor(F.col("place") / GROUP).cast("int")})
+    return found.join(times.select("row", "run_id", "stop_num"), "row").join(asked.select("ask", "request_id"), "ask").select(*ROW, "grp", "prio")
 
 
 def build_context(stops: DataFrame, query: DataFrame, size: int = CONTEXT_SIZE, **options) -> DataFrame:
@@ -170,8 +188,8 @@ def _per_day(asked: DataFrame, days: int) -> DataFrame:
 
 def _with_room(rows: DataFrame, size: int, *taken: DataFrame) -> DataFrame:
     """rows with room: size less the request's rows in the taken relations."""
-    used = taken[0].select("request_id")
+    used = taken[0].select("ask")
     for more in taken[1:]:
-        used = used.unionByName(more.select("request_id"))
-    used = used.groupBy("request_id").agg(F.count(F.lit(1)).alias("used"))
-    return rows.join(used, "request_id", "left").withColumn("room", size - F.coalesce("used", F.lit(0))).drop("used")
+        used = used.unionByName(more.select("ask"))
+    used = used.groupBy("ask").agg(F.count(F.lit(1)).alias("used"))
+    return rows.join(used, "ask", "left").withColumn("room", size - F.coalesce("used", F.lit(0))).drop("used")
