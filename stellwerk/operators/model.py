@@ -59,5 +59,5 @@ def predict(context: DataFrame, query: DataFrame, model: str, quantiles=QUANTILE
 def predict_arrivals(stops: DataFrame, query: DataFrame, model: str = "arr", size: int = 5_000, backend: Backend = empirical, **options) -> DataFrame:
     """Context, last known delays and prediction for query rows (stops rows with request_id and now)."""
     context = build_context(stops, query, size=size, same_train_days=14, **options)
-    context = with_last_known(context, stops, F.col("now"), model, True, KEY)
-    return predict(context, with_last_known(query, stops, F.col("now"), model, False, KEY), model, backend=backend)
+    context = with_last_known(context, stops, F.col("now"), model, True)
+    return predict(context, with_last_known(query, stops, F.col("now"), model, False), model, backend=backend)

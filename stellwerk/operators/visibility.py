@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,62 +57,69 @@ def stop_index(stops: DataFrame) -> DataFrame:
     return stops.withColumn("t", time).withColumn("stop_index", F.when(F.col("t").isNotNull(), F.row_number().over(order)))
 
 
-def event_log(stops: DataFrame) -> DataFrame:
-    """One row per event with a known actual time: run_id, index, is_arr, time, planned, delay."""
+def cutoff(model: str, now: Column, replay: bool) -> Column:
+    """now; for a replay the earliest of now, the same clock time on the event's day, and the event itself."""
+    if not replay:
+        return now
+    clock = minutes_between(now, day_of(now))
+    return F.least(now, plus_minutes(day_of(F.col(f"planned_{model}")), clock), actual_time(model))
+
+
+def run_logs(stops: DataFrame) -> DataFrame:
+    """One row per run: nums, its stop numbers by stop index (from 1), and log, its events by time and place, as arrays; steps for searches.
+
+    An event's place is twice its stop index, and one more for a departure. in_order: whether places rise with time, as
+    they do unless a later stop was left before an earlier one.
+    """
     sides = F.array(
         *[
-            F.struct(F.lit(e == "arr").alias("is_arr"), actual_time(e).alias("time"), F.col(f"planned_{e}").alias("planned"), F.col(f"{e}_delay").alias("delay"))
+            F.struct(actual_time(e).alias("time"), (2 * F.col("stop_index") + int(e == "dep")).alias("place"), F.col(f"planned_{e}").alias("planned"), F.col(f"{e}_delay").alias("delay"))
             for e in ("arr", "dep")
         ]
     )
-    return stops.select("run_id", F.col("stop_index").alias("index"), F.explode(sides).alias("e")).select("run_id", "index", "e.*").filter("time is not null")
+    rows = stop_index(stops).select("run_id", "stop_num", "stop_index", sides.alias("sides"))
+    runs = rows.groupBy("run_id").agg(
+        F.sort_array(F.collect_list(F.struct("stop_index", "stop_num"))).alias("nums"), F.sort_array(F.filter(F.flatten(F.collect_list("sides")), lambda e: e["time"].isNotNull())).alias("log")
+    )
+    nums = F.filter("nums", lambda x: x["stop_index"].isNotNull())["stop_num"]
+    runs = runs.select("run_id", nums.alias("nums"), "log", F.col("log.place").alias("places"))
+    steps = F.filter(F.array(*[F.lit(2**k) for k in range(24, -1, -1)]), lambda step: step <= F.size("log"))
+    return runs.withColumns({"in_order": F.col("places") == F.array_sort("places"), "steps": steps}).drop("places")
 
 
-def cutoff(model: str, now: Column, replay: bool) -> Column:
-    """now; for a replay the earliest of now, the same clock time on the event's day, and the event itself."""
-    if not replay:
-        return now
-    clock = minutes_between(now, day_of(now))
-    return F.least(now, plus_minutes(day_of(F.col(f"planned_{model}")), clock), actual_time(model))
+def _below(values: Column, limit: Column) -> Column:
+    """How many of the log's values, in ascending order, lie below the limit: binary search, by the powers of two up to its size."""
+    return F.aggregate("steps", F.lit(0), lambda at, step: F.when(F.coalesce(F.get(values, at + step - 1) < limit, F.lit(False)), at + step).otherwise(at))
 
 
-def at_cutoff(rows: DataFrame, stops: DataFrame, cut: Column, model: str, keys: tuple[str, ...] = ("run_id", "stop_num")) -> DataFrame:
-    """rows (with these keys, run_id and stop_num among them) with last_known_delay, minutes_since_known, stops_since_known.
+def at_cutoff(rows: DataFrame, stops: DataFrame, cut: Column, model: str) -> DataFrame:
+    """rows with last_known_delay, minutes_since_known, stops_since_known.
 
-    The last event of the same run before the row's cutoff, at an earlier stop or, for a departure,
-    the arrival at the same stop. Equal times: the later stop, then the departure.
+    The last event of the same run before the row's cutoff, at an earlier stop or, for a departure, the arrival at the
+    same stop. Equal times: the later stop, then the departure. Rows meet one row of their run, whose log they search: in
+    a log in order, the last event is where the earlier of two bounds lies, by time and by place; other logs are filtered.
     """
-    runs = stop_index(stops)
-    events = event_log(runs).select(F.col("run_id").alias("e_run"), "index", "is_arr", "time", "planned", "delay")
-    indexed = runs.select(F.col("run_id").alias("i_run"), F.col("stop_num").alias("i_stop"), "stop_index")
-    targets = rows.withColumn("cutoff", cut).join(indexed, (F.col("run_id") == F.col("i_run")) & (F.col("stop_num") == F.col("i_stop")), "left").drop("i_run", "i_stop")
-    earlier = F.col("index") < F.col("stop_index")
-    if model == "dep":
-        earlier = earlier | ((F.col("index") == F.col("stop_index")) & F.col("is_arr"))
-    found = (
-        targets.select(*keys, "stop_index", F.col(f"planned_{model}").alias("own"), "cutoff")
-        .join(events, (F.col("run_id") == F.col("e_run")) & (F.col("time") < F.col("cutoff")) & earlier)
-        .groupBy(*[F.col(k).alias(f"f_{k}") for k in keys])
-        .agg(F.max_by(F.struct("delay", "planned", "index", "own", "stop_index"), F.struct("time", "index", ~F.col("is_arr"))).alias("e"))
-        .select(
-            *[f"f_{k}" for k in keys], F.col("e.delay").alias("last_known_delay"), minutes_between(F.col("e.own"), F.col("e.planned")).alias("minutes_since_known"),
-            (F.col("e.stop_index") - F.col("e.index")).alias("stops_since_known"),
-        )
-    )
-    same = reduce(and_, [F.col(k) == F.col(f"f_{k}") for k in keys])
-    return targets.join(found, same, "left").drop(*[f"f_{k}" for k in keys], "stop_index", "cutoff")
+    targets = rows.withColumn("cutoff", cut).join(run_logs(stops).withColumnRenamed("run_id", "l_run"), F.col("run_id") == F.col("l_run"), "left")
+    index = F.nullif(F.array_position("nums", F.col("stop_num")), F.lit(0)).cast("int")
+    targets = targets.withColumn("stop_index", index).withColumn("limit", 2 * F.col("stop_index") + int(model == "dep"))
+    ordered = F.get("log", F.least(_below(F.col("log.time"), F.col("cutoff")), _below(F.col("log.place"), F.col("limit"))) - 1)
+    searched = F.try_element_at(F.filter("log", lambda e: (e["time"] < F.col("cutoff")) & (e["place"] < F.col("limit"))), F.lit(-1))
+    targets = targets.withColumn("e", F.when(F.col("in_order"), ordered).otherwise(searched))
+    return targets.withColumns(
+        {
+            "last_known_delay": F.col("e.delay"),
+            "minutes_since_known": minutes_between(F.col(f"planned_{model}"), F.col("e.planned")),
+            "stops_since_known": F.col("stop_index") - F.floor(F.col("e.place") / 2).cast("int"),
+        }
+    ).drop("l_run", "nums", "log", "in_order", "steps", "limit", "e", "stop_index", "cutoff")
 
 
-def with_last_known(rows: DataFrame, stops: DataFrame, now: Column, model: str, replay: bool, keys: tuple[str, ...] = ("run_id", "stop_num")) -> DataFrame:
-    return at_cutoff(rows, stops, cutoff(model, now, replay), model, keys)
+def with_last_known(rows: DataFrame, stops: DataFrame, now: Column, model: str, replay: bool) -> DataFrame:
+    return at_cutoff(rows, stops, cutoff(model, now, replay), model)
 
 
 def last_seen(stops: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (request_id, run_id, now) with seen_delay: the run's last event before now, at whatever stop."""
-    events = event_log(stop_index(stops)).select(F.col("run_id").alias("e_run"), "index", "is_arr", "time", "delay")
-    seen = (
-        asked.join(events, (F.col("run_id") == F.col("e_run")) & (F.col("time") < F.col("now")))
-        .groupBy("request_id", "run_id")
-        .agg(F.max_by("delay", F.struct("time", "index", ~F.col("is_arr"))).alias("seen_delay"))
-    )
-    return asked.join(seen, ["request_id", "run_id"], "left")
+    logs = run_logs(stops).select(F.col("run_id").alias("l_run"), "log", "steps")
+    seen = asked.join(logs, F.col("run_id") == F.col("l_run"), "left")
+    return seen.withColumn("seen_delay", F.get("log", _below(F.col("log.time"), F.col("now")) - 1)["delay"]).drop("l_run", "log", "steps")

@@ -1,11 +1,13 @@
 """What is known of a run at a moment, against a plain reading of its events."""
 
+import collections
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellwerk.operators.visibility import known_at, last_seen, with_last_known
+from stellwerk.operators.visibility import at_cutoff, known_at, last_seen, run_logs, with_last_known
+from stellwerk.plans import relations
 from stellwerk.streaming.last_known import last_known_stream
 
 SCHEMA = "run_id string, run_day timestamp_ntz, stop_num int, planned_arr timestamp_ntz, planned_dep timestamp_ntz, arr_delay int, dep_delay int"
@@ -77,3 +79,22 @@ def test_stream_and_table_agree(spark, tmp_path):
     found = sorted((r.run_id, r.delay) for r in spark.table("seen").collect())
     assert found == sorted((r.run_id, r.delay) for r in last_known_stream(spark.createDataFrame(rows, schema)).collect())
     assert [k for k, _ in found] == ["a", "b"] and dict(found)["b"] == 2
+
+
+@pytest.mark.parametrize("model", ["arr", "dep"])
+def test_logs_in_and_out_of_order(spark, model):
+    """Cutoffs all over the day, against a plain search through the run's events."""
+    stops = relations.stops(spark, "/root/testdata/sf0.001").withColumn("dep_delay", F.when(F.col("stop_num") % 5 == 2, F.lit(300).cast("short")).otherwise(F.col("dep_delay")))
+    order = collections.Counter(r.in_order for r in run_logs(stops).collect())
+    assert order[True] > 20 and order[False] > 20
+    asked = stops.filter(f"planned_{model} is not null").withColumn("cut", F.timestamp_add("MINUTE", F.pmod(F.xxhash64("run_id", "stop_num"), F.lit(1440)).cast("int"), "run_day"))
+    runs = collections.defaultdict(list)
+    for r in stops.collect():
+        runs[r.run_id].append(r)
+    for r in at_cutoff(asked, stops, F.col("cut"), model).collect():
+        own = sorted((x for x in runs[r.run_id] if x.planned_arr or x.planned_dep), key=lambda x: (x.planned_arr or x.planned_dep, x.stop_num))
+        at = [x.stop_num for x in own].index(r.stop_num)
+        log = [(x[f"planned_{e}"] + timedelta(minutes=x[f"{e}_delay"]), k, e == "dep", x[f"planned_{e}"], x[f"{e}_delay"]) for k, x in enumerate(own) for e in ("arr", "dep") if x[f"planned_{e}"] and x[f"{e}_delay"] is not None]
+        last = max((x for x in log if x[0] < r.cut and (x[1] < at or (model == "dep" and x[1] == at and not x[2]))), default=None)
+        want = (None, None, None) if last is None else (last[4], int((r[f"planned_{model}"] - last[3]) / timedelta(minutes=1)), at - last[1])
+        assert (r.last_known_delay, r.minutes_since_known, r.stops_since_known) == want
