@@ -12,6 +12,12 @@ from stellwerk.schema import HISTORY_DAYS, ROWS_PER_TYPE, RUNS_PER_GROUP
 
 
 def hash_order(seed: int, *keys: str) -> Column:
+    """An order that any engine can repeat."""
+    return F.md5(F.concat_ws(":", *keys, F.lit(str(seed))))
+
+
+def hash_number(seed: int, *keys: str) -> Column:
+    """64 bits, for what is counted or cut by ranges of the hash."""
     return F.xxhash64(*keys, F.lit(seed))
 
 
@@ -36,8 +42,8 @@ def group_weights(runs: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def busy_stations(stops: DataFrame, n: int) -> DataFrame:
-    """The n stations with most departures; equal ones by name."""
-    return stops.filter("planned_dep is not null").groupBy("station").agg(F.count(F.lit(1)).alias("departures")).orderBy(F.desc("departures"), "station").limit(n)
+    """The n stations with most departures in the context split, so that nothing of the tested days is used; equal ones by name."""
+    return stops.filter("split = 'context' and planned_dep is not null").groupBy("station").agg(F.count(F.lit(1)).alias("departures")).orderBy(F.desc("departures"), "station").limit(n)
 
 
 def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str) -> DataFrame:
@@ -56,14 +62,14 @@ def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str
 
 
 def _with_cutoff(rows: DataFrame, stops: DataFrame, model: str, horizon: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
-    ahead = F.pmod(hash_order(seed + 1, *keys), F.lit(horizon))
+    ahead = F.pmod(hash_number(seed + 1, *keys), F.lit(horizon))
     return at_cutoff(rows, stops, plus_minutes(F.col(f"planned_{model}"), -ahead), model)
 
 
 def capped_training_rows(stops: DataFrame, model: str, cap: int = ROWS_PER_TYPE, horizon: int = 360, seed: int = 0) -> DataFrame:
     """Usable rows, at most cap of each train type, with a cutoff up to horizon minutes ahead and what was known then."""
     usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
-    rows = capped(usable, ["train_type"], cap, hash_order(seed, "run_id", "stop_num"), "run_id", "stop_num")
+    rows = capped(usable, ["train_type"], cap, hash_number(seed, "run_id", "stop_num"), "run_id", "stop_num")
     return _with_cutoff(rows, stops, model, horizon, seed, ("run_id", "stop_num"))
 
 
@@ -77,5 +83,5 @@ def training_rows(stops: DataFrame, days: DataFrame, model: str, cap: int = ROWS
     last = F.date_add("run_day", history_days)
     dealt = usable.withColumns({"first_": first, "last_": last}).filter("first_ <= last_").withColumn("day", F.explode(F.sequence("first_", "last_")))
     dealt = dealt.withColumn("day", F.col("day").cast("timestamp_ntz")).drop("first_", "last_").join(days.select("day").distinct(), "day", "left_semi")
-    rows = capped(dealt, ["day", "train_type"], cap, hash_order(seed, "run_id", "stop_num"), "run_id", "stop_num")
+    rows = capped(dealt, ["day", "train_type"], cap, hash_number(seed, "run_id", "stop_num"), "run_id", "stop_num")
     return _with_cutoff(rows, stops, model, horizon, seed, ("day", "run_id", "stop_num"))

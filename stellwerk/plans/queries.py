@@ -24,13 +24,6 @@ def query(f: Callable[[DataFrame], DataFrame]) -> Callable:
     return f
 
 
-def dated(f: Callable) -> Callable:
-    """Registers a query over legs of the later days, as its SQL has it, and over those of every day (NAME_every_day)."""
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), r.FROM_DAY)
-    QUERIES[f"{f.__name__}_every_day"] = lambda spark, sf_dir: f(r.stops(spark, sf_dir), None)
-    return f
-
-
 def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [F.round(F.col(c).cast("double"), digits).alias(c) for c in names]
 
@@ -82,7 +75,7 @@ def known_at(stops):
 
 
 def _last_known(stops, event, replay):
-    rows = stops.filter(F.col(f"planned_{event}").isNotNull() & (F.col("run_day") <= r.at("2024-01-20")))
+    rows = stops.filter(F.col(f"planned_{event}").isNotNull())
     found = visibility.with_last_known(rows, stops, r.at(r.NOW), event, replay)
     return found.select("run_id", "stop_num", *[F.col(c).cast("long").alias(c) for c in ("last_known_delay", "minutes_since_known", "stops_since_known")])
 
@@ -102,32 +95,14 @@ def last_known_now(stops):
     return _last_known(stops, "arr", False)
 
 
-@dated
-def last_seen(stops, since):
-    return r.rows(stops, since).select("request_id", "run_id", "stop_num", "model", F.col("seen_delay").cast("long").alias("seen_delay"), "minutes_ahead", "case", "group")
-
-
 @query
-def slots_join(stops):
-    """Rows of earlier days in the hour before each query row of a day, by station and clock minute."""
-    asked = stops.filter(F.col("run_day") == r.at("2024-01-20")).withColumn("request_id", F.col("train_type"))
-    slots = context.query_slots(asked)
-    rows = stops.filter(F.col("run_day") < r.at("2024-01-20")).withColumn("minute", minute_of_day())
-    return rows.join(slots, ["station", "minute"]).groupBy("request_id", "station").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("runs"))
+def last_seen(stops):
+    return r.rows(stops).select("request_id", "run_id", "stop_num", "model", F.col("seen_delay").cast("long").alias("seen_delay"), "minutes_ahead", "case", "group")
 
 
 @query
-def same_train_history(stops):
-    """The latest earlier rides of each train of a day, at most 20 rows."""
-    trains = stops.filter(F.col("run_day") == r.at("2024-01-20")).select("train_key").distinct()
-    past = visibility.known_at(stops, r.at("2024-01-20")).filter(visibility.since(r.at("2024-01-20"), 14)).join(trains, "train_key", "left_semi")
-    order = Window.partitionBy("train_key").orderBy(F.desc("run_day"), "run_id", "stop_num")
-    return past.withColumn("nth", F.row_number().over(order)).filter("nth <= 20").select("train_key", "nth", "run_id", "stop_num")
-
-
-@query
-def slots_join_every_day(stops):
-    """slots_join for the requests of every day, with the rows of the days before it: an equi-join on day, station and minute."""
+def slots_join(stops):
+    """For each day and train type, rows of the seven days before in the hour before each of its rows, by station and clock minute."""
     asked = stops.withColumn("request_id", _named("train_type"))
     slots = context.query_slots(asked).withColumn("day", F.to_timestamp_ntz(F.substring("request_id", 1, 10), F.lit("yyyy-MM-dd")))
     rows = _later_days(stops, DAYS_BACK).withColumn("minute", minute_of_day())
@@ -135,8 +110,8 @@ def slots_join_every_day(stops):
 
 
 @query
-def same_train_history_every_day(stops):
-    """same_train_history for the trains of every day, over the days before it."""
+def same_train_history(stops):
+    """For each day, the latest rides of each of its trains in the seven days before, at most 20 rows."""
     trains = stops.select(F.col("run_day").alias("day"), "train_key").distinct()
     past = visibility.known_at(_later_days(stops, SAME_TRAIN_DAYS), F.col("day")).join(trains, ["day", "train_key"], "left_semi")
     order = Window.partitionBy("day", "train_key").orderBy(F.desc("run_day"), "run_id", "stop_num")
@@ -164,7 +139,7 @@ def recent_local(stops):
 
 
 def _baseline(stops, method):
-    asked = stops.filter((F.col("run_day") >= r.at(r.FROM_DAY)) & F.col("planned_arr").isNotNull())
+    asked = stops.filter(F.col("planned_arr").isNotNull())
     if method == "carry_forward":
         runs = asked.select(F.lit("now").alias("request_id"), "run_id", r.at(r.NOW).alias("now")).distinct()
         asked = asked.join(visibility.last_seen(stops, runs).select("run_id", "seen_delay"), "run_id", "left")
@@ -186,39 +161,39 @@ def baseline_carry_forward(stops):
     return _baseline(stops, "carry_forward")
 
 
-@dated
-def two_leg_journeys(stops, since):
-    return r.legs(stops, since).select("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
+@query
+def two_leg_journeys(stops):
+    return r.legs(stops).select("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
 
 
-@dated
-def route_stops_array(stops, since):
-    found = routing.route_stops(r.legs(stops, since), stops)
+@query
+def route_stops_array(stops):
+    found = routing.route_stops(r.legs(stops), stops)
     return found.select("request_id", "route", "leg", F.array_join("stops", " ").alias("stops"), F.size("stops").cast("long").alias("n"))
 
 
-@dated
-def replayed_transfers(stops, since):
-    return routing.replayed(r.legs(stops, since), visibility.connections(stops))
+@query
+def replayed_transfers(stops):
+    return routing.replayed(r.legs(stops), visibility.connections(stops))
 
 
-def _legs(stops, since, method="train_station"):
-    return r.legs_with_delays(stops, (method,), since).drop("method")
+def _legs(stops, method="train_station"):
+    return r.legs_with_delays(stops, (method,)).drop("method")
 
 
-@dated
-def transfer_probability(stops, since):
-    return risk.transfers(_legs(stops, since)).select("request_id", "route", "leg", "room", *rounded("wait", "p"), F.col("level").cast("int").alias("level"))
+@query
+def transfer_probability(stops):
+    return risk.transfers(_legs(stops)).select("request_id", "route", "leg", "room", *rounded("wait", "p"), F.col("level").cast("int").alias("level"))
 
 
-@dated
-def transfer_levels(stops, since):
-    return risk.transfers(_legs(stops, since)).groupBy(F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+@query
+def transfer_levels(stops):
+    return risk.transfers(_legs(stops)).groupBy(F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-@dated
-def routes_ranked(stops, since):
-    found = risk.routes(_legs(stops, since))
+@query
+def routes_ranked(stops):
+    found = risk.routes(_legs(stops))
     return found.select("request_id", "route", "dep", "planned_arrival", *[f"arrival_{q}" for q in QCOLS], F.col("transfers").cast("long").alias("transfers"), "weakest", "rank")
 
 
@@ -231,74 +206,74 @@ def drawn_routes_ranked(stops):
     return found.select("request_id", "route", "dep", "planned_arrival", *[f"arrival_{q}" for q in QCOLS], F.col("transfers").cast("long").alias("transfers"), "weakest", "rank")
 
 
-@dated
-def legs_per_route(stops, since):
+@query
+def legs_per_route(stops):
     """How many legs the routes of a start have."""
-    own = r.legs(stops, since)
+    own = r.legs(stops)
     routes = own.groupBy("request_id", "route").agg(F.count(F.lit(1)).alias("legs"), F.min_by("from_station", "leg").alias("src"))
     return metrics.summary(routes, "legs", "src")
 
 
-def _outcomes(stops, since):
-    return risk.with_outcome(risk.transfers(r.legs_with_delays(stops, ("global", "train_station"), since)), stops)
+def _outcomes(stops):
+    return risk.with_outcome(risk.transfers(r.legs_with_delays(stops, ("global", "train_station"))), stops)
 
 
-@dated
-def held_outcome(stops, since):
-    return risk.with_outcome(risk.transfers(_legs(stops, since, "global")), stops).select("request_id", "route", "leg", "canceled", "held")
+@query
+def held_outcome(stops):
+    return risk.with_outcome(risk.transfers(_legs(stops, "global")), stops).select("request_id", "route", "leg", "canceled", "held")
 
 
-@dated
-def brier_by_method(stops, since):
-    return metrics.brier(_outcomes(stops, since).filter("held is not null and not canceled and p is not null")).select("method", "n", *rounded("brier"))
+@query
+def brier_by_method(stops):
+    return metrics.brier(_outcomes(stops).filter("held is not null and not canceled and p is not null")).select("method", "n", *rounded("brier"))
 
 
-@dated
-def level_calibration(stops, since):
-    found = metrics.calibration(_outcomes(stops, since).filter("held is not null and not canceled and p is not null"))
+@query
+def level_calibration(stops):
+    found = metrics.calibration(_outcomes(stops).filter("held is not null and not canceled and p is not null"))
     return found.select("method", F.col("level").cast("int").alias("level"), "n", *rounded("mean_p", "mean_held", "share"))
 
 
-def _scored(stops, since):
-    return metrics.scored_rows(r.predicted(stops, r.rows(stops, since)))
+def _scored(stops):
+    return metrics.scored_rows(r.predicted(stops, r.rows(stops)))
 
 
 SCORES = ("pinball_q50", "pinball_q80", "pinball_q95", "pinball", "mae", "coverage_q50", "coverage_q80", "coverage_q95")
 
 
-@dated
-def pinball_scores(stops, since):
-    return metrics.scores(_scored(stops, since), "model", "method").select("model", "method", "n", *rounded(*SCORES, digits=9))
+@query
+def pinball_scores(stops):
+    return metrics.scores(_scored(stops), "model", "method").select("model", "method", "n", *rounded(*SCORES, digits=9))
 
 
-@dated
-def scores_by_group(stops, since):
-    return metrics.scores(_scored(stops, since), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES, digits=9))
+@query
+def scores_by_group(stops):
+    return metrics.scores(_scored(stops), "model", "group", "method").select("model", "group", "method", "n", *rounded(*SCORES, digits=9))
 
 
-@dated
-def score_grouping_sets(stops, since):
-    return metrics.score_report(_scored(stops, since)).select("model", "method", "case", "group", "n", *rounded(*SCORES, digits=9))
+@query
+def score_grouping_sets(stops):
+    return metrics.score_report(_scored(stops)).select("model", "method", "case", "group", "n", *rounded(*SCORES, digits=9))
 
 
-@dated
-def loss_pivot(stops, since):
+@query
+def loss_pivot(stops):
     methods = ["global", "train_station", "carry_forward"]
-    found = metrics.loss_pivot(_scored(stops, since), methods, "request_id", "run_id", "stop_num", "model")
+    found = metrics.loss_pivot(_scored(stops), methods, "request_id", "run_id", "stop_num", "model")
     return found.select("request_id", "run_id", "stop_num", "model", *[F.round(F.col(m), 6).alias(f"loss_{m}") for m in methods])
 
 
-@dated
-def shared_requests(stops, since):
+@query
+def shared_requests(stops):
     """Requests that every method has scored, where one method skips every third station pair."""
-    scored = _scored(stops, since)
+    scored = _scored(stops)
     scored = scored.filter((F.col("method") != "global") | (F.length("request_id") + F.col("stop_num") != 20))
     return metrics.shared_keys(scored.select("request_id", "method")).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@dated
-def case_buckets(stops, since):
-    rows = r.rows(stops, since)
+@query
+def case_buckets(stops):
+    rows = r.rows(stops)
     return rows.groupBy("model", "case").agg(F.count(F.lit(1)).alias("n"), F.count("delay").alias("with_delay"))
 
 
@@ -315,17 +290,10 @@ def busy_stations(stops):
 
 @query
 def group_weights(stops):
-    """Weights of runs drawn by a rule that SQL can repeat: every fourth day."""
+    """Weights of the sample of runs of each group."""
     runs = sampling.week_runs(stops)
-    drawn = runs.filter(F.dayofmonth("run_day") % 4 == 0)
-    return sampling.group_weights(runs, drawn).select("group", "n_all", "n_drawn", *rounded("share"), F.round(F.col("weight"), 9).alias("weight"))
-
-
-@query
-def sample_weights(stops):
-    """Weights of the library's own sample of runs."""
-    runs = sampling.week_runs(stops)
-    return sampling.group_weights(runs, sampling.stratified_runs(runs)).select("group", "n_all", "n_drawn", "share", "weight")
+    found = sampling.group_weights(runs, sampling.stratified_runs(runs))
+    return found.select("group", "n_all", "n_drawn", *rounded("share"), F.round(F.col("weight"), 9).alias("weight"))
 
 
 @query
@@ -358,38 +326,19 @@ def display_labels(stops):
 
 @query
 def earliest_arrivals(stops):
-    return _reach(stops, 2)
-
-
-@query
-def earliest_arrivals_every_day(stops):
-    """From every station on every day with the default boardings; too many for SQL."""
+    """From every station on every day, from its first departure on, with the default boardings."""
     sources = stops.filter("planned_dep is not null").groupBy("run_day", F.col("station").alias("src")).agg(F.min("planned_dep").alias("depart"))
     sources = sources.withColumn("request_id", F.concat_ws("-", F.date_format("run_day", "yyyy-MM-dd"), "src"))
     return routing.earliest_arrivals(visibility.connections(stops), sources)
 
 
-def _reach(stops, boardings):
-    conns = visibility.connections(stops)
-    sources = stops.filter(F.col("run_day") >= r.at("2024-01-29")).groupBy("run_day").agg(F.min("planned_dep").alias("depart"))
-    sources = sources.select(F.date_format("run_day", "yyyy-MM-dd").alias("request_id"), "run_day", F.lit("ST9").alias("src"), "depart")
-    return routing.earliest_arrivals(conns, sources, boardings)
-
-
-@query
-def journeys(stops):
-    days = stops.groupBy(F.col("run_day").alias("day")).agg(F.min("planned_dep").alias("depart"))
-    asked = days.select(F.date_format("day", "yyyy-MM-dd").alias("request_id"), "day", F.lit("ST9").alias("src"), F.lit("ST2").alias("dst"), "depart")
-    return routing.journeys(visibility.timetables(stops, asked), asked)
-
-
 @query
 def drawn_requests(stops):
     return requests.drawn_requests(stops)
 
 
 @query
-def drawn_journeys(stops):
+def journeys(stops):
     """Routes of the drawn requests of every day."""
     asked = r.kept(requests.drawn_requests(stops))
     return routing.journeys(visibility.timetables(stops, asked), asked)
@@ -447,5 +396,5 @@ def training_history(stops):
 
 @query
 def bootstrap_diff(stops):
-    losses = metrics.loss_pivot(_scored(stops, None), ["global", "train_station"], "request_id", "run_id", "stop_num", "model")
+    losses = metrics.loss_pivot(_scored(stops), ["global", "train_station"], "request_id", "run_id", "stop_num", "model")
     return metrics.bootstrap_difference(losses.filter("`global` is not null and train_station is not null"), "train_station", "global")

@@ -12,7 +12,6 @@ from stellwerk.operators import baselines, risk, routing, visibility
 from stellwerk.operators.requests import request_rows
 from stellwerk.sources.stops import from_events
 
-FROM_DAY = "2024-01-15"
 NOW = "2024-01-20 14:00:00"
 
 
@@ -24,18 +23,17 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(from_events(spark, sf_dir))
 
 
-def legs(stops: DataFrame, since: str | None = FROM_DAY) -> DataFrame:
-    """Legs of direct hops and next-departure transfers of the days from `since`, or of every day."""
-    asked = stops.filter(F.col("run_day") >= at(since)) if since else stops
-    return kept(routing.two_leg_legs(visibility.connections(asked)))
+def legs(stops: DataFrame) -> DataFrame:
+    """Legs of direct hops and next-departure transfers of every day."""
+    return kept(routing.two_leg_legs(visibility.connections(stops)))
 
 
 def requests(legs: DataFrame) -> DataFrame:
     return legs.groupBy("request_id").agg(F.min("dep").alias("depart"))
 
 
-def rows(stops: DataFrame, since: str | None = FROM_DAY) -> DataFrame:
-    own = legs(stops, since)
+def rows(stops: DataFrame) -> DataFrame:
+    own = legs(stops)
     return kept(request_rows(stops, requests(own), own))
 
 
@@ -45,9 +43,9 @@ def predicted(stops: DataFrame, own: DataFrame, methods: tuple[str, ...] = tuple
     return kept(reduce(DataFrame.unionByName, found))
 
 
-def legs_with_delays(stops: DataFrame, methods: tuple[str, ...], since: str | None = FROM_DAY) -> DataFrame:
+def legs_with_delays(stops: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """legs once for each method, with the arrival delays it predicts; departure delays are those last seen, whatever the method."""
-    own = legs(stops, since)
+    own = legs(stops)
     return delayed(stops, own, requests(own), methods)
 
 

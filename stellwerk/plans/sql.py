@@ -32,7 +32,7 @@ CONNS = r"""
               FROM ahead WHERE planned_dep IS NOT NULL AND arr IS NOT NULL AND arr >= planned_dep)"""
 
 LEGS = r"""
-    late AS (SELECT * FROM conns WHERE run_day >= '2024-01-15'),
+    late AS (SELECT * FROM conns),
     pairs AS (SELECT a.*, min((b.dep, b.arr, b.run_id, b.stop_num, b.station, b.next_station, b.next_stop_num)) AS t
               FROM late a JOIN late b ON a.next_station = b.station AND a.run_day = b.run_day AND a.run_id <> b.run_id AND b.dep >= a.arr + INTERVAL 5 MINUTE GROUP BY ALL),
     found AS (SELECT station || '>' || next_station || '>' || CAST(CAST(run_day AS DATE) AS VARCHAR) AS request_id, station AS src, next_station AS dst, dep, run_id, stop_num, 1 AS n, next_station, next_stop_num, arr, NULL AS t FROM late
@@ -116,7 +116,7 @@ CUT = {
 }
 
 
-def _last_known(e: str, earlier: str, cut: str, name: str = "lk", where: str = "s.run_day <= '2024-01-20'") -> str:
+def _last_known(e: str, earlier: str, cut: str, name: str = "lk", where: str = "true") -> str:
     return rf"""
     {name}_t AS (SELECT s.*, i2.i AS own, {cut} AS cut FROM stops s JOIN idx i2 ON i2.run_id = s.run_id AND i2.stop_num = s.stop_num WHERE s.planned_{e} IS NOT NULL AND {where}),
     {name}_f AS (SELECT i2.run_id, i2.stop_num, arg_max((log.delay, log.planned, log.i), (log.time, log.i, NOT log.is_arr)) AS e
@@ -132,11 +132,30 @@ def _with(*parts: str) -> str:
 KNOWN = r"""
     known AS (SELECT * REPLACE (CASE WHEN act_arr < now THEN arr_delay END AS arr_delay, CASE WHEN act_dep < now THEN dep_delay END AS dep_delay)
               FROM (SELECT *, TIMESTAMP '{now}' AS now FROM stops) WHERE run_day < now AND (act_arr < now OR act_dep < now))"""
-QUERY = "    qry AS (SELECT * FROM stops WHERE run_day >= '2024-01-15' AND planned_arr IS NOT NULL)"
+QUERY = "    qry AS (SELECT * FROM stops WHERE planned_arr IS NOT NULL)"
 Q6 = "round({q}[1], 6) AS q50, round({q}[2], 6) AS q80, round({q}[3], 6) AS q95"
 ALL_LEGS = (STOPS, CONNS, LEGS)
 ALL_PRED = (*ALL_LEGS, LOG, ROWS, PREDICTED)
 
+DRAWN_RUNS = rf"""
+    runs AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(run_id || ':0'), run_id) AS nth FROM (SELECT run_id, {GROUP} AS grp, count(*) AS n_rows FROM stops GROUP BY 1, 2))"""
+
+
+def _round(k: int) -> str:
+    """One more boarding: the runs that can be reached, ridden on from there, and the best of before and now."""
+    return rf"""
+    on{k} AS (SELECT request_id, b.run_day, run_id, min(dep) AS since FROM best{k - 1} b JOIN conns c ON c.station = b.place AND c.run_day = b.run_day
+              AND c.dep >= b.ready + CASE WHEN b.source THEN INTERVAL 0 MINUTE ELSE INTERVAL 5 MINUTE END GROUP BY ALL),
+    best{k} AS MATERIALIZED (SELECT request_id, run_day, place, min(ready) AS ready, arg_min(source, (ready, NOT source)) AS source
+              FROM (SELECT * FROM best{k - 1} UNION ALL SELECT request_id, o.run_day, next_station, arr, false FROM on{k} o JOIN conns c ON c.run_id = o.run_id AND c.dep >= o.since) GROUP BY ALL)"""
+
+
+REACH = (
+    r"""
+    best0 AS (SELECT CAST(CAST(run_day AS DATE) AS VARCHAR) || '-' || station AS request_id, run_day, station AS place, min(planned_dep) AS ready, true AS source FROM stops WHERE planned_dep IS NOT NULL GROUP BY run_day, station),"""
+    + ",".join(_round(k) for k in (1, 2, 3))
+)
+
 ORACLE_SQL = {
     "stops_derived": _with(STOPS) + "SELECT run_id, run_day, train_type, train_key, station, stop_num, planned_arr, planned_dep, arr_canceled, dep_canceled, arr_delay, dep_delay FROM stops",
     "stop_features": _with(STOPS)
@@ -164,16 +183,6 @@ ORACLE_SQL = {
         for name, how in CUT.items()
     },
     "last_seen": _with(*ALL_LEGS, LOG, ROWS) + "SELECT request_id, run_id, stop_num, model, CAST(seen_delay AS BIGINT) AS seen_delay, minutes_ahead, cas AS case, grp AS group FROM rw".replace("AS case", 'AS "case"').replace("AS group", 'AS "group"'),
-    "slots_join": _with(
-        STOPS,
-        """ q AS (SELECT DISTINCT train_type AS request_id, station, ((coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) - b + 1440) % 1440) AS minute
-                  FROM stops, range(1, 61) r(b) WHERE run_day = '2024-01-20' AND coalesce(planned_dep, planned_arr) IS NOT NULL)""",
-    )
-    + """SELECT request_id, q.station, count(*) AS n_rows, count(DISTINCT run_id) AS runs FROM q JOIN stops s ON s.station = q.station AND coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) = q.minute
-        WHERE run_day < '2024-01-20' GROUP BY ALL""",
-    "same_train_history": _with(STOPS, KNOWN.format(now="2024-01-20 00:00:00"))
-    + """SELECT * FROM (SELECT train_key, CAST(row_number() OVER (PARTITION BY train_key ORDER BY run_day DESC, run_id, stop_num) AS INT) AS nth, run_id, stop_num
-        FROM known WHERE run_day >= '2024-01-06' AND train_key IN (SELECT train_key FROM stops WHERE run_day = '2024-01-20')) WHERE nth <= 20""",
     "recent_local": _with(STOPS, KNOWN.format(now="2024-01-20 14:00:00"))
     + """SELECT station, run_id, stop_num, arr_delay, dep_delay FROM known
         WHERE greatest(planned_arr + to_minutes(arr_delay), planned_dep + to_minutes(dep_delay)) >= '2024-01-20 13:00:00'""",
@@ -228,26 +237,14 @@ ORACLE_SQL = {
     "case_buckets": _with(*ALL_LEGS, LOG, ROWS) + 'SELECT model, cas AS "case", count(*) AS n, count(delay) AS with_delay FROM rw GROUP BY model, cas',
     "train_group_counts": _with(STOPS)
     + f'SELECT {GROUP} AS "group", count(DISTINCT run_id) AS runs, count(*) AS n_rows, count(arr_delay) AS arrivals, count(dep_delay) AS departures FROM stops GROUP BY 1',
-    "busy_stations": _with(STOPS) + "SELECT station, count(*) AS departures FROM stops WHERE planned_dep IS NOT NULL GROUP BY station ORDER BY 2 DESC, 1 LIMIT 5",
-    "group_weights": _with(
-        STOPS,
-        f""" runs AS (SELECT run_id, min(run_day) AS run_day, {GROUP} AS grp, count(*) AS n_rows FROM stops GROUP BY run_id, 3),
-             g AS (SELECT grp, CAST(sum(n_rows) AS BIGINT) AS n_all, CAST(sum(n_rows) FILTER (WHERE dayofmonth(run_day) % 4 = 0) AS BIGINT) AS n_drawn FROM runs GROUP BY grp)""",
-    )
-    + 'SELECT grp AS "group", n_all, n_drawn, round(n_all / (SELECT sum(n_all) FROM g), 6) AS share, round(n_all / (SELECT sum(n_all) FROM g) / n_drawn, 9) AS weight FROM g WHERE n_drawn IS NOT NULL',
+    "busy_stations": _with(STOPS) + "SELECT station, count(*) AS departures FROM stops WHERE split = 'context' AND planned_dep IS NOT NULL GROUP BY station ORDER BY 2 DESC, 1 LIMIT 5",
+    "stratified_runs": _with(STOPS, DRAWN_RUNS) + 'SELECT run_id, grp AS "group", n_rows FROM runs WHERE nth <= 60',
+    "group_weights": _with(STOPS, DRAWN_RUNS, " g AS (SELECT grp, CAST(sum(n_rows) AS BIGINT) AS n_all, CAST(sum(n_rows) FILTER (WHERE nth <= 60) AS BIGINT) AS n_drawn FROM runs GROUP BY grp)")
+    + 'SELECT grp AS "group", n_all, n_drawn, round(n_all / (SELECT sum(n_all) FROM g), 6) AS share, round(n_all / (SELECT sum(n_all) FROM g) / n_drawn, 9) AS weight FROM g',
     "display_labels": _with(STOPS, " l AS (SELECT *, (stop_num * 7 % 101) / 100.0 AS p FROM stops)")
     + """SELECT run_id, stop_num, CASE WHEN p >= 0.97 THEN '97% or more' WHEN p < 0.05 THEN 'under 5%' ELSE CAST(CAST(floor(p * 20) AS INT) * 5 AS VARCHAR) || '%' END AS text,
         CASE WHEN stop_num % 2 = 0 THEN station ELSE train_key END AS label FROM l""",
-    "earliest_arrivals": _with(
-        STOPS,
-        CONNS,
-        """ src AS (SELECT run_day, min(planned_dep) AS depart FROM stops WHERE run_day >= '2024-01-29' GROUP BY run_day),
-            on1 AS (SELECT c.run_day, c.run_id, min(c.dep) AS b FROM conns c JOIN src ON src.run_day = c.run_day AND c.station = 'ST9' AND c.dep >= src.depart GROUP BY ALL),
-            r1 AS (SELECT c.run_day, c.next_station AS station, min(c.arr) AS arr FROM conns c JOIN on1 ON on1.run_id = c.run_id AND c.dep >= on1.b GROUP BY ALL),
-            on2 AS (SELECT c.run_day, c.run_id, min(c.dep) AS b FROM conns c JOIN r1 ON r1.run_day = c.run_day AND r1.station = c.station AND c.station <> 'ST9' AND c.dep >= r1.arr + INTERVAL 5 MINUTE GROUP BY ALL),
-            r2 AS (SELECT c.run_day, c.next_station AS station, min(c.arr) AS arr FROM conns c JOIN on2 ON on2.run_id = c.run_id AND c.dep >= on2.b GROUP BY ALL)""",
-    )
-    + """SELECT CAST(CAST(run_day AS DATE) AS VARCHAR) AS request_id, station, min(arr) AS arr FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE station <> 'ST9' GROUP BY ALL""",
+    "earliest_arrivals": _with(STOPS, CONNS, REACH) + "SELECT request_id, place AS station, ready AS arr FROM best3 WHERE NOT source",
 }
 
 ORACLE_SQL["legs_per_route"] = (
@@ -255,15 +252,11 @@ ORACLE_SQL["legs_per_route"] = (
     + """SELECT src, count(*) AS n, round(avg(legs), 9) AS mean, round(stddev_samp(legs), 9) AS std, min(legs) AS least,
         quantile_cont(CAST(legs AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(legs AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(legs AS DOUBLE), 0.75) AS p75, max(legs) AS most FROM per GROUP BY src"""
 )
-#: The same over the legs of every day.
-DATED = ("legs_per_route", "last_seen", "two_leg_journeys", "route_stops_array", "replayed_transfers", "transfer_probability", "transfer_levels", "routes_ranked", "held_outcome", "brier_by_method",
-         "level_calibration", "pinball_scores", "scores_by_group", "score_grouping_sets", "loss_pivot", "shared_requests", "case_buckets")
-ORACLE_SQL |= {f"{name}_every_day": ORACLE_SQL[name].replace("late AS (SELECT * FROM conns WHERE run_day >= '2024-01-15')", "late AS (SELECT * FROM conns)") for name in DATED}
 _DRAW = "(CAST('0x' || substr(md5(request_id || ':0:{of}'), 1, 13) AS BIGINT) / 4503599627370496.0)"
 ORACLE_SQL |= {
     "drawn_requests": _with(
         STOPS,
-        f""" busy AS (SELECT station, count(*) AS n FROM stops WHERE planned_dep IS NOT NULL GROUP BY station ORDER BY 2 DESC, 1 LIMIT 300),
+        f""" busy AS (SELECT station, count(*) AS n FROM stops WHERE split = 'context' AND planned_dep IS NOT NULL GROUP BY station ORDER BY 2 DESC, 1 LIMIT 300),
             ends AS (SELECT station, n, CAST(coalesce(sum(n) OVER (ORDER BY n DESC, station ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below FROM busy),
             whole AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM ends),
             ask AS (SELECT run_day AS day, k, CAST(CAST(run_day AS DATE) AS VARCHAR) || '-' || k AS request_id FROM (SELECT DISTINCT run_day FROM stops), range(30) r(k)),
@@ -290,14 +283,14 @@ _DAYS = "(SELECT DISTINCT run_day AS day FROM stops)"
 _NAME = "strftime({day}, '%Y-%m-%d') || '-' || train_type"
 _CODE = "CASE WHEN {c} IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY request_id ORDER BY {c} NULLS LAST) - 1 AS INT) END AS {c}"
 ORACLE_SQL |= {
-    "slots_join_every_day": _with(
+    "slots_join": _with(
         STOPS,
         f""" q AS (SELECT DISTINCT run_day AS day, {_NAME.format(day="run_day")} AS request_id, station, ((coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) - b + 1440) % 1440) AS minute
                    FROM stops, range(1, 61) r(b) WHERE coalesce(planned_dep, planned_arr) IS NOT NULL)""",
     )
     + """SELECT request_id, q.station, count(*) AS n_rows, count(DISTINCT run_id) AS runs FROM q JOIN stops s ON s.station = q.station AND coalesce(dep_hour * 60 + dep_minute, arr_hour * 60 + arr_minute) = q.minute
         WHERE run_day < day AND run_day >= day - INTERVAL 7 DAY GROUP BY ALL""",
-    "same_train_history_every_day": _with(STOPS)
+    "same_train_history": _with(STOPS)
     + f"""SELECT * FROM (SELECT day, train_key, CAST(row_number() OVER (PARTITION BY day, train_key ORDER BY run_day DESC, run_id, stop_num) AS INT) AS nth, run_id, stop_num
         FROM {_DAYS} d JOIN stops s ON run_day < day AND run_day >= day - INTERVAL 7 DAY AND (act_arr < day OR act_dep < day)
         WHERE EXISTS (SELECT 1 FROM stops t WHERE t.run_day = d.day AND t.train_key = s.train_key)) WHERE nth <= 20""",

@@ -11,7 +11,7 @@ from stellwerk.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-CHECKED = ["stops_derived", "stop_features", "connections", "known_at", "last_known_arr", "last_seen", "baseline_train_station", "two_leg_journeys", "replayed_transfers", "slots_join", "slots_join_every_day", "same_train_history_every_day", "all_stations", "coded_features", "legs_per_route"]
+CHECKED = ["stops_derived", "stop_features", "connections", "known_at", "last_known_arr", "last_seen", "baseline_train_station", "two_leg_journeys", "replayed_transfers", "slots_join", "same_train_history", "busy_stations", "stratified_runs", "group_weights", "earliest_arrivals", "drawn_requests", "all_stations", "coded_features", "legs_per_route"]
 
 
 def text(v):
