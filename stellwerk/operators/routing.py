@@ -1,20 +1,17 @@
-"""Journeys over connections: next-departure transfers as joins, earliest arrivals in rounds, route search per request.
+"""Journeys over connections: next-departure transfers as joins, earliest arrivals and routes in rounds.
 
-`earliest_arrivals` is relational: each round boards the runs that can be reached and rides them on,
-so a round is two joins on station and run, and rounds are as many as boardings. `journeys` needs the
-sequential connection scan (its ties depend on the order of departures): the requests of a day and that
-day's timetable, with the nights before and after, meet in a grouped kernel.
+A round boards the runs that can be reached and rides them on: two joins, on station and on run. `earliest_arrivals` has
+as many rounds as boardings; `journeys` goes on until no label changes, and reads routes back by the stations of boarding.
 """
 
 from __future__ import annotations
 
-import bisect
-from datetime import timedelta
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellwerk.checkpoints import kept
 from stellwerk.functions.times import minutes_between, plus_minutes
 from stellwerk.schema import MIN_TRANSFER_MIN
 
@@ -106,63 +103,89 @@ def earliest_arrivals(conns: DataFrame, sources: DataFrame, boardings: int = 3)
     return best.filter(~F.col("source")).select("request_id", F.col("at").alias("station"), F.col("ready").alias("arr"))
 
 
-#: Requests of a day that are searched in one task.
-REQUESTS_TOGETHER = 500
-JOURNEY = (
-    "request_id string, route long, leg long, run_id string, from_station string, from_stop_num int, dep timestamp_ntz, "
-    "to_station string, to_stop_num int, arr timestamp_ntz"
-)
+JOURNEY = ("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
+#: What a label holds: the best arrival (ready, used boardings) at a station and how it was reached.
+LABEL = ("request_id", "station", "ready", "used", "run_id", "from_station", "from_stop_num", "dep", "to_stop_num")
 
 
-def _scan(c: pd.DataFrame, deps: list, src: str, dst: str, depart) -> list[tuple[int, int]]:
-    """Boarding and alighting connections of the earliest arrival, fewest boardings on ties; empty if unreachable."""
-    label = {src: (depart, 0)}
-    via, aboard = {}, {}
-    rows = c[bisect.bisect_left(deps, depart) :]
-    shift = len(c) - len(rows)
-    for i, (run, u, v, dep, arr) in enumerate(rows, shift):
-        if dst in label and dep > label[dst][0]:
+def _sources(asked: DataFrame) -> DataFrame:
+    """The labels of the stations where requests start."""
+    none = {c: F.lit(None).cast(t) for c, t in (("run_id", "string"), ("from_station", "string"), ("from_stop_num", "int"), ("dep", "timestamp_ntz"), ("to_stop_num", "int"))}
+    return asked.select("request_id", F.col("src").alias("station"), F.col("depart").alias("ready"), F.lit(0).alias("used"), *[c.alias(n) for n, c in none.items()])
+
+
+def relaxed(conns: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """The labels that follow from labels: runs are boarded where they can be, ridden on, and the best arrival at each station stays.
+
+    A label is the earliest arrival, then the fewest boardings, then the connection that leaves first. A run is boarded
+    where it takes the fewest boardings, there at the first stop. No station later than the destination's label is looked at.
+    """
+    known = labels.join(asked, "request_id")
+    bounds = known.filter("station = dst").select("request_id", F.col("ready").alias("bound"))
+    asked = asked.join(bounds, "request_id", "left")
+    wait = F.when(F.col("station") == F.col("src"), 0).otherwise(MIN_TRANSFER_MIN)
+    ready = labels.join(asked, "request_id").select("request_id", "day", "src", "bound", F.col("station").alias("at"), plus_minutes(F.col("ready"), wait).alias("can"), (F.col("used") + 1).alias("boards"))
+    stands = conns.join(ready, (conns["day"] == ready["day"]) & (F.col("station") == F.col("at")) & (F.col("dep") >= F.col("can")) & F.coalesce(F.col("dep") <= F.col("bound"), F.lit(True)))
+    place = F.struct("dep", "arr", "stop_num")
+    runs = stands.groupBy("request_id", "src", "bound", conns["day"].alias("r_day"), F.col("run_id").alias("r_run")).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "boards", "station"))).alias("b"))
+    rides = conns.join(runs, (F.col("day") == F.col("r_day")) & (F.col("run_id") == F.col("r_run")) & (place >= F.col("b")[0]["place"]) & F.coalesce(F.col("dep") <= F.col("bound"), F.lit(True)) & (F.col("next_station") != F.col("src")))
+    passed = F.transform(F.filter("b", lambda x: x["place"] <= F.struct("dep", "arr", "stop_num")), lambda x: F.struct(x["boards"].alias("boards"), x["place"].alias("place"), x["station"].alias("station")))
+    rides = rides.withColumn("on", F.array_min(passed))
+    best = F.min(F.struct("arr", F.col("on.boards").alias("used"), "dep", "run_id", "stop_num", "next_stop_num", F.col("on.place.dep").alias("b_dep"), F.col("on.place.stop_num").alias("b_num"), F.col("on.station").alias("b_station")))
+    found = rides.groupBy("request_id", F.col("next_station").alias("station")).agg(best.alias("l"))
+    news = found.select("request_id", "station", F.col("l.arr").alias("ready"), F.col("l.used").alias("used"), F.col("l.run_id").alias("run_id"), F.col("l.b_station").alias("from_station"), F.col("l.b_num").alias("from_stop_num"), F.col("l.b_dep").alias("dep"), F.col("l.next_stop_num").alias("to_stop_num"))
+    return news.unionByName(_sources(asked))
+
+
+def _told(labels: DataFrame, name: str) -> DataFrame:
+    """For each request, a number that tells its arrivals and boardings apart from others."""
+    return labels.groupBy(F.col("request_id").alias(f"{name}_id")).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.xxhash64("station", "ready", "used").cast("decimal(20,0)")).alias(f"{name}_sum"))
+
+
+def best_labels(conns: DataFrame, asked: DataFrame) -> DataFrame:
+    """LABEL for the stations that matter to requests (request_id, day, src, dst, depart): relaxed until nothing changes.
+
+    Labels are made anew from the last ones each time: with a change of trains at least, every arrival lies minutes after
+    the one that it depends on, so no label hangs on itself, and what a request's path needs is right after as many rounds
+    as it has legs. Requests without a change are done and leave the rounds.
+    """
+    done, labels = [], _sources(asked)
+    while not asked.isEmpty():
+        before = labels
+        labels = kept(relaxed(conns, before, asked))
+        told = _told(labels, "a").join(_told(before, "b"), F.col("a_id") == F.col("b_id"))
+        same = kept(told.filter("a_n = b_n and a_sum = b_sum").select(F.col("a_id").alias("request_id")))
+        done.append(labels.join(same, "request_id", "left_semi"))
+        labels = labels.join(same, "request_id", "left_anti")
+        asked = kept(asked.join(same, "request_id", "left_anti"))
+    return reduce(DataFrame.unionByName, done) if done else labels
+
+
+def legs_back(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """The legs of each request's path, read back from its destination by the stations where runs were boarded."""
+    legs = labels.filter("run_id is not null").select(*LABEL)
+    ends = asked.select("request_id", F.col("dst").alias("station"))
+    out = None
+    while True:
+        step = kept(legs.join(ends, ["request_id", "station"]))
+        if step.isEmpty():
             break
-        if u in label:
-            ready, used = label[u]
-            wait = timedelta(minutes=0 if u == src else MIN_TRANSFER_MIN)
-            if ready + wait <= dep and (run not in aboard or used + 1 < aboard[run][1]):
-                aboard[run] = (i, used + 1)
-        if run in aboard and (v not in label or (arr, aboard[run][1]) < label[v]):
-            label[v] = (arr, aboard[run][1])
-            via[v] = (aboard[run][0], i)
-    legs, stop = [], dst
-    while stop in via and stop != src:
-        legs.insert(0, via[stop])
-        stop = c[legs[0][0]][1]
-    return legs
-
-
-def journeys(timetables: DataFrame, requests: DataFrame, n: int = 3, together: int = REQUESTS_TOGETHER) -> DataFrame:
+        out = step if out is None else out.unionByName(step)
+        ends = step.select("request_id", F.col("from_station").alias("station"))
+    return step if out is None else out
+
+
+def journeys(timetables: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
     """Legs of up to n routes for each request (request_id, day, src, dst, depart): each search starts a minute after the last one's departure.
 
-    timetables: connections with the day that they can be travelled from, see `visibility.timetables`. A group is the
-    timetable of one day, sorted once, and up to about `together` of that day's requests; a day with more has several groups.
+    timetables: connections with the day that they can be travelled from, see `visibility.timetables`. Stations, runs and
+    days are the keys of joins: no group holds a day's timetable.
     """
-    parts = requests.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts"))
-    asked = requests.join(parts, "day").withColumn("part", F.pmod(F.xxhash64("request_id"), F.col("parts")).cast("int")).drop("parts")
-    conns = timetables.select("day", "run_id", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr").join(parts, "day")
-    conns = conns.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def search(asked: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["dep", "arr", "run_id", "stop_num"], kind="stable").reset_index(drop=True)
-        c = list(zip(g.run_id, g.station, g.next_station, g.dep, g.arr, strict=True))
-        deps, out = list(g.dep), []
-        for request in asked.itertuples():
-            start = request.depart
-            for route in range(n):
-                legs = _scan(c, deps, request.src, request.dst, start)
-                if not legs:
-                    break
-                for k, (a, b) in enumerate(legs):
-                    out.append((request.request_id, route, k, g.run_id[a], g.station[a], g.stop_num[a], g.dep[a], g.next_station[b], g.next_stop_num[b], g.arr[b]))
-                start = g.dep[legs[0][0]] + timedelta(minutes=1)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in JOURNEY.split(", ")])
-
-    keys = ("day", "part")
-    return asked.groupBy(*keys).cogroup(conns.select(*[F.col(c).alias(c) for c in conns.columns]).groupBy(*keys)).applyInPandas(search, JOURNEY)
+    conns = kept(timetables.select("day", "run_id", "station", "stop_num", "next_station", "next_stop_num", "dep", "arr"))
+    asked, out = kept(requests.select("request_id", "day", "src", "dst", "depart")), []
+    for route in range(n):
+        found = kept(legs_back(kept(best_labels(conns, asked)), asked).withColumn("leg", F.col("used").cast("long") - 1))
+        out.append(found.select("request_id", F.lit(route).cast("long").alias("route"), "leg", "run_id", "from_station", "from_stop_num", "dep", F.col("station").alias("to_station"), "to_stop_num", F.col("ready").alias("arr")))
+        later = found.filter("leg = 0").select("request_id", plus_minutes(F.col("dep"), F.lit(1)).alias("depart"))
+        asked = kept(asked.drop("depart").join(later, "request_id").select("request_id", "day", "src", "dst", "depart"))
+    return reduce(DataFrame.unionByName, out)

@@ -36,7 +36,7 @@ def test_journeys_cross_midnight(spark):
     )
     asked = spark.createDataFrame([("x", DAY, "B", "C", DAY), ("y", DAY, "A", "C", DAY + timedelta(hours=22)), ("z", DAY, "C", "A", DAY)], "request_id string, day timestamp_ntz, src string, dst string, depart timestamp_ntz")
     found = collections.defaultdict(list)
-    for r in sorted(routing.journeys(visibility.timetables(stops, asked), asked, together=1).collect(), key=lambda r: (r.request_id, r.route, r.leg)):
+    for r in sorted(routing.journeys(visibility.timetables(stops, asked), asked).collect(), key=lambda r: (r.request_id, r.route, r.leg)):
         found[r.request_id, r.route].append((r.run_id, r.from_station, r.to_station))
     #: A run of the day before is still under way after midnight; one that left at noon of the next day is beyond the window.
     assert found["x", 0] == [("night@-1", "B", "C")]
