@@ -104,42 +104,42 @@ def earliest_arrivals(conns: DataFrame, sources: DataFrame, boardings: int = 3)
 
 
 JOURNEY = ("request_id", "route", "leg", "run_id", "from_station", "from_stop_num", "dep", "to_station", "to_stop_num", "arr")
-#: What a label holds: the best arrival (ready, used boardings) at a station and how it was reached.
-LABEL = ("request_id", "station", "ready", "used", "run_id", "from_station", "from_stop_num", "dep", "to_stop_num")
+#: What a label holds: its request, the best arrival (ready, used boardings) at a station and how it was reached.
+LABEL = ("request_id", "day", "src", "dst", "station", "ready", "used", "run_id", "from_station", "from_stop_num", "dep", "to_stop_num")
 
 
 def _sources(asked: DataFrame) -> DataFrame:
     """The labels of the stations where requests start."""
     none = {c: F.lit(None).cast(t) for c, t in (("run_id", "string"), ("from_station", "string"), ("from_stop_num", "int"), ("dep", "timestamp_ntz"), ("to_stop_num", "int"))}
-    return asked.select("request_id", F.col("src").alias("station"), F.col("depart").alias("ready"), F.lit(0).alias("used"), *[c.alias(n) for n, c in none.items()])
+    return asked.select("request_id", "day", "src", "dst", F.col("src").alias("station"), F.col("depart").alias("ready"), F.lit(0).alias("used"), *[c.alias(n) for n, c in none.items()])
 
 
-def relaxed(conns: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+def relaxed(conns: DataFrame, labels: DataFrame) -> DataFrame:
     """The labels that follow from labels: runs are boarded where they can be, ridden on, and the best arrival at each station stays.
 
     A label is the earliest arrival, then the fewest boardings, then the connection that leaves first. A run is boarded
     where it takes the fewest boardings, there at the first stop. No station later than the destination's label is looked at.
     """
-    known = labels.join(asked, "request_id")
-    bounds = known.filter("station = dst").select("request_id", F.col("ready").alias("bound"))
-    asked = asked.join(bounds, "request_id", "left")
+    bounds = labels.filter("station = dst").select(F.col("request_id").alias("b_id"), F.col("ready").alias("bound"))
     wait = F.when(F.col("station") == F.col("src"), 0).otherwise(MIN_TRANSFER_MIN)
-    ready = labels.join(asked, "request_id").select("request_id", "day", "src", "bound", F.col("station").alias("at"), plus_minutes(F.col("ready"), wait).alias("can"), (F.col("used") + 1).alias("boards"))
-    stands = conns.join(ready, (conns["day"] == ready["day"]) & (F.col("station") == F.col("at")) & (F.col("dep") >= F.col("can")) & F.coalesce(F.col("dep") <= F.col("bound"), F.lit(True)))
+    ready = labels.select("request_id", F.col("day").alias("l_day"), "src", "dst", F.col("station").alias("at"), plus_minutes(F.col("ready"), wait).alias("can"), (F.col("used") + 1).alias("boards"))
+    ready = ready.join(bounds, F.col("request_id") == F.col("b_id"), "left")
+    in_time = F.coalesce(F.col("dep") <= F.col("bound"), F.lit(True))
+    stands = conns.join(ready, (F.col("day") == F.col("l_day")) & (F.col("station") == F.col("at")) & (F.col("dep") >= F.col("can")) & in_time)
     place = F.struct("dep", "arr", "stop_num")
-    runs = stands.groupBy("request_id", "src", "bound", conns["day"].alias("r_day"), F.col("run_id").alias("r_run")).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "boards", "station"))).alias("b"))
-    rides = conns.join(runs, (F.col("day") == F.col("r_day")) & (F.col("run_id") == F.col("r_run")) & (place >= F.col("b")[0]["place"]) & F.coalesce(F.col("dep") <= F.col("bound"), F.lit(True)) & (F.col("next_station") != F.col("src")))
+    runs = stands.groupBy("request_id", "l_day", "src", "dst", "bound", F.col("run_id").alias("l_run")).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "boards", "station"))).alias("b"))
+    rides = conns.join(runs, (F.col("day") == F.col("l_day")) & (F.col("run_id") == F.col("l_run")) & (place >= F.col("b")[0]["place"]) & in_time & (F.col("next_station") != F.col("src")))
     passed = F.transform(F.filter("b", lambda x: x["place"] <= F.struct("dep", "arr", "stop_num")), lambda x: F.struct(x["boards"].alias("boards"), x["place"].alias("place"), x["station"].alias("station")))
     rides = rides.withColumn("on", F.array_min(passed))
     best = F.min(F.struct("arr", F.col("on.boards").alias("used"), "dep", "run_id", "stop_num", "next_stop_num", F.col("on.place.dep").alias("b_dep"), F.col("on.place.stop_num").alias("b_num"), F.col("on.station").alias("b_station")))
-    found = rides.groupBy("request_id", F.col("next_station").alias("station")).agg(best.alias("l"))
-    news = found.select("request_id", "station", F.col("l.arr").alias("ready"), F.col("l.used").alias("used"), F.col("l.run_id").alias("run_id"), F.col("l.b_station").alias("from_station"), F.col("l.b_num").alias("from_stop_num"), F.col("l.b_dep").alias("dep"), F.col("l.next_stop_num").alias("to_stop_num"))
-    return news.unionByName(_sources(asked))
+    found = rides.groupBy("request_id", "day", "src", "dst", F.col("next_station").alias("station")).agg(best.alias("l"))
+    news = found.select("request_id", "day", "src", "dst", "station", F.col("l.arr").alias("ready"), F.col("l.used").alias("used"), F.col("l.run_id").alias("run_id"), F.col("l.b_station").alias("from_station"), F.col("l.b_num").alias("from_stop_num"), F.col("l.b_dep").alias("dep"), F.col("l.next_stop_num").alias("to_stop_num"))
+    return news.unionByName(labels.filter("used = 0"))
 
 
-def _told(labels: DataFrame, name: str) -> DataFrame:
-    """For each request, a number that tells its arrivals and boardings apart from others."""
-    return labels.groupBy(F.col("request_id").alias(f"{name}_id")).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.xxhash64("station", "ready", "used").cast("decimal(20,0)")).alias(f"{name}_sum"))
+def _told(labels: DataFrame) -> DataFrame:
+    """For each request, numbers that tell its arrivals and boardings apart from others."""
+    return labels.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("station", "ready", "used").cast("decimal(20,0)")).alias("told"))
 
 
 def best_labels(conns: DataFrame, asked: DataFrame) -> DataFrame:
@@ -149,16 +149,16 @@ def best_labels(conns: DataFrame, asked: DataFrame) -> DataFrame:
     the one that it depends on, so no label hangs on itself, and what a request's path needs is right after as many rounds
     as it has legs. Requests without a change are done and leave the rounds.
     """
-    done, labels = [], _sources(asked)
-    while not asked.isEmpty():
-        before = labels
-        labels = kept(relaxed(conns, before, asked))
-        told = _told(labels, "a").join(_told(before, "b"), F.col("a_id") == F.col("b_id"))
-        same = kept(told.filter("a_n = b_n and a_sum = b_sum").select(F.col("a_id").alias("request_id")))
-        done.append(labels.join(same, "request_id", "left_semi"))
-        labels = labels.join(same, "request_id", "left_anti")
-        asked = kept(asked.join(same, "request_id", "left_anti"))
-    return reduce(DataFrame.unionByName, done) if done else labels
+    done, before = [], _sources(asked)
+    while True:
+        labels = kept(relaxed(conns, before))
+        #: Requests whose numbers have changed, and those that are done.
+        both = _told(labels).join(_told(before).withColumnsRenamed({"n": "n_before", "told": "told_before"}), "request_id")
+        changed = kept(both.withColumn("open", (F.col("n") != F.col("n_before")) | (F.col("told") != F.col("told_before"))).select("request_id", "open"))
+        done.append(labels.join(changed.filter("not open"), "request_id", "left_semi"))
+        if changed.filter("open").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        before = labels.join(changed.filter("open"), "request_id", "left_semi")
 
 
 def legs_back(labels: DataFrame, asked: DataFrame) -> DataFrame:
