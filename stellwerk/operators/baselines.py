@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,43 +14,49 @@ from stellwerk.schema import HISTORY_DAYS, MIN_COUNT, QCOLS, QUANTILES
 LEVELS = (("train_key", "station"), ("station", "hour"), ())
 
 
-def history_counts(stops: DataFrame, model: str) -> DataFrame:
-    """How often each delay occurred, by train, station, hour, run day and the first day on which it counts as past.
+def past_delays(stops: DataFrame, model: str, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """train_key, station, hour, delay of each event that can be learned from, with the first and last day on which it counts as past."""
+    usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
+    first = F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1))
+    rows = usable.select(
+        "train_key", "station", F.col(f"{model}_hour").cast("byte").alias("hour"), F.col(f"{model}_delay").cast("double").alias("delay"), first.alias("first_day"), F.date_add("run_day", history_days).alias("last_day")
+    )
+    return rows.filter("first_day <= last_day")
+
 
-    Everything later works on these counts, so rows are combined before any shuffle.
+def _quantiles_by_day(past: DataFrame, needed: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """day, keys, n and the quantiles of past for each of needed (day, keys).
+
+    The history meets the days that are asked for at its key, not each day on its own: rows are dealt to days only after
+    the one shuffle by key, which the aggregate by day and key needs as well. Coarse levels are counted before it.
     """
-    usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
-    return (
-        usable.select(
-            "train_key", "station", F.col(f"{model}_hour").cast("byte").alias("hour"), F.to_date("run_day").alias("run_date"),
-            F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1)).alias("from_date"), F.col(f"{model}_delay").cast("double").alias("delay"),
-        )
-        .groupBy("train_key", "station", "hour", "run_date", "from_date", "delay")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    days = needed.groupBy(*keys).agg(F.collect_set("day").alias("days"))
+    if keys == LEVELS[0]:
+        counts = past.select(*keys, "first_day", "last_day", "delay", F.lit(1).alias("n"))
+    else:
+        counts = past.groupBy(*keys, "first_day", "last_day", "delay").agg(F.count(F.lit(1)).alias("n"))
+    met = counts.join(days.withColumnsRenamed({c: f"d_{c}" for c in keys}), reduce(and_, [F.col(c) == F.col(f"d_{c}") for c in keys])) if keys else counts.crossJoin(F.broadcast(days))
+    inside = F.filter("days", lambda d: d.between(F.col("first_day"), F.col("last_day")))
+    dealt = met.select(*keys, "delay", "n", F.explode(inside).alias("day"))
+    return dealt.groupBy(*keys, "day").agg(F.percentile("delay", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias(name), F.sum("n").alias("n"))
 
 
 def level_quantiles(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, history_days: int = HISTORY_DAYS, min_count: int = MIN_COUNT) -> DataFrame:
     """query with level0, level1, ...: quantiles of the days before each row's run_day at each level.
 
-    Null where a level has fewer than min_count rows (the level without keys takes any number), or where
-    the event does not exist. The range join of days is an equi-join: each count is dealt to the query
-    days that it is past for.
+    Null where a level has fewer than min_count rows (the level without keys takes any number), or where the event does
+    not exist. Only the keys and days of the query's rows are looked at.
     """
-    rows = query.withColumns({"b_day": F.to_date("run_day"), "hour": F.col(f"{model}_hour").cast("byte")})
-    days = rows.select(F.col("b_day").alias("day")).distinct()
-    last = F.date_add("run_date", history_days)
-    counts = history_counts(stops, model).filter(F.col("from_date") <= last)
-    past = counts.withColumn("day", F.explode(F.sequence("from_date", last))).join(days, "day", "left_semi")
-    out = rows
+    out = query.withColumns({"b_day": F.to_date("run_day"), "hour": F.col(f"{model}_hour").cast("byte")})
+    past = past_delays(stops, model, history_days)
+    asked = out.filter("hour is not null")
     for k, keys in enumerate(levels):
-        stats = past.groupBy("day", *keys).agg(F.percentile("delay", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias(f"level{k}"), F.sum("n").alias("n"))
+        needed = asked.select(F.col("b_day").alias("day"), *keys).distinct()
+        stats = _quantiles_by_day(past, needed, keys, f"level{k}")
         if keys:
             stats = stats.filter(F.col("n") >= min_count)
         stats = stats.select(F.col("day").alias("s_day"), *[F.col(c).alias(f"s_{c}") for c in keys], f"level{k}")
-        on = F.col("b_day") == F.col("s_day")
-        for c in keys:
-            on = on & (F.col(c) == F.col(f"s_{c}"))
+        on = reduce(and_, [F.col(c) == F.col(f"s_{c}") for c in keys], F.col("b_day") == F.col("s_day"))
         out = out.join(stats, on, "left").drop("s_day", *[f"s_{c}" for c in keys])
     return out.withColumns({f"level{k}": F.when(F.col("hour").isNotNull(), F.col(f"level{k}")) for k in range(len(levels))}).drop("b_day", "hour")
 
