@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,24 @@ RAW = (
 )
 
 
+#: Those of RAW that are times.
+RAW_TIMES = RAW[-4:]
+
+
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
-    """Monthly raw files, only the columns that are used."""
-    return spark.read.parquet(*paths).select(*RAW)
+    """Monthly raw files, only the columns that are used; times as timestamp_ntz, whatever unit each month stores.
+
+    Spark has no type for nanoseconds, so they are read as numbers, a session setting that other Parquet files do not
+    notice; months are read by their own schemas and united by name.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    months = []
+    for path in paths:
+        month = spark.read.parquet(path).select(*RAW)
+        kinds = dict(month.dtypes)
+        micros = lambda c: F.expr(f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(cast(floor(`{c}` / 1000) as decimal(20, 0)) / 1000000 as decimal(18, 6)))")
+        months.append(month.withColumns({c: micros(c) if kinds[c] == "bigint" else F.col(c).cast("timestamp_ntz") for c in RAW_TIMES}))
+    return reduce(DataFrame.unionByName, months)
 
 
 def raw_rows(spark: SparkSession, *paths: str) -> int:
@@ -116,6 +133,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save(stops: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A table of zstd Parquet below path: one folder a day, in it one file for each bucket of runs, sorted by run and stop.
+
+    Windows and joins by run_id that start from the table need no exchange, and day filters prune folders. Rows are dealt
+    to buckets once, as the table is written.
+    """
+    dealt = stops.withColumn("day", F.to_date("run_day")).repartition(buckets, "run_id")
+    dealt.write.option("compression", "zstd").option("path", path).partitionBy("day").bucketBy(buckets, "run_id").sortBy("run_id", "stop_num").saveAsTable(table)
+    return stops.sparkSession.table(table)
+
+
 def from_events(spark: SparkSession, sf_dir: str, validation_start: str = "2024-01-17", test_start: str = "2024-01-24") -> DataFrame:
     """Stops derived from the events table: a run is a user's day, its stops are the events by time."""
     run = Window.partitionBy("user_id", "d")

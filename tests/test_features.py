@@ -59,7 +59,7 @@ def test_summary(spark):
 def test_ranked_routes_of_drawn_requests(spark):
     """Every drawn route is ranked once, in the order of its planned arrival."""
     rows = relations.stops(spark, "/root/testdata/sf0.001")
-    legs = queries.drawn_journeys(rows).collect()
+    legs = queries.journeys(rows).collect()
     ends = {}
     for leg in legs:
         ends[leg.request_id, leg.route] = max(ends.get((leg.request_id, leg.route), leg.arr), leg.arr)
