@@ -68,23 +68,32 @@ def route_stops(legs: DataFrame, stops: DataFrame) -> DataFrame:
     return path
 
 
-def replayed(legs: DataFrame, conns: DataFrame) -> DataFrame:
-    """Transfers of planned legs with what happened by the router's rule: held, MISSED or ? (a time is unknown)."""
+def _with_outcomes(legs: DataFrame, conns: DataFrame) -> DataFrame:
+    """legs with what happened to the transfer before each: b_arr and b_arr_actual of the leg before, dep_actual, and transfer_status."""
     enter = conns.select(F.col("run_id").alias("e_run"), F.col("stop_num").alias("e_stop"), "dep_actual", "dep_canceled")
     leave = conns.select(F.col("run_id").alias("l_run"), F.col("next_stop_num").alias("l_stop"), "arr_actual", "arr_canceled")
     full = legs.join(enter, (F.col("run_id") == F.col("e_run")) & (F.col("from_stop_num") == F.col("e_stop")), "left")
     full = full.join(leave, (F.col("run_id") == F.col("l_run")) & (F.col("to_stop_num") == F.col("l_stop")), "left")
     route = Window.partitionBy("request_id", "route").orderBy("leg")
-    before = {f"b_{c}": F.lag(c).over(route) for c in ("leg", "arr", "arr_actual", "arr_canceled")}
-    pairs = full.withColumns(before).filter(F.col("leg") == F.col("b_leg") + 1)
+    full = full.withColumns({f"b_{c}": F.lag(c).over(route) for c in ("leg", "arr", "arr_actual", "arr_canceled")})
     works = (F.col("dep_actual") >= F.col("b_arr_actual")) & ~F.col("dep_canceled") & ~F.col("b_arr_canceled")
     status = F.when(F.col("b_arr_actual").isNull() | F.col("dep_actual").isNull(), "?").when(works, "held").otherwise("MISSED")
-    return pairs.select(
+    return full.withColumn("transfer_status", F.when(F.col("leg") == F.col("b_leg") + 1, status))
+
+
+def replayed(legs: DataFrame, conns: DataFrame) -> DataFrame:
+    """Transfers of planned legs with what happened by the router's rule: held, MISSED or ? (a time is unknown)."""
+    return _with_outcomes(legs, conns).filter("transfer_status is not null").select(
         "request_id", "route", "leg", F.col("from_station").alias("station"), minutes_between(F.col("dep"), F.col("b_arr")).alias("planned_min"),
-        minutes_between(F.col("dep_actual"), F.col("b_arr_actual")).alias("actual_min"), status.alias("status"),
+        minutes_between(F.col("dep_actual"), F.col("b_arr_actual")).alias("actual_min"), F.col("transfer_status").alias("status"),
     )
 
 
+def with_transfer_status(legs: DataFrame, conns: DataFrame) -> DataFrame:
+    """legs with transfer_status, the outcome of the transfer before each; null for the first leg of a route."""
+    return _with_outcomes(legs, conns).select(*legs.columns, "transfer_status")
+
+
 def earliest_arrivals(conns: DataFrame, sources: DataFrame, boardings: int = 3) -> DataFrame:
     """request_id, station, arr: the earliest arrival everywhere with at most so many boardings.
 

@@ -268,7 +268,7 @@ def shared_requests(stops):
     """Requests that every method has scored, where one method skips every third station pair."""
     scored = _scored(stops)
     scored = scored.filter((F.col("method") != "global") | (F.length("request_id") + F.col("stop_num") != 20))
-    return metrics.shared_keys(scored.select("request_id", "method")).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.shared_keys(scored, list(baselines.METHODS))
 
 
 @query
@@ -339,9 +339,16 @@ def drawn_requests(stops):
 
 @query
 def journeys(stops):
-    """Routes of the drawn requests of every day."""
+    """Routes of the drawn requests of every day, with the outcome of each transfer."""
     asked = r.kept(requests.drawn_requests(stops))
-    return routing.journeys(visibility.timetables(stops, asked), asked)
+    legs = routing.journeys(visibility.timetables(stops, asked), asked)
+    return routing.with_transfer_status(legs, visibility.connections(stops))
+
+
+@query
+def leg_outcomes(stops):
+    """Legs of two-leg journeys with the outcome of the transfer before each."""
+    return routing.with_transfer_status(r.legs(stops), visibility.connections(stops)).select("request_id", "route", "leg", "run_id", "transfer_status")
 
 
 @query

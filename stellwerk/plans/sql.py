@@ -247,6 +247,10 @@ ORACLE_SQL = {
     "earliest_arrivals": _with(STOPS, CONNS, REACH) + "SELECT request_id, place AS station, ready AS arr FROM best3 WHERE NOT source",
 }
 
+ORACLE_SQL["leg_outcomes"] = _with(*ALL_LEGS) + """SELECT b.request_id, b.route, b.leg, b.run_id,
+        CASE WHEN a.leg IS NULL THEN NULL WHEN l.arr_actual IS NULL OR e.dep_actual IS NULL THEN '?' WHEN e.dep_actual >= l.arr_actual AND NOT e.dep_canceled AND NOT l.arr_canceled THEN 'held' ELSE 'MISSED' END AS transfer_status
+        FROM legs b LEFT JOIN legs a ON a.request_id = b.request_id AND a.route = b.route AND a.leg = b.leg - 1
+        LEFT JOIN conns e ON e.run_id = b.run_id AND e.stop_num = b.from_stop_num LEFT JOIN conns l ON l.run_id = a.run_id AND l.next_stop_num = a.to_stop_num"""
 ORACLE_SQL["legs_per_route"] = (
     _with(*ALL_LEGS, " per AS (SELECT request_id, route, count(*) AS legs, min_by(from_station, leg) AS src FROM legs GROUP BY ALL)")
     + """SELECT src, count(*) AS n, round(avg(legs), 9) AS mean, round(stddev_samp(legs), 9) AS std, min(legs) AS least,

@@ -3,6 +3,8 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stellwerk.operators import features, metrics, requests
 from stellwerk.plans import queries, relations
@@ -70,15 +72,35 @@ def test_ranked_routes_of_drawn_requests(spark):
 
 
 def test_bootstrap_interval(spark):
-    """Counts without a bound; the interval of many keys is that of draws with replacement."""
-    steps = metrics._poisson_steps()
-    assert 1 - 0.5 / 2**40 <= steps[-1] <= 1 and len(steps) == 15
+    """The interval of many keys, in few and in many buckets, is that of draws with replacement."""
     rng = np.random.default_rng(5)
     rows = [(f"k{k}", float(x), 0.0) for k, x in enumerate(rng.gamma(2.0, 3.0, 300)) for _ in range(1 + k % 3)]
-    (found,) = metrics.bootstrap_difference(spark.createDataFrame(rows, "request_id string, new double, old double"), "new", "old").collect()
+    losses = spark.createDataFrame(rows, "request_id string, new double, old double")
     n = np.array([1 + k % 3 for k in range(300)])
     d = np.array([next(r[1] for r in rows if r[0] == f"k{k}") for k in range(300)]) * n
     drawn = rng.integers(0, 300, (4000, 300))
     low, high = np.percentile(d[drawn].sum(1) / n[drawn].sum(1), [2.5, 97.5])
-    assert found.keys == 300 and abs(found.difference - d.sum() / n.sum()) < 1e-9
-    assert abs(found.low - low) < 0.1 and abs(found.high - high) < 0.1 and found.low < found.difference < found.high
+    for bucket_keys in (1_000, 20):
+        (found,) = metrics.bootstrap_difference(losses, "new", "old", bucket_keys=bucket_keys).collect()
+        assert found.keys == 300 and abs(found.difference - d.sum() / n.sum()) < 1e-9
+        assert abs(found.low - low) < 0.1 and abs(found.high - high) < 0.1 and found.low < found.difference < found.high
+        assert tuple(metrics.bootstrap_difference(losses.repartition(5), "new", "old", bucket_keys=bucket_keys).first()) == pytest.approx(tuple(found), abs=1e-9)
+    assert metrics.bootstrap_difference(losses.limit(0), "new", "old").first().keys == 0
+
+
+def test_draws_have_as_many_keys_as_there_are(spark):
+    """Every draw's counts, over all buckets, make the number of keys, and are spread as draws with replacement are."""
+    keys = spark.range(500).select(F.col("id").alias("key"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("bucket"))
+    sizes = {r.bucket: r["count"] for r in keys.groupBy("bucket").count().collect()}
+    splits = {r.s_bucket: np.array([(x.n, x.lower) for x in r.splits]) for r in metrics._splits(keys, 4).collect()}
+    assert set(sizes) == set(splits) and all(len(s) == 4 and s[0][0] == 500 for s in splits.values())
+    times = np.concatenate([metrics.resampled(splits[b], 500, sizes[b], b, 3_000, 7) for b in sizes], axis=1)
+    assert times.shape == (3_000, 500) and (times.sum(1) == 500).all()
+    assert abs(times.mean() - 1) < 1e-9 and abs(times.var() - (1 - 1 / 500)) < 0.01 and abs((times == 0).mean() - (1 - 1 / 500) ** 500) < 0.002
+    assert abs(np.cov(times[:, 0], times[:, 499])[0, 1] + 1 / 500) < 0.08
+
+
+def test_shared_keys(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "x"), ("c", "y"), ("c", "x"), ("c", "other"), (None, "x"), ("d", None)], "request_id string, method string")
+    assert {(r.request_id, r.n) for r in metrics.shared_keys(rows, ["x", "y"]).collect()} == {("a", 3), ("c", 3)}
+    assert {(r.request_id, r.has) for r in metrics.methods_of(rows, ["x", "y"]).collect()} == {("a", 3), ("b", 1), ("c", 3), (None, 1), ("d", 0)}
