@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from stellwerk.llm.labelled import one_each, sampled
 from stellwerk.llm.quality_gam import SYMBOLS, UPPER, binned, cuts_of, sigmoid
 from stellwerk.llm.textarrays import LETTERS, SPACES, U, Bytes, mixed, slices
 
-SAMPLE, PREFIXES, NEAR, LIFT = 16_000, (4, 5, 6, 7), 4, 2.0
+SAMPLE, PREFIXES, NEAR, LIFT, LEAST_DOCUMENTS = 16_000, (4, 5, 6, 7), 4, 2.0, 3
 TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 3
 #: Insults, and second-person words, of the four languages.
 INSULTS = (
@@ -110,18 +111,19 @@ def _plain(text: Bytes) -> tuple[Bytes, np.ndarray, np.ndarray]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a batch's documents have each term."""
+    """How many of a batch's documents (text, label, fold) have each term, by label and fold."""
     for batch in batches:
+        cell = np.asarray(batch.column(1)).astype(np.int64) * FOLDS + np.asarray(batch.column(2)).astype(np.int64)
         for a, b in slices(batch.column(0), 1 << 21):
             text = _lowered(batch.column(0).slice(a, b - a))
             starts, ends, doc = text.words(LETTERS)
             found = []
             for h in terms(text, starts, ends):
                 on = h != 0
-                both = np.unique(np.stack([doc[on].astype(U), h[on]], axis=1), axis=0)[:, 1] if on.any() else h[:0]
-                found.append(both)
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+                both = np.unique(np.stack([doc[on].astype(U), h[on]], axis=1), axis=0) if on.any() else np.zeros((0, 2), U)
+                found.append(np.stack([both[:, 1], cell[a:b][both[:, 0].astype(np.int64)].astype(U)], axis=1))
+            rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy().view(np.int64)), pa.array(rows[:, 1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "cell", "n"])
 
 
 @dataclass
@@ -146,28 +148,34 @@ class Lexicon:
         return out
 
 
-def learn_lexicon(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str) -> Lexicon:
-    """Terms of the chosen (id, label) documents that mark label 1."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(chosen.withColumnRenamed("id", "l_id")), F.col("doc_id") == F.col("l_id")
-    )
-    total = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = total.get(1, 0), total.get(0, 0)
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Terms that mark label 1 in rows (text, label, fold): learned from all rows, then without each of the folds.
+
+    Terms are counted once, by label and fold; what a fold's own documents say of a term is left out of its lexicon.
+    """
+    sizes = {(r["label"], r["fold"]): r["n"] for r in rows.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = {(k, f): F.sum(F.when(F.col("cell") == k * FOLDS + f, F.col("n")).otherwise(0)).alias(f"n_{k}_{f}") for k in (0, 1) for f in range(FOLDS)}
+    counts = rows.select("text", "label", "fold").mapInArrow(_term_counts, "term long, cell long, n long").groupBy("term").agg(*cells.values())
+    ones = sum((F.col(f"n_1_{f}") for f in range(FOLDS)), F.lit(0))
+    counts = stored(counts.filter(ones >= LEAST_DOCUMENTS), "terms")
+    return [_passing(counts, sizes, [f for f in range(FOLDS) if f != left_out]) for left_out in (None, *range(FOLDS))]
+
+
+def _passing(counts: DataFrame, sizes: dict[tuple[int, int], int], folds: list[int]) -> Lexicon:
+    """The terms that occur far more often with label 1 in these folds than chance allows."""
+    pos, neg = (sum(sizes.get((k, f), 0) for f in folds) for k in (1, 0))
     if not pos or not neg:
         return Lexicon(np.zeros(0, U), np.zeros(0))
-    least = max(3, pos // 200)
-    ones, zeros = (
-        rows.filter(F.col("label") == k).select("text").mapInArrow(_term_counts, "term long, n long").groupBy(F.col("term").alias(f"term_{k}")).agg(F.sum("n").alias(f"n_{k}")) for k in (1, 0)
-    )
-    terms_ = stored(ones.filter(F.col("n_1") >= least), "terms")
-    tested, prior = terms_.count(), pos / (pos + neg)
-    a, b = F.col("n_1"), F.coalesce("n_0", F.lit(0))
+    prior = pos / (pos + neg)
+    counted = counts.select("term", *[sum((F.col(f"n_{k}_{f}") for f in folds), F.lit(0)).alias(name) for k, name in ((1, "a"), (0, "b"))])
+    counted = counted.filter(F.col("a") >= max(LEAST_DOCUMENTS, pos // 200))
+    tested, a, b = counted.count(), F.col("a"), F.col("b")
     share = a / (a + b)
     rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - prior))).otherwise(0.0)
     tail = (a + b) * (share * F.ln(share / prior) + rest)
     lift = F.ln((a + 0.5) / (pos + 1)) - F.ln((b + 0.5) / (neg + 1))
-    both = terms_.join(zeros, F.col("term_1") == F.col("term_0"), "left").select(F.col("term_1").alias("term"), lift.alias("lift"), tail.alias("tail"), share.alias("share"))
-    good = both.filter((F.col("share") > prior) & (F.col("lift") >= LIFT) & (F.col("tail") >= float(np.log(max(tested, 1)) + 2))).toPandas()
+    found = counted.select("term", lift.alias("lift"), tail.alias("tail"), share.alias("share"))
+    good = found.filter((F.col("share") > prior) & (F.col("lift") >= LIFT) & (F.col("tail") >= float(np.log(max(tested, 1)) + 2))).toPandas()
     return Lexicon(good["term"].to_numpy(np.int64).view(U), good["lift"].to_numpy(float))
 
 
@@ -284,8 +292,11 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step function of m nearest to y (pool adjacent violators), as its blocks' ends."""
+def isotonic(m: np.ndarray, y: np.ndarray, drawn_in: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing step function of m nearest to y (pool adjacent violators), as its blocks' ends.
+
+    drawn_in: rows of each kind that a block counts more, so that no value is 0 or 1 on the word of a few rows.
+    """
     order = np.argsort(m, kind="stable")
     blocks: list[list[float]] = []
     for v, t in zip(m[order], y[order], strict=True):
@@ -296,31 +307,40 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][1] += n
             blocks[-1][3] = hi
     levels = [e for s, n, lo, hi in blocks for e in (lo, hi)]
-    values = [v for s, n, *_ in blocks for v in [min(max(s / n, 0.0), 1.0)] * 2]
-    return np.array(levels), np.array(values)
+    values = [v for s, n, *_ in blocks for v in [min(max((s + drawn_in) / (n + 2 * drawn_in), 0.0), 1.0)] * 2]
+    return np.array(levels), np.maximum.accumulate(np.array(values))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Trees on all rows, calibrated by what trees on the other folds say of each row."""
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None) -> Boosted:
+    """Trees on all rows, calibrated by what trees on the other folds say of each row; folds take turns unless they are given."""
     model = boost(x, y)
+    fold = np.arange(len(y)) % FOLDS if fold is None else fold
     if model.trees:
-        fold = np.arange(len(y)) % FOLDS
         out = np.zeros(len(y))
         for k in range(FOLDS):
             out[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
-        model.levels, model.values = isotonic(out, y)
+        model.levels, model.values = isotonic(out, y, 0.5)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[DataFrame, Boosted]:
-    """The features of docs, and the model; both learn from at most `sample` labelled documents."""
+    """The features of docs, and the model; both learn from at most `sample` labelled documents.
+
+    A document that is learned from is measured by a lexicon that has not seen the labels of its fold, so its hits are
+    worth no more than those of a new text.
+    """
     chosen = stored(sampled(labels, label, sample), "chosen")
-    lexicon = learn_lexicon(docs, chosen, text_col, id_col)
-    found = measured(docs, lexicon, id_col, text_col)
-    rows = one_each(found, chosen, FEATURES).toPandas()
-    rows = rows.sort_values(["doc_id", *FEATURES], kind="stable").to_numpy(dtype=float)
-    rows = rows[np.random.default_rng(5).permutation(len(rows))]
-    return found, fit(rows[:, 2:], rows[:, 0])
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+    told = F.broadcast(chosen.select(F.col("id").alias("l_id"), "label", own))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(rows.join(told, F.col("doc_id") == F.col("l_id")).drop("l_id"), "learned-from")
+    lexicon, *without = learn_lexicons(rows)
+    parts = []
+    for fold, other in enumerate(without):
+        found = one_each(measured(rows.filter(F.col("fold") == fold), other), chosen, FEATURES).toPandas()
+        parts.append(found.assign(fold=fold))
+    found = pd.concat(parts).sort_values(["doc_id", *FEATURES], kind="stable").to_numpy(dtype=float)
+    return measured(docs, lexicon, id_col, text_col), fit(found[:, 2:-1], found[:, 0], found[:, -1].astype(int))
 
 
 def scored(found: DataFrame, model: Boosted) -> DataFrame:

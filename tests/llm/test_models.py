@@ -196,3 +196,44 @@ def test_pipeline_in_plain_python(spark):
     for r in packed:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 2048 and len(fill) <= 1.02 * math.ceil(sum(fill.values()) / 2048) + 1
+
+
+def test_lexicons_leave_out_their_fold(spark):
+    """Terms, tail bounds and lifts of every lexicon against plain counts, and a word that only one fold's labels mark is not in its lexicon."""
+    import math
+    import random
+
+    r = random.Random(8)
+    plain = [f"word{k}" for k in range(40)]
+    rows = []
+    for k in range(240):
+        toxic, fold = k % 3 == 0, k // 3 % toxicity.FOLDS
+        own = r.sample(plain, 8) + (["vile"] if toxic and r.random() < 0.6 else []) + (["lonely"] if toxic and fold == 1 else [])
+        rows.append((" ".join(own), int(toxic), fold))
+    found = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int").repartition(3))
+
+    def words_of(lexicon):
+        return {w for w in [*plain, "vile", "lonely"] if lexicon.of(toxicity._word_hashes([w]))[0] > 0}
+
+    def starts(w):
+        return {w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k)}
+
+    def want(left_out):
+        own = [(set().union(*map(starts, t.split())), y) for t, y, f in rows if f != left_out]
+        pos, neg = sum(y for _, y in own), sum(1 - y for _, y in own)
+        a, b = (collections.Counter(w for ws, y in own for w in ws if y == k) for k in (1, 0))
+        tested = [w for w in a if a[w] >= max(3, pos // 200)]
+        prior, out = pos / (pos + neg), set()
+        for w in tested:
+            share = a[w] / (a[w] + b[w])
+            rest = (1 - share) * math.log((1 - share) / (1 - prior)) if share < 1 else 0.0
+            tail = (a[w] + b[w]) * (share * math.log(share / prior) + rest)
+            lift = math.log((a[w] + 0.5) / (pos + 1)) - math.log((b[w] + 0.5) / (neg + 1))
+            if share > prior and lift >= toxicity.LIFT and tail >= math.log(len(tested)) + 2:
+                out.add(w)
+        return out
+
+    for left_out, lexicon in zip((None, *range(toxicity.FOLDS)), found, strict=True):
+        wanted = want(left_out)
+        assert words_of(lexicon) == {w for w in wanted if not w.endswith("*")} and len(lexicon.terms) == len(wanted)
+    assert "vile" in words_of(found[0]) and "lonely" in words_of(found[1]) and "lonely" not in words_of(found[2])
