@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.functions.times import last_event_time
@@ -87,10 +87,15 @@ def carry_forward(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
 METHODS = {"global": global_quantiles, "train_station": train_station_quantiles, "carry_forward": carry_forward}
 
 
-def every_method(found: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
-    """The rows of level_quantiles once for each of the methods with method, q50, q80, q95."""
+def by_method(methods: tuple[str, ...] = tuple(METHODS)) -> Column:
+    """For rows of level_quantiles with seen_delay: (method, q50, q80, q95) of each of the methods, as an array."""
     usual, overall, seen = F.coalesce("level0", "level1", "level2"), F.col("level2"), F.col("seen_delay").cast("double")
     moved = [F.when(seen.isNotNull(), seen + (usual[i] - usual[0])).otherwise(usual[i]) for i in range(len(QCOLS))]
-    by_method = (("global", [overall[i] for i in range(len(QCOLS))]), ("train_station", [usual[i] for i in range(len(QCOLS))]), ("carry_forward", moved))
-    named = F.array(*[F.struct(F.lit(m).alias("method"), *[c.alias(n) for n, c in zip(QCOLS, q, strict=True)]) for m, q in by_method if m in methods])
-    return found.withColumn("m", F.explode(named)).select(*[c for c in found.columns if not c.startswith("level")], "m.method", *[f"m.{c}" for c in QCOLS])
+    found = {"global": [overall[i] for i in range(len(QCOLS))], "train_station": [usual[i] for i in range(len(QCOLS))], "carry_forward": moved}
+    return F.array(*[F.struct(F.lit(m).alias("method"), *[c.alias(n) for n, c in zip(QCOLS, found[m], strict=True)]) for m in METHODS if m in methods])
+
+
+def every_method(found: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """The rows of level_quantiles once for each of the methods with method, q50, q80, q95."""
+    rows = found.withColumn("m", F.explode(by_method(methods)))
+    return rows.select(*[c for c in found.columns if not c.startswith("level")], "m.method", *[f"m.{c}" for c in QCOLS])

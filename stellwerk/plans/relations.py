@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stellwerk.checkpoints import kept
 from stellwerk.operators import baselines, risk, routing, visibility
 from stellwerk.operators.requests import request_rows
+from stellwerk.schema import QCOLS
 from stellwerk.sources.stops import from_events
 
 NOW = "2024-01-20 14:00:00"
@@ -50,9 +51,14 @@ def legs_with_delays(stops: DataFrame, methods: tuple[str, ...]) -> DataFrame:
 
 
 def delayed(stops: DataFrame, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
-    """The same for given legs of requests (request_id, depart)."""
+    """The same for given legs of requests (request_id, depart): each side of a leg meets its prediction once, all methods in one array."""
     asked = kept(request_rows(stops, requests, own))
-    arr = predicted(stops, asked, methods, ("arr",))
-    dep = predicted(stops, asked, ("carry_forward",), ("dep",))
+    side = lambda model, methods: baselines.level_quantiles(stops, asked.filter(F.col("model") == model), model).select("request_id", "run_id", "stop_num", baselines.by_method(methods).alias("m"))
+    arr = side("arr", methods).select(F.col("request_id").alias("a_id"), F.col("run_id").alias("a_run"), F.col("stop_num").alias("a_stop"), F.col("m").alias("told"))
+    dep = side("dep", ("carry_forward",)).select("request_id", "run_id", "stop_num", *[F.col("m")[0][c].alias(c) for c in QCOLS])
     found = risk.with_departure_delays(own, dep)
-    return reduce(DataFrame.unionByName, [risk.with_arrival_delays(found, arr.filter(F.col("method") == m)).withColumn("method", F.lit(m)) for m in methods])
+    found = found.join(arr, (F.col("request_id") == F.col("a_id")) & (F.col("run_id") == F.col("a_run")) & (F.col("to_stop_num") == F.col("a_stop")), "left").drop("a_id", "a_run", "a_stop")
+    #: A leg without a prediction is there for each method all the same.
+    each = F.posexplode(F.array(*map(F.lit, [m for m in baselines.METHODS if m in methods])))
+    found = found.select("*", each.alias("nth", "method"))
+    return found.select(*[c for c in found.columns if c not in ("told", "nth")], *[F.col("told")[F.col("nth")][c].alias(f"arr_{c}") for c in QCOLS])
