@@ -64,7 +64,7 @@ def test_stations_of_the_context_split(spark):
     stops = stops_of(spark, "sf0.001")
     later = stops.filter("split <> 'context'").withColumn("station", F.lit("new"))
     found = queries.sampling.busy_stations(stops.filter("split = 'context'").unionByName(later), 300)
-    assert later.filter("planned_dep is not null").count() > 300 and found.filter("station = 'new'").count() == 0
+    assert later.filter("planned_dep is not null").count() > found.agg(F.max("departures")).first()[0] and found.filter("station = 'new'").count() == 0
     asked = queries.requests.drawn_requests(stops.filter("split = 'context'").unionByName(later))
     assert asked.count() > 0 and asked.filter("src = 'new' or dst = 'new'").count() == 0
 
