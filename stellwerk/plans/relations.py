@@ -57,7 +57,9 @@ def delayed(stops: DataFrame, own: DataFrame, requests: DataFrame, methods: tupl
     arr = side("arr", methods).select(F.col("request_id").alias("a_id"), F.col("run_id").alias("a_run"), F.col("stop_num").alias("a_stop"), F.col("m").alias("told"))
     dep = side("dep", ("carry_forward",)).select("request_id", "run_id", "stop_num", *[F.col("m")[0][c].alias(c) for c in QCOLS])
     found = risk.with_departure_delays(own, dep)
-    found = found.join(arr, (F.col("request_id") == F.col("a_id")) & (F.col("run_id") == F.col("a_run")) & (F.col("to_stop_num") == F.col("a_stop")), "left").drop("a_id", "a_run", "a_stop")
+    found = found.join(arr, (F.col("request_id") == F.col("a_id")) & (F.col("run_id") == F.col("a_run")) & (F.col("to_stop_num") == F.col("a_stop")), "left")
+    #: Routes and transfers both read it.
+    found = kept(found.drop("a_id", "a_run", "a_stop"))
     #: A leg without a prediction is there for each method all the same.
     each = F.posexplode(F.array(*map(F.lit, [m for m in baselines.METHODS if m in methods])))
     found = found.select("*", each.alias("nth", "method"))
