@@ -8,8 +8,9 @@ earliest point at each place is the signature. Two signatures agree at a place w
 equal to the weighted Jaccard similarity. Points later than any that can still be the earliest are
 never generated, so most shingles cost one hash.
 
-Documents whose words are the same form one class at once and only the row with the least id goes on.
-Classes whose signatures agree on all rows of a band are candidates. All pairs of a small bucket are
+Documents whose words are the same form one class at once, and from there on only classes are looked at. Rows are
+signed where they are read, each text once in a batch, however many copies the batch holds: to sign only one row of a
+class would take a shuffle of all texts. Classes whose signatures agree on all rows of a band are candidates. All pairs of a small bucket are
 compared. In a large bucket no pairs are made: all members are compared with its hub, the member that
 shares most buckets with others (the text from which a family of copies was made, or the one next to
 it). Links are joined into components, and rounds follow: in each bucket that still holds several
@@ -102,7 +103,12 @@ def _race(docs, owner, seed, width, has, limit, places):
 
 def _band_keys(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("norm"))
+        # each text is signed once, at its first row; the others take its keys
+        nth: dict[bytes, int] = {}
+        of_row = [nth.setdefault(h, len(nth)) for h in batch.column(1).to_pylist()]
+        column, found = batch.column(batch.schema.get_field_index("norm")), []
+        if len(nth) < len(of_row):
+            column = column.take(pa.array(np.unique(of_row, return_index=True)[1]))
         for a, b in slices(column, BLOCK_BYTES):
             text = Bytes(column.slice(a, b - a))
             sig = signatures(text.docs, *shingles(text, width), bands * rows)
@@ -111,8 +117,9 @@ def _band_keys(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows:
                 keys = mixed(keys + sig.reshape(text.docs, bands, rows)[:, :, r])
             keys = mixed(keys + np.arange(bands, dtype=U)[None, :]).view(np.int64)
             empty = ~sig.any(axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]), pa.int32()), pa.array(keys[~empty].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["doc_id", "hash", "bands"])
+            found.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]), pa.int32()), pa.array(keys[~empty].ravel())))
+        if found:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.concat_arrays(found).take(pa.array(of_row, pa.int64()))], names=["doc_id", "hash", "bands"])
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, width: int = WIDTH) -> np.ndarray:
@@ -170,9 +177,11 @@ def near_duplicates(
         "signatures",
         TEXT_ROWS,
     )
-    reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands")).withColumn("id", node_of(F.col("hash")))
-    reps = stored(reps, "classes")
-    spread = reps.select("id", F.explode("bands").alias("bucket"))
+    #: The keys of a class are alike in all its rows; as numbers, not as an array, they are aggregated by hash.
+    each = [F.min(F.get(F.col("bands"), F.lit(b))).alias(f"band_{b}") for b in range(bands)]
+    reps = signed.groupBy("hash").agg(F.min("doc_id").alias("rep_id"), *each).withColumn("id", node_of(F.col("hash")))
+    reps = stored(reps.select("id", "hash", "rep_id", F.array(*[f"band_{b}" for b in range(bands)]).alias("bands")), "classes")
+    spread = reps.select("id", F.explode("bands").alias("bucket")).filter("bucket is not null")
     full = spread.groupBy(F.col("bucket").alias("f_bucket")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(spread.join(full, F.col("bucket") == F.col("f_bucket")).select("bucket", "id", "n"), "buckets")
     wanted = members.select(F.col("id").alias("m_id")).distinct()
