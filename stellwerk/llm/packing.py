@@ -7,8 +7,11 @@ numbers however many documents there are.
 
 * Pieces as long as a sequence stand alone.
 * Large lengths (above `large` tokens) are sorted and cut into groups of equal cardinality; each is
-  rounded up to the largest of its group. Configurations of these few sizes are chosen one after the
-  other, always the one that fills a sequence best, and used as often as the groups allow.
+  rounded up to the largest of its group. How often each configuration of these few sizes is used is the
+  linear programme of fewest sequences, solved by column generation: prices of the sizes follow from the
+  configurations in use, and the configuration of the greatest price comes in until none is worth more than a
+  sequence. Whole uses are taken; what fractions leave, fewer pieces than a few for each size, goes one
+  configuration after the other, always the one that fills a sequence best.
 * Actual lengths replace the rounded ones, from the longest of a group on.
 * The remaining lengths go, in descending order, where they fit best: into the fullest sequences that
   still have room, then into new ones.
@@ -38,8 +41,9 @@ from pyspark.sql import functions as F
 from stellwerk.llm.common import TEXT_ROWS, stored
 
 LENGTH, END = 2048, 0
-#: Tried one after the other; the plan with the fewest sequences is taken.
-LARGE, GROUPS = (512, 683, 1024), (64, 256)
+#: Tried one after the other; the plan with the fewest sequences is taken. FEW: numbers of groups whose configurations are optimised; with
+#: GROUPS they are chosen one after the other, which rounds less with many groups.
+LARGE, GROUPS, FEW = (342, 512, 683, 1024), (64, 256), (16, 64)
 #: The fast encoder is used for texts of these characters without a long run of non-space; all else goes to `tokenizers`.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧€]*\Z")
 LONG_RUN = 400
@@ -158,17 +162,73 @@ def _configuration(sizes: list[int], left: list[int], room: int) -> list[int]:
     return out
 
 
+def _dearest(sizes: np.ndarray, price: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size, within the room, are worth most together: best values by room, one piece more each time."""
+    value, steps = np.zeros(room + 1), []
+    for _ in range(room // int(sizes.min())):
+        more, chosen = value.copy(), np.full(room + 1, -1)
+        for k, size in enumerate(sizes):
+            with_k = value[: room + 1 - size] + price[k]
+            better = with_k > more[size:] + 1e-12
+            more[size:][better] = with_k[better]
+            chosen[size:][better] = k
+        if (chosen < 0).all():
+            break
+        steps.append(chosen)
+        value = more
+    out, at = np.zeros(len(sizes)), room
+    for chosen in reversed(steps):
+        if chosen[at] >= 0:
+            out[chosen[at]] += 1
+            at -= int(sizes[chosen[at]])
+    return out
+
+
+def configurations(sizes: list[int], demand: list[int], room: int, rounds: int = 500) -> list[tuple[float, list[int]]]:
+    """(uses, how many of each size) of the least total that covers the demand, uses being fractions.
+
+    The simplex method on as many configurations as sizes. It is feasible in every round, so `rounds` bounds the time, not what is packed.
+    """
+    size, want = np.asarray(sizes), np.asarray(demand, dtype=float)
+    basis, cost = np.diag((room // size).astype(float)), np.ones(len(size))
+    #: Groups of equal cardinality tie; shifted apart, no round stands still.
+    apart = want * (1 + 1e-5 * (np.arange(1, len(size) + 1) * 0.618034 % 1))
+    for _ in range(rounds):
+        price = np.linalg.solve(basis.T, cost)
+        column = _dearest(size, np.maximum(price, 0), room)
+        # a size whose price is below 0 is covered more than it must be; then its surplus comes in
+        surplus = int(price.argmin()) if price.min() < -1e-9 else None
+        if surplus is not None:
+            column, gain = -np.eye(len(size))[surplus], -price[surplus]
+        else:
+            gain = column @ price - 1
+        if gain <= 1e-7:
+            break
+        uses, change = np.linalg.solve(basis, apart), np.linalg.solve(basis, column)
+        ratio = np.full(len(size), np.inf)
+        np.divide(np.maximum(uses, 0), change, out=ratio, where=change > 1e-9)
+        if not np.isfinite(ratio).any():
+            break
+        out = int(ratio.argmin())
+        basis[:, out], cost[out] = column, 1.0 if surplus is None else 0.0
+    uses = np.linalg.solve(basis, want)
+    return [(float(u), basis[:, i].astype(int).tolist()) for i, u in enumerate(uses) if cost[i]]
+
+
 Pattern = tuple[int, tuple[int, ...]]
 
 
-def plan(counts: np.ndarray, length: int = LENGTH, large: tuple[int, ...] = LARGE, groups: tuple[int, ...] = GROUPS) -> list[Pattern]:
+def plan(counts: np.ndarray, length: int = LENGTH, large: tuple[int, ...] = LARGE, groups: tuple[int, ...] = GROUPS, few: tuple[int, ...] = FEW) -> list[Pattern]:
     """The plan with the fewest sequences for any of these bounds of large lengths and numbers of groups."""
-    return min((grouped_plan(counts, length, min(b, length), g) for b in large for g in groups), key=lambda p: sum(n for n, _ in p))
+    tries = [(min(b, length), g, best) for b in large for best, numbers in ((True, few), (False, groups)) for g in numbers]
+    return min((grouped_plan(counts, length, *t) for t in tries), key=lambda p: sum(n for n, _ in p))
 
 
-def grouped_plan(counts: np.ndarray, length: int, large: int, groups: int) -> list[Pattern]:
+def grouped_plan(counts: np.ndarray, length: int, large: int, groups: int, optimised: bool = True) -> list[Pattern]:
     """Patterns (number of sequences, their lengths in order) that hold exactly counts[n] pieces of every length n < length.
 
+    optimised: begin with the whole uses of the linear programme's configurations.
+
     counts has length + 1 entries; pieces of the full length are not part of the plan.
     """
     counts = counts.astype(np.int64).copy()
@@ -180,13 +240,19 @@ def grouped_plan(counts: np.ndarray, length: int, large: int, groups: int) -> li
     runs = [[[n, int(upper[n])] for n in range(high, low, -1) if upper[n]] for low, high in ranges]
     sizes, left = [r[0][0] for r in runs], [sum(n for _, n in r) for r in runs]
     bins: dict[tuple[int, ...], int] = {}
+    chosen = [(int(u + 1e-6), c) for u, c in configurations(sizes, left, length) if u >= 1 - 1e-6] if optimised and left else []
     while any(left):
-        # the longest size that is left opens the sequence; the rest of it is filled best
-        k0 = next(k for k, n in enumerate(left) if n)
-        rest = [n - (k == k0) for k, n in enumerate(left)]
-        config = _configuration(sizes, rest, length - sizes[k0])
-        config[k0] += 1
+        if chosen:
+            wanted, config = chosen.pop()
+        else:
+            # the longest size that is left opens the sequence; the rest of it is filled best
+            k0 = next(k for k, n in enumerate(left) if n)
+            rest = [n - (k == k0) for k, n in enumerate(left)]
+            config = _configuration(sizes, rest, length - sizes[k0])
+            config[k0] += 1
+            wanted = None
         times = min(left[k] // c for k, c in enumerate(config) if c)
+        times = times if wanted is None else min(times, wanted)
         slots = [k for k, c in enumerate(config) for _ in range(c)]
         while times:
             # each slot takes the next actual length of its group; a step ends where one of their runs ends
