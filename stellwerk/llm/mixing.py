@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 from stellwerk.llm.common import SPACE_CHARS, WORD, small_or_shuffled, stored, text_of, unused
 
 WEIGHTS, SHARE, MOST_EPOCHS, RANGES = (5, 2, 1), 1.5, 2, 1024
-#: Characters that menus and junk are full of, and all ASCII digits and marks.
-JUNK = "#*$%&|<>!"
+#: ASCII digits and marks.
 MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: The least weight, so that every document can be drawn; words whose mean length is outside count half.
-LEAST, WORD_LENGTHS = 0.05, (2.0, 25.0)
+#: The least weight, so that every document can be drawn; shares of letters and of marks that prose has; words with fewer or more letters in the mean count half.
+LEAST, LETTERS, FEW_MARKS, WORD_LENGTHS = 0.05, 0.75, 0.05, (2.0, 25.0)
 #: Sources up to this number are broadcast; beyond it, the joins shuffle.
 MOST_SOURCES = 10_000
 
@@ -41,21 +40,18 @@ def words(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """0.05 to 1, the product of four signals, each 1 for ordinary prose.
+    """0.05 to 1, the product of three signals, each 1 for ordinary prose.
 
-    Junk: 1 less five times the share of JUNK characters. Letters: the share of the characters of words that are neither
-    digits nor marks, in full from 0.9 on. Variety: distinct words over twice the square root of all words, at most 1 (prose
-    of any length has more; repeated phrases don't). Length: one half if words have fewer than 2 or more than 25 characters in the mean.
+    Letters: the share of characters that are neither blanks, digits nor marks, in full from 0.75 on. Marks: 1 less three times the
+    share beyond 0.05 of what is neither a letter nor one blank for each word. Length: one half if words have fewer than 2 or more
+    than 25 letters in the mean. All come from one pass for letters and the count of words, which the mix needs anyway.
     """
-    drawn = F.split(F.trim(F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS))), " +")
-    chars = F.length(F.translate(text, SPACE_CHARS, ""))
-    junk = F.length(text) - F.length(F.translate(text, JUNK, ""))
-    letters = F.length(F.translate(text, SPACE_CHARS + MARKS, "")) / F.greatest(chars, F.lit(1)) / F.lit(0.9)
-    variety = F.size(F.array_distinct(drawn)) / (F.lit(2.0) * F.sqrt(F.size(drawn).cast("double")))
-    mean = chars / F.size(drawn)
-    length = F.when(mean.between(*WORD_LENGTHS), F.lit(1.0)).otherwise(F.lit(0.5))
-    clean = F.lit(1.0) - F.lit(5.0) * junk / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.lit(LEAST), F.greatest(F.lit(0.0), clean) * F.least(F.lit(1.0), letters) * F.least(F.lit(1.0), variety) * length)
+    every, n = F.greatest(F.length(text), F.lit(1)), words(text)
+    letters = F.length(F.translate(text, SPACE_CHARS + MARKS, ""))
+    marks = F.greatest(F.lit(0), F.length(text) - letters - n) / every
+    clean = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(3.0) * F.greatest(F.lit(0.0), marks - F.lit(FEW_MARKS)))
+    length = F.when((letters / F.greatest(n, F.lit(1))).between(*WORD_LENGTHS), F.lit(1.0)).otherwise(F.lit(0.5))
+    return F.greatest(F.lit(LEAST), F.least(F.lit(1.0), letters / every / F.lit(LETTERS)) * clean * length)
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:

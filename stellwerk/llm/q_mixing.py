@@ -20,16 +20,14 @@ QUERIES = {"op5_source_mixing": op5_source_mixing}
 ORACLE_SQL = {
     "op5_source_mixing": r"""
         WITH x AS (
-            SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                   length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS chars,
-                   length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D!-/0-9:-@\[-`{-~]+', '', 'g')) AS letters,
-                   greatest(len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))), 1) AS n_distinct
+            SELECT doc_id, source, length(coalesce(text, '')) AS chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D!-/0-9:-@\[-`{-~]+', '', 'g')) AS letters
             FROM documents),
         q AS (
             SELECT doc_id, source, size,
-                   greatest(CAST(0.05 AS DOUBLE), greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CAST(5 AS DOUBLE) * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / greatest(length(text), 1))
-                   * least(CAST(1 AS DOUBLE), letters / greatest(chars, 1) / CAST(0.9 AS DOUBLE)) * least(CAST(1 AS DOUBLE), n_distinct / (CAST(2 AS DOUBLE) * sqrt(CAST(greatest(size, 1) AS DOUBLE))))
-                   * CASE WHEN chars / greatest(size, 1) BETWEEN CAST(2 AS DOUBLE) AND CAST(25 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END) AS weight
+                   greatest(0.05::DOUBLE, least(1::DOUBLE, letters / greatest(chars, 1) / 0.75::DOUBLE)
+                   * greatest(0::DOUBLE, 1::DOUBLE - 3::DOUBLE * greatest(0::DOUBLE, greatest(0, chars - letters - size) / greatest(chars, 1) - 0.05::DOUBLE))
+                   * CASE WHEN letters / greatest(size, 1) BETWEEN 2::DOUBLE AND 25::DOUBLE THEN 1::DOUBLE ELSE 0.5::DOUBLE END) AS weight
             FROM x),
         d AS (SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / weight AS key FROM q),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),

@@ -2,7 +2,6 @@
 
 import bisect
 import itertools
-import math
 import re
 
 import numpy as np
@@ -73,13 +72,11 @@ def test_plan_is_near_plain_best_fit_at_worst(seed):
 
 
 def weight(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    chars, n = sum(map(len, words)), max(len(words), 1)
-    marks = sum(33 <= ord(c) <= 47 or 48 <= ord(c) <= 64 or 91 <= ord(c) <= 96 or 123 <= ord(c) <= 126 for c in text)
-    clean = max(0.0, 1 - 5 * sum(c in "#*$%&|<>!" for c in text) / max(len(text), 1))
-    letters = min(1.0, (chars - marks) / max(chars, 1) / 0.9)
-    variety = min(1.0, max(len(set(words)), 1) / (2 * math.sqrt(n)))
-    return max(0.05, clean * letters * variety * (1 if 2 <= chars / n <= 25 else 0.5))
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    letters = sum(not (c in " \t\n\x0b\x0c\r" or "!" <= c <= "@" or "[" <= c <= "`" or "{" <= c <= "~") for c in text)
+    every = max(len(text), 1)
+    clean = max(0.0, 1 - 3 * max(0.0, max(0, len(text) - letters - n) / every - 0.05))
+    return max(0.05, min(1.0, letters / every / 0.75) * clean * (1 if 2 <= letters / max(n, 1) <= 25 else 0.5))
 
 
 def test_weights(spark):
@@ -88,7 +85,7 @@ def test_weights(spark):
     for r in found:
         assert r.w == pytest.approx(weight(r.text)), r.text
     by = {r.text: r.w for r in found}
-    assert by[texts[2]] == 1 and by[texts[3]] < 0.1 and by[texts[4]] == 0.05
+    assert by[texts[2]] == 1 and by[texts[7]] < 0.5 and by[texts[4]] == by[""] == 0.05
 
 
 def test_copies_share_a_signature(spark):
