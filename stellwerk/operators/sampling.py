@@ -50,15 +50,17 @@ def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str
     """At most cap rows alike in keys: those with the least order (a 64-bit hash), then by ties.
 
     Rows are counted by the hash's upper 12 bits; whole ranges are taken or left, and only the range in which the cap lies is sorted.
+    Rows meet one row for each of the keys (days and types, few), with that range. It is hinted: rows that were dealt to days look
+    smaller than they are, and the driver must not get them as the side to broadcast.
     """
     marked = rows.withColumns({"order_": order, "range_": F.shiftright(order, 52)})
     counts = marked.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n_"))
-    counts = counts.withColumn("below_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_")) - F.col("n_")).filter(F.col("below_") < cap)
-    marked = marked.join(counts, [*keys, "range_"])
-    whole = F.col("below_") + F.col("n_") <= cap
-    nth = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy("order_", *ties))
-    last = marked.filter(~whole).withColumn("nth_", nth).filter(F.col("nth_") <= cap - F.col("below_")).drop("nth_")
-    return marked.filter(whole).unionByName(last).select(*rows.columns)
+    counts = counts.withColumn("upto_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_")))
+    over = F.min(F.when(F.col("upto_") > cap, F.struct("range_", (F.col("upto_") - F.col("n_")).alias("below"))))
+    marked = marked.join(F.broadcast(counts.groupBy(*keys).agg(over.alias("cut_"))), keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("order_", *ties))
+    last = marked.filter(F.col("range_") == F.col("cut_.range_")).withColumn("nth_", nth).filter(F.col("nth_") <= cap - F.col("cut_.below")).drop("nth_")
+    return marked.filter(F.col("cut_").isNull() | (F.col("range_") < F.col("cut_.range_"))).unionByName(last).select(*rows.columns)
 
 
 def _with_cutoff(rows: DataFrame, stops: DataFrame, model: str, horizon: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
@@ -82,6 +84,6 @@ def training_rows(stops: DataFrame, days: DataFrame, model: str, cap: int = ROWS
     first = F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1))
     last = F.date_add("run_day", history_days)
     dealt = usable.withColumns({"first_": first, "last_": last}).filter("first_ <= last_").withColumn("day", F.explode(F.sequence("first_", "last_")))
-    dealt = dealt.withColumn("day", F.col("day").cast("timestamp_ntz")).drop("first_", "last_").join(days.select("day").distinct(), "day", "left_semi")
+    dealt = dealt.withColumn("day", F.col("day").cast("timestamp_ntz")).drop("first_", "last_").join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
     rows = capped(dealt, ["day", "train_type"], cap, hash_number(seed, "run_id", "stop_num"), "run_id", "stop_num")
     return _with_cutoff(rows, stops, model, horizon, seed, ("day", "run_id", "stop_num"))

@@ -69,7 +69,8 @@ def run_logs(stops: DataFrame) -> DataFrame:
     """One row per run: nums, its stop numbers by stop index (from 1), and log, its events by time and place, as arrays; steps for searches.
 
     An event's place is twice its stop index, and one more for a departure. in_order: whether places rise with time, as
-    they do unless a later stop was left before an earlier one.
+    they do unless a later stop was left before an earlier one. Joins with logs are hinted not to broadcast them: Spark takes
+    their size from that of the files that stops were read from, and arrays are far larger.
     """
     sides = F.array(
         *[
@@ -99,7 +100,7 @@ def at_cutoff(rows: DataFrame, stops: DataFrame, cut: Column, model: str) -> Dat
     same stop. Equal times: the later stop, then the departure. Rows meet one row of their run, whose log they search: in
     a log in order, the last event is where the earlier of two bounds lies, by time and by place; other logs are filtered.
     """
-    targets = rows.withColumn("cutoff", cut).join(run_logs(stops).withColumnRenamed("run_id", "l_run"), F.col("run_id") == F.col("l_run"), "left")
+    targets = rows.withColumn("cutoff", cut).join(run_logs(stops).withColumnRenamed("run_id", "l_run").hint("merge"), F.col("run_id") == F.col("l_run"), "left")
     index = F.nullif(F.array_position("nums", F.col("stop_num")), F.lit(0)).cast("int")
     targets = targets.withColumn("stop_index", index).withColumn("limit", 2 * F.col("stop_index") + int(model == "dep"))
     ordered = F.get("log", F.least(_below(F.col("log.time"), F.col("cutoff")), _below(F.col("log.place"), F.col("limit"))) - 1)
@@ -120,6 +121,6 @@ def with_last_known(rows: DataFrame, stops: DataFrame, now: Column, model: str,
 
 def last_seen(stops: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (request_id, run_id, now) with seen_delay: the run's last event before now, at whatever stop."""
-    logs = run_logs(stops).select(F.col("run_id").alias("l_run"), "log", "steps")
+    logs = run_logs(stops).select(F.col("run_id").alias("l_run"), "log", "steps").hint("merge")
     seen = asked.join(logs, F.col("run_id") == F.col("l_run"), "left")
     return seen.withColumn("seen_delay", F.get("log", _below(F.col("log.time"), F.col("now")) - 1)["delay"]).drop("l_run", "log", "steps")

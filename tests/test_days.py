@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from stellwerk import checkpoints
 from stellwerk.operators import context, model, requests, routing, sampling, visibility
 from stellwerk.plans import relations
 from stellwerk.sources.stops import with_features
@@ -162,3 +163,12 @@ def test_predictions_come_back_to_their_rows(week):
     assert (found.q50, found.q80, found.q95) == (1.0, 2.0, 3.0), "in order, on top of the last known delay of 0"
     (none,) = model.predict_arrivals(week, query.withColumn("planned_arr", F.lit(None).cast("timestamp_ntz")), size=50).collect()
     assert none.q50 is None
+
+
+def test_caps_do_not_broadcast_rows(spark):
+    """Rows dealt to days look small to Spark, as they come from small files: only the caps of days and types go to the driver, no logs either."""
+    stops = stops_of(spark, *[run("one", d, "RE", ("A", 9), ("B", 10)) for d in range(-9, 1)])
+    found = sampling.training_rows(checkpoints.kept(stops), stops.select(F.col("run_day").alias("day")), "arr")
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x and "l_run" in x for x in joins) and sum("train_type" in x for x in joins) >= 2
+    assert all("day#" in x and "BuildRight" in x for x in joins if "Broadcast" in x)
