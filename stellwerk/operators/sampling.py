@@ -41,9 +41,13 @@ def group_weights(runs: DataFrame, drawn: DataFrame) -> DataFrame:
     return all_rows.withColumn("share", share).join(taken, "group").withColumn("weight", F.col("share") / F.col("n_drawn"))
 
 
-def busy_stations(stops: DataFrame, n: int) -> DataFrame:
-    """The n stations with most departures in the context split, so that nothing of the tested days is used; equal ones by name."""
-    return stops.filter("split = 'context' and planned_dep is not null").groupBy("station").agg(F.count(F.lit(1)).alias("departures")).orderBy(F.desc("departures"), "station").limit(n)
+def busy_stations(stops: DataFrame, n: int, split: str | None = "context") -> DataFrame:
+    """The n stations with most departures; equal ones by name.
+
+    Of the context split, so that requests drawn by them use nothing of the tested days; with None, of all days.
+    """
+    rows = stops.filter("planned_dep is not null") if split is None else stops.filter((F.col("split") == split) & F.col("planned_dep").isNotNull())
+    return rows.groupBy("station").agg(F.count(F.lit(1)).alias("departures")).orderBy(F.desc("departures"), "station").limit(n)
 
 
 def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str) -> DataFrame:

@@ -69,5 +69,12 @@ def test_stations_of_the_context_split(spark):
     assert asked.count() > 0 and asked.filter("src = 'new' or dst = 'new'").count() == 0
 
 
+def test_busy_stations_of_every_day(spark):
+    stops = stops_of(spark, "sf0.001")
+    later = stops.filter("split <> 'context'").withColumn("station", F.lit("new"))
+    found = queries.busy_stations(stops.filter("split = 'context'").unionByName(later))
+    assert found.first().station == "new" and found.first().departures == later.filter("planned_dep is not null").count()
+
+
 def test_no_twins():
     assert not [name for name in queries.QUERIES if name.endswith("_every_day")]
