@@ -61,6 +61,28 @@ def level_quantiles(stops: DataFrame, query: DataFrame, model: str, levels=LEVEL
     return out.withColumns({f"level{k}": F.when(F.col("hour").isNotNull(), F.col(f"level{k}")) for k in range(len(levels))}).drop("b_day", "hour")
 
 
+def stop_levels(stops: DataFrame, asked: DataFrame, models: tuple[str, ...] = ("arr", "dep")) -> DataFrame:
+    """asked (stops rows) with arr_usual, arr_overall, dep_usual, dep_overall: quantiles of the finest level and of the coarsest, as of `level_quantiles`.
+
+    They hang on the stop alone, so requests that share a stop meet them once, with it. Both events meet the finest level in one order.
+    """
+    out = asked.withColumns({"b_day": F.to_date("run_day"), **{f"{m}_at": F.col(f"{m}_hour").cast("byte") for m in models}})
+    past = {m: past_delays(stops, m) for m in models}
+    for k, keys in enumerate(LEVELS):
+        for m in models:
+            own = lambda c, m=m: f"{m}_at" if c == "hour" else c
+            needed = asked.withColumn("hour", F.col(f"{m}_hour").cast("byte")).filter("hour is not null").select(F.to_date("run_day").alias("day"), *keys)
+            stats = _quantiles_by_day(past[m], needed, keys, f"{m}_{k}")
+            stats = stats.filter(F.col("n") >= MIN_COUNT) if keys else F.broadcast(stats)
+            stats = stats.select(F.col("day").alias("s_day"), *[F.col(c).alias(f"s_{c}") for c in keys], f"{m}_{k}")
+            on = reduce(and_, [F.col(own(c)) == F.col(f"s_{c}") for c in keys], F.col("b_day") == F.col("s_day"))
+            out = out.join(stats, on, "left").drop("s_day", *[f"s_{c}" for c in keys])
+    there = lambda m, found: F.when(F.col(f"{m}_at").isNotNull(), found)
+    last = len(LEVELS) - 1
+    found = {f"{m}_usual": there(m, F.coalesce(*[F.col(f"{m}_{k}") for k in range(last + 1)])) for m in models} | {f"{m}_overall": there(m, F.col(f"{m}_{last}")) for m in models}
+    return out.select(*asked.columns, *[c.alias(n) for n, c in found.items()])
+
+
 def per_day(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, **options) -> DataFrame:
     """query with q50, q80, q95 from the first level that has enough rows."""
     names = [f"level{k}" for k in range(len(levels))]
@@ -87,9 +109,9 @@ def carry_forward(stops: DataFrame, query: DataFrame, model: str) -> DataFrame:
 METHODS = {"global": global_quantiles, "train_station": train_station_quantiles, "carry_forward": carry_forward}
 
 
-def by_method(methods: tuple[str, ...] = tuple(METHODS)) -> Column:
-    """For rows of level_quantiles with seen_delay: (method, q50, q80, q95) of each of the methods, as an array."""
-    usual, overall, seen = F.coalesce("level0", "level1", "level2"), F.col("level2"), F.col("seen_delay").cast("double")
+def by_method(methods: tuple[str, ...] = tuple(METHODS), usual: Column | None = None, overall: Column | None = None) -> Column:
+    """For rows of level_quantiles, or with these quantiles, and with seen_delay: (method, q50, q80, q95) of each of the methods, as an array."""
+    usual, overall, seen = F.coalesce("level0", "level1", "level2") if usual is None else usual, F.col("level2") if overall is None else overall, F.col("seen_delay").cast("double")
     moved = [F.when(seen.isNotNull(), seen + (usual[i] - usual[0])).otherwise(usual[i]) for i in range(len(QCOLS))]
     found = {"global": [overall[i] for i in range(len(QCOLS))], "train_station": [usual[i] for i in range(len(QCOLS))], "carry_forward": moved}
     return F.array(*[F.struct(F.lit(m).alias("method"), *[c.alias(n) for n, c in zip(QCOLS, found[m], strict=True)]) for m in METHODS if m in methods])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stellwerk.functions.risk import seen_case, train_group
 from stellwerk.functions.times import minutes_between, plus_minutes
 from stellwerk.operators.sampling import busy_stations
-from stellwerk.operators.visibility import last_seen
+from stellwerk.operators.visibility import run_logs, seen_delay
 from stellwerk.schema import BUSY_STATIONS, FIRST_HOUR, LAST_HOUR, REQUESTS_PER_DAY
 
 
@@ -40,13 +40,17 @@ def drawn_requests(stops: DataFrame, per_day: int = REQUESTS_PER_DAY, stations:
 def request_rows(stops: DataFrame, requests: DataFrame, legs: DataFrame) -> DataFrame:
     """One row per request, run, stop and model ("dep" where a leg begins, "arr" where it ends).
 
-    Stops columns with now, minutes_ahead, delay (of the model's event), seen_delay, case, group, weight.
+    Stops columns with now, minutes_ahead, delay (of the model's event), seen_delay, case, group, weight. Legs are shuffled once, by run:
+    they meet one row of their run with its stops and its log, and equal rows of a request are on the same side of that shuffle.
     """
-    sides = F.array(F.struct(F.col("from_stop_num").alias("stop_num"), F.lit("dep").alias("model")), F.struct(F.col("to_stop_num").alias("stop_num"), F.lit("arr").alias("model")))
-    keys = legs.select("request_id", "run_id", F.explode(sides).alias("k")).select("request_id", "run_id", "k.stop_num", "k.model").distinct()
-    keys = keys.join(requests.select("request_id", F.col("depart").alias("now")), "request_id")
+    runs = run_logs(stops, *stops.columns).select(F.col("run_id").alias("l_run"), "log", "steps", "cells").hint("merge")
+    met = legs.select("request_id", "run_id", "from_stop_num", "to_stop_num").join(requests.select("request_id", F.col("depart").alias("now")), "request_id")
+    met = met.join(runs, F.col("run_id") == F.col("l_run")).withColumn("seen_delay", seen_delay(F.col("now")))
+    side = lambda c, model: F.transform(F.filter("cells", lambda s: s["stop_num"] == F.col(c)), lambda s: F.struct(F.lit(model).alias("model"), s.alias("s")))
+    rows = met.select("request_id", "l_run", "now", "seen_delay", F.explode(F.concat(side("from_stop_num", "dep"), side("to_stop_num", "arr"))).alias("k"))
+    rows = rows.select("request_id", F.col("l_run").alias("run_id"), "k.model", "now", "seen_delay", *[F.col(f"k.s.{c}").alias(c) for c in stops.columns if c != "run_id"]).distinct()
     departs = F.col("model") == "dep"
-    rows = keys.join(stops, ["run_id", "stop_num"]).withColumns(
+    rows = rows.withColumns(
         {
             "minutes_ahead": minutes_between(F.when(departs, F.col("planned_dep")).otherwise(F.col("planned_arr")), F.col("now")),
             "delay": F.when(departs, F.col("dep_delay")).otherwise(F.col("arr_delay")),
@@ -54,9 +58,15 @@ def request_rows(stops: DataFrame, requests: DataFrame, legs: DataFrame) -> Data
             "group": train_group(F.col("train_type")),
         }
     )
-    asked = keys.select("request_id", "run_id", "now").distinct()
-    seen = last_seen(stops.join(asked.select("run_id").distinct(), "run_id", "left_semi"), asked).drop("now")
-    return rows.join(seen, ["request_id", "run_id"], "left").withColumn("case", seen_case(F.col("seen_delay"), F.col("minutes_ahead")))
+    return rows.withColumn("case", seen_case(F.col("seen_delay"), F.col("minutes_ahead")))
+
+
+def leg_sides(stops: DataFrame, requests: DataFrame, legs: DataFrame) -> DataFrame:
+    """legs with seen_delay of their run at the request's departure, and the stops rows where they begin and end as structs `on` and `off` (null if there is none)."""
+    runs = run_logs(stops, *[c for c in stops.columns if c != "run_id"]).select(F.col("run_id").alias("l_run"), "log", "steps", "cells").hint("merge")
+    met = legs.join(requests.select("request_id", F.col("depart").alias("now")), "request_id", "left").join(runs, F.col("run_id") == F.col("l_run"), "left")
+    at = lambda c: F.get(F.filter("cells", lambda s: s["stop_num"] == F.col(c)), F.lit(0))
+    return met.select(*[F.col(c) for c in legs.columns], seen_delay(F.col("now")).alias("seen_delay"), at("from_stop_num").alias("on"), at("to_stop_num").alias("off"))
 
 
 def subset(rows: DataFrame, first: int | None = None, day: str | None = None, train_type: str | None = None, models: tuple[str, ...] | None = None) -> DataFrame:

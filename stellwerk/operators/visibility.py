@@ -65,12 +65,12 @@ def cutoff(model: str, now: Column, replay: bool) -> Column:
     return F.least(now, plus_minutes(day_of(F.col(f"planned_{model}")), clock), actual_time(model))
 
 
-def run_logs(stops: DataFrame) -> DataFrame:
+def run_logs(stops: DataFrame, *cells: str) -> DataFrame:
     """One row per run: nums, its stop numbers by stop index (from 1), and log, its events by time and place, as arrays; steps for searches.
 
     An event's place is twice its stop index, and one more for a departure. in_order: whether places rise with time, as
     they do unless a later stop was left before an earlier one. Joins with logs are hinted not to broadcast them: Spark takes
-    their size from that of the files that stops were read from, and arrays are far larger.
+    their size from that of the files that stops were read from, and arrays are far larger. cells: columns of the run's stops to keep with it.
     """
     sides = F.array(
         *[
@@ -78,12 +78,14 @@ def run_logs(stops: DataFrame) -> DataFrame:
             for e in ("arr", "dep")
         ]
     )
-    rows = stop_index(stops).select("run_id", "stop_num", "stop_index", sides.alias("sides"))
+    own = [F.struct(*cells).alias("cell")] if cells else []
+    rows = stop_index(stops).select("run_id", "stop_num", "stop_index", sides.alias("sides"), *own)
     runs = rows.groupBy("run_id").agg(
-        F.sort_array(F.collect_list(F.struct("stop_index", "stop_num"))).alias("nums"), F.sort_array(F.filter(F.flatten(F.collect_list("sides")), lambda e: e["time"].isNotNull())).alias("log")
+        F.sort_array(F.collect_list(F.struct("stop_index", "stop_num"))).alias("nums"), F.sort_array(F.filter(F.flatten(F.collect_list("sides")), lambda e: e["time"].isNotNull())).alias("log"),
+        *[F.collect_list("cell").alias("cells")] * len(own),
     )
     nums = F.filter("nums", lambda x: x["stop_index"].isNotNull())["stop_num"]
-    runs = runs.select("run_id", nums.alias("nums"), "log", F.col("log.place").alias("places"))
+    runs = runs.select("run_id", nums.alias("nums"), "log", F.col("log.place").alias("places"), *["cells"] * len(own))
     steps = F.filter(F.array(*[F.lit(2**k) for k in range(24, -1, -1)]), lambda step: step <= F.size("log"))
     return runs.withColumns({"in_order": F.col("places") == F.array_sort("places"), "steps": steps}).drop("places")
 
@@ -119,8 +121,13 @@ def with_last_known(rows: DataFrame, stops: DataFrame, now: Column, model: str,
     return at_cutoff(rows, stops, cutoff(model, now, replay), model)
 
 
+def seen_delay(now: Column) -> Column:
+    """For rows that have met their run's log: the delay of its last event before now, at whatever stop."""
+    return F.get("log", _below(F.col("log.time"), now) - 1)["delay"]
+
+
 def last_seen(stops: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (request_id, run_id, now) with seen_delay: the run's last event before now, at whatever stop."""
     logs = run_logs(stops).select(F.col("run_id").alias("l_run"), "log", "steps").hint("merge")
     seen = asked.join(logs, F.col("run_id") == F.col("l_run"), "left")
-    return seen.withColumn("seen_delay", F.get("log", _below(F.col("log.time"), F.col("now")) - 1)["delay"]).drop("l_run", "log", "steps")
+    return seen.withColumn("seen_delay", seen_delay(F.col("now"))).drop("l_run", "log", "steps")

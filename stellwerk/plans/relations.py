@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.checkpoints import kept
-from stellwerk.operators import baselines, risk, routing, visibility
-from stellwerk.operators.requests import request_rows
+from stellwerk.operators import baselines, routing, visibility
+from stellwerk.operators.requests import leg_sides, request_rows
 from stellwerk.schema import QCOLS
 from stellwerk.sources.stops import from_events
 
@@ -33,34 +31,49 @@ def requests(legs: DataFrame) -> DataFrame:
     return legs.groupBy("request_id").agg(F.min("dep").alias("depart"))
 
 
+#: What rows and scores read of a stop.
+ASKED = ("run_id", "stop_num", "train_type", "planned_arr", "planned_dep", "arr_delay", "dep_delay")
+
+
+def _asked(stops: DataFrame, read: DataFrame) -> DataFrame:
+    """Rows of read (of stops) that legs ask for. No numbers of routes are needed: legs are not laid in order."""
+    own = routing.two_leg_routes(visibility.connections(stops)).select("request_id", F.explode("legs").alias("l"))
+    own = kept(own.select("request_id", "l.run_id", "l.from_stop_num", "l.to_stop_num", "l.dep"))
+    return request_rows(read, kept(requests(own)), own)
+
+
 def rows(stops: DataFrame) -> DataFrame:
-    own = legs(stops)
-    return kept(request_rows(stops, requests(own), own))
+    return _asked(stops, stops.select(*ASKED))
+
+
+def with_levels(stops: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """columns of asked (stops rows) with the quantiles of `stop_levels`."""
+    found = baselines.stop_levels(stops, asked.select(*dict.fromkeys((*columns, "run_day", "train_key", "station", "arr_hour", "dep_hour"))))
+    return found.select(*columns, *[f"{m}_{c}" for m in ("arr", "dep") for c in ("usual", "overall")])
 
 
-def predicted(stops: DataFrame, own: DataFrame, methods: tuple[str, ...] = tuple(baselines.METHODS), models: tuple[str, ...] = ("arr", "dep")) -> DataFrame:
-    """rows of these models with the quantiles of these methods."""
-    found = [baselines.every_method(baselines.level_quantiles(stops, own.filter(F.col("model") == m), m), methods) for m in models]
-    return kept(reduce(DataFrame.unionByName, found))
+def predicted(stops: DataFrame) -> DataFrame:
+    """rows with method and the quantiles of every method. They are read once, so they are not kept."""
+    found = _asked(stops, with_levels(stops, stops, *ASKED))
+    own = lambda c: F.when(F.col("model") == "dep", F.col(f"dep_{c}")).otherwise(F.col(f"arr_{c}"))
+    found = found.withColumns({"usual": own("usual"), "overall": own("overall")})
+    found = found.withColumn("m", F.explode(baselines.by_method(usual=F.col("usual"), overall=F.col("overall"))))
+    return found.select("request_id", "run_id", "stop_num", "model", "case", "group", "weight", "delay", "m.method", *[f"m.{c}" for c in QCOLS])
 
 
 def legs_with_delays(stops: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """legs once for each method, with the arrival delays it predicts; departure delays are those last seen, whatever the method."""
     own = legs(stops)
-    return delayed(stops, own, requests(own), methods)
+    return delayed(stops, stops, own, kept(requests(own)), methods)
 
 
-def delayed(stops: DataFrame, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
-    """The same for given legs of requests (request_id, depart): each side of a leg meets its prediction once, all methods in one array."""
-    asked = kept(request_rows(stops, requests, own))
-    side = lambda model, methods: baselines.level_quantiles(stops, asked.filter(F.col("model") == model), model).select("request_id", "run_id", "stop_num", baselines.by_method(methods).alias("m"))
-    arr = side("arr", methods).select(F.col("request_id").alias("a_id"), F.col("run_id").alias("a_run"), F.col("stop_num").alias("a_stop"), F.col("m").alias("told"))
-    dep = side("dep", ("carry_forward",)).select("request_id", "run_id", "stop_num", *[F.col("m")[0][c].alias(c) for c in QCOLS])
-    found = risk.with_departure_delays(own, dep)
-    found = found.join(arr, (F.col("request_id") == F.col("a_id")) & (F.col("run_id") == F.col("a_run")) & (F.col("to_stop_num") == F.col("a_stop")), "left")
+def delayed(stops: DataFrame, asked: DataFrame, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """The same for given legs of requests (request_id, depart), whose runs' stops are asked: a leg meets its run once, with the predictions of both sides and all methods."""
+    found = leg_sides(with_levels(stops, asked, *[c for c in ASKED if c != "train_type"]), requests, own)
+    told = baselines.by_method(methods, F.col("off.arr_usual"), F.col("off.arr_overall"))
+    seen = baselines.by_method(("carry_forward",), F.col("on.dep_usual"), F.col("on.dep_overall"))[0]
     #: Routes and transfers both read it.
-    found = kept(found.drop("a_id", "a_run", "a_stop"))
-    #: A leg without a prediction is there for each method all the same.
-    each = F.posexplode(F.array(*map(F.lit, [m for m in baselines.METHODS if m in methods])))
-    found = found.select("*", each.alias("nth", "method"))
-    return found.select(*[c for c in found.columns if c not in ("told", "nth")], *[F.col("told")[F.col("nth")][c].alias(f"arr_{c}") for c in QCOLS])
+    found = kept(found.select(*own.columns, told.alias("told"), seen.alias("seen")))
+    return found.select(*own.columns, *[F.col("seen")[c].alias(f"dep_{c}") for c in QCOLS], F.explode("told").alias("m")).select(
+        *own.columns, *[f"dep_{c}" for c in QCOLS], "m.method", *[F.col("m")[c].alias(f"arr_{c}") for c in QCOLS]
+    )

@@ -78,3 +78,33 @@ def test_busy_stations_of_every_day(spark):
 
 def test_no_twins():
     assert not [name for name in queries.QUERIES if name.endswith("_every_day")]
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+
+
+def test_rows_meet_their_run_once(spark):
+    """Legs are shuffled by run only, and predictions and losses of their rows need no shuffle after it."""
+    from stellwerk.plans import relations
+
+    stops = stops_of(spark, "sf0.001")
+    legs = relations.legs(stops)
+    found = exchanges(relations.request_rows(stops, relations.kept(relations.requests(legs)), legs))
+    assert len(found) == 2 and all("(run_id#" in x or "(l_run#" in x for x in found)
+    scored = exchanges(queries._scored(stops))
+    assert not [x for x in scored if "request_id" in x]
+    assert len(exchanges(queries.metrics.loss_pivot(queries._scored(stops), ["global", "train_station"], "request_id", "run_id", "stop_num", "model"))) == len(scored)
+
+
+def test_legs_meet_predictions_once(spark):
+    from stellwerk.plans import relations
+
+    stops = stops_of(spark, "sf0.001")
+    legs = relations.legs(stops)
+    found = exchanges(relations.leg_sides(stops, relations.kept(relations.requests(legs)), legs))
+    assert len(found) == 2 and all("(run_id#" in x for x in found)
+
+
+def test_stops_are_shuffled_once(spark):
+    assert len(exchanges(queries.r.from_events(spark, "/root/testdata/sf0.001"))) == 1
