@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellwerk.checkpoints import dealt
 from stellwerk.functions.times import actual_time, day_of, minutes_between, plus_minutes
 
 
@@ -50,6 +51,22 @@ def timetables(stops: DataFrame, days: DataFrame) -> DataFrame:
     return connections(near, "day").filter(F.col("dep") >= F.col("day"))
 
 
+def train_history(stops: DataFrame, days_back: int, most: int) -> DataFrame:
+    """day, train_key, nth, run_id, stop_num: for each day on which a train runs, its rows of the days before with a known event, latest day first.
+
+    A row meets, at its train, the days on which that runs, and is dealt to days only after that shuffle: no task sorts or
+    sends a row for each of the days before it.
+    """
+    from_day = F.date_add(F.to_date(F.least(actual_time("arr"), actual_time("dep"))), 1)
+    rows = stops.select("train_key", "run_day", "run_id", "stop_num", F.greatest(F.date_add("run_day", 1), from_day).alias("first"), F.date_add("run_day", days_back).alias("last"), from_day.alias("known"))
+    rows = dealt(rows.filter("known is not null and first <= last").drop("known"), "train_key")
+    days = stops.groupBy(F.col("train_key").alias("d_key")).agg(F.collect_set(F.to_date("run_day")).alias("days")).hint("merge")
+    past = rows.join(days, F.col("train_key") == F.col("d_key")).withColumn("day", F.explode(F.filter("days", lambda d: d.between(F.col("first"), F.col("last")))))
+    order = Window.partitionBy("train_key", "day").orderBy(F.desc("run_day"), "run_id", "stop_num")
+    past = past.select("train_key", "day", "run_day", "run_id", "stop_num").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    return past.select(F.col("day").cast("timestamp_ntz").alias("day"), "train_key", "nth", "run_id", "stop_num")
+
+
 def stop_index(stops: DataFrame) -> DataFrame:
     """run_id, stop_num, stop_index: stops numbered by planned time within the run; null without a time."""
     time = F.coalesce("planned_arr", "planned_dep")

@@ -108,3 +108,10 @@ def test_legs_meet_predictions_once(spark):
 
 def test_stops_are_shuffled_once(spark):
     assert len(exchanges(queries.r.from_events(spark, "/root/testdata/sf0.001"))) == 1
+
+
+def test_train_history_deals_rows_after_its_shuffle(spark):
+    plan = queries.same_train_history(stops_of(spark, "sf0.001"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [k for k, x in enumerate(plan) if "Generate explode" in x]
+    assert at and not [x for x in plan[: at[0]] if "Exchange" in x] and [x for x in plan[at[0] :] if "Exchange hashpartitioning(train_key" in x]
+    assert not [x for x in plan if "Broadcast" in x]
