@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellwerk.checkpoints import kept
 from stellwerk.functions.times import last_event_time
 from stellwerk.schema import HISTORY_DAYS, MIN_COUNT, QCOLS, QUANTILES
 
@@ -61,26 +62,65 @@ def level_quantiles(stops: DataFrame, query: DataFrame, model: str, levels=LEVEL
     return out.withColumns({f"level{k}": F.when(F.col("hour").isNotNull(), F.col(f"level{k}")) for k in range(len(levels))}).drop("b_day", "hour")
 
 
-def stop_levels(stops: DataFrame, asked: DataFrame, models: tuple[str, ...] = ("arr", "dep")) -> DataFrame:
-    """asked (stops rows) with arr_usual, arr_overall, dep_usual, dep_overall: quantiles of the finest level and of the coarsest, as of `level_quantiles`.
+def _array_quantiles(delays: Column) -> Column:
+    """The quantiles of an array of at least MIN_COUNT delays as `percentile` has them, between the two ranks around each; else null."""
 
-    They hang on the stop alone, so requests that share a stop meet them once, with it. Both events meet the finest level in one order.
+    def at(s: Column, q: float) -> Column:
+        place = (F.size(s) - 1) * F.lit(q)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        return F.when(F.get(s, low) == F.get(s, high), F.get(s, low)).otherwise((high - place) * F.get(s, low) + (place - low) * F.get(s, high))
+
+    return F.transform(F.array(F.sort_array(delays)), lambda s: F.when(F.size(s) >= MIN_COUNT, F.array(*[at(s, q) for q in QUANTILES])))[0]
+
+
+#: What the finest level reads of a stop that is not asked for itself.
+HISTORY = ("run_day", "train_key", "station", "planned_arr", "planned_dep", "arr_canceled", "dep_canceled", "arr_delay", "dep_delay")
+
+
+def _with_finest(stops: DataFrame, asked: DataFrame, whole: bool, models: tuple[str, ...]) -> DataFrame:
+    """asked with arr_0 and dep_0, the quantiles of its train at its station; null for fewer than MIN_COUNT rows.
+
+    A stop is shuffled once, to its train and station, where it is a row that asks and one of the history of later days.
+    """
+    keys = LEVELS[0]
+    rows = asked.withColumn("asks", F.lit(True))
+    rows = rows if whole else rows.unionByName(stops.select(*HISTORY, F.lit(False).alias("asks")), allowMissingColumns=True)
+    #: Rows are sorted as they were shuffled; what they tell is made of them after that.
+    rows = rows.repartition(*keys).withColumn("b_num", F.unix_date(F.to_date("run_day"))).sortWithinPartitions(*keys, "b_num").withColumn("b_day", F.to_date("run_day"))
+    first = F.greatest(F.date_add("b_day", 1), F.date_add(F.to_date(last_event_time()), 1))
+    told = F.lit(True) if whole else ~F.col("asks")
+    known = {m: F.when(F.col(f"{m}_delay").isNotNull() & ~F.col(f"{m}_canceled"), F.col(f"{m}_delay").cast("double")) for m in models}
+    event = F.when(told & F.coalesce(*known.values()).isNotNull(), F.struct(first.alias("first_day"), *[c.alias(m) for m, c in known.items()]))
+    days = Window.partitionBy(*keys).orderBy("b_num").rangeBetween(-HISTORY_DAYS, -1)
+    out = rows.withColumn("past", F.collect_list(event).over(days)).filter("asks")
+    named = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    past = F.filter(F.when(named & (F.size("past") >= MIN_COUNT), F.col("past")), lambda e: e["first_day"] <= F.col("b_day"))
+    found = {f"{m}_0": _array_quantiles(F.array_compact(past[m])) for m in models}
+    return out.withColumns(found).drop("past", "asks", "b_num")
+
+
+def stop_levels(stops: DataFrame, columns: tuple[str, ...], asked: DataFrame | None = None, models: tuple[str, ...] = ("arr", "dep")) -> DataFrame:
+    """columns of stops, or of those of its rows that are asked, with arr_usual, arr_overall, dep_usual, dep_overall: quantiles of the finest level and of the coarsest, as of `level_quantiles`.
+
+    They hang on the stop alone, so requests that share a stop meet them once, with it. Stops are shuffled for the finest
+    level and then to their runs, before they grow by quantiles; stations' hours are kept, both events in one table, so
+    that Spark takes their size from the file when it chooses the join, and days are few.
     """
-    out = asked.withColumns({"b_day": F.to_date("run_day"), **{f"{m}_at": F.col(f"{m}_hour").cast("byte") for m in models}})
+    rows = stops if asked is None else asked
+    rows = rows.select(*dict.fromkeys((*columns, *HISTORY)), *[F.col(f"{m}_hour").cast("byte").alias(f"{m}_at") for m in models])
+    out = _with_finest(stops, rows, asked is None, models).repartition("run_id")
     past = {m: past_delays(stops, m) for m in models}
-    for k, keys in enumerate(LEVELS):
-        for m in models:
-            own = lambda c, m=m: f"{m}_at" if c == "hour" else c
-            needed = asked.withColumn("hour", F.col(f"{m}_hour").cast("byte")).filter("hour is not null").select(F.to_date("run_day").alias("day"), *keys)
-            stats = _quantiles_by_day(past[m], needed, keys, f"{m}_{k}")
-            stats = stats.filter(F.col("n") >= MIN_COUNT) if keys else F.broadcast(stats)
-            stats = stats.select(F.col("day").alias("s_day"), *[F.col(c).alias(f"s_{c}") for c in keys], f"{m}_{k}")
-            on = reduce(and_, [F.col(own(c)) == F.col(f"s_{c}") for c in keys], F.col("b_day") == F.col("s_day"))
-            out = out.join(stats, on, "left").drop("s_day", *[f"s_{c}" for c in keys])
+    needed = {m: rows.select(F.to_date("run_day").alias("day"), "station", F.col(f"{m}_at").alias("hour")).filter("hour is not null") for m in models}
+    both = lambda each: reduce(DataFrame.unionByName, [x.withColumn("model", F.lit(m)) for m, x in each.items()])
+    hours = kept(_quantiles_by_day(both(past), both(needed), ("model", *LEVELS[1]), "q").filter(F.col("n") >= MIN_COUNT))
+    for m in models:
+        own = hours.filter(F.col("model") == m).select(F.col("day").alias("s_day"), F.col("station").alias("s_station"), F.col("hour").alias("s_hour"), F.col("q").alias(f"{m}_1"))
+        out = out.join(own, (F.col("b_day") == F.col("s_day")) & (F.col("station") == F.col("s_station")) & (F.col(f"{m}_at") == F.col("s_hour")), "left").drop("s_day", "s_station", "s_hour")
+        overall = _quantiles_by_day(past[m], needed[m].select("day"), LEVELS[2], f"{m}_2").select(F.col("day").alias("s_day"), f"{m}_2")
+        out = out.join(F.broadcast(overall), F.col("b_day") == F.col("s_day"), "left").drop("s_day")
     there = lambda m, found: F.when(F.col(f"{m}_at").isNotNull(), found)
-    last = len(LEVELS) - 1
-    found = {f"{m}_usual": there(m, F.coalesce(*[F.col(f"{m}_{k}") for k in range(last + 1)])) for m in models} | {f"{m}_overall": there(m, F.col(f"{m}_{last}")) for m in models}
-    return out.select(*asked.columns, *[c.alias(n) for n, c in found.items()])
+    found = {f"{m}_usual": there(m, F.coalesce(*[F.col(f"{m}_{k}") for k in range(len(LEVELS))])) for m in models} | {f"{m}_overall": there(m, F.col(f"{m}_2")) for m in models}
+    return out.select(*columns, *[c.alias(n) for n, c in found.items()])
 
 
 def per_day(stops: DataFrame, query: DataFrame, model: str, levels=LEVELS, **options) -> DataFrame:

@@ -46,15 +46,9 @@ def rows(stops: DataFrame) -> DataFrame:
     return _asked(stops, stops.select(*ASKED))
 
 
-def with_levels(stops: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
-    """columns of asked (stops rows) with the quantiles of `stop_levels`."""
-    found = baselines.stop_levels(stops, asked.select(*dict.fromkeys((*columns, "run_day", "train_key", "station", "arr_hour", "dep_hour"))))
-    return found.select(*columns, *[f"{m}_{c}" for m in ("arr", "dep") for c in ("usual", "overall")])
-
-
 def predicted(stops: DataFrame) -> DataFrame:
     """rows with method and the quantiles of every method. They are read once, so they are not kept."""
-    found = _asked(stops, with_levels(stops, stops, *ASKED))
+    found = _asked(stops, baselines.stop_levels(stops, ASKED))
     own = lambda c: F.when(F.col("model") == "dep", F.col(f"dep_{c}")).otherwise(F.col(f"arr_{c}"))
     found = found.withColumns({"usual": own("usual"), "overall": own("overall")})
     found = found.withColumn("m", F.explode(baselines.by_method(usual=F.col("usual"), overall=F.col("overall"))))
@@ -64,12 +58,12 @@ def predicted(stops: DataFrame) -> DataFrame:
 def legs_with_delays(stops: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """legs once for each method, with the arrival delays it predicts; departure delays are those last seen, whatever the method."""
     own = legs(stops)
-    return delayed(stops, stops, own, kept(requests(own)), methods)
+    return delayed(stops, None, own, kept(requests(own)), methods)
 
 
-def delayed(stops: DataFrame, asked: DataFrame, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
-    """The same for given legs of requests (request_id, depart), whose runs' stops are asked: a leg meets its run once, with the predictions of both sides and all methods."""
-    found = leg_sides(with_levels(stops, asked, *[c for c in ASKED if c != "train_type"]), requests, own)
+def delayed(stops: DataFrame, asked: DataFrame | None, own: DataFrame, requests: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """The same for given legs of requests (request_id, depart), whose runs' stops are asked (None: all stops): a leg meets its run once, with the predictions of both sides and all methods."""
+    found = leg_sides(baselines.stop_levels(stops, tuple(c for c in ASKED if c != "train_type"), asked), requests, own)
     told = baselines.by_method(methods, F.col("off.arr_usual"), F.col("off.arr_overall"))
     seen = baselines.by_method(("carry_forward",), F.col("on.dep_usual"), F.col("on.dep_overall"))[0]
     #: Routes and transfers both read it.

@@ -147,16 +147,16 @@ def save(stops: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
 def from_events(spark: SparkSession, sf_dir: str, validation_start: str = "2024-01-17", test_start: str = "2024-01-24") -> DataFrame:
     """Stops derived from the events table: a run is a user's day, its stops are the events by time; one shuffle, by run."""
     run = Window.partitionBy("run_id", "user_id", "d")
-    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    run_id = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string"))
+    #: Only what the stops are made of is shuffled, as numbers.
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "ts", "user_id", "event_type", "value", F.to_date("ts").alias("d"), minute.alias("m"), F.get_json_object("props", "$.k").cast("int").alias("k")
+        "event_id", "ts", "user_id", (F.col("event_type") == "error").alias("error"), (F.floor(F.col("value") / 10) - 1).cast("int").alias("base"), F.get_json_object("props", "$.k").cast("int").alias("k")
     )
-    rows = rows.withColumn("run_id", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("d").cast("string"))).repartition("run_id")
+    rows = rows.repartition(run_id).withColumns({"run_id": run_id, "d": F.to_date("ts"), "m": F.date_trunc("minute", "ts").cast("timestamp_ntz")})
     rows = rows.withColumns({"stop_num": F.row_number().over(run.orderBy("ts", "event_id")), "last": F.count(F.lit(1)).over(run).cast("int")})
     train_type = F.element_at(F.array(*map(F.lit, ("ICE", "RE", "RB", "S", "NJ"))), (F.col("user_id") % 5 + 1).cast("int"))
     arrives, departs = F.col("stop_num") > 1, F.col("stop_num") < F.col("last")
-    error = F.col("event_type") == "error"
-    base = (F.floor(F.col("value") / 10) - 1).cast("int")
+    error, base = F.col("error"), F.col("base")
     rows = rows.withColumns({"arr_canceled": arrives & error & (F.col("k") % 5 == 0), "dep_canceled": departs & error & (F.col("k") % 7 == 0), "train_type": train_type})
     stops = rows.select(
         "run_id", day_of(F.col("d")).alias("run_day"), "train_type",
