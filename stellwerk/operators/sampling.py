@@ -79,15 +79,38 @@ def capped_training_rows(stops: DataFrame, model: str, cap: int = ROWS_PER_TYPE,
     return _with_cutoff(rows, stops, model, horizon, seed, ("run_id", "stop_num"))
 
 
+def _learnable(stops: DataFrame, model: str, history_days: int) -> DataFrame:
+    """Usable rows with the first and the last day (first_, last_) that may learn from them: after the run's day and the row's last event, at most history_days after the run's day."""
+    usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
+    first = F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1))
+    return usable.withColumns({"first_": first, "last_": F.date_add("run_day", history_days)}).filter("first_ <= last_")
+
+
+def _on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """rows once for each of days (day) from first_ to last_."""
+    dealt = rows.withColumn("day", F.explode(F.sequence("first_", "last_"))).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return dealt.drop("first_", "last_").join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
+
+
 def training_rows(stops: DataFrame, days: DataFrame, model: str, cap: int = ROWS_PER_TYPE, horizon: int = 360, seed: int = 0, history_days: int = HISTORY_DAYS) -> DataFrame:
     """For each of days (day), the usable rows of the days before it whose last event lies before it, capped and cut off as above.
 
     Nothing of the day itself, or that ended on it, is learned from.
     """
-    usable = stops.filter(F.col(f"{model}_delay").isNotNull() & ~F.col(f"{model}_canceled"))
-    first = F.greatest(F.date_add("run_day", 1), F.date_add(F.to_date(last_event_time()), 1))
-    last = F.date_add("run_day", history_days)
-    dealt = usable.withColumns({"first_": first, "last_": last}).filter("first_ <= last_").withColumn("day", F.explode(F.sequence("first_", "last_")))
-    dealt = dealt.withColumn("day", F.col("day").cast("timestamp_ntz")).drop("first_", "last_").join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
+    dealt = _on_days(_learnable(stops, model, history_days), days)
     rows = capped(dealt, ["day", "train_type"], cap, hash_number(seed, "run_id", "stop_num"), "run_id", "stop_num")
     return _with_cutoff(rows, stops, model, horizon, seed, ("day", "run_id", "stop_num"))
+
+
+def training_history(stops: DataFrame, days: DataFrame, model: str, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """day, train_type, n_rows, runs, delays: for each of days (day) and each type, all rows that training_rows draws from, their runs and the sum of their delays.
+
+    Nothing is capped. Rows and runs are counted by the first and last day that may learn from them, and only these counts are dealt
+    to days; a run, which has one day, is there from the first day of any of its rows. A missing type is a group of its own.
+    """
+    rows = _learnable(stops, model, history_days)
+    none, cell = F.lit(0).cast("long"), ("train_type", "first_", "last_")
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_rows"), none.alias("runs"), F.sum(F.col(f"{model}_delay").cast("long")).alias("delays"))
+    runs = rows.groupBy("run_id", "train_type", "last_").agg(F.min("first_").alias("first_"))
+    runs = runs.groupBy(*cell).agg(none.alias("n_rows"), F.count("run_id").alias("runs"), none.alias("delays"))
+    return _on_days(counts.unionByName(runs), days).groupBy("day", "train_type").agg(*[F.sum(c).alias(c) for c in ("n_rows", "runs", "delays")])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from stellwerk import checkpoints
 from stellwerk.operators import context, model, requests, routing, sampling, visibility
-from stellwerk.plans import relations
+from stellwerk.plans import queries, relations
+from stellwerk.schema import ROWS_PER_TYPE
 from stellwerk.sources.stops import with_features
 
 DAY = datetime(2031, 3, 4)
@@ -172,3 +173,33 @@ def test_caps_do_not_broadcast_rows(spark):
     joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
     assert any("SortMergeJoin" in x and "l_run" in x for x in joins) and sum("train_type" in x for x in joins) >= 2
     assert all("day#" in x and "BuildRight" in x for x in joins if "Broadcast" in x)
+
+
+def test_training_history_counts_rows_above_the_cap(spark):
+    """One row more of a type than a day's training rows may have, and rows without a type or run: all are counted."""
+    n = ROWS_PER_TYPE + 1
+    day = F.when(F.col("id") == n + 3, F.lit(DAY)).otherwise(F.lit(DAY - timedelta(days=1))).cast("timestamp_ntz")
+    known, none = F.col("id") < n, F.lit(None)
+    stops = spark.range(n + 4).select(
+        F.when(known, F.concat(F.lit("r"), "id")).alias("run_id"), F.lit(2).alias("stop_num"), day.alias("run_day"), F.when(known, "RE").alias("train_type"), F.timestamp_add("HOUR", F.lit(9), day).alias("planned_arr"),
+        none.cast("timestamp_ntz").alias("planned_dep"), F.lit(3).cast("short").alias("arr_delay"), none.cast("short").alias("dep_delay"), F.lit(False).alias("arr_canceled"),
+    )
+    found = {tuple(r) for r in queries.training_history(stops).collect()}
+    assert found == {(DAY, "RE", n, n, 3 * n), (DAY, None, 3, 0, 9)}
+
+
+def test_training_history_by_brute_force(spark):
+    """Runs whose later stops are known days after the others, or too late, types and days that differ."""
+    halts = [("A", 8), ("B", 9), ("C", 23.9), ("D", 47), ("E", 24 * 14 + 5)]
+    runs = [run(f"{kind}{k}", d, kind, *halts[: 2 + (k + d) % 4], delay=(k * 700 + d * 90) % 2000) for kind in ("RE", "S") for k in range(3) for d in range(-17, 3) if (k + d) % 5]
+    stops = stops_of(spark, *runs)
+    days = [DAY + timedelta(days=d) for d in (-3, 0, 2, 9, 40)]
+    want = collections.defaultdict(list)
+    for r in stops.collect():
+        ends = [t + timedelta(minutes=late) for p, x in ((r.planned_arr, r.arr_delay), (r.planned_dep, r.dep_delay)) if p for t, late in ((p, 0), (p, x or 0))]
+        for day in days:
+            if r.arr_delay is not None and r.run_day < day <= r.run_day + timedelta(days=14) and max(ends) < day:
+                want[day, r.train_type].append((r.run_id, r.arr_delay))
+    found = sampling.training_history(stops, spark.createDataFrame([(d,) for d in days + days], "day timestamp_ntz"), "arr").collect()
+    assert len(want) == 8 and len(found) == len(want)
+    assert {(r.day, r.train_type): (r.n_rows, r.runs, r.delays) for r in found} == {k: (len(v), len({x for x, _ in v}), sum(x for _, x in v)) for k, v in want.items()}
