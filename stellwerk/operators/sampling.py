@@ -55,13 +55,14 @@ def capped(rows: DataFrame, keys: list[str], cap: int, order: Column, *ties: str
 
     Rows are counted by the hash's upper 12 bits; whole ranges are taken or left, and only the range in which the cap lies is sorted.
     Rows meet one row for each of the keys (days and types, few), with that range. It is hinted: rows that were dealt to days look
-    smaller than they are, and the driver must not get them as the side to broadcast.
+    smaller than they are, and the driver must not get them as the side to broadcast. A missing key is one like others.
     """
     marked = rows.withColumns({"order_": order, "range_": F.shiftright(order, 52)})
     counts = marked.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n_"))
     counts = counts.withColumn("upto_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_")))
     over = F.min(F.when(F.col("upto_") > cap, F.struct("range_", (F.col("upto_") - F.col("n_")).alias("below"))))
-    marked = marked.join(F.broadcast(counts.groupBy(*keys).agg(over.alias("cut_"))), keys)
+    cuts = counts.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(over.alias("cut_"))
+    marked = marked.join(F.broadcast(cuts), [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("order_", *ties))
     last = marked.filter(F.col("range_") == F.col("cut_.range_")).withColumn("nth_", nth).filter(F.col("nth_") <= cap - F.col("cut_.below")).drop("nth_")
     return marked.filter(F.col("cut_").isNull() | (F.col("range_") < F.col("cut_.range_"))).unionByName(last).select(*rows.columns)

@@ -154,7 +154,8 @@ def from_events(spark: SparkSession, sf_dir: str, validation_start: str = "2024-
     )
     rows = rows.repartition(run_id).withColumns({"run_id": run_id, "d": F.to_date("ts"), "m": F.date_trunc("minute", "ts").cast("timestamp_ntz")})
     rows = rows.withColumns({"stop_num": F.row_number().over(run.orderBy("ts", "event_id")), "last": F.count(F.lit(1)).over(run).cast("int")})
-    train_type = F.element_at(F.array(*map(F.lit, ("ICE", "RE", "RB", "S", "NJ"))), (F.col("user_id") % 5 + 1).cast("int"))
+    #: None without a user: element_at alone takes the last type for a missing place, and fails for place 0, of users below 0.
+    train_type = F.when(F.col("user_id") % 5 != -1, F.element_at(F.array(*map(F.lit, ("ICE", "RE", "RB", "S", "NJ"))), (F.col("user_id") % 5 + 1).cast("int")))
     arrives, departs = F.col("stop_num") > 1, F.col("stop_num") < F.col("last")
     error, base = F.col("error"), F.col("base")
     rows = rows.withColumns({"arr_canceled": arrives & error & (F.col("k") % 5 == 0), "dep_canceled": departs & error & (F.col("k") % 7 == 0), "train_type": train_type})

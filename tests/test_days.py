@@ -3,12 +3,13 @@
 import collections
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stellwerk import checkpoints
 from stellwerk.operators import context, model, requests, routing, sampling, visibility
-from stellwerk.plans import queries, relations
+from stellwerk.plans import queries, registry, relations
 from stellwerk.schema import ROWS_PER_TYPE
 from stellwerk.sources.stops import with_features
 
@@ -203,3 +204,20 @@ def test_training_history_by_brute_force(spark):
     found = sampling.training_history(stops, spark.createDataFrame([(d,) for d in days + days], "day timestamp_ntz"), "arr").collect()
     assert len(want) == 8 and len(found) == len(want)
     assert {(r.day, r.train_type): (r.n_rows, r.runs, r.delays) for r in found} == {k: (len(v), len({x for x, _ in v}), sum(x for _, x in v)) for k, v in want.items()}
+
+
+def test_caps_keep_rows_without_a_key(spark):
+    rows = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("kind"), F.xxhash64("id").alias("h"))
+    found = [r.kind for r in sampling.capped(rows, ["kind"], 7, F.col("h"), "id").collect()]
+    assert collections.Counter(found) == {None: 7, 1: 7, 2: 7} and sampling.capped(rows, ["kind"], 20, F.col("h"), "id").count() == 60
+
+
+def test_training_history_of_odd_events(spark, tmp_path):
+    """Against the SQL, where users, numbers and times are missing, users lie below 0 and delays last up to three weeks."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT event_id, CASE WHEN event_id % 41 <> 5 THEN ts END AS ts, CASE WHEN event_id % 13 <> 3 THEN user_id % 20 - 7 END AS user_id, event_type,
+        CASE WHEN event_id % 17 <> 4 THEN value * (event_id % 500) END AS value, CASE WHEN event_id % 19 <> 6 THEN props END AS props FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(registry.ORACLE_SQL["training_history"])
+    found = registry.QUERIES["training_history"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want.fetchall())) and any(r.train_type is None for r in found)
